@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import decontam, warc
 from .common import table
 
 
@@ -25,10 +25,30 @@ SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_dige
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
 """
 
+def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[s:s + 9], ' ') AS win FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(s) WHERE len(w) > 0),
+k AS (SELECT DISTINCT k FROM i),
+g AS (SELECT doc_id, s, k.k, array_to_string(w[s:s + k.k - 1], ' ') AS win FROM d, k, unnest(range(1, len(w) - k.k + 2)) AS u(s)),
+m AS (SELECT doc_id, s, i.k, item_id FROM g JOIN i ON g.win = i.win AND g.k = i.k),
+h AS (SELECT doc_id, count(DISTINCT s + o) AS n_hit FROM m, unnest(range(0, m.k)) AS u(o) GROUP BY 1),
+n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
 QUERIES = {
     "op3_warc_chunks": op3_warc_chunks,
+    "op5_wu_manber": op5_wu_manber,
 }
 
 ORACLES = {
     "op3_warc_chunks": OP3_SQL,
+    "op5_wu_manber": OP5_SQL,
 }
