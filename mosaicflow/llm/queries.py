@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, warc
+from . import decontam, packing, warc
 from .common import table
 
 
@@ -43,9 +43,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
+def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op3_warc_chunks": op3_warc_chunks,
     "op5_wu_manber": op5_wu_manber,
+    "op6_best_two_fit": op6_best_two_fit,
 }
 
 ORACLES = {
