@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, warc
+from . import decontam, fertility, packing, warc
 from .common import table
 
 
+def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = warc.plan_records(table(spark, sf_dir, "pages"))
     return warc.records(warc.read_chunks(warc.write_archives(planned), with_payload=False))
@@ -49,6 +53,7 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fertility": op1_fertility,
     "op3_warc_chunks": op3_warc_chunks,
     "op5_wu_manber": op5_wu_manber,
     "op6_best_two_fit": op6_best_two_fit,
