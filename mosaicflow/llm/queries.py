@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fertility, packing, warc
+from . import decontam, fertility, packing, secrets, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_dige
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
 """
 
+def op4_assignment_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_found(table(spark, sf_dir, "documents"))
+
+
 def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op3_warc_chunks": op3_warc_chunks,
+    "op4_assignment_lexing": op4_assignment_lexing,
     "op5_wu_manber": op5_wu_manber,
     "op6_best_two_fit": op6_best_two_fit,
 }
