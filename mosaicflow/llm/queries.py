@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, fertility, packing, secrets, warc
+from . import decontam, fertility, packing, secrets, simhash, warc
 from .common import table
 
 
@@ -56,12 +57,18 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_assignment_lexing": op4_assignment_lexing,
     "op5_wu_manber": op5_wu_manber,
     "op6_best_two_fit": op6_best_two_fit,
+    "op9_bit_sliced": op9_bit_sliced,
 }
 
 ORACLES = {
