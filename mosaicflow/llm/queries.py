@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, packing, secrets, simhash, warc
+from . import decontam, fertility, kneser_ney, packing, secrets, simhash, warc
 from .common import table
 
 
@@ -57,6 +57,11 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.train(docs))
+
+
 def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_assignment_lexing": op4_assignment_lexing,
     "op5_wu_manber": op5_wu_manber,
     "op6_best_two_fit": op6_best_two_fit,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_bit_sliced": op9_bit_sliced,
 }
 
