@@ -8,8 +8,6 @@ word's counts, and is written as arrays sorted by hash, which scoring maps into
 
 from __future__ import annotations
 
-import functools
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -21,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, bound_batches, documents, filesystem, fresh_uri, map_batches, written
+from .arrays import looked_up, mapped, packed, save, unpacked
+from .common import blobs, bound_batches, documents, fresh_uri, map_batches, written
 
 SEED = 7
 FOLDS, HELD_OUT = 7, 2
@@ -87,43 +86,6 @@ def _shard_of(context: np.ndarray, token: np.ndarray, hot: np.ndarray, shards: i
     return (((context >> np.uint64(24)) + spread) % np.uint64(shards)).astype(np.int64)
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes(), *(a.dtype.str.encode().ljust(8) for a in arrays), *(a.tobytes() for a in arrays)])
-
-
-def _unpacked(data) -> list[np.ndarray]:
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    lengths, at, out = np.frombuffer(data, "<i8", n, 8), 8 + 16 * n, []
-    for k, length in enumerate(lengths):
-        kind = np.dtype(bytes(data[8 + 8 * n + 8 * k : 16 + 8 * n + 8 * k]).decode().strip())
-        out.append(np.frombuffer(data, kind, length, at))
-        at += int(length) * kind.itemsize
-    return out
-
-
-def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
-    """Under a name of the task's own, then moved: a task that runs again puts the same in its place."""
-    files, path = filesystem(folder)
-    files.create_dir(path, recursive=True)
-    with files.open_output_stream(mine := f"{path}/{name}.{uuid.uuid4().hex}", compression=None) as out:
-        out.write(_packed(*arrays))
-    files.move(mine, f"{path}/{name}")
-
-
-@functools.lru_cache(maxsize=4096)
-def _mapped(folder: str, name: str) -> list[np.ndarray] | None:
-    """Arrays of a file: mapped into memory from a folder that all machines mount, read from any other store."""
-    from pyarrow import fs
-
-    files, path = filesystem(folder)
-    if files.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
-        return None
-    if isinstance(files, fs.LocalFileSystem):
-        return _unpacked(np.memmap(f"{path}/{name}", np.uint8, "r"))
-    with files.open_input_file(f"{path}/{name}") as source:
-        return _unpacked(source.read())
-
-
 class Model(NamedTuple):
     """Where the arrays are, and the few numbers that belong to the whole."""
 
@@ -192,7 +154,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
             for s in np.unique(shard):
                 own = shard == s
                 own_context, size = np.unique(context[own], return_counts=True)
-                out.append((int(s), _packed(own_context, size.astype("<u4"), token[own], n[own].astype("<u4"))))
+                out.append((int(s), packed(own_context, size.astype("<u4"), token[own], n[own].astype("<u4"))))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["shard", "block"])
 
         for batch in batches:
@@ -208,7 +170,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         shard = group.column("shard")[0].as_py()
         contexts, tokens, counts = [], [], []
         for block in group.column("block"):
-            own_context, size, token, n = _unpacked(block.as_buffer())
+            own_context, size, token, n = unpacked(block.as_buffer())
             contexts.append(np.repeat(own_context, size))
             tokens.append(token)
             counts.append(n.astype(np.int64))
@@ -217,19 +179,19 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         order = np.argsort(key, kind="stable")
         stats = _by_word(context, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))
         is_hot = np.isin(stats[0], hot)
-        _save(folder, f"bigrams-{shard}", key[order], n[order].astype("<u4"), *(x[~is_hot] for x in stats))
+        save(folder, f"bigrams-{shard}", key[order], n[order].astype("<u4"), *(x[~is_hot] for x in stats))
         word, total_n, continued = _by_word(token, n, np.ones(len(n), np.int64))
         place = (word >> np.uint64(24)) % np.uint64(word_shards)
-        rows = [("words", int(p), _packed(word[place == p], total_n[place == p], continued[place == p].astype("<u4")), None) for p in np.unique(place)]
+        rows = [("words", int(p), packed(word[place == p], total_n[place == p], continued[place == p].astype("<u4")), None) for p in np.unique(place)]
         rows += [("hot", 0, None, [int(h), *map(int, x)]) for h, x in zip(stats[0][is_hot].view(np.int64), np.stack(stats[1:], axis=1)[is_hot], strict=True)]
         rows.append(("counts", 0, None, [len(n), *_of_counts(n)]))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PART_TYPES, strict=True)], names=["kind", "shard", "block", "numbers"])
 
     def words(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        parts = [_unpacked(block.as_buffer()) for block in group.column("block")]
+        parts = [unpacked(block.as_buffer()) for block in group.column("block")]
         word, n, continued = _by_word(*(np.concatenate([p[k] for p in parts]).astype(np.uint64 if k == 0 else np.int64) for k in range(3)))
-        _save(folder, f"words-{shard}", word, n, continued.astype("<u4"))
+        save(folder, f"words-{shard}", word, n, continued.astype("<u4"))
         return pa.table([pa.array([[len(word), int(n.sum()), *_of_counts(continued)]], pa.list_(pa.int64()))], names=["numbers"])
 
     bound_batches(spark)
@@ -250,20 +212,6 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
 _PART_TYPES = [pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
 
-def _looked_up(needles: np.ndarray, shard: np.ndarray, open_shard, width: int) -> np.ndarray:
-    """Values (width, needles) beside each needle in the sorted first array of its shard's arrays; 0 where it isn't."""
-    out = np.zeros((width, len(needles)), np.int64)
-    order = np.lexsort((needles, shard))
-    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
-        keys, *values = open_shard(int(shard[part[0]])) or (np.zeros(0, np.uint64), *repeat(np.zeros(0), width))
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, needles[part]), len(keys) - 1)
-            same = keys[at] == needles[part]
-            for k in range(width):
-                out[k, part[same]] = values[k][at[same]]
-    return out
-
-
 def _discounted(count: np.ndarray, by: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(count - np.array([0.0, *by])[np.minimum(count, 3)], 0.0)
 
@@ -276,10 +224,10 @@ def probabilities(model: Model, context: np.ndarray, token: np.ndarray) -> tuple
     hot_words = np.sort(hot[:, 0].view(np.uint64)) if len(hot) else np.zeros(0, np.uint64)
     hot = hot[np.argsort(hot[:, 0].view(np.uint64))]
     shard = _shard_of(context, token, hot_words, model.shards)
-    count = _looked_up(key, shard, lambda s: (_mapped(model.folder, f"bigrams-{s}") or [])[:2], 1)[0]
+    count = looked_up(key, shard, lambda s: (mapped(model.folder, f"bigrams-{s}") or [])[:2], 1)[0]
 
     own, at = np.unique(context, return_inverse=True)
-    stats = _looked_up(own, _shard_of(own, own, np.zeros(0, np.uint64), model.shards), lambda s: (_mapped(model.folder, f"bigrams-{s}") or [])[2:], 4)
+    stats = looked_up(own, _shard_of(own, own, np.zeros(0, np.uint64), model.shards), lambda s: (mapped(model.folder, f"bigrams-{s}") or [])[2:], 4)
     if len(hot):
         place = np.minimum(np.searchsorted(hot_words, own), len(hot) - 1)
         is_hot = hot_words[place] == own
@@ -287,7 +235,7 @@ def probabilities(model: Model, context: np.ndarray, token: np.ndarray) -> tuple
     total, *numbers = stats[:, at]
 
     word, at = np.unique(token, return_inverse=True)
-    n, continued = _looked_up(word, ((word >> np.uint64(24)) % np.uint64(model.word_shards)).astype(np.int64), lambda s: _mapped(model.folder, f"words-{s}"), 2)[:, at]
+    n, continued = looked_up(word, ((word >> np.uint64(24)) % np.uint64(model.word_shards)).astype(np.int64), lambda s: mapped(model.folder, f"words-{s}"), 2)[:, at]
     lower = _discounted(continued, model.lower_discounts) / max(1, model.bigrams) + model.lower_rest / (model.vocabulary + 1)
     rest = sum(d * x for d, x in zip(model.discounts, numbers, strict=True))
     seen = np.maximum(total, 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, kneser_ney, packing, secrets, simhash, warc
+from . import decontam, fertility, kneser_ney, packing, secrets, simhash, substrings, warc
 from .common import table
 
 
@@ -67,6 +67,12 @@ def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeats(table(spark, sf_dir, "documents"), with_kept=False)
+    n_removed = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.floor(F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op3_warc_chunks": op3_warc_chunks,
@@ -75,6 +81,7 @@ QUERIES = {
     "op6_best_two_fit": op6_best_two_fit,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_bit_sliced": op9_bit_sliced,
+    "op10_suffix_sort": op10_suffix_sort,
 }
 
 ORACLES = {
