@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, kneser_ney, packing, secrets, simhash, substrings, warc
+from . import decontam, fertility, kneser_ney, packing, secrets, simhash, substrings, warc, wrapper
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return kneser_ney.score(docs, kneser_ney.train(docs))
@@ -79,6 +83,7 @@ QUERIES = {
     "op4_assignment_lexing": op4_assignment_lexing,
     "op5_wu_manber": op5_wu_manber,
     "op6_best_two_fit": op6_best_two_fit,
+    "op7_wrapper_induction": op7_wrapper_induction,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_bit_sliced": op9_bit_sliced,
     "op10_suffix_sort": op10_suffix_sort,
