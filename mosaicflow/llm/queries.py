@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, kneser_ney, packing, secrets, simhash, substrings, warc, wrapper
+from . import decontam, fertility, kneser_ney, packing, secrets, simhash, substrings, toolcalls, warc, wrapper
 from .common import table
 
 
@@ -13,6 +13,53 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.verdicts(table(spark, sf_dir, "documents"))
 
 
+#: Of the tool that op2 takes each user's turn for a call of.
+ASK = {
+    "ask": {
+        "type": "object",
+        "properties": {"after": {"type": "object"}, "text": {"type": "string", "minLength": 20}, "turn": {"type": "integer", "minimum": 0}},
+        "required": ["text", "turn"],
+        "additionalProperties": False,
+    }
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Plain conversations as messages with tool calls: a user's turn is a call by an assistant, an assistant's the tool's result for the turn before.
+
+    Calls from turn 2 on ask for the result of the call two turns before. System turns stay as they are.
+    """
+    conv, turn, text = F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("turn").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    name = lambda t: F.concat_ws("-", conv, t.cast("string"))
+    after = F.when(turn >= 2, F.struct(name(turn - 2).alias("$ref")))
+    call = F.concat(F.lit("<tool_call>"), F.to_json(F.struct(name(turn).alias("id"), F.lit("ask").alias("name"), F.struct(turn.alias("turn"), text.alias("text"), after.alias("after")).alias("arguments"))), F.lit("</tool_call>"))
+    result = F.concat(F.lit("<tool_response>"), F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), F.struct(text.alias("text")).alias("content"))), F.lit("</tool_response>"))
+    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    return conversations.select("conv_id", "turn", role.alias("role"), F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"))
+
+
+def op2_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toolcalls.link(tool_messages(table(spark, sf_dir, "conversations")), ASK)
+    return found.select(
+        "conv_id", "call_id", "name", "call_turn", "result_turn", "status", "level", F.array_join("errors", "; ").alias("errors"),
+        F.sha2(F.col("call_json").cast("binary"), 256).alias("call_sha256"),
+    )
+
+
+OP2_SQL = """
+WITH c AS (SELECT *, conv_id || '-' || turn AS id FROM conversations WHERE role = 'user'),
+r AS (SELECT *, conv_id || '-' || (turn - 1) AS id FROM conversations WHERE role = 'assistant')
+SELECT c.conv_id, c.id AS call_id, 'ask' AS name, c.turn AS call_turn, r.turn AS result_turn,
+  CASE WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, 0 AS level,
+  CASE WHEN length(c.text) < 20 THEN '/text: limits' ELSE '' END AS errors,
+  sha256('{"arguments":{' || CASE WHEN c.turn >= 2 THEN '"after":{"$ref":"' || c.conv_id || '-' || (c.turn - 2) || '"},' ELSE '' END || '"text":' || to_json(c.text) || ',"turn":' || c.turn
+    || '},"id":"' || c.id || '","name":"ask","result":' || coalesce('{"text":' || to_json(r.text) || '}', 'null') || '}') AS call_sha256
+FROM c LEFT JOIN r ON c.id = r.id
+UNION ALL
+SELECT r.conv_id, r.id, NULL, NULL, r.turn, 'orphan', NULL, '', NULL FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = r.id)
+"""
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = warc.plan_records(table(spark, sf_dir, "pages"))
     return warc.records(warc.read_chunks(warc.write_archives(planned), with_payload=False))
@@ -79,6 +126,7 @@ def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fertility": op1_fertility,
+    "op2_tool_linking": op2_tool_linking,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_assignment_lexing": op4_assignment_lexing,
     "op5_wu_manber": op5_wu_manber,
@@ -90,6 +138,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_tool_linking": OP2_SQL,
     "op3_warc_chunks": OP3_SQL,
     "op5_wu_manber": OP5_SQL,
 }
