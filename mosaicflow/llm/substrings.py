@@ -28,13 +28,15 @@ LENGTH = 200
 ANCHOR = 100
 SPAN = LENGTH - ANCHOR + 1
 #: Bytes of text that are hashed at a time; longer texts are cut into parts that overlap by LENGTH - 1.
-PART = 1 << 20
+PART = 1 << 19
 #: Bytes of text for each shard of counts.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Stretches of one anchor that one task sorts; where there are more, each string is counted by its hash instead.
 GROUP = 20_000
+#: Stretches that a task holds before it sends their counts.
+TASK_STRETCHES = 500_000
 #: Bytes of stretches that are sorted at a time.
-SORTED_BYTES = 4 << 20
+SORTED_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(200).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,7 +56,7 @@ class Hashes:
     def __init__(self, buffer: np.ndarray):
         n = len(buffer) + 1
         if len(Hashes.powers) < n:
-            Hashes.powers, Hashes.inverses = _powers(_BASE, 2 * n), _powers(pow(_BASE, -1, 1 << 64), 2 * n)
+            Hashes.powers, Hashes.inverses = _powers(_BASE, n + n // 8), _powers(pow(_BASE, -1, 1 << 64), n + n // 8)
         self.prefix = np.zeros(n, np.uint64)
         np.cumsum(_BYTES[buffer] * Hashes.powers[: n - 1], out=self.prefix[1:])
 
@@ -170,7 +172,7 @@ def _count(docs: DataFrame, folder: str, shards: int) -> None:
         for batch in batches:
             if len((found := _stretches(blobs(batch.column("text")))).anchor):
                 held.append(found)
-            if sum(len(x.anchor) for x in held) > 2_000_000:
+            if sum(len(x.anchor) for x in held) > TASK_STRETCHES:
                 yield sent()
                 held.clear()
         if held:
