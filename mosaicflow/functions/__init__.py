@@ -1 +1 @@
-
+"""Column functions, catalogs and prompts."""

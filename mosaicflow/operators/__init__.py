@@ -1 +1 @@
-
+"""Operators over pixels, frames, rasters and scenes."""

@@ -1 +1 @@
-
+"""Readers of rasters, prompts and scene data."""
