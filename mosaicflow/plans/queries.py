@@ -384,7 +384,7 @@ def zone_reachability(spark, sf_dir):
 _CHECKS = [("spawn", 836.0, 782.0, True), ("npc", 836.0, 390.0, True), ("rest", 760.0, 548.0, True), ("grass", 371.0, 457.0, True), ("training", 1311.0, 465.0, True), ("gate", 836.0, 756.0, True), ("pillar", 730.0, 756.0, False), ("pillar edge", 750.0, 800.0, False), ("origin", 0.0, 0.0, False)]
 
 
-@query(f"SELECT point, px, py, CAST(w AS BOOLEAN) AS walkable, true AS passed FROM {sql.values([(a, b, c, int(d)) for a, b, c, d in _CHECKS], 'point, px, py, w')}")
+@query(f"SELECT point, CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py, CAST(w AS BOOLEAN) AS walkable, true AS passed FROM {sql.values([(a, b, c, int(d)) for a, b, c, d in _CHECKS], 'point, px, py, w')}")
 def critical_points(spark, sf_dir):
     asked = spark.createDataFrame(_CHECKS, "point string, px double, py double, expected boolean")
     found = scene.walkable(asked, example_shapes(spark), "point")

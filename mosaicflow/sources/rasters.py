@@ -66,7 +66,7 @@ def read_prompt(spark: SparkSession, path: str | None) -> str | None:
         return None
     files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
     try:
-        row = files.load(path).select(F.decode("content", F.lit("UTF-8")).alias("text")).first()
+        row = files.load(path).select(F.decode("content", "UTF-8").alias("text")).first()
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
