@@ -1,7 +1,7 @@
 """Registered queries against their SQL, and the driver's contract."""
 
 import pytest
-from conftest import assert_same
+from support import assert_same
 
 import __spark_entry__ as entry
 from mosaicflow.plans.queries import ORACLES, QUERIES
