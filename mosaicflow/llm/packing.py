@@ -142,7 +142,8 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     slots = cut.sparkSession.sparkContext.broadcast(_slots(bins))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
     based = counts.select("task", "length", before.alias("before"))
-    ranked = cut.join(based, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("task", "before")
+    # Merged, not broadcast: the counts grow with the number of tasks, and look small as files.
+    ranked = cut.join(based.hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("task", "before")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.drop("rank").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
