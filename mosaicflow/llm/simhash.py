@@ -103,7 +103,7 @@ def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _cell_links(fps: np.ndarray, side: np.ndarray) -> np.ndarray:
     """For each fingerprint of a cell, the smallest number of those it is linked with there. side: the part each is of."""
     label = np.arange(len(fps))
-    queries = np.flatnonzero(side == side[0]) if side[0] != side[-1] else label
+    queries = np.flatnonzero(side == side[0]) if side[0] != side[-1] else np.arange(len(fps))
     padded = np.concatenate([fps, np.zeros(-len(fps) % 64, np.uint64)])[None]
     for at in range(0, len(queries), 256):
         own = queries[at : at + 256]
