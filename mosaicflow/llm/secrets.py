@@ -111,7 +111,7 @@ def _assigned(text: str, at: int, constants: dict[str, list[tuple[int, int]]]) -
             parts += constants[m[1]]
             at = m.end()
         elif not parts and (m := _BARE.match(text, at)):
-            return [m.span()], False
+            return ([], False) if text[m.end() : m.end() + 1] in ("(", "[", "{") else ([m.span()], False)
         else:
             break
         if len(parts) > MOST_PARTS:
@@ -132,6 +132,7 @@ def literal_spans(text: str) -> list[Span]:
             continue
         parts, quoted = _assigned(text, op.end(), constants)
         if not parts:
+            constants.pop(name[1], None)
             continue
         if quoted or op[0] in ("=", ":="):
             constants[name[1]] = parts
