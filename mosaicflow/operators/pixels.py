@@ -41,6 +41,16 @@ def split_cells(pixels: DataFrame, width: int, height: int, rows: int, cols: int
     return cells.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < w - 2 * t) & (F.col("y") < h - 2 * t))
 
 
+def grid_cells(sheets: DataFrame, rows: int, cols: int) -> DataFrame:
+    """sheets, of width and height, with a row for each cell: grid_row, grid_col and its half-open box in the sheet."""
+    if rows < 1 or cols < 1:
+        raise ValueError("a grid needs rows and columns")
+    w, h = F.floor(F.col("width") / cols).cast("int"), F.floor(F.col("height") / rows).cast("int")
+    cells = sheets.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))))
+    cells = cells.withColumns({"grid_row": F.floor(F.col("i") / cols).cast("int"), "grid_col": F.col("i") % cols}).drop("i")
+    return cells.withColumns({"box_x0": F.col("grid_col") * w, "box_y0": F.col("grid_row") * h, "box_x1": (F.col("grid_col") + 1) * w, "box_y1": (F.col("grid_row") + 1) * h})
+
+
 def clean_ring(cells: DataFrame, width: int, height: int, depth: int = 3) -> DataFrame:
     """Cells of width and height with black and near-key pixels cleared in the ring of depth along their edges."""
     ring = F.least("x", "y", F.lit(width - 1) - F.col("x"), F.lit(height - 1) - F.col("y")) < depth

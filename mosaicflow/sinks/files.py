@@ -29,8 +29,10 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             paths, sizes = [], []
             for sheet, name, content in zip(*(batch.column(k).to_pylist() for k in ("sheet_id", "name", "content")), strict=True):
-                store.create_dir(f"{root}/{sheet}", recursive=True)
-                mine, path = f"{root}/{sheet}/.{uuid.uuid4().hex}", f"{root}/{sheet}/{name}"
+                path = f"{root}/{sheet}/{name}"
+                folder_of = path.rpartition("/")[0]
+                store.create_dir(folder_of, recursive=True)
+                mine = f"{folder_of}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(mine, compression=None) as out:
                     out.write(content)
                 store.move(mine, path)
@@ -52,3 +54,13 @@ def write_prompts(prompts: DataFrame, folder: str) -> None:
     payload = prompts.select(F.to_json(F.struct("target", "mode", "prompt", "role", "seed", "generated_prompt"), {"ignoreNullFields": "false"}).alias("value"))
     payload.write.text(f"{folder}/json")
     prompts.select(F.col("generated_prompt").alias("value")).write.text(f"{folder}/text")
+
+
+def scene_files(scenes: DataFrame) -> DataFrame:
+    """FILES of scenes, of scene_id, name, base (PNG), preview (PNG or null) and collision (JSON or null): map pictures and data/collision-map.json."""
+    rows = F.array(
+        F.struct(F.concat(F.lit("assets/map/"), "name", F.lit("-base.png")).alias("name"), F.col("base").alias("content")),
+        F.struct(F.concat(F.lit("assets/map/"), "name", F.lit("-layered-preview.png")).alias("name"), F.col("preview").alias("content")),
+        F.struct(F.lit("data/collision-map.json").alias("name"), F.col("collision").cast("binary").alias("content")),
+    )
+    return scenes.select(F.col("scene_id").alias("sheet_id"), F.explode(rows).alias("f")).select("sheet_id", "f.*").where("content IS NOT NULL")

@@ -62,3 +62,30 @@ def test_joins_and_planner(spark):
     assert [r.n for r in steps] == [*planner.STRATEGIES[1:], "tilemap"]
     all_ = planner.expand_bundles(spark.createDataFrame([("unit_bundle",)], "bundle string"), optional=True)
     assert [r.asset for r in all_.orderBy("pos").collect()] == ["idle", "combat", "walk"]
+
+
+def test_scene_files(spark, tmp_path):
+    from mosaicflow.sinks.files import scene_files, write_files
+
+    rows = spark.createDataFrame([(1, "town", bytearray(b"png"), None, "{}"), (2, "field", bytearray(b"p"), bytearray(b"q"), None)], "scene_id long, name string, base binary, preview binary, collision string")
+    write_files(scene_files(rows), str(tmp_path))
+    assert {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and p.name != "_SUCCESS" and not p.name.startswith(".")} == {
+        "1/assets/map/town-base.png", "1/data/collision-map.json", "2/assets/map/field-base.png", "2/assets/map/field-layered-preview.png",
+    }
+
+
+def test_grid_cells(spark):
+    from mosaicflow.operators.pixels import grid_cells
+
+    got = grid_cells(spark.createDataFrame([(1, 10, 9)], "sheet_id long, width int, height int"), 2, 3).orderBy("grid_row", "grid_col").collect()
+    assert [(r.box_x0, r.box_y0, r.box_x1, r.box_y1) for r in got] == [(0, 0, 3, 4), (3, 0, 6, 4), (6, 0, 9, 4), (0, 4, 3, 8), (3, 4, 6, 8), (6, 4, 9, 8)]
+
+
+def test_prompt_sink(spark, tmp_path):
+    from mosaicflow.functions import prompts
+    from mosaicflow.sinks.files import write_prompts
+
+    asked = spark.createDataFrame([("asset", "fx", "smoke", None, None)], "target string, mode string, prompt string, role string, seed long")
+    write_prompts(prompts.build_prompts(asked), str(tmp_path / "p"))
+    row = spark.read.json(str(tmp_path / "p" / "json")).first()
+    assert row.target == "asset" and spark.read.text(str(tmp_path / "p" / "text")).first().value == row.generated_prompt
