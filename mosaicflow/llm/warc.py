@@ -23,6 +23,8 @@ CHUNK_BYTES = 64 << 10
 SEGMENT_BYTES = 4 << 20
 #: Payloads shorter than this are never replaced by a revisit.
 REVISIT_FROM = 100
+#: Reading tasks for each core, at most; fewer where there are fewer segments.
+TASKS_PER_CORE = 8
 _READ = 256 << 10
 
 MANIFEST = "path string, start long, length long, records long"
@@ -206,8 +208,10 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_payloa
         if pending:
             yield batch_of(pending)
 
-    parts = manifest.select("uri", "path", "start", "length").repartition(F.col("path"), F.col("start"))
-    return parts.mapInArrow(run, CHUNKS)
+    # Dealt by number: by bytes, the few bytes of a manifest would all be one task's.
+    spark = manifest.sparkSession
+    tasks = min(manifest.count(), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return manifest.select("uri", "path", "start", "length").repartition(max(1, tasks)).mapInArrow(run, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
