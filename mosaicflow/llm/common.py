@@ -50,6 +50,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the tables that df alone was written to; for steps of a loop that the next one has replaced."""
+    spark = df.sparkSession
+    for uri in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str):
     """(filesystem, path) for a folder named by URI or plain path, usable on driver and executors alike."""
     from pyarrow import fs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _toward(edges: DataFrame, key: str) -> DataFrame:
@@ -42,4 +42,5 @@ def roots(links: DataFrame) -> DataFrame:
         if seen == last or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = seen
-        edges = written(_small_star(_large_star(edges)).where("a <> b").distinct(), "links")
+        before, edges = edges, written(_small_star(_large_star(edges)).where("a <> b").distinct(), "links")
+        discard(before)

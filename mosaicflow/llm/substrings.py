@@ -145,6 +145,14 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values))
 
 
+def _paired(whole: np.ndarray, anchor: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and the sums of n: a stretch is known by both hashes, 128 bits."""
+    order = np.lexsort((anchor, whole))
+    whole, anchor = whole[order], anchor[order]
+    first = np.flatnonzero(np.concatenate([[len(whole) > 0], (whole[1:] != whole[:-1]) | (anchor[1:] != anchor[:-1])])[: len(whole)])
+    return whole[first], anchor[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def _shards(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
@@ -159,9 +167,7 @@ def _count(docs: DataFrame, folder: str, shards: int) -> None:
             anchor, whole = (np.concatenate([getattr(x, k) for x in held]) for k in ("anchor", "whole"))
             one, out = np.ones(len(anchor), np.int64), []
             anchors, total = _summed(anchor, one)
-            order = np.argsort(whole, kind="stable")
-            wholes, times = _summed(whole, one)
-            own = anchor[order][np.searchsorted(whole[order], wholes)]
+            wholes, own, times = _paired(whole, anchor, one)
             for s in range(shards):
                 if (mine := _shards(anchors, shards) == s).any():
                     out.append(("anchors", s, packed(anchors[mine], total[mine].astype("<u4"))))
@@ -186,11 +192,9 @@ def _count(docs: DataFrame, folder: str, shards: int) -> None:
             rows = [("total", shard, packed(anchor[total > 1], total[total > 1]))]
         else:
             whole, anchor, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            own, n = _summed(whole, times.astype(np.int64))
-            order = np.argsort(whole, kind="stable")
-            anchor = anchor[order][np.searchsorted(whole[order], own)]
+            whole, anchor, n = _paired(whole, anchor, times.astype(np.int64))
             again = n > 1
-            save(folder, f"wholes-{shard}", own[again], n[again])
+            save(folder, f"wholes-{shard}", whole[again], anchor[again].view(np.int64), n[again])
             anchor, done, kinds = _summed(anchor[again], n[again], np.ones(int(again.sum()), np.int64))
             place = _shards(anchor, shards)
             rows = [("done", int(s), packed(anchor[place == s], done[place == s], kinds[place == s])) for s in np.unique(place)] or [("done", 0, packed(*[np.zeros(0, np.int64)] * 3))]
@@ -246,8 +250,9 @@ def _judge(docs: DataFrame, folder: str, shards: int, group: int, with_kept: boo
             texts, ids = blobs(batch.column("text")), batch.column("doc_id").to_pylist()
             x = _stretches(texts)
             to_sort, again = looked_up(x.anchor, _shards(x.anchor, shards), lambda s: mapped(folder, f"anchors-{s}"), 2)
-            times = looked_up(x.whole, _shards(x.whole, shards), lambda s: mapped(folder, f"wholes-{s}"), 1)[0]
-            settled, left_over = times > 1, (again > 0) & (times < 2)
+            of, times = looked_up(x.whole, _shards(x.whole, shards), lambda s: mapped(folder, f"wholes-{s}"), 2)
+            settled = (times > 1) & (of == x.anchor.view(np.int64))
+            left_over = (again > 0) & ~settled
             out: list[tuple] = []
             bounds = np.searchsorted(x.text, np.arange(len(texts) + 1))
             for t, data in enumerate(texts):
