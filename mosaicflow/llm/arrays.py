@@ -11,6 +11,15 @@ import numpy as np
 from .common import filesystem
 
 
+#: Shards of one model or count, at most: with more, what a task sends to each would be a few entries.
+MOST_SHARDS = 100_000
+
+
+def shard_count(total: int, each: int) -> int:
+    """Shards for so much in all, of each so much; larger ones beyond MOST_SHARDS."""
+    return max(1, min(MOST_SHARDS, -(-total // each)))
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes(), *(a.dtype.str.encode().ljust(8) for a in arrays), *(a.tobytes() for a in arrays)])
 

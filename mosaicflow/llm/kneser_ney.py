@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import looked_up, mapped, packed, save, unpacked
+from .arrays import looked_up, mapped, packed, save, shard_count, unpacked
 from .common import blobs, bound_batches, documents, fresh_uri, map_batches, written
 
 SEED = 7
@@ -141,7 +141,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     """
     spark, training, folder = docs.sparkSession, _training(docs), folder or fresh_uri(docs.sparkSession, "kn-model")
     total, hot = _frequent(training)
-    shards = max(1, -(-total // SHARD_TOKENS))
+    shards = shard_count(total, SHARD_TOKENS)
     word_shards = max(1, shards // 4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

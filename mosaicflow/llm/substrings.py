@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import looked_up, mapped, packed, save, unpacked
+from .arrays import looked_up, mapped, packed, save, shard_count, unpacked
 from .common import blobs, bound_batches, documents, fresh_uri, map_batches, written
 
 LENGTH = 200
@@ -406,7 +406,7 @@ def repeats(docs: DataFrame, group: int = GROUP, shard_bytes: int = SHARD_BYTES,
     """
     docs, folder = documents(docs), fresh_uri(docs.sparkSession, "repeats")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = shard_count(total, shard_bytes)
     _count(docs, folder, shards)
     rows = _judge(docs, folder, shards, group, with_kept)
     found = _sort_stretches(rows.where("kind = 'stretch'")).unionByName(_count_strings(rows.where("kind = 'string'")))

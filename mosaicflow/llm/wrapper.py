@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import mapped, save
+from .arrays import mapped, save, shard_count
 from .common import bound_batches, fresh_uri, map_batches, texts
 
 #: Different pages of a host that its wrapper is fitted to, at most: those of least hash, one for each of SAMPLE_PARTS parts.
@@ -361,7 +361,7 @@ def _shard(host: str, shards: int) -> int:
 def induce(pages: DataFrame, folder: str) -> int:
     """Write the wrappers of all hosts with two different pages or more below folder, in as many files as it returns."""
     rows = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> '' AND html <> ''").withColumn("h", F.xxhash64("html"))
-    shards = max(1, -(-(rows.agg(F.approx_count_distinct("host")).first()[0] or 0) // HOSTS_PER_SHARD))
+    shards = shard_count(rows.agg(F.approx_count_distinct("host")).first()[0] or 0, HOSTS_PER_SHARD)
     part = F.pmod("h", F.lit(SAMPLE_PARTS))
     one = rows.withColumn("n", F.row_number().over(Window.partitionBy("host", part).orderBy("h"))).where("n = 1")
     few = one.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("n") <= SAMPLE_PAGES)
