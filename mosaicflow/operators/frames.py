@@ -121,15 +121,22 @@ def _frames(sheet: int, raster: np.ndarray, p: Params) -> list[list]:
     return out
 
 
-def cut(rasters: DataFrame, p: Params) -> DataFrame:
-    """FRAMES: frames cut to their box, with components counted and, for the largest, selected. An empty frame isn't cut."""
+def cut(rasters: DataFrame, p: Params, with_sheet: bool = False) -> DataFrame:
+    """FRAMES: frames cut to their box, with components counted and, for the largest, selected. An empty frame isn't cut.
+
+    A sheet's frames follow each other in reading order. with_sheet adds sheet_width, sheet_height and, beside the first frame, sheet_rgba.
+    """
+    schema = FRAMES + (", sheet_width int, sheet_height int, sheet_rgba binary" if with_sheet else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sheet, raster in zip(batch.column("sheet_id").to_pylist(), arrays(batch), strict=True):
-                yield _batch([tuple(x) for x in _frames(sheet, raster, p)], FRAMES)
+                rows = [tuple(x) for x in _frames(sheet, raster, p)]
+                if with_sheet:
+                    rows = [(*x, raster.shape[1], raster.shape[0], None if i else raster.tobytes()) for i, x in enumerate(rows)]
+                yield _batch(rows, schema)
 
-    return rasters.mapInArrow(run, FRAMES)
+    return rasters.mapInArrow(run, schema)
 
 
 def checked(frames: DataFrame, p: Params) -> DataFrame:

@@ -102,18 +102,25 @@ def process(rasters: DataFrame, ask: Request) -> DataFrame:
 
         files = rasters.select("sheet_id", "width", "height", "rgba").mapInArrow(single, FILES)
     else:
-        frames = fr.placed(fr.checked(fr.cut(rasters, ask.params), ask.params), ask.params)
+        frames = fr.placed(fr.checked(fr.cut(rasters, ask.params, with_sheet=True), ask.params), ask.params)
         frames = fr.reject_edge_touch(frames) if ask.reject else frames
-        columns = ["grid_row", "grid_col", "cell_width", "cell_height", "component_count", "selected_area", "sel_x0", "sel_y0", "sel_x1", "sel_y1", "x0", "y0", "x1", "y1", "edge_touch", "new_w", "new_h", "paste_x", "paste_y", "canvas"]
-        per_sheet = fr.render(frames, ask.params).groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("frames"))
-        both = rasters.select("sheet_id", "width", "height", "rgba").join(per_sheet, "sheet_id")
+        per_sheet = ask.params.rows * ask.params.cols
 
         def sheet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Nothing was shuffled since the sheets were cut, so the frames of one still follow each other, over batches if need be."""
+            held: list[dict] = []
             for batch in batches:
-                for number, w, h, rgba, rows in zip(*(batch.column(k).to_pylist() for k in ("sheet_id", "width", "height", "rgba", "frames")), strict=True):
-                    yield fr._batch([(number, *f) for f in _sheet_files(array_of(w, h, rgba), rows, ask)], FILES)
-
-        files = both.mapInArrow(sheet, FILES)
+                for row in batch.to_pylist():
+                    held.append(row)
+                    if len(held) == per_sheet:
+                        first = held[0]
+                        raster = array_of(first["sheet_width"], first["sheet_height"], first["sheet_rgba"])
+                        yield fr._batch([(first["sheet_id"], *f) for f in _sheet_files(raster, held, ask)], FILES)
+                        held = []
+            if held:
+                raise ValueError("frames of a sheet are missing")
+
+        files = fr.render(frames, ask.params).mapInArrow(sheet, FILES)
     if ask.prompt_text is not None:
         text = F.lit(ask.prompt_text).cast("binary")
         files = files.unionByName(rasters.select("sheet_id", F.lit("prompt-used.txt").alias("name"), text.alias("content")))

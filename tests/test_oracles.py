@@ -32,6 +32,6 @@ def test_fixture_has_both_kinds_of_frames(spark, sf_dir):
 
 
 def test_plans_without_shuffle(spark, sf_dir):
-    for name in ("frame_qc_compat", "shared_scale_placement", "component_table", "resize_frames", "slug_documents"):
+    for name in ("frame_qc_compat", "shared_scale_placement", "component_table", "resize_frames", "process_sheets", "slug_documents"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, name
