@@ -124,6 +124,20 @@ def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.floor(F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
 
 
+OP10_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, i, substr(h, CAST(2 * i + 1 AS BIGINT), 400) AS s FROM d, unnest(range(0, n - 199)) AS u(i) WHERE n >= 200),
+k AS (SELECT rid, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+g AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS begins FROM k),
+r AS (SELECT rid, i, sum(begins) OVER (PARTITION BY rid ORDER BY i) AS run FROM g),
+sp AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY rid, run),
+q AS (SELECT rid, run, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY run), 0) AS before FROM sp),
+p AS (SELECT q.rid, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY run) AS kept FROM q JOIN d ON q.rid = d.rid GROUP BY q.rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN p ON d.rid = p.rid
+"""
+
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op2_tool_linking": op2_tool_linking,
@@ -141,4 +155,5 @@ ORACLES = {
     "op2_tool_linking": OP2_SQL,
     "op3_warc_chunks": OP3_SQL,
     "op5_wu_manber": OP5_SQL,
+    "op10_suffix_sort": OP10_SQL,
 }

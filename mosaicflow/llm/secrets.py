@@ -127,6 +127,8 @@ def literal_spans(text: str) -> list[Span]:
     found: set[tuple[int, int]] = set()
     constants: dict[str, list[tuple[int, int]]] = {}
     for op in _OPERATOR.finditer(text):
+        if op.start() == 0 or text[op.start() - 1] in "=:<>!+*/\n":
+            continue
         name = _NAME_BEFORE.search(text, max(0, op.start() - 80), op.start())
         if not name:
             continue

@@ -31,21 +31,21 @@ class Plain:
             self.after[u].append(c)
         n_of = lambda counts: [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
         self.high, self.low = kn.discounts(n_of(self.bigrams.values())), kn.discounts(n_of(self.continued.values()))
+        self.lower_rest = sum(self.low[min(c, 3) - 1] for c in self.continued.values()) / max(1, len(self.bigrams))
+        self.rest = {u: sum(self.high[min(c, 3) - 1] for c in counts) / sum(counts) for u, counts in self.after.items()}
 
     def lower(self, w):
         n = len(self.bigrams)
         if not n:
             return 1 / (self.vocabulary + 1)
-        rest = sum(self.low[min(c, 3) - 1] for c in self.continued.values()) / n
         c = self.continued[w]
-        return (max(0, c - self.low[min(c, 3) - 1]) if c else 0) / n + rest / (self.vocabulary + 1)
+        return (max(0, c - self.low[min(c, 3) - 1]) if c else 0) / n + self.lower_rest / (self.vocabulary + 1)
 
     def p(self, u, w):
         if u not in self.after:
             return self.lower(w)
         total, c = sum(self.after[u]), self.bigrams[u, w]
-        rest = sum(self.high[min(x, 3) - 1] for x in self.after[u]) / total
-        return (max(0, c - self.high[min(c, 3) - 1]) if c else 0) / total + rest * self.lower(w)
+        return (max(0, c - self.high[min(c, 3) - 1]) if c else 0) / total + self.rest[u] * self.lower(w)
 
     def score(self, text):
         before, out = "<s>", 0.0
