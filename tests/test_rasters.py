@@ -125,6 +125,8 @@ def test_paste_clips_and_blends():
 @settings(max_examples=20, deadline=None)
 @given(hn.arrays(np.uint8, st.tuples(st.just(3), st.integers(1, 40), st.integers(1, 40), st.just(1)), elements=st.integers(0, 3)))
 def test_gif_round_trip(values):
+    """With something transparent; else the colour nearest to the transparent one is taken for it, as the test below has it."""
+    values[0, 0, 0] = 0
     frames = [np.concatenate([v * 60, v * 10, v * 80, np.where(v > 0, 255, 0)], axis=-1).astype(np.uint8) for v in values]
     back, duration = animation.read_gif(animation.gif(frames, 150))
     assert duration == 150 and len(back) == 3
@@ -142,6 +144,13 @@ def test_gif_of_many_colours():
         animation.gif([])
 
 
+def test_gif_without_transparency_gives_up_the_nearest_colour():
+    frame = np.zeros((2, 2, 4), np.uint8)
+    frame[..., 3], frame[0, 0] = 255, (200, 0, 200, 255)
+    (back,), _ = animation.read_gif(animation.gif([frame]))
+    assert (back[..., 3] == 0).tolist() == [[True, False], [False, False]]
+
+
 def test_palette_key_is_nearest_when_absent():
     palette = np.zeros((256, 3), np.uint8)
     palette[7], palette[9] = (250, 0, 250), (250, 0, 250)
