@@ -3,7 +3,8 @@
 A bounded number of different pages of each host is aligned by simple tree matching. Nodes whose text is the same in
 most of them are template; the part of the tree where text varies most is where content stands. Each page is then
 aligned with its host's wrapper: template text goes, the content's part stays. Elements that are never content (menus,
-forms, scripts and the like, by tag, role or class) go in any case, so a page whose host has no wrapper is still read.
+forms, scripts and the like, by tag, role or class) go in any case. Where a page has nothing in the content's part, or its host
+no wrapper, the elements that the page itself marks as its main part are read.
 """
 
 from __future__ import annotations
@@ -59,6 +60,8 @@ _NOT_CONTENT = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies pagination pager widget toolbar copyright login skip skiplink".split()
 )
 _MAIN = frozenset(["article", "main"])
+#: Elements that the content can be sought in; that of an article isn't sought further down, as its heading would go.
+_CONTAINERS = frozenset("html body center main section div table tbody article".split())
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
@@ -260,8 +263,12 @@ def fit(pages: list[str]) -> Slot:
         return slot.varying
 
     settle(root)
+    tag = lambda c: c.label.split(".")[0]
     at = root
-    while at.varying and (best := max(at.children, key=lambda c: c.varying, default=None)) and best.varying >= CONTENT_SHARE * at.varying and best.label.split(".")[0] in _BLOCKS - {"p", "li", "td", "pre"}:
+    while at.varying and tag(at) != "article":
+        best = max(at.children, key=lambda c: (c.varying, tag(c) in _MAIN), default=None)
+        if not best or best.varying < CONTENT_SHARE * at.varying or tag(best) not in _CONTAINERS:
+            break
         at = best
     at.content = at is not root
     return root
@@ -324,7 +331,7 @@ def _blocks(node: Node, template: dict[int, frozenset[int]]) -> list[str]:
 
 
 def main_text(page: str, wrapper: Slot | None = None) -> str:
-    """Blocks of the article, joined by empty lines. Without a wrapper, tags, roles and classes decide alone."""
+    """Blocks of the article, joined by empty lines. Tags, roles and classes decide alone where no wrapper has found the content."""
     root = parse(page)
     template: dict[int, frozenset[int]] = {}
     content: list[Node] = []
@@ -335,8 +342,9 @@ def main_text(page: str, wrapper: Slot | None = None) -> str:
                 template |= {id(n): slot.constant for n in run.nodes}
             if slot.content:
                 content += run.nodes
-    parts = _main_nodes(root) or content or [root]
-    blocks = [text for node in parts for text in _blocks(node, {})]
+    blocks = [text for node in content for text in _blocks(node, {})]
+    parts = content if blocks else _main_nodes(root) or [root]
+    blocks = blocks or [text for node in parts for text in _blocks(node, {})]
     if template:
         varying = [text for node in parts for text in _blocks(node, template)]
         if sum(map(len, varying)) >= (1 - MOST_TEMPLATE) * sum(map(len, blocks)):

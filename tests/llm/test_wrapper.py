@@ -23,6 +23,20 @@ def test_copies_of_one_article_keep_it():
     assert "the one article one & two" in wr.main_text(same[0], wr.fit(same))
 
 
+def test_the_content_slot_goes_before_tags():
+    def teasers(i, t):
+        return f'<body><main><div class="story"><p>{t} {i} {t[::-1]} and on</p><p>{t} at length, {i}</p></div><div class="more"><article><p>Top {i}</p></article><article><p>Also</p></article></div></main></body>'
+
+    def plain(i, t):
+        return f'<body><div class="head">Welcome</div><div class="x"><div class="y"><p>{t} {i}</p><p>{t[::-1]}</p></div></div><div class="foot"><p>Terms</p></div></body>'
+
+    text = "new words of a story"
+    wrapper = wr.fit([teasers(i, t) for i, t in enumerate(TEXTS)])
+    assert wr.main_text(teasers(9, text), wrapper) == f"{text} 9 {text[::-1]} and on\n\n{text} at length, 9"
+    assert wr.main_text("<div><main><p>other layout</p></main></div>", wrapper) == "other layout"
+    assert wr.main_text(plain(9, text), wr.fit([plain(i, t) for i, t in enumerate(TEXTS)])) == f"{text} 9\n\n{text[::-1]}"
+
+
 def test_elements_that_are_never_content():
     html = """<head><title>t</title></head><nav>menu</nav><header>site</header><main><article><header><h1>Head</h1><p>by me</p></header><p>One  &lt;b&gt;
     two<b>!</b><p>Three<ul><li>x<li>y</ul><form>f</form><aside>a</aside><script>if (a<b) "</p>"</script><style>p{}</style><div class="cookie-notice">c</div>
