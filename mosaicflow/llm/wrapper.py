@@ -30,8 +30,8 @@ SAMPLE_PARTS = 64
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.6
 #: Share of a node's varying text that one child must hold for the content to be sought in it.
 CONTENT_SHARE = 0.7
-#: A page that would lose more than this share of its text as template keeps it: its host has but copies of one article.
-MOST_TEMPLATE = 0.5
+#: Characters of varying text a page, and their share of its text, below which a host has but copies of one article: nothing of it is template.
+COPIES_CHARS, COPIES_SHARE = 40, 0.1
 #: Elements below each other that are told apart; what is deeper belongs to the last of them.
 MOST_DEPTH = 150
 #: Runs below one node that are aligned in order; where there are more, runs of one label are one.
@@ -240,6 +240,11 @@ def _slot(run: Run) -> Slot:
     return Slot(run.label, [_slot(c) for c in run.children])
 
 
+def bare(slot: Slot) -> Slot:
+    """A wrapper's shape, with neither template nor content."""
+    return Slot(slot.label, [bare(c) for c in slot.children])
+
+
 def fit(pages: list[str]) -> Slot:
     """The wrapper of different pages of one host."""
     trees = [Run("#root", [parse(p)]) for p in pages]
@@ -263,6 +268,8 @@ def fit(pages: list[str]) -> Slot:
         return slot.varying
 
     settle(root)
+    if root.varying < min(COPIES_CHARS * len(pages), COPIES_SHARE * sum(lengths.values())):
+        return bare(root)
     tag = lambda c: c.label.split(".")[0]
     at = root
     while at.varying and tag(at) != "article":
@@ -342,14 +349,8 @@ def main_text(page: str, wrapper: Slot | None = None) -> str:
                 template |= {id(n): slot.constant for n in run.nodes}
             if slot.content:
                 content += run.nodes
-    blocks = [text for node in content for text in _blocks(node, {})]
-    parts = content if blocks else _main_nodes(root) or [root]
-    blocks = blocks or [text for node in parts for text in _blocks(node, {})]
-    if template:
-        varying = [text for node in parts for text in _blocks(node, template)]
-        if sum(map(len, varying)) >= (1 - MOST_TEMPLATE) * sum(map(len, blocks)):
-            blocks = varying
-    return "\n\n".join(blocks)
+    blocks = [text for node in content for text in _blocks(node, template)]
+    return "\n\n".join(blocks or [text for node in _main_nodes(root) or [root] for text in _blocks(node, template)])
 
 
 def _host(url):

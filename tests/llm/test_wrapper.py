@@ -37,6 +37,15 @@ def test_the_content_slot_goes_before_tags():
     assert wr.main_text(plain(9, text), wr.fit([plain(i, t) for i, t in enumerate(TEXTS)])) == f"{text} 9\n\n{text[::-1]}"
 
 
+def test_template_goes_from_short_articles():
+    def short(text):
+        return f'<body><div class="a"><div class="b"><p>{text}</p><p>{"All of this stands on every page. " * 20}</p><div class="links"><p>One</p><p>Two</p></div></div></div></body>'
+
+    assert wr.main_text(short("news"), wr.fit([short(f"{t} {t[::-1]} and some more words") for t in TEXTS])) == "news"
+    same = [short(f"the one article of {i}") for i in range(5)]
+    assert wr.main_text(same[0], wr.fit(same)).count("stands on every page") == 20
+
+
 def test_elements_that_are_never_content():
     html = """<head><title>t</title></head><nav>menu</nav><header>site</header><main><article><header><h1>Head</h1><p>by me</p></header><p>One  &lt;b&gt;
     two<b>!</b><p>Three<ul><li>x<li>y</ul><form>f</form><aside>a</aside><script>if (a<b) "</p>"</script><style>p{}</style><div class="cookie-notice">c</div>
