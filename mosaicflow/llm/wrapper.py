@@ -1,7 +1,8 @@
 """Main text of pages by wrapper induction.
 
-A bounded number of different pages of each host is aligned by simple tree matching. Nodes whose text is the same in
-most of them are template; the part of the tree where text varies most is where content stands. Each page is then
+A bounded number of different pages of each host is aligned by simple tree matching, which gives the shape of its wrapper.
+Every page is then aligned with the shape, and texts are counted in their slots over all different pages: what most pages
+with a slot have there is template; the slots where text varies most are where content stands. Each page is then
 aligned with its host's wrapper: template text goes, the content's part stays. Elements that are never content (menus,
 forms, scripts and the like, by tag, role or class) go in any case. Where a page has nothing in the content's part, or its host
 no wrapper, the elements that the page itself marks as its main part are read.
@@ -12,7 +13,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import mapped, save, shard_count
-from .common import bound_batches, fresh_uri, map_batches, texts
+from .common import bound_batches, fresh_uri, map_batches, texts, written
 
-#: Different pages of a host that its wrapper is fitted to, at most: those of least hash, one for each of SAMPLE_PARTS parts.
+#: Different pages of a host that the shape of its wrapper is made from, at most: those of least hash, one for each of SAMPLE_PARTS parts.
 SAMPLE_PAGES = 8
 SAMPLE_PARTS = 64
-#: Pages, and their share, that must have a text in the same place for it to be template.
+#: Pages, and their share of those with the slot, that must have a text in it for it to be template; all pages of a host of fewer.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.6
 #: Share of a node's varying text that one child must hold for the content to be sought in it.
 CONTENT_SHARE = 0.7
@@ -36,7 +38,7 @@ COPIES_CHARS, COPIES_SHARE = 40, 0.1
 MOST_DEPTH = 150
 #: Runs below one node that are aligned in order; where there are more, runs of one label are one.
 MOST_RUNS = 64
-#: Hosts for each file of wrappers.
+#: Hosts for each file of shapes or wrappers.
 HOSTS_PER_SHARD = 2_000
 
 # Elements and words of HTML.
@@ -219,66 +221,154 @@ def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
 
+ROOT = 1
+#: What a slot's tag lets it be: ARTICLE and what is below it are containers of content, too.
+OTHER, CONTAINER, MAIN, ARTICLE = range(4)
+
+
+def _kind(label: str) -> int:
+    tag = label.split(".")[0]
+    return ARTICLE if tag == "article" else MAIN if tag in _MAIN else CONTAINER if tag in _CONTAINERS or tag == "#root" else OTHER
+
+
 class Slot:
-    """A node of a wrapper."""
+    """A node of the shape of a wrapper, with a key that its place gives."""
 
-    __slots__ = ("label", "children", "texts", "varying", "constant", "content")
+    __slots__ = ("label", "children", "key")
 
-    def __init__(self, label: str, children: list[Slot], constant: frozenset[int] = frozenset(), content: bool = False):
-        self.label, self.children, self.constant, self.content = label, children, constant, content
-        self.texts, self.varying = Counter(), 0
+    def __init__(self, label: str, children: list[Slot]):
+        self.label, self.children, self.key = label, children, 0
 
     def packed(self) -> list:
-        return [self.label, sorted(self.constant), self.content, [c.packed() for c in self.children]]
+        return [self.label, [c.packed() for c in self.children]]
 
+    def keyed(self, key: int = ROOT) -> Slot:
+        self.key = key
+        for i, child in enumerate(self.children):
+            child.keyed(_key(f"{key}/{i}"))
+        return self
 
-def unpacked(value: list) -> Slot:
-    return Slot(value[0], [unpacked(c) for c in value[3]], frozenset(value[1]), value[2])
 
+def _unpacked_slot(value: list) -> Slot:
+    return Slot(value[0], [_unpacked_slot(c) for c in value[1]])
 
-def _slot(run: Run) -> Slot:
-    return Slot(run.label, [_slot(c) for c in run.children])
 
+class Wrapper:
+    """A shape, the keys of texts that are template by key of their slot, and the keys of the slots of content."""
+
+    __slots__ = ("shape", "constant", "content")
+
+    def __init__(self, shape: Slot, constant: dict[int, frozenset[int]], content: frozenset[int]):
+        self.shape, self.constant, self.content = shape, constant, content
+
+    def packed(self) -> list:
+        return [self.shape.packed(), [[k, sorted(v)] for k, v in sorted(self.constant.items())], sorted(self.content)]
 
-def bare(slot: Slot) -> Slot:
-    """A wrapper's shape, with neither template nor content."""
-    return Slot(slot.label, [bare(c) for c in slot.children])
 
+def unpacked(value: list) -> Wrapper:
+    return Wrapper(_unpacked_slot(value[0]).keyed(), {k: frozenset(v) for k, v in value[1]}, frozenset(value[2]))
 
-def fit(pages: list[str]) -> Slot:
-    """The wrapper of different pages of one host."""
+
+def unpacked_shape(value: list) -> Slot:
+    return _unpacked_slot(value).keyed()
+
+
+def _slot(run: Run) -> Slot:
+    return Slot(run.label, [_slot(c) for c in run.children])
+
+
+def shape_of(pages: list[str]) -> Slot:
+    """The tree that pages of one host have together."""
     trees = [Run("#root", [parse(p)]) for p in pages]
     root = _slot(trees[0])
-    lengths: Counter[tuple[int, int]] = Counter()
-    for tree in trees:
+    for tree in trees[1:]:
         pairs = [(root, tree), *match(root.children, tree.children)[1]]
         known = {id(t) for _, t in pairs}
         for slot, run in pairs:
             slot.children += [_slot(c) for c in run.children if id(c) not in known]
-            own = Counter(_own_text(n) for n in run.nodes if n.tag in _BLOCKS)
-            for text, n in own.items():
-                if text:
-                    slot.texts[_key(text)] += 1
-                    lengths[id(slot), _key(text)] += n * len(text)
-
-    def settle(slot: Slot) -> int:
-        least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(pages))
-        slot.constant = frozenset(k for k, n in slot.texts.items() if n >= least)
-        slot.varying = sum(lengths[id(slot), k] for k in slot.texts if k not in slot.constant) + sum(map(settle, slot.children))
-        return slot.varying
-
-    settle(root)
-    if root.varying < min(COPIES_CHARS * len(pages), COPIES_SHARE * sum(lengths.values())):
-        return bare(root)
-    tag = lambda c: c.label.split(".")[0]
-    at = root
-    while at.varying and tag(at) != "article":
-        best = max(at.children, key=lambda c: (c.varying, tag(c) in _MAIN), default=None)
-        if not best or best.varying < CONTENT_SHARE * at.varying or tag(best) not in _CONTAINERS:
-            break
-        at = best
-    at.content = at is not root
-    return root
+    return root.keyed()
+
+
+def align(shape: Slot, tree: Run) -> list[tuple[Run, int, int]]:
+    """Each run of a page with its key and its parent's, in page order. What the shape doesn't have is known by labels below what it has."""
+    slots = {id(run): slot for slot, run in match(shape.children, tree.children)[1]}
+    out: list[tuple[Run, int, int]] = []
+
+    def walk(run: Run, key: int, parent: int) -> None:
+        out.append((run, key, parent))
+        seen: Counter[str] = Counter()
+        for child in run.children:
+            if slot := slots.get(id(child)):
+                walk(child, slot.key, key)
+            else:
+                seen[child.label] += 1
+                walk(child, _key(f"{key}+{seen[child.label]}{child.label}"), key)
+
+    walk(tree, ROOT, 0)
+    return out
+
+
+def measured(shape: Slot, page: str) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """A key of all texts of a page in their slots, and rows (key, parent, kind, text, length).
+
+    text is the key of a text in its slot and length its characters there, or text is 0 and length that of the whole slot.
+    """
+    rows, lengths = [], Counter()
+    runs = align(shape, Run("#root", [parse(page)]))
+    for run, key, parent in reversed(runs):
+        own = Counter(_own_text(n) for n in run.nodes if n.tag in _BLOCKS)
+        for text, n in own.items():
+            if text:
+                rows.append((key, parent, _kind(run.label), _key(text), n * len(text)))
+                lengths[key] += n * len(text)
+        lengths[parent] += lengths[key]
+    return _key(str(rows)), rows + [(key, parent, _kind(run.label), 0, lengths[key]) for run, key, parent in runs]
+
+
+def settle(shape: Slot, slots: dict[int, tuple[int, int, int, int]], found: dict[tuple[int, int], tuple[int, int]]) -> Wrapper:
+    """The wrapper of a host of two different pages or more. slots: parent, kind, pages and characters by key; found: pages and characters by slot and text."""
+    n_pages = slots[ROOT][2]
+    constant: dict[int, set[int]] = defaultdict(set)
+    varying = {key: total for key, (*_, total) in slots.items()}
+    below: dict[int, list[int]] = defaultdict(list)
+    for key, (parent, *_) in slots.items():
+        below[parent].append(key)
+    for (key, text), (n, length) in found.items():
+        if key in slots and n >= max(min(TEMPLATE_PAGES, n_pages), TEMPLATE_SHARE * slots[key][2]):
+            constant[key].add(text)
+            while key:
+                varying[key] -= length
+                key = slots[key][0]
+    if varying[ROOT] < min(COPIES_CHARS * n_pages, COPIES_SHARE * slots[ROOT][3]):
+        return Wrapper(shape, {}, frozenset())
+
+    def sought(at: int) -> list[int]:
+        if slots[at][1] == ARTICLE or not varying[at]:
+            return [at]
+        kind, pages, least = (lambda k: slots[k][1]), (lambda k: slots[k][2]), CONTENT_SHARE * varying[at]
+        layouts = [k for k in below[at] if kind(k) != OTHER and varying[k] * pages(at) >= least * pages(k)]
+        if len(layouts) > 1 and sum(map(pages, layouts)) <= pages(at) and sum(varying[k] for k in layouts) >= least:
+            return [x for k in sorted(layouts) for x in sought(k)]
+        best = max(below[at], key=lambda k: (varying[k], kind(k) == MAIN, k), default=None)
+        return sought(best) if best and varying[best] >= least and kind(best) != OTHER else [at]
+
+    return Wrapper(shape, {k: frozenset(v) for k, v in constant.items()}, frozenset(sought(ROOT)) - {ROOT})
+
+
+def fit(pages: list[str]) -> Wrapper:
+    """The wrapper of different pages of one host, as induce() has it for all of them."""
+    shape = shape_of(pages)
+    slots: dict[int, tuple[int, int, int, int]] = {}
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for rows in dict(measured(shape, p) for p in pages).values():
+        for key, parent, kind, text, length in rows:
+            if text:
+                n, total = found.get((key, text), (0, 0))
+                found[key, text] = (n + 1, total + length)
+            else:
+                *_, n, total = slots.get(key, (0, 0))
+                slots[key] = (parent, kind, n + 1, total + length)
+    return settle(shape, slots, found) if slots[ROOT][2] > 1 else Wrapper(shape, {}, frozenset())
 
 
 def _main_nodes(root: Node) -> list[Node]:
@@ -337,17 +427,16 @@ def _blocks(node: Node, template: dict[int, frozenset[int]]) -> list[str]:
     return out
 
 
-def main_text(page: str, wrapper: Slot | None = None) -> str:
+def main_text(page: str, wrapper: Wrapper | None = None) -> str:
     """Blocks of the article, joined by empty lines. Tags, roles and classes decide alone where no wrapper has found the content."""
     root = parse(page)
     template: dict[int, frozenset[int]] = {}
     content: list[Node] = []
     if wrapper is not None:
-        tree = Run("#root", [root])
-        for slot, run in [(wrapper, tree), *match(wrapper.children, tree.children)[1]]:
-            if slot.constant:
-                template |= {id(n): slot.constant for n in run.nodes}
-            if slot.content:
+        for run, key, _ in align(wrapper.shape, Run("#root", [root])):
+            if key in wrapper.constant:
+                template |= {id(n): wrapper.constant[key] for n in run.nodes}
+            if key in wrapper.content:
                 content += run.nodes
     blocks = [text for node in content for text in _blocks(node, template)]
     return "\n\n".join(blocks or [text for node in _main_nodes(root) or [root] for text in _blocks(node, template)])
@@ -367,66 +456,111 @@ def _shard(host: str, shards: int) -> int:
     return (_hash(host) - (1 << 64) * (_hash(host) >> 63)) % shards
 
 
+def _save(folder: str, kind: str, shard: int, packed: dict[int, list]) -> pa.Table:
+    """Write values by unsigned hash of their host as one file, and return the number of them."""
+    done = [(key, json.dumps(value).encode()) for key, value in sorted(packed.items())]
+    ends = np.cumsum([0, *(len(b) for _, b in done)])
+    save(folder, f"{kind}-{shard}", np.array([k for k, _ in done], np.uint64), ends, np.frombuffer(b"".join(b for _, b in done), np.uint8))
+    return pa.table([pa.array([len(done)], pa.int64())], names=["n"])
+
+
+COUNTED = "host_key long, page_key long, slot long, parent long, kind int, text long, length long"
+_LONGS = ("host_key", "slot", "parent", "text")
+
+
 def induce(pages: DataFrame, folder: str) -> int:
-    """Write the wrappers of all hosts with two different pages or more below folder, in as many files as it returns."""
+    """Write the wrappers of all hosts with two different pages or more below folder, in as many files as it returns.
+
+    Pages with the same texts in the same slots are one. What crosses the network is the sampled pages, and keys and lengths of texts.
+    """
     rows = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> '' AND html <> ''").withColumn("h", F.xxhash64("html"))
     shards = shard_count(rows.agg(F.approx_count_distinct("host")).first()[0] or 0, HOSTS_PER_SHARD)
     part = F.pmod("h", F.lit(SAMPLE_PARTS))
     one = rows.withColumn("n", F.row_number().over(Window.partitionBy("host", part).orderBy("h"))).where("n = 1")
     few = one.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("n") <= SAMPLE_PAGES)
 
-    def fitted(group: pa.Table) -> pa.Table:
+    def shaped(group: pa.Table) -> pa.Table:
         by_host: dict[str, list[str]] = {}
         for host, page in sorted(zip(group.column("host").to_pylist(), group.column("html").to_pylist(), strict=True)):
             by_host.setdefault(host, []).append(page)
-        done = sorted((_hash(host), json.dumps(fit(own).packed()).encode()) for host, own in by_host.items() if len(own) > 1)
-        ends = np.cumsum([0, *(len(b) for _, b in done)])
-        save(folder, f"wrappers-{_shard(next(iter(by_host)), shards)}", np.array([k for k, _ in done], np.uint64), ends, np.frombuffer(b"".join(b for _, b in done), np.uint8))
-        return pa.table([pa.array([len(done)], pa.int64())], names=["n"])
-
-    few.withColumn("shard", F.pmod(F.xxhash64("host"), F.lit(shards))).groupBy("shard").applyInArrow(fitted, "n long").agg(F.sum("n")).collect()
+        return _save(folder, "shapes", _shard(next(iter(by_host)), shards), {_hash(host): shape_of(own).packed() for host, own in by_host.items()})
+
+    few.withColumn("shard", F.pmod(F.xxhash64("host"), F.lit(shards))).groupBy("shard").applyInArrow(shaped, "n long").agg(F.sum("n")).collect()
+
+    def counted(batch: pa.RecordBatch, shapes: _Kept) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            page_key, own = measured(shapes.of(host), page)
+            out += [(_hash(host), page_key, *row) for row in own]
+        columns = [np.array(c, np.uint64).view(np.int64) for c in zip(*out, strict=True)]
+        columns[4] = columns[4].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in COUNTED.split(", ")])
+
+    found = map_batches(rows.select("host", "html"), counted, COUNTED, lambda: _Kept(folder, "shapes", shards, unpacked_shape))
+    same = [F.first("parent").alias("parent"), F.first("kind").alias("kind")]
+    found = found.groupBy("host_key", "page_key", "slot", "text").agg(*same, F.first("length").alias("length"))
+    found = written(found.groupBy("host_key", "slot", "text").agg(*same, F.count("*").alias("n"), F.sum("length").alias("total")).where("n > 1"), "slot-texts")
+    slots = found.where("text = 0")
+    often = found.where("text <> 0").join(slots.select("host_key", "slot", F.col("n").alias("of")), ["host_key", "slot"]).where(F.col("n") >= TEMPLATE_SHARE * F.col("of"))
+
+    def settled(group: pa.Table) -> pa.Table:
+        columns = {k: group.column(k).to_numpy() for k in (*_LONGS, "kind", "n", "total")}
+        columns |= {k: columns[k].view(np.uint64) for k in _LONGS}
+        hosts: dict[int, tuple[dict, dict]] = defaultdict(lambda: ({}, {}))
+        for host, slot, parent, text, kind, n, total in zip(*(c.tolist() for c in columns.values()), strict=True):
+            if text:
+                hosts[host][1][slot, text] = (n, total)
+            else:
+                hosts[host][0][slot] = (parent, kind, n, total)
+        shard = int(group.column("shard")[0].as_py())
+        shapes = _Kept(folder, "shapes", shards, unpacked_shape)
+        return _save(folder, "wrappers", shard, {host: settle(shapes.read(host, shard), *own).packed() for host, own in hosts.items()})
+
+    names = [*_LONGS, "kind", "n", "total"]
+    kept = slots.select(*names).unionByName(often.select(*names)).withColumn("shard", F.pmod("host_key", F.lit(shards)))
+    kept.groupBy("shard").applyInArrow(settled, "n long").agg(F.sum("n")).collect()
     return shards
 
 
-class _Wrappers:
-    """Wrappers of hosts, each read from its file when first asked for; as many as a task's hosts are kept, the last KEPT of them."""
+class _Kept:
+    """Shapes or wrappers of hosts, each read from its file when first asked for; as many as a task's hosts are kept, the last KEPT of them."""
 
     KEPT = 256
 
-    def __init__(self, folder: str, shards: int):
-        self.folder, self.shards, self.known = folder, shards, {}
+    def __init__(self, folder: str, kind: str, shards: int, unpack: Callable[[list], Slot | Wrapper]):
+        self.folder, self.kind, self.shards, self.unpack, self.known = folder, kind, shards, unpack, {}
 
-    def of(self, host: str) -> Slot | None:
+    def of(self, host: str) -> Slot | Wrapper | None:
         if host not in self.known:
             if len(self.known) >= self.KEPT:
                 self.known.pop(next(iter(self.known)))
-            self.known[host] = self._read(host)
+            self.known[host] = self.read(_hash(host), _shard(host, self.shards)) if host else None
         return self.known[host]
 
-    def _read(self, host: str) -> Slot | None:
-        arrays = mapped(self.folder, f"wrappers-{_shard(host, self.shards)}") if host else None
+    def read(self, host_key: int, shard: int) -> Slot | Wrapper | None:
+        arrays = mapped(self.folder, f"{self.kind}-{shard}")
         if not arrays or not len(arrays[0]):
             return None
         keys, ends, data = arrays
-        key = np.uint64(_hash(host))
+        key = np.uint64(host_key)
         at = min(int(np.searchsorted(keys, key)), len(keys) - 1)
-        return unpacked(json.loads(data[int(ends[at]) : int(ends[at + 1])].tobytes())) if keys[at] == key else None
+        return self.unpack(json.loads(data[int(ends[at]) : int(ends[at + 1])].tobytes())) if keys[at] == key else None
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages.
 
     A null or empty html, or one without content, has an empty text. A null or unreadable url has no host and a host with one
-    page no wrapper; their pages are read by tags, roles and classes alone. Copies of a page count once in its host's wrapper
+    different page no wrapper; their pages are read by tags, roles and classes alone. Copies of a page count once in its host's wrapper
     and are each answered. No page is shuffled: wrappers come from files in the shared folder.
     """
     folder = fresh_uri(pages.sparkSession, "wrappers")
     bound_batches(pages.sparkSession)
     shards = induce(pages, folder)
 
-    def kernel(batch: pa.RecordBatch, wrappers: _Wrappers) -> pa.RecordBatch:
+    def kernel(batch: pa.RecordBatch, wrappers: _Kept) -> pa.RecordBatch:
         out = [main_text(page, wrappers.of(host)) if page else "" for page, host in zip(texts(batch.column("html")), batch.column("host").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("host"))
-    return map_batches(rows, kernel, "page_id long, url string, text string, n_chars long", lambda: _Wrappers(folder, shards))
+    return map_batches(rows, kernel, "page_id long, url string, text string, n_chars long", lambda: _Kept(folder, "wrappers", shards, unpacked))

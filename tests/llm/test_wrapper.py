@@ -46,6 +46,21 @@ def test_template_goes_from_short_articles():
     assert wr.main_text(same[0], wr.fit(same)).count("stands on every page") == 20
 
 
+def test_every_page_and_layout_counts(frame):
+    """Template of a layout that few sampled pages have, and of hosts of two and three pages."""
+    words = lambda k: " ".join(f"w{k * 31 % 97}x{i * k}" for i in range(1, 12))
+
+    def layout(k, name):
+        return f'<body><div class="{name}-top"><p>Read {name} first</p></div><div class="{name}"><p>{words(k)}</p><p>Sent from {name}</p></div></body>'
+
+    rows = [(k, "http://big.example/", layout(k, f"l{k % 12}")) for k in range(1, 121)]
+    rows += [(200 + k, "http://two.example/", layout(k, "a")) for k in (1, 2)] + [(300 + k, f"http://three{h}.example/", layout(k * h, "a")) for h in range(1, 30) for k in (1, 2, 3)]
+    got = wr.extract(frame([(i, u, h, "x", "y") for i, u, h in rows], PAGES)).collect()
+    assert len(got) == len(rows)
+    wanted = {h: h.split("<p>")[2].split("</p>")[0] for *_, h in rows}
+    assert sorted(r.text for r in got) == sorted(wanted[h] for *_, h in rows)
+
+
 def test_elements_that_are_never_content():
     html = """<head><title>t</title></head><nav>menu</nav><header>site</header><main><article><header><h1>Head</h1><p>by me</p></header><p>One  &lt;b&gt;
     two<b>!</b><p>Three<ul><li>x<li>y</ul><form>f</form><aside>a</aside><script>if (a<b) "</p>"</script><style>p{}</style><div class="cookie-notice">c</div>
