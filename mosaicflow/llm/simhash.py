@@ -213,6 +213,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; one of those that repeat it. Rows without doc_id go."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id")).drop("kept_id").dropDuplicates(["doc_id"])
+    """One row of docs, all columns, of each group that links of RADIUS bits or fewer join: that of smallest doc_id, then of least hash of its text.
+
+    Rows without doc_id go, also where a group has nothing else. A doc_id that repeats with other texts is judged row by row, so it
+    stays in each group that it is the smallest of; rows that repeat both are one.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keys = {"one_none": doc_id.isNull(), "one_id": F.coalesce(doc_id, F.lit(0)), "one_row": F.xxhash64(text)}
+    names = list(keys)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([fingerprint(x) for x in blobs(batch.column("text"))], np.uint64)
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(found.view(np.int64))], names=[*names, "fp"])
+
+    prints = map_batches(docs.select(*(c.alias(k) for k, c in keys.items()), text.alias("text")), kernel, "one_none boolean, one_id long, one_row long, fp long")
+    nodes = written(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("least")), "fingerprint-nodes")
+    found = roots(links(nodes.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "linked")
+    group = F.coalesce("root", "fp").alias("group")
+    kept = nodes.join(found, F.col("fp") == F.col("linked"), "left").groupBy(group).agg(F.min("least").alias("least")).select("least.*").where("NOT one_none")
+    return docs.withColumns(keys).join(kept, names).dropDuplicates(names).select(*docs.columns)

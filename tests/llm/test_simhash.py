@@ -129,3 +129,11 @@ def test_components_of_chains_and_stars(frame):
     expected = groups({n for e in real for n in e}, real)
     assert {n: got.get(n, n) for n in expected} == expected
     assert cp.roots(frame([(1, 2)], "x long, y long").limit(0)).count() == 0
+
+
+def test_one_of_each_of_repeated_ids(frame):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef")
+    rows = [(None, a), (None, a), (None, b), (4, b), (5, c), (5, d), (5, d), (9, c), (1, d), (6, e), (6, f)]
+    got = sh.one_of_each(frame([(i, t, 1) for i, t in rows], "doc_id long, text string, one long"))
+    assert got.columns == ["doc_id", "text", "one"]
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, d), (4, b), (5, c), (6, e), (6, f)]
