@@ -34,24 +34,33 @@ class Band(NamedTuple):
     least_entropy: float
 
 
-#: By language, longest documents last; the last band that a document is long enough for holds. Shorter ones pass.
-#: A document's entropy grows with its length, so its least value does. Limits stand outside what the labelled documents of good quality
-#: have (some 16,000 of a sample of 50,000, read once when these were set), by 0.05 and more; other corpora need their own.
-_FROM = (128, 256, 512, 1024, 2048, 4096, 8192)
+#: Characters per token beyond which text is no prose in words; the vocabulary's own English has some 5.4. Few tokens may be all long.
+MOST_CHARS, MOST_CHARS_SHORT = 6.50, 9.00
+#: By language, longest documents last; the last band that a document is long enough for holds.
+#: A document's entropy grows with its length, so its least value does. Only the side of junk is close: least values stand outside what the
+#: labelled documents of good quality have (some 16,000 of a sample of 50,000, read once when these were set), by 0.05 and more, and short
+#: documents have wide bands. fit_bands() finds least values for other corpora.
+_FROM = (1, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192)
+_SHORT = ((1.30, 3.00), (1.50, 3.80), (1.70, 4.70))
 LANGUAGE_BANDS: dict[str, list[Band]] = {
-    lang: [Band(n, per_token, bits) for n, per_token, bits in zip(_FROM, [*ranges, *[ranges[-1]] * 2], least, strict=True)]
-    for lang, ranges, least in (
-        ("en", [(1.95, 3.10), (2.10, 3.00), (2.10, 2.95), (2.25, 2.90), (2.35, 2.85)], (5.60, 6.00, 6.30, 6.50, 6.68, 6.80, 6.85)),
-        ("fr", [(1.85, 2.70), (1.95, 2.55), (1.98, 2.55), (2.05, 2.50), (2.08, 2.40)], (5.45, 5.78, 6.05, 6.24, 6.35, 6.45, 6.50)),
-        ("de", [(2.05, 2.75), (2.08, 2.70), (2.10, 2.68), (2.15, 2.62), (2.20, 2.58)], (5.55, 5.78, 6.10, 6.35, 6.50, 6.55, 6.60)),
-        ("es", [(1.82, 2.65), (1.88, 2.50), (1.90, 2.50), (1.95, 2.42), (1.97, 2.35)], (5.35, 5.60, 6.00, 6.25, 6.36, 6.45, 6.50)),
+    lang: [
+        *(Band(n, (chars, MOST_CHARS_SHORT), bits) for n, (chars, bits) in zip(_FROM[:3], _SHORT, strict=True)),
+        *(Band(n, (chars, MOST_CHARS), bits) for n, chars, bits in zip(_FROM[3:], [*lows, *[lows[-1]] * 2], least, strict=True)),
+    ]
+    for lang, lows, least in (
+        ("en", (1.95, 2.10, 2.10, 2.25, 2.35), (5.60, 6.00, 6.30, 6.50, 6.68, 6.80, 6.85)),
+        ("fr", (1.85, 1.95, 1.98, 2.05, 2.08), (5.45, 5.78, 6.05, 6.24, 6.35, 6.45, 6.50)),
+        ("de", (2.05, 2.08, 2.10, 2.15, 2.20), (5.55, 5.78, 6.10, 6.35, 6.50, 6.55, 6.60)),
+        ("es", (1.82, 1.88, 1.90, 1.95, 1.97), (5.35, 5.60, 6.00, 6.25, 6.36, 6.45, 6.50)),
     )
 }
 #: By script, for other languages: wide limits against runs of one token and undecodable bytes alone.
 SCRIPT_BANDS: dict[str, list[Band]] = {
-    "latin": [Band(128, (1.30, 6.50), 4.00)],
-    "other": [Band(128, (0.30, 6.50), 3.50)],
+    "latin": [Band(1, (1.00, MOST_CHARS_SHORT), 2.50), Band(128, (1.30, 6.50), 4.00)],
+    "other": [Band(1, (0.30, MOST_CHARS_SHORT), 2.00), Band(128, (0.30, 6.50), 3.50)],
 }
+#: fit_bands() takes so many labelled documents at most, asks for so many in a band, leaves out this share of them and stands so far outside the rest.
+FIT_ROWS, FIT_LEAST, FIT_SHARE, FIT_MARGIN = 20_000, 30, 0.001, 0.05
 #: Largest share of byte-fallback bytes, by script.
 MOST_FALLBACK = {"latin": 0.20, "other": 1.00}
 
@@ -125,14 +134,15 @@ def script_of(text: str) -> str:
     return "latin" if 2 * len(_LATIN.findall(text)) >= letters else "other"
 
 
-def within(text: str, lang: str | None, n_tokens: int, per_token: float, fallback: float, bits: float) -> bool:
+def within(text: str, lang: str | None, n_tokens: int, per_token: float, fallback: float, bits: float, bands: dict[str, list[Band]] = LANGUAGE_BANDS) -> bool:
     script = "latin" if lang in LANGUAGE_BANDS else script_of(text)
-    band = next((b for b in reversed(LANGUAGE_BANDS.get(lang) or SCRIPT_BANDS[script]) if n_tokens >= b.from_tokens), None)
+    band = next((b for b in reversed(bands.get(lang) or SCRIPT_BANDS[script]) if n_tokens >= b.from_tokens), None)
     low, high = band.chars_per_token if band else (0.0, np.inf)
     return band is None or (low <= per_token <= high and bits >= band.least_entropy and fallback <= MOST_FALLBACK[script])
 
 
-def _measure(batch: pa.RecordBatch, bpe: ByteBPE) -> pa.RecordBatch:
+def _measure(batch: pa.RecordBatch, state: tuple[ByteBPE, dict[str, list[Band]]]) -> pa.RecordBatch:
+    bpe, bands = state
     columns: list[list] = [[] for _ in range(11)]
     for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
         text = text or ""
@@ -141,7 +151,7 @@ def _measure(batch: pa.RecordBatch, bpe: ByteBPE) -> pa.RecordBatch:
         ids = bpe.ids(text)
         per_token, fallback, bits = (len(text) / len(ids) if len(ids) else 0.0), byte_fallback_share(text, len(data)), entropy(ids)
         failed = base[0] < LEAST_WORDS or 100 * base[4] > REPEAT_PERCENT * base[0]
-        kept = not failed and within(text, lang, len(ids), per_token, fallback, bits)
+        kept = not failed and within(text, lang, len(ids), per_token, fallback, bits, bands)
         for column, value in zip(columns, (*base, len(ids), per_token, fallback, bits, failed, kept), strict=True):
             column.append(value)
     types = [*[pa.int64()] * 6, *[pa.float64()] * 3, *[pa.bool_()] * 2]
@@ -149,16 +159,15 @@ def _measure(batch: pa.RecordBatch, bpe: ByteBPE) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["row", *names])
 
 
-def fertility(docs: DataFrame, columns: list[str], vocabulary: str = "byte_bpe_50k") -> DataFrame:
+def fertility(docs: DataFrame, columns: list[str], vocabulary: str = "byte_bpe_50k", bands: dict[str, list[Band]] = LANGUAGE_BANDS) -> DataFrame:
     """Each row of docs, as a struct row of the given columns, with its measures and verdict.
 
-    A null text counts as empty: no words, so it fails. A null or unknown lang is judged by its script. Documents of
-    fewer tokens than the first band asks for pass on base counts alone. Rows that repeat are each judged; no shuffle.
+    A null text counts as empty: no words, so it fails. A null or unknown lang is judged by its script. Rows that repeat are each judged; no shuffle.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return map_batches(rows, _measure, SCHEMA.format(fields), lambda: ByteBPE(vocabulary))
+    return map_batches(rows, _measure, SCHEMA.format(fields), lambda: (ByteBPE(vocabulary), bands))
 
 
 def verdicts(docs: DataFrame, **options) -> DataFrame:
@@ -168,3 +177,24 @@ def verdicts(docs: DataFrame, **options) -> DataFrame:
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that base counts and bands keep."""
     return fertility(docs, docs.columns, **options).where("kept").select("row.*")
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, least: int = FIT_LEAST, **options) -> dict[str, list[Band]]:
+    """LANGUAGE_BANDS with least values from documents of docs that labels (doc_id, quality) calls good.
+
+    About rows of them, by hash of doc_id, are measured; the driver gets a row for each band. Bands of fewer than least
+    documents, and languages without any, stay as they are.
+    """
+    good = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    every = max(1, -(-good.count() // rows))
+    measured = fertility(good.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), ["lang"], **options).where("NOT base_failed")
+    start = F.array_max(F.filter(F.array(*map(F.lit, _FROM)), lambda n: n <= F.greatest("n_tokens", F.lit(1))))
+    lows = measured.where(F.col("row.lang").isin(*LANGUAGE_BANDS)).groupBy(F.col("row.lang").alias("lang"), start.alias("start")).agg(F.count("*").alias("n"), *(F.percentile(c, F.lit(FIT_SHARE)).alias(c) for c in ("chars_per_token", "token_entropy")))
+    found = {(r.lang, r.start): r for r in lows.where(F.col("n") >= least).collect()}
+    return {
+        lang: [
+            Band(b.from_tokens, (r.chars_per_token - FIT_MARGIN, b.chars_per_token[1]), r.token_entropy - FIT_MARGIN) if (r := found.get((lang, b.from_tokens))) else b
+            for b in bands
+        ]
+        for lang, bands in LANGUAGE_BANDS.items()
+    }

@@ -82,5 +82,40 @@ def test_labels(spark, real, sf_dir):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.5 * len(bad)
 
 
+PROSE = {
+    "en": """The old harbour lies where the river meets the sea, and every morning before sunrise a handful of boats still leave it in
+    single file. Their owners know the sandbanks by heart, although storms move them each winter and no chart has kept up since the survey
+    ended. Visitors usually arrive around noon, when fish has been sold, nets hang over the wall to dry, and children dive from a broken
+    crane that nobody wants to take down. In the evening music drifts across from two small restaurants whose tables share one narrow
+    street. People argue there about football, rents, ferries and whether next year's council will finally repair the lighthouse. It has
+    stood dark for almost a decade, yet most families refuse to sell their houses, because what they would buy elsewhere has neither this
+    light nor such neighbours. Perhaps stubbornness explains it better than beauty does.""",
+    "fr": """Le vieux marché ouvre chaque samedi à six heures, quand les camions arrivent encore dans la brume. On y vend des légumes, du
+    fromage, quelques livres anciens et parfois une horloge que personne ne saura réparer. Les habitants prennent leur temps, goûtent une
+    pomme, demandent des nouvelles d'un cousin parti travailler ailleurs. Vers midi, la place se vide lentement, puis les enfants
+    reviennent jouer au ballon entre deux fontaines. Certains voudraient construire un parking sous l'église, mais le maire hésite, car
+    plusieurs familles craignent que ce chantier dure trop longtemps et fasse fuir ceux qui vivent ici toute l'année.""",
+}
+
+
+def test_ordinary_prose_is_kept(docs):
+    got = ft.verdicts(docs(PROSE["en"], PROSE["fr"], PROSE["en"][:200], langs={1: "fr"})).collect()
+    assert all(r.kept for r in got) and sum(r.n_tokens >= 128 for r in got) == 2
+
+
+def test_short_junk_goes(docs):
+    got = {r.doc_id: r.kept for r in ft.verdicts(docs("a b a c a a b c b c a c a b b b c a", "ok so what we have here are twelve plain words in one line")).collect()}
+    assert got == {0: False, 1: True}
+
+
+def test_bands_are_fitted_to_labelled_documents(spark, real, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bands = ft.fit_bands(real, labels, least=5)
+    assert any(bands[x] != ft.LANGUAGE_BANDS[x] for x in bands) and all(b.chars_per_token[1] >= ft.MOST_CHARS for x in bands.values() for b in x)
+    rows = ft.verdicts(real, bands=bands).join(labels, "doc_id").select("quality", "kept", "base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1 and not r.base_failed], [r.kept for r in rows if r.quality == 0]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.5 * len(bad)
+
+
 def test_entropy():
     assert ft.entropy(np.array([1, 1, 1])) == 0 and ft.entropy(np.array([1, 2, 3, 4])) == 2 and ft.entropy(np.zeros(0)) == 0
