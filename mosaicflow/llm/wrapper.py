@@ -4,8 +4,9 @@ A bounded number of different pages of each host is aligned by simple tree match
 Every page is then aligned with the shape, and texts are counted in their slots over all different pages: what most pages
 with a slot have there is template; the slots where text varies most are where content stands. Each page is then
 aligned with its host's wrapper: template text goes, the content's part stays. Elements that are never content (menus,
-forms, scripts and the like, by tag, role or class) go in any case. Where a page has nothing in the content's part, or its host
-no wrapper, the elements that the page itself marks as its main part are read.
+forms, scripts and the like, by tag or role) go in any case. Classes are only a prior: one that names adverts, comments and the
+like makes a slot's text count less when the content is sought, and goes where the content is elsewhere. Where a page has
+nothing in the content's part, or its host no wrapper, the elements that the page itself marks as its main part are read.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections import Counter, defaultdict, deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +35,22 @@ TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.6
 CONTENT_SHARE = 0.7
 #: Characters of varying text a page, and their share of its text, below which a host has but copies of one article: nothing of it is template.
 COPIES_CHARS, COPIES_SHARE = 40, 0.1
-#: Elements below each other that are told apart; what is deeper belongs to the last of them.
+#: Elements below each other that are told apart; the text of what is deeper belongs to the last of them.
 MOST_DEPTH = 150
-#: Runs below one node that are aligned in order; where there are more, runs of one label are one.
-MOST_RUNS = 64
+#: What a character of varying text counts for in an element whose class names adverts, comments and the like.
+DOUBTED_WORTH = 0.25
+#: Cells of a table of two lists that are kept to read an alignment from; longer lists are halved, which needs two rows alone.
+MOST_CELLS = 1 << 20
 #: Hosts for each file of shapes or wrappers.
 HOSTS_PER_SHARD = 2_000
 
 # Elements and words of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea iframe noscript template svg math xmp noembed noframes".split())
-_DROPPED = frozenset("head nav footer aside form button select option input label fieldset dialog menu canvas object audio video map".split()) | _RAW
+_LITERAL = frozenset(["xmp"])
+_SKIPPED = frozenset("script style title textarea iframe noscript template svg noembed noframes".split())
+_DROPPED = frozenset("head nav footer aside form button select option input label fieldset dialog menu canvas audio video map".split()) | _SKIPPED
 _BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 _CLOSED_BY = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -61,6 +65,11 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _NOT_CONTENT = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies pagination pager widget toolbar copyright login skip skiplink".split()
 )
+#: Words of class names that say nothing about what an element holds, and such as turn the word after them round.
+_NEUTRAL = frozenset(
+    "area articles bar block body box bottom button buttons col column container content count footer form group header inner item items js left link links list main media outer page panel post posts reader right row section site slot stories text title top unit user wrap wrapper".split()
+)
+_TURNED = frozenset("has hide no not with without".split())
 _MAIN = frozenset(["article", "main"])
 #: Elements that the content can be sought in; that of an article isn't sought further down, as its heading would go.
 _CONTAINERS = frozenset("html body center main section div table tbody article".split())
@@ -69,25 +78,36 @@ _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_DIGITS = re.compile(r"\d+")
+#: Mark at the end of a label.
+DOUBT = "!"
+
+
+def _names_no_content(name: str) -> bool:
+    """Whether one class or id names adverts, comments or the like: by its last word, or by all its words that aren't neutral."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or any(w in _TURNED for w in words):
+        return False
+    telling = [w for w in words if w not in _NEUTRAL]
+    return words[-1] in _NOT_CONTENT or bool(telling) and all(w in _NOT_CONTENT for w in telling)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "dropped", "label")
+    """dropped: never content. doubted: its class names what isn't content. structural: a block, or with one in it."""
+
+    __slots__ = ("tag", "attributes", "children", "dropped", "doubted", "structural", "label")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children = tag, []
         self.attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes and attributes != "/" else {}
-        name = self.attributes.get("class", "").split()[:1] or [self.attributes.get("id", "")]
-        self.label = f"{tag}.{name[0]}" if name[0] else tag
-        self.dropped = tag in _DROPPED or (bool(self.attributes) and self._unwanted())
-
-    def _unwanted(self) -> bool:
         a = self.attributes
-        if a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-            return True
-        if self.tag in ("html", "body", *_MAIN):
-            return False
-        return any(w.lower() in _NOT_CONTENT for w in _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}"))
+        classes, ids = (a.get(k, "").split() for k in ("class", "id"))
+        self.dropped = tag in _DROPPED or (bool(a) and (a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))))
+        self.doubted = tag not in ("html", "body", *_MAIN) and any(map(_names_no_content, [*classes, *ids]))
+        self.structural = tag in _BLOCKS
+        name = next((c for c in classes if not _DIGITS.search(c)), classes[0] if classes else _DIGITS.sub("0", ids[0]) if ids else "")
+        self.label = (f"{tag}.{name}" if name else tag) + DOUBT * self.doubted
 
 
 def parse(page: str) -> Node:
@@ -130,8 +150,15 @@ def parse(page: str) -> Node:
                     break
         node = Node(tag, m[3])
         stack[-1].children.append(node)
-        if tag in _RAW:
+        if node.structural and not node.dropped:
+            for above in reversed(stack):
+                if above.structural:
+                    break
+                above.structural = True
+        if tag in _SKIPPED or tag in _LITERAL:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if tag in _LITERAL:
+                node.children.append(entities.escape(page[at : end.start() if end else n]))
             at = end.end() if end else n
         elif tag not in _VOID and not m[3].endswith("/") and len(stack) < MOST_DEPTH:
             stack.append(node)
@@ -143,62 +170,120 @@ def _clean(pieces: list[str]) -> str:
 
 
 class Run:
-    """Neighbouring elements of one label, as one node of the tree that is matched."""
+    """A node of the tree that is matched: an element with blocks in it, or neighbours of one label without. Equal keys mean equal trees."""
 
-    __slots__ = ("label", "nodes", "children")
+    __slots__ = ("label", "nodes", "children", "key", "size")
 
     def __init__(self, label: str, nodes: list[Node]):
-        self.label, self.nodes, self.children = label, nodes, runs_of(nodes)
+        self.label, self.nodes, self.children = label, nodes, [r for n in nodes for r in runs_of(n)]
+        self.key, self.size = _tree_key(self)
+
 
+def _tree_key(tree: Run | Slot) -> tuple[int, int]:
+    return hash((tree.label, *(c.key for c in tree.children))), 1 + sum(c.size for c in tree.children)
 
-def runs_of(nodes: list[Node]) -> list[Run]:
-    """Runs of the nodes' children, a new one for each change of label; a label that comes again under many nodes goes to its first run."""
+
+def runs_of(node: Node) -> list[Run]:
+    """The matched tree's nodes right below an element, in page order."""
     grouped: list[tuple[str, list[Node]]] = []
-    first: dict[str, list[Node]] = {}
-    for node in nodes:
-        last = None
-        for child in node.children:
-            if isinstance(child, str) or child.dropped:
-                continue
-            if child.label == last:
-                own.append(child)
-                continue
-            last = child.label
-            if last in first and (len(nodes) > 1 or len(grouped) >= MOST_RUNS):
-                own = first[last]
-                own.append(child)
-            else:
-                own = [child]
-                first.setdefault(last, own)
-                grouped.append((last, own))
+    last = None
+    for child in node.children:
+        if isinstance(child, str) or child.dropped or not child.structural:
+            continue
+        leaf = not any(isinstance(x, Node) and x.structural and not x.dropped for x in child.children)
+        if leaf and child.label == last:
+            grouped[-1][1].append(child)
+        else:
+            grouped.append((child.label, [child]))
+        last = child.label if leaf else None
     return [Run(label, own) for label, own in grouped]
 
 
-def match(a: list, b: list) -> tuple[int, list[tuple]]:
-    """Simple tree matching of two lists of nodes: the size of the largest match that keeps order and label, and its pairs."""
-    if not a or not b:
-        return 0, []
-    if [x.label for x in a] == [x.label for x in b]:
-        inner = [match(x.children, y.children) for x, y in zip(a, b, strict=True)]
-        return len(a) + sum(n for n, _ in inner), [*zip(a, b, strict=True), *(p for _, pairs in inner for p in pairs)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j])
-            if x.label == y.label:
-                inner[i, j] = match(x.children, y.children)
-                best[i + 1][j + 1] = max(best[i + 1][j + 1], best[i][j] + 1 + inner[i, j][0])
-    pairs, i, j = [], len(a), len(b)
+def _ends(a: list, b: list) -> tuple[int, int]:
+    """How many equal trees both lists begin with, and end with after those. Some largest match pairs all of them."""
+    most, first = min(len(a), len(b)), 0
+    while first < most and a[first].key == b[first].key:
+        first += 1
+    last = 0
+    while last < most - first and a[-1 - last].key == b[-1 - last].key:
+        last += 1
+    return first, last
+
+
+def _weights(a: list, b: list, memo: dict) -> tuple[np.ndarray, list[int], list[int]]:
+    """Sizes of the largest matches of each different tree of a with each of b, and the number of every tree's kind."""
+    of_a, of_b = {x.key: x for x in a}, {y.key: y for y in b}
+    kinds = np.array([[_size(x, y, memo) for y in of_b.values()] for x in of_a.values()], np.int32)
+    number_a, number_b = ({k: i for i, k in enumerate(of)} for of in (of_a, of_b))
+    return kinds, [number_a[x.key] for x in a], [number_b[y.key] for y in b]
+
+
+def _size(x: Run | Slot, y: Run | Slot, memo: dict) -> int:
+    if x.label != y.label:
+        return 0
+    if x.key == y.key or not x.children or not y.children:
+        return min(x.size, y.size)
+    if (x.key, y.key) not in memo:
+        memo[x.key, y.key] = 1 + _best(x.children, y.children, memo)
+    return memo[x.key, y.key]
+
+
+def _rows(kinds: np.ndarray, a: list[int], b: list[int]) -> Iterator[np.ndarray]:
+    """The table of the largest matches of a's and b's beginnings, row by row."""
+    row = np.zeros(len(b) + 1, np.int32)
+    yield row
+    for x in a:
+        below = row.copy()
+        np.maximum(row[1:], row[:-1] + kinds[x, b], out=below[1:])
+        row = np.maximum.accumulate(below)
+        yield row
+
+
+def _last(rows: Iterator[np.ndarray]) -> np.ndarray:
+    return deque(rows, 1)[0]
+
+
+def _best(a: list, b: list, memo: dict) -> int:
+    if len(a) == len(b) == 1:
+        return _size(a[0], b[0], memo)
+    first, last = _ends(a, b)
+    same = sum(x.size for x in [*a[:first], *a[len(a) - last :]])
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    return same + (int(_last(_rows(*_weights(a, b, memo)))[-1]) if a and b else 0)
+
+
+def _pairs(a: list, b: list, memo: dict) -> list[tuple]:
+    first, last = _ends(a, b)
+    paired = [*zip(a[:first], b[:first], strict=True), *zip(a[len(a) - last :], b[len(b) - last :], strict=True)]
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if a and b:
+        kinds, x, y = _weights(a, b, memo)
+        paired += [(a[i], b[j]) for i, j in _places(kinds, np.array(x), np.array(y))]
+    return [p for pair in paired for p in (pair, *_pairs(pair[0].children, pair[1].children, memo))]
+
+
+def _places(kinds: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a largest match of two lists of kinds."""
+    if len(a) > 1 and (len(a) + 1) * (len(b) + 1) > MOST_CELLS:
+        half = len(a) // 2
+        cut = int(np.argmax(_last(_rows(kinds, a[:half], b)) + _last(_rows(kinds, a[half:][::-1], b[::-1]))[::-1]))
+        return [*_places(kinds, a[:half], b[:cut]), *((half + i, cut + j) for i, j in _places(kinds, a[half:], b[cut:]))]
+    table, found, i, j = list(_rows(kinds, a, b)), [], len(a), len(b)
     while i and j:
-        if best[i][j] == best[i - 1][j]:
+        if table[i][j] == table[i - 1][j]:
             i -= 1
-        elif best[i][j] == best[i][j - 1]:
+        elif table[i][j] == table[i][j - 1]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs += [(a[i], b[j]), *inner[i, j][1]]
-    return best[-1][-1], pairs
+            found.append((i, j))
+    return found[::-1]
+
+
+def match(a: list, b: list) -> tuple[int, list[tuple]]:
+    """Simple tree matching of two lists of trees: the size of the largest match that keeps order, label and descent, and its pairs."""
+    memo: dict[tuple[int, int], int] = {}
+    return _best(a, b, memo) if a and b else 0, _pairs(a, b, memo)
 
 
 def _own_text(node: Node) -> str:
@@ -209,8 +294,8 @@ def _own_text(node: Node) -> str:
         for child in x.children:
             if isinstance(child, str):
                 pieces.append(child)
-            elif not child.dropped and child.tag not in _BLOCKS:
-                pieces.append(" " if child.tag == "br" else "")
+            elif not child.dropped and not child.doubted and child.tag not in _BLOCKS:
+                pieces.append(" " if child.tag in ("br", "img") else "")
                 walk(child)
 
     walk(node)
@@ -222,30 +307,33 @@ def _key(text: str) -> int:
 
 
 ROOT = 1
-#: What a slot's tag lets it be: ARTICLE and what is below it are containers of content, too.
+#: What a slot's tag lets it be: ARTICLE and what is below it are containers of content, too. DOUBTED is added where its class speaks against it.
 OTHER, CONTAINER, MAIN, ARTICLE = range(4)
+DOUBTED = 4
 
 
 def _kind(label: str) -> int:
-    tag = label.split(".")[0]
-    return ARTICLE if tag == "article" else MAIN if tag in _MAIN else CONTAINER if tag in _CONTAINERS or tag == "#root" else OTHER
+    tag = label.rstrip(DOUBT).split(".")[0]
+    kind = ARTICLE if tag == "article" else MAIN if tag in _MAIN else CONTAINER if tag in _CONTAINERS or tag == "#root" or "-" in tag else OTHER
+    return kind + DOUBTED * label.endswith(DOUBT)
 
 
 class Slot:
-    """A node of the shape of a wrapper, with a key that its place gives."""
+    """A node of the shape of a wrapper. place is a key that its place gives; equal keys mean equal trees, as those of a Run."""
 
-    __slots__ = ("label", "children", "key")
+    __slots__ = ("label", "children", "place", "key", "size")
 
     def __init__(self, label: str, children: list[Slot]):
-        self.label, self.children, self.key = label, children, 0
+        self.label, self.children, self.place = label, children, 0
+        self.key, self.size = _tree_key(self)
 
     def packed(self) -> list:
         return [self.label, [c.packed() for c in self.children]]
 
-    def keyed(self, key: int = ROOT) -> Slot:
-        self.key = key
+    def keyed(self, place: int = ROOT) -> Slot:
+        self.place = place
         for i, child in enumerate(self.children):
-            child.keyed(_key(f"{key}/{i}"))
+            child.keyed(_key(f"{place}/{i}"))
         return self
 
 
@@ -282,13 +370,23 @@ def shape_of(pages: list[str]) -> Slot:
     trees = [Run("#root", [parse(p)]) for p in pages]
     root = _slot(trees[0])
     for tree in trees[1:]:
-        pairs = [(root, tree), *match(root.children, tree.children)[1]]
-        known = {id(t) for _, t in pairs}
-        for slot, run in pairs:
-            slot.children += [_slot(c) for c in run.children if id(c) not in known]
+        root = _merged(root, tree, {id(run): slot for slot, run in match(root.children, tree.children)[1]})
     return root.keyed()
 
 
+def _merged(slot: Slot, run: Run, known: dict[int, Slot]) -> Slot:
+    """A slot with what its run has besides, each in the place after the one before it."""
+    children, after = {id(c): c for c in slot.children}, defaultdict(list)
+    before = None
+    for child in run.children:
+        if own := known.get(id(child)):
+            children[id(own)] = _merged(own, child, known)
+            before = id(own)
+        else:
+            after[before].append(_slot(child))
+    return Slot(slot.label, [*after[None], *(x for k, c in children.items() for x in (c, *after[k]))])
+
+
 def align(shape: Slot, tree: Run) -> list[tuple[Run, int, int]]:
     """Each run of a page with its key and its parent's, in page order. What the shape doesn't have is known by labels below what it has."""
     slots = {id(run): slot for slot, run in match(shape.children, tree.children)[1]}
@@ -299,7 +397,7 @@ def align(shape: Slot, tree: Run) -> list[tuple[Run, int, int]]:
         seen: Counter[str] = Counter()
         for child in run.children:
             if slot := slots.get(id(child)):
-                walk(child, slot.key, key)
+                walk(child, slot.place, key)
             else:
                 seen[child.label] += 1
                 walk(child, _key(f"{key}+{seen[child.label]}{child.label}"), key)
@@ -328,6 +426,7 @@ def measured(shape: Slot, page: str) -> tuple[int, list[tuple[int, int, int, int
 def settle(shape: Slot, slots: dict[int, tuple[int, int, int, int]], found: dict[tuple[int, int], tuple[int, int]]) -> Wrapper:
     """The wrapper of a host of two different pages or more. slots: parent, kind, pages and characters by key; found: pages and characters by slot and text."""
     n_pages = slots[ROOT][2]
+    kind = lambda k: slots[k][1] % DOUBTED
     constant: dict[int, set[int]] = defaultdict(set)
     varying = {key: total for key, (*_, total) in slots.items()}
     below: dict[int, list[int]] = defaultdict(list)
@@ -342,15 +441,25 @@ def settle(shape: Slot, slots: dict[int, tuple[int, int, int, int]], found: dict
     if varying[ROOT] < min(COPIES_CHARS * n_pages, COPIES_SHARE * slots[ROOT][3]):
         return Wrapper(shape, {}, frozenset())
 
+    worth: dict[int, float] = {}
+
+    def weigh(at: int) -> float:
+        inner = sum(map(weigh, below[at]))
+        own = varying[at] - sum(varying[k] for k in below[at])
+        worth[at] = (own + inner) * (DOUBTED_WORTH if slots[at][1] >= DOUBTED else 1)
+        return worth[at]
+
+    weigh(ROOT)
+
     def sought(at: int) -> list[int]:
-        if slots[at][1] == ARTICLE or not varying[at]:
+        if kind(at) == ARTICLE or not varying[at]:
             return [at]
-        kind, pages, least = (lambda k: slots[k][1]), (lambda k: slots[k][2]), CONTENT_SHARE * varying[at]
-        layouts = [k for k in below[at] if kind(k) != OTHER and varying[k] * pages(at) >= least * pages(k)]
-        if len(layouts) > 1 and sum(map(pages, layouts)) <= pages(at) and sum(varying[k] for k in layouts) >= least:
+        pages, least = (lambda k: slots[k][2]), CONTENT_SHARE * (worth[at] / (DOUBTED_WORTH if slots[at][1] >= DOUBTED else 1))
+        layouts = [k for k in below[at] if kind(k) != OTHER and worth[k] * pages(at) >= least * pages(k)]
+        if len(layouts) > 1 and sum(map(pages, layouts)) <= pages(at) and sum(worth[k] for k in layouts) >= least:
             return [x for k in sorted(layouts) for x in sought(k)]
-        best = max(below[at], key=lambda k: (varying[k], kind(k) == MAIN, k), default=None)
-        return sought(best) if best and varying[best] >= least and kind(best) != OTHER else [at]
+        best = max(below[at], key=lambda k: (worth[k], kind(k) == MAIN, k), default=None)
+        return sought(best) if best and worth[best] >= least and kind(best) != OTHER else [at]
 
     return Wrapper(shape, {k: frozenset(v) for k, v in constant.items()}, frozenset(sought(ROOT)) - {ROOT})
 
@@ -377,7 +486,7 @@ def _main_nodes(root: Node) -> list[Node]:
 
     def walk(node: Node) -> None:
         for child in node.children:
-            if isinstance(child, str) or child.dropped:
+            if isinstance(child, str) or child.dropped or child.doubted:
                 continue
             if child.tag in _MAIN or child.attributes.get("role") == "main":
                 found.append(child)
@@ -390,7 +499,7 @@ def _main_nodes(root: Node) -> list[Node]:
 
 
 def _articles(node: Node) -> list[Node]:
-    return [y for child in node.children if isinstance(child, Node) and not child.dropped for y in ([child] if child.tag == "article" else _articles(child))]
+    return [y for child in node.children if isinstance(child, Node) and not child.dropped and not child.doubted for y in ([child] if child.tag == "article" else _articles(child))]
 
 
 def _blocks(node: Node, template: dict[int, frozenset[int]]) -> list[str]:
@@ -410,7 +519,7 @@ def _blocks(node: Node, template: dict[int, frozenset[int]]) -> list[str]:
             if isinstance(child, str):
                 if not in_header or owner.tag in _HEADINGS:
                     pieces.append(child)
-            elif child.dropped:
+            elif child.dropped or child.doubted:
                 if child.tag in _BLOCKS:
                     flush(owner)
             elif child.tag in _BLOCKS:
@@ -427,8 +536,8 @@ def _blocks(node: Node, template: dict[int, frozenset[int]]) -> list[str]:
     return out
 
 
-def main_text(page: str, wrapper: Wrapper | None = None) -> str:
-    """Blocks of the article, joined by empty lines. Tags, roles and classes decide alone where no wrapper has found the content."""
+def read(page: str, wrapper: Wrapper | None = None) -> tuple[str, str]:
+    """Blocks of the article, joined by empty lines, and what decided on them: wrapper, marks (of the page itself) or page (it has none)."""
     root = parse(page)
     template: dict[int, frozenset[int]] = {}
     content: list[Node] = []
@@ -438,8 +547,15 @@ def main_text(page: str, wrapper: Wrapper | None = None) -> str:
                 template |= {id(n): wrapper.constant[key] for n in run.nodes}
             if key in wrapper.content:
                 content += run.nodes
-    blocks = [text for node in content for text in _blocks(node, template)]
-    return "\n\n".join(blocks or [text for node in _main_nodes(root) or [root] for text in _blocks(node, template)])
+    if blocks := [text for node in content for text in _blocks(node, template)]:
+        return "\n\n".join(blocks), "wrapper"
+    marked = _main_nodes(root)
+    return "\n\n".join(text for node in marked or [root] for text in _blocks(node, template)), "marks" if marked else "page"
+
+
+def main_text(page: str, wrapper: Wrapper | None = None) -> str:
+    """The article's text alone, as read() finds it."""
+    return read(page, wrapper)[0]
 
 
 def _host(url):
@@ -548,10 +664,11 @@ class _Kept:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of each row of pages.
+    """page_id, url, text, n_chars and decided_by (wrapper, marks or page; null without html) of each row of pages.
 
     A null or empty html, or one without content, has an empty text. A null or unreadable url has no host and a host with one
-    different page no wrapper; their pages are read by tags, roles and classes alone. Copies of a page count once in its host's wrapper
+    different page no wrapper; their pages are read by tags, roles and classes alone. A very long page is read whole; only what stands
+    more than MOST_DEPTH elements deep counts as text of the last of them. Copies of a page count once in its host's wrapper
     and are each answered. No page is shuffled: wrappers come from files in the shared folder.
     """
     folder = fresh_uri(pages.sparkSession, "wrappers")
@@ -559,8 +676,11 @@ def extract(pages: DataFrame) -> DataFrame:
     shards = induce(pages, folder)
 
     def kernel(batch: pa.RecordBatch, wrappers: _Kept) -> pa.RecordBatch:
-        out = [main_text(page, wrappers.of(host)) if page else "" for page, host in zip(texts(batch.column("html")), batch.column("host").to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        out = [read(page, wrappers.of(host)) if page else ("", None) for page, host in zip(texts(batch.column("html")), batch.column("host").to_pylist(), strict=True)]
+        text, by = ([x[k] for x in out] for k in (0, 1))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64()), pa.array(by, pa.string())], names=["page_id", "url", "text", "n_chars", "decided_by"]
+        )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("host"))
-    return map_batches(rows, kernel, "page_id long, url string, text string, n_chars long", lambda: _Kept(folder, "wrappers", shards, unpacked))
+    return map_batches(rows, kernel, "page_id long, url string, text string, n_chars long, decided_by string", lambda: _Kept(folder, "wrappers", shards, unpacked))

@@ -1,3 +1,13 @@
+import random
+import re
+from collections import defaultdict
+from functools import cache
+from pathlib import Path
+from urllib.parse import urlsplit
+
+import pyarrow.parquet as pq
+import pytest
+
 from mosaicflow.llm import wrapper as wr
 from mosaicflow.llm.queries import op7_wrapper_induction
 
@@ -71,13 +81,100 @@ def test_elements_that_are_never_content():
 
 def test_simple_tree_matching():
     def tree(html):
-        return wr.runs_of([wr.parse(html)])
+        return wr.runs_of(wr.parse(html))
 
     assert wr.match(tree("<div><p>a</p><ul></ul></div>"), tree("<div><p>b</p><p>c</p><ol></ol><ul></ul></div>"))[0] == 3
     assert wr.match(tree("<div></div><p></p>"), tree("<p></p><div></div>"))[0] == 1
     assert wr.match([], tree("<p></p>")) == (0, [])
 
 
+def made_trees(seed):
+    rng = random.Random(seed)
+
+    def nodes(depth):
+        return [wr.Slot(rng.choice("abc"), nodes(depth - 1) if depth else []) for _ in range(rng.randint(0, 4))]
+
+    return nodes(2), nodes(2)
+
+
+def largest(a, b):
+    """Simple tree matching as it is defined, by trying every way."""
+
+    @cache
+    def best(i, j):
+        if i == len(a) or j == len(b):
+            return 0
+        paired = 1 + largest(a[i].children, b[j].children) + best(i + 1, j + 1) if a[i].label == b[j].label else 0
+        return max(best(i + 1, j), best(i, j + 1), paired)
+
+    return best(0, 0)
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_matching_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(wr, "MOST_CELLS", cells)
+    for seed in range(300):
+        a, b = made_trees(seed)
+        size, pairs = wr.match(a, b)
+        assert size == len(pairs) == largest(a, b)
+        assert all(x.label == y.label for x, y in pairs)
+        order = lambda top: {id(x): i for i, x in enumerate(flat(top))}
+        first, second = order(a), order(b)
+        placed = sorted((first[id(x)], second[id(y)]) for x, y in pairs)
+        assert [j for _, j in placed] == sorted(j for _, j in placed)
+
+
+def flat(nodes):
+    return [y for x in nodes for y in (x, *flat(x.children))]
+
+
+def test_long_lists_keep_their_order():
+    page = lambda k, n: "<body>" + "".join(f"<div><p>{k} {i} {'ab'[i % 2]} of many</p></div><h2>{k}{i}</h2>" for i in range(n)) + "<div><p>Bye</p><ul></ul></div></body>"
+    wrapper = wr.fit([page(k, 700 + k) for k in range(4)])
+    blocks = wr.main_text(page(9, 900), wrapper).split("\n\n")
+    assert blocks == [x for i in range(900) for x in (f"9 {i} {'ab'[i % 2]} of many", f"9{i}")]
+
+
+def bare(html):
+    """A page without article, main, class, id and role."""
+    return re.sub(r"<(/?)(?:article|main)\b", r"<\1div", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html))
+
+
+def test_wrappers_alone_find_the_article():
+    """Pages whose marks are taken away: the host's wrapper finds what the marks say."""
+    path = Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("no test data")
+    hosts = defaultdict(list)
+    for r in pq.read_table(path).to_pylist():
+        hosts[urlsplit(r["url"]).netloc].append(r["html"])
+    n = right = 0
+    for pages in hosts.values():
+        if len(different := list(dict.fromkeys(map(bare, pages)))) > 1:
+            wrapper = wr.fit(different)
+            got = [wr.read(bare(p), wrapper) for p in pages]
+            right += sum(g == (wr.main_text(p), "wrapper") for g, p in zip(got, pages, strict=True))
+            n += len(pages)
+    assert n > 200 and right >= 0.95 * n
+
+
+def test_classes_are_a_prior_alone():
+    story = lambda t: f"<p>{t} and {t[::-1]} at length</p><p>Again {t}, {t}</p>"
+
+    def odd(t):  # the article is where a class says that adverts are
+        return f'<body><div class="head">Welcome</div><div class="widget">{story(t)}</div><div class="foot">Terms</div></body>'
+
+    assert wr.main_text(odd("new words"), wr.fit([odd(t) for t in TEXTS])) == "new words and sdrow wen at length\n\nAgain new words, new words"
+    for name, kept in (("share-price", True), ("widget-review", True), ("reader-comments", False), ("ad-slot", False), ("shareButtons", False), ("no-sidebar", True), ("post-ads", False), ("adventure", True)):
+        assert (wr.main_text(f'<article><p>a</p><div class="{name}">b</div></article>') == "a\n\nb") == kept, name
+    assert wr.main_text("<article>Let <math><mi>x</mi></math> be a <object>number</object>.<xmp>a &amp; <b></xmp></article>") == "Let x be a number.\n\na &amp; <b>"
+
+
+def test_numbered_names_are_one_label():
+    page = lambda k: f'<body><div id="post-{k}"><p>{TEXTS[k]} {k}</p><p>{TEXTS[k][::-1]}</p></div><div><p>Read also {k}</p></div></body>'
+    assert wr.main_text(page(3), wr.fit([page(k) for k in range(3)])) == f"{TEXTS[3]} 3\n\n{TEXTS[3][::-1]}"
+
+
 def test_broken_pages():
     for html in ("<", "<p", "a < b > c", "<p>x</b></i>", "<!-- open", "<script>open", "<a href='x>y</a><p>z", "</p></div>", "<div>" * 3000 + "deep", "<" * 5000, '<a "' * 2000, "&#xfffffff; &amp &nope; &#0;", "<table><tr><td>1<td>2<tr><td>3</table>"):
         assert isinstance(wr.main_text(html), str)
