@@ -1,12 +1,13 @@
 """Secret scan by assignment-aware lexing.
 
-Beside three plain patterns, texts are read as source or configuration: names with the literals assigned to them, by
-=, :=, : or =>, in quotes or bare, joined by + or . and by way of constants named before. A literal counts when the name it
-reaches is sensitive and its characters look drawn at random.
+Beside three plain patterns, texts are lexed as source or configuration (lexing.py): names with the literals assigned to them,
+in quotes or bare, in blocks, tags and here-documents, joined, as defaults, and by way of constants named before in their scope. A
+literal counts when the name it reaches is sensitive and its characters look drawn at random, or when it is a passphrase.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
+from .lexing import PLACEHOLDERS, Value, assignments, places
 
 KINDS = ("assign", "access", "hex", "literal")
 MASK = "[secret]"
@@ -34,21 +36,15 @@ SENSITIVE = {
     "credentials": 1.5, "bearer": 1.5, "auth": 1.0, "private": 1.0, "signing": 1.0, "encryption": 1.0, "access": 0.75, "api": 0.75,
     "key": 0.75, "client": 0.25, "session": 0.5, "salt": 0.5, "dsn": 1.0, "cookie": 0.5,
 }
-#: Words that say that a literal stands for one still to come, or is none.
-PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "sample", "todo", "none", "null", "xxxx", "****", "redacted", "secret]")
+#: Words of names of which a literal may be a passphrase, the words one has at least, and words that sentences have and passphrases don't.
+PASSPHRASE_NAMES = frozenset(["password", "passwd", "passphrase", "pwd", "mnemonic"])
+PASSPHRASE_WORDS = 4
+SENTENCE_WORDS = frozenset("the and are for from has have here in is it must new not of on or please enter should that this to use with you your".split())
 #: A name's score and its literal's score must reach this together; neither does alone.
 LEAST_SCORE = 2.5
 LITERAL_CHARS = 8
-#: An expression of more literals is text that is put together, not a secret.
-MOST_PARTS = 64
-
-_OPERATOR = re.compile(r"=>|:=|[=:]")
-_NAME_BEFORE = re.compile(r"([A-Za-z_$][\w$.\-]{0,63})[\"'\]]?[ \t]*\Z")
-_QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\\n]|\\.)*)`")
-_BARE = re.compile(r"[A-Za-z0-9+/_.=~@!%^&*$-]+")
-_REFERENCE = re.compile(r"\$?\{?([A-Za-z_][\w.]*)\}?")
-_PLUS = re.compile(r"[ \t]*(?:\+|\.(?=[ \t]*[\"'`$A-Za-z_]))[ \t]*\\?\n?[ \t]*")
-_SPACE = re.compile(r"[ \t]*")
+_LEAST_WORDS = [w for w in SENSITIVE if not any(o != w and o in w for o in SENSITIVE)]
+_SENSITIVE = re.compile("|".join(_LEAST_WORDS), re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
@@ -82,66 +78,47 @@ def in_code_points(spans: list[Span], data: bytes) -> list[Span]:
     return [Span(at[s.start], s.kind, at[s.end]) for s in spans]
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def name_score(name: str) -> float:
     words = [w.lower() for w in _WORDS.findall(name)]
     joined = [a + b for a, b in zip(words, words[1:], strict=False)]
     return sum(SENSITIVE.get(w, 0.0) for w in dict.fromkeys([*words, *joined]))
 
 
-def literal_score(value: str) -> float:
-    """0 for a short or placeholder literal; else bits per character, by kinds of character, to 2 at most."""
-    low = value.lower()
-    if len(value) < LITERAL_CHARS or any(p in low for p in PLACEHOLDERS) or " " in value:
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", r"\d", r"[^A-Za-z\d]"))
-    return min(2.0, max(0.0, bits - 2.0) / 1.5 + 0.25 * (kinds - 1)) if kinds > 1 else 0.0
+def _is_passphrase(name: str, words: list[str]) -> bool:
+    return (
+        len(words) >= PASSPHRASE_WORDS
+        and not PASSPHRASE_NAMES.isdisjoint(w.lower() for w in _WORDS.findall(name))
+        and len(set(words)) == len(words)
+        and all(w.isalpha() and w.islower() and 3 <= len(w) <= 12 and w not in SENTENCE_WORDS for w in words)
+    )
 
 
-def _assigned(text: str, at: int, constants: dict[str, list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], bool]:
-    """The literals, as spans without their quotes, that the expression at a place is made of; whether any was quoted."""
-    parts, quoted = [], False
-    at = _SPACE.match(text, at).end()
-    while True:
-        if m := _QUOTED.match(text, at):
-            parts.append(m.span(m.lastindex))
-            quoted, at = True, m.end()
-        elif (m := _REFERENCE.match(text, at)) and m[1] in constants:
-            parts += constants[m[1]]
-            at = m.end()
-        elif not parts and (m := _BARE.match(text, at)):
-            return ([], False) if text[m.end() : m.end() + 1] in ("(", "[", "{") else ([m.span()], False)
-        else:
-            break
-        if len(parts) > MOST_PARTS:
-            return [], False
-        if not (m := _PLUS.match(text, at)):
-            break
-        at = m.end()
-    return parts, quoted
+def value_score(name: str, value: Value, text: str) -> float:
+    """0 for a short or placeholder value; else bits per character, by kinds of character, to 2 at most. A passphrase has 1."""
+    counts = value.counts(text)
+    n = sum(counts.values())
+    if n < LITERAL_CHARS or value.has(text, PLACEHOLDERS):
+        return 0.0
+    if any(c.isspace() for c in counts):
+        return 1.0 if value.span and _is_passphrase(name, text[slice(*value.span)].split()) else 0.0
+    if not value.quoted and (own := text[slice(*value.span)]).replace(".", "_").isidentifier() and (name_score(own) >= 1 or not any(map(str.isdigit, own))):
+        return 0.0  # a name, not a literal
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+    kinds = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if c.isdigit() else "." for c in counts})
+    return min(2.0, max(0.0, bits - 2.0) / 1.5 + 0.25 * (kinds - 1)) if kinds > 1 else 0.0
 
 
 def literal_spans(text: str) -> list[Span]:
     """Spans of literals that reach sensitive names, sorted, each once."""
     found: set[tuple[int, int]] = set()
-    constants: dict[str, list[tuple[int, int]]] = {}
-    for op in _OPERATOR.finditer(text):
-        if op.start() == 0 or text[op.start() - 1] in "=:<>!+*/\n":
-            continue
-        name = _NAME_BEFORE.search(text, max(0, op.start() - 80), op.start())
-        if not name:
-            continue
-        parts, quoted = _assigned(text, op.end(), constants)
-        if not parts:
-            constants.pop(name[1], None)
-            continue
-        if quoted or op[0] in ("=", ":="):
-            constants[name[1]] = parts
-        value = "".join(text[a:b] for a, b in parts)
-        sensitive = name_score(name[1])
-        if sensitive >= 1 and sensitive + literal_score(value) >= LEAST_SCORE and literal_score(value) > 0:
-            found.update((a, b) for a, b in parts if b > a)
+
+    def emit(name: str, value: Value) -> None:
+        sensitive = name_score(name) if _SENSITIVE.search(name) else 0
+        if sensitive >= 1 and (score := value_score(name, value, text)) and sensitive + score >= LEAST_SCORE:
+            found.update(places(value))
+
+    assignments(text, emit)
     return sorted(Span(a, 3, b) for a, b in found)
 
 
@@ -149,7 +126,8 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and those with the literals that no base span holds, both by start and kind, in code points."""
     data = text.encode()
     base = in_code_points(base_spans(data), data)
-    more = literal_spans(text) if b"=" in data or b":" in data else []
+    low = text.lower()
+    more = literal_spans(text) if any(w in low for w in _LEAST_WORDS) else []
     more = [s for s in more if not any(b.start <= s.start and s.end <= b.end for b in base)]
     return base, sorted([*base, *more])
 
@@ -188,7 +166,8 @@ def scan(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row of docs, as a struct row of the given columns, with counts, spans and the text masked.
 
     spans: kind:start:end by start, then kind, comma-joined; code points, end exclusive. A null text has no
-    spans and stays null; an empty one has none. Rows that repeat are each scanned; no shuffle.
+    spans and stays null; an empty one has none. A very long text is lexed whole, in time that grows with it alone. Rows that repeat
+    are each scanned; no shuffle.
     """
     rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("text").cast("string").alias("text"))
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*columns).schema)

@@ -65,8 +65,64 @@ def test_what_is_no_secret():
         assert found(text) == [], text
 
 
-def test_growing_constants_end():
-    assert found("x = 'Zk93-ll_2dfPqw8'\n" + "x = x + x\n" * 200 + "password = x") == []
+def test_joined_values_have_any_number_of_parts():
+    assert found("x = 'Zk93-ll_2dfPqw8'\n" + "x = x + x\n" * 2000 + "password = x") == ["Zk93-ll_2dfPqw8"]
+    pieces = [f"{i:x}Q" for i in range(100)]
+    assert found("token = " + " + ".join(f'"{p}"' for p in pieces)) == pieces
+    chained = "x0 = 'k7'\n" + "".join(f"x{i + 1} = x{i} + 'Q{i}'\n" for i in range(3000)) + "password = x3000"
+    assert len(found(chained)) == 3001
+
+
+VALUE = "Zx81kk-22QpLm"
+
+
+def test_syntax_of_many_languages():
+    for text in (
+        f'cfg["signing_key"] = "{VALUE}"', f"cfg['db']['password'] = '{VALUE}'", f'password = os.environ.get("K", "{VALUE}")', f'x = getenv("DB_PASSWORD", "{VALUE}")', f"secret_key = process.env.KEY || `{VALUE}`",
+        f"a:\n  password: >\n    {VALUE}\n  b: 1\n", f"private_key: |-\n  {VALUE}\n", f"<password>{VALUE}</password>", f'<add key="ApiKey" value="{VALUE}"/>', f'password = """{VALUE}"""', f"SECRET = rb'''\n{VALUE}\n'''",
+        f'let apiKey: string = "{VALUE}";', f'a = password = "{VALUE}"', f'char password[] = "{VALUE}";', f'var password string = "{VALUE}"', f"$private_key = <<<EOT\n{VALUE}\nEOT;\n", f"secret = <<~'EOS'\n  {VALUE}\nEOS\n",
+        f'connect(user="bob", password="{VALUE}")', f"/p?user=x&signing_key={VALUE}&b=2", f"it's a key: don't use signing_key = '{VALUE}', it's bad", f'pw = "{VALUE}"\npassword += pw', f'k = "{VALUE}"\nurl = f"{{k}}"\napi_key = url',
+    ):
+        assert VALUE in found(text), text
+    assert found('password = ("Zx81kk"\n   "-22QpLm")') == ["Zx81kk", "-22QpLm"]
+    assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+
+
+def test_strings_comments_and_scopes():
+    for text in (
+        f'say("the password = {VALUE} is")', f'# api_key = "{VALUE}"', f'x = 1 // api_key = "{VALUE}"', f'/* signing_key = "{VALUE}"\n */', f'<!-- api_key = "{VALUE}" -->', f'-- api_key = "{VALUE}"', f"password == '{VALUE}'",
+        f'def f():\n    K = "{VALUE}"\n    return K\npassword = K\n', f'function f() {{ const K = "{VALUE}"; }}\nlet password = K;', 'password = "please enter new words here"', "password = other_variable", 'password = "${DB_PASSWORD}"',
+    ):
+        assert found(text) == [], text
+    assert found(f'K = "{VALUE}"\nfunction f() {{ K = "plain"; }}\npassword = K;') == [VALUE]
+
+
+FORMS = ['{n} = "{v}"', "{n}='{v}'", '"{n}": "{v}",', "{n}: {v}", "set {n}={v}", 'o["{n}"] = "{v}";', "<{n}>{v}</{n}>", 'f({n}="{v}")', "{n}: >\n    {v}", '{n} := "{a}" + "{b}"', 'C = "{v}"\n{n} = C', '{n} = env.get("{n}", "{v}")', '{n} = """{v}"""']
+DECOYS = ['# {n} = "{v}"', 'print("{n} = {v}")', 'other = "{v}"', "/* {n} = '{v}' */", "{n} = call('{v}')", "it's {n} again"]
+
+
+@given(st.lists(st.tuples(st.sampled_from(FORMS + DECOYS), st.sampled_from(["signing_key", "clientSecret", "authToken"]), st.integers(0, 10**6)), max_size=12))
+def test_made_programs(lines):
+    """Programs whose secrets are known as they are made."""
+    text, wanted = "", []
+    for form, name, n in lines:
+        value = hashlib.md5(str(n).encode()).hexdigest()[:14].upper() + "q"
+        own = form.format(n=name, v=value, a=value[:7], b=value[7:])
+        if form in FORMS:
+            for part in (value[:7], value[7:]) if "{a}" in form else (value,):
+                at = len(text) + own.index(part)
+                wanted.append((at, at + len(part)))
+        text += own + "\n"
+    assert [(s.start, s.end) for s in sc.literal_spans(text)] == sorted(wanted)
+
+
+def test_time_grows_with_the_text_alone():
+    import time
+
+    for text in ("&".join(f"key{i}=v{i}" for i in range(100_000)), 'key="\\"' * 100_000, "key <<A " * 100_000, '\\"""' * 200_000, "key = " * 100_000, "{(<a [" * 100_000, '("key",' * 100_000, "a" * 2_000_000 + " = key"):
+        began = time.perf_counter()
+        sc.all_spans(text)
+        assert time.perf_counter() - began < 20
 
 
 def test_odd_texts(docs, odd):
