@@ -27,11 +27,14 @@ ASK = {
 def tool_messages(conversations: DataFrame) -> DataFrame:
     """Plain conversations as messages with tool calls: a user's turn is a call by an assistant, an assistant's the tool's result for the turn before.
 
-    Calls from turn 2 on ask for the result of the call two turns before. System turns stay as they are.
+    A call asks for the result of the call two turns before. In conversations of number 1 modulo 5 it asks for that two turns after instead,
+    and in those of number 2 modulo 5 the call of turn 0 asks for that of turn 2 as well, so both are in a cycle. System turns stay as they are.
     """
     conv, turn, text = F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.col("turn").cast("long"), F.coalesce(F.col("text"), F.lit(""))
     name = lambda t: F.concat_ws("-", conv, t.cast("string"))
-    after = F.when(turn >= 2, F.struct(name(turn - 2).alias("$ref")))
+    kind = F.coalesce(F.pmod(F.col("conv_id").cast("long"), F.lit(5)), F.lit(0))
+    asked = F.when(kind == 1, turn + 2).when((kind == 2) & (turn == 0), F.lit(2).cast("long")).when(turn >= 2, turn - 2)
+    after = F.when(asked.isNotNull(), F.struct(name(asked).alias("$ref")))
     call = F.concat(F.lit("<tool_call>"), F.to_json(F.struct(name(turn).alias("id"), F.lit("ask").alias("name"), F.struct(turn.alias("turn"), text.alias("text"), after.alias("after")).alias("arguments"))), F.lit("</tool_call>"))
     result = F.concat(F.lit("<tool_response>"), F.to_json(F.struct(name(turn - 1).alias("tool_call_id"), F.struct(text.alias("text")).alias("content"))), F.lit("</tool_response>"))
     role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
@@ -47,14 +50,20 @@ def op2_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH c AS (SELECT *, conv_id || '-' || turn AS id FROM conversations WHERE role = 'user'),
-r AS (SELECT *, conv_id || '-' || (turn - 1) AS id FROM conversations WHERE role = 'assistant')
+WITH RECURSIVE c AS (
+  SELECT *, conv_id || '-' || turn AS id, CASE WHEN conv_id % 5 = 1 THEN turn + 2 WHEN conv_id % 5 = 2 AND turn = 0 THEN 2 WHEN turn >= 2 THEN turn - 2 END AS asked FROM conversations WHERE role = 'user'
+),
+r AS (SELECT *, conv_id || '-' || (turn - 1) AS id FROM conversations WHERE role = 'assistant'),
+lv AS (
+  SELECT c.id, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.conv_id = c.conv_id AND o.turn = c.asked)
+  UNION ALL SELECT c.id, lv.level + 1 FROM c JOIN lv ON c.conv_id || '-' || c.asked = lv.id
+)
 SELECT c.conv_id, c.id AS call_id, 'ask' AS name, c.turn AS call_turn, r.turn AS result_turn,
-  CASE WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, 0 AS level,
+  CASE WHEN lv.level IS NULL THEN 'cyclic' WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, lv.level,
   CASE WHEN length(c.text) < 20 THEN '/text: limits' ELSE '' END AS errors,
-  sha256('{"arguments":{' || CASE WHEN c.turn >= 2 THEN '"after":{"$ref":"' || c.conv_id || '-' || (c.turn - 2) || '"},' ELSE '' END || '"text":' || to_json(c.text) || ',"turn":' || c.turn
+  sha256('{"arguments":{' || coalesce('"after":{"$ref":"' || c.conv_id || '-' || c.asked || '"},', '') || '"text":' || to_json(c.text) || ',"turn":' || c.turn
     || '},"id":"' || c.id || '","name":"ask","result":' || coalesce('{"text":' || to_json(r.text) || '}', 'null') || '}') AS call_sha256
-FROM c LEFT JOIN r ON c.id = r.id
+FROM c LEFT JOIN r ON c.id = r.id LEFT JOIN lv ON c.id = lv.id
 UNION ALL
 SELECT r.conv_id, r.id, NULL, NULL, r.turn, 'orphan', NULL, '', NULL FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = r.id)
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -11,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import discard, map_batches, written
 
 CALL_TAG = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 RESULT_TAG = re.compile(r"<tool_response>(.*?)</tool_response>", re.S)
 #: Values deeper than this are no arguments.
 MOST_DEPTH = 100
+#: Calls and references of one conversation that one task orders; larger conversations are ordered in rounds.
+GROUP = 100_000
 
 
 class BadJson(ValueError):
@@ -188,66 +191,144 @@ def events(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return map_batches(rows, kernel, EVENTS)
 
 
-def _first(rows: DataFrame, key: str, place) -> DataFrame:
-    """rows with is_first: whether they are the first in place of those with their key. The least place is aggregated before the shuffle."""
-    least = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.min(place).alias("least"))
-    return rows.join(least, F.col(key) == F.col("of"), "left").withColumn("is_first", F.coalesce(place == F.col("least"), F.lit(False))).drop("of", "least")
-
-
-def _levels(calls: DataFrame) -> DataFrame:
-    """(key, level) of calls in conversations where some call asks for the result of a later one; level null in and after a cycle.
-
-    A level is one more than the largest among the calls asked for. Only such conversations' calls come here.
+def _hashed(build: DataFrame) -> DataFrame:
+    """The side of a join that is hashed: rows of few columns, one a key."""
+    return build.hint("shuffle_hash")
+
+
+def levels_of(needs: dict[str, list[str]]) -> dict[str, int | None]:
+    """Of calls with the calls they ask for: one more than the largest level asked for, 0 where none of them is asked for; None in and after a cycle."""
+    open_ = {k: sum(r in needs for r in own) for k, own in needs.items()}
+    asked: dict[str, list[str]] = {}
+    for k, own in needs.items():
+        for r in own:
+            asked.setdefault(r, []).append(k)
+    levels: dict[str, int | None] = dict.fromkeys(needs)
+    ready, level = [k for k, n in open_.items() if not n], 0
+    while ready:  # a call is ready in the round after the last one that it asks for
+        following = []
+        for k in ready:
+            levels[k] = level
+            for other in asked.get(k, ()):
+                open_[other] -= 1
+                if not open_[other]:
+                    following.append(other)
+        ready, level = following, level + 1
+    return levels
+
+
+def _levels_by_conversation(calls: DataFrame) -> DataFrame:
+    """(key, level) of calls (conv, call_id, key, refs) of conversations of up to GROUP calls and references, whole in one task each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, keys, needs = None, {}, {}
+
+        def found() -> pa.RecordBatch:
+            levels = levels_of(needs)
+            return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in levels], pa.string()), pa.array(list(levels.values()), pa.int32())], names=["key", "level"])
+
+        for batch in batches:
+            for c, call_id, key, refs in zip(*(batch.column(k).to_pylist() for k in ("conv", "call_id", "key", "refs")), strict=True):
+                if c != conv and needs:
+                    yield found()
+                    keys, needs = {}, {}
+                conv, keys[call_id], needs[call_id] = c, key, refs
+        if needs:
+            yield found()
+
+    return calls.select("conv", "call_id", "key", "refs").repartition("conv").sortWithinPartitions("conv").mapInArrow(run, "key string, level int")
+
+
+def _levels_by_rounds(calls: DataFrame) -> DataFrame:
+    """(key, level) of calls of conversations of any size; calls in and after a cycle have no row.
+
+    A row of the state is a bound of a call's level, or a call that it still waits for and how far above that it stands. Each round
+    gives levels to calls that wait for none, and replaces waiting for a call that itself waits for one only by waiting for
+    that one, so chains end after the logarithm of their length.
     """
-    edges = calls.select("key", "conv", F.explode("refs").alias("ref")).select("key", F.concat("conv", F.lit("\x1f"), "ref").alias("needs"))
-    edges = written(edges.join(calls.select(F.col("key").alias("needs")).distinct(), "needs", "left_semi").distinct(), "call-edges")
-    done = written(calls.select("key").distinct().join(edges.select("key"), "key", "left_anti").withColumn("level", F.lit(0)), "call-levels")
+    key = lambda c: F.concat("conv", F.lit("\x1f"), c)
+    edges = calls.select("conv", "key", F.explode("refs").alias("ref")).select("key", key("ref").alias("needs"))
+    edges = edges.join(_hashed(calls.select(F.col("key").alias("needs"))), "needs", "left_semi")
+    state = calls.select("key", F.lit(None).cast("string").alias("needs"), F.lit(0).alias("above")).unionByName(edges.select("key", "needs", F.lit(1).alias("above")))
+    state, done = written(state.distinct(), "call-state"), []
     while True:
-        open_ = edges.join(done.select("key"), "key", "left_anti").join(done.withColumnRenamed("key", "needs"), "needs", "left")
-        ready = open_.groupBy("key").agg((F.max("level") + 1).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("ready")).where("ready").select("key", "level")
-        ready = written(ready, "call-levels")
+        least = F.max(F.when(F.col("needs").isNull(), F.col("above")))
+        calls_now = written(state.groupBy("key").agg(least.alias("bound"), F.count("needs").alias("open"), F.max("needs").alias("only"), F.max(F.when(F.col("needs").isNotNull(), F.col("above"))).alias("step")), "call-rounds")
+        ready = calls_now.where("open = 0")
         if ready.isEmpty():
-            return calls.select("key").distinct().join(done, "key", "left")
-        done = written(done.unionByName(ready), "call-levels")
-
-
-def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+            discard(calls_now)
+            break
+        done.append(written(ready.select("key", F.col("bound").alias("level")), "call-levels"))
+        # Of calls that wait for one that is ready now, the bound is known; they pass it on at once, as it leaves the state.
+        settled = _hashed(ready.select(F.col("key").alias("only"), F.col("bound").alias("settled")))
+        passed = calls_now.where("open <= 1").join(settled, "only", "left").select(
+            F.col("key").alias("needs"), F.greatest("bound", F.col("step") + F.col("settled")).alias("bound"), F.when(F.col("settled").isNull(), F.col("open")).otherwise(0).alias("open"), "only", "step"
+        )
+        left = state.join(_hashed(ready.select("key")), "key", "left_anti").join(_hashed(passed), "needs", "left")
+        nobody = F.lit(None).cast("string")
+        rows = F.when(F.col("open").isNull(), F.array(F.struct("needs", "above"))).otherwise(
+            F.filter(
+                F.array(F.struct(nobody.alias("needs"), (F.col("above") + F.col("bound")).alias("above")), F.when(F.col("open") == 1, F.struct(F.col("only").alias("needs"), (F.col("above") + F.col("step")).alias("above")))),
+                lambda x: x.isNotNull(),
+            )
+        )
+        before, state = state, written(left.select("key", F.explode(rows).alias("r")).groupBy("key", F.col("r.needs").alias("needs")).agg(F.max("r.above").alias("above")), "call-state")
+        discard(before)
+        discard(calls_now)
+    discard(state)
+    return functools.reduce(DataFrame.unionByName, done) if done else calls.select("key", F.lit(0).alias("level")).limit(0)
+
+
+def _levels(first: DataFrame, group: int) -> DataFrame:
+    """(key, level) of calls in conversations where some call asks for another's result."""
+    sizes = first.groupBy("conv").agg((F.count("*") + F.sum(F.size("refs"))).alias("size"), F.max(F.size("refs")).alias("most")).where("most > 0")
+    calls = written(first.select("conv", "call_id", "key", "refs").join(_hashed(sizes.select("conv", "size")), "conv"), "ordered-calls")
+    found = _levels_by_conversation(calls.where(F.col("size") <= group))
+    large = calls.where(F.col("size") > group)
+    if large.isEmpty():
+        return found
+    ranked = _levels_by_rounds(large)
+    return found.unionByName(large.select("key").join(_hashed(ranked), "key", "left"))
+
+
+def link(messages: DataFrame, schemas: dict[str, dict], group: int = GROUP) -> DataFrame:
     """One row for each call, and for each result without one.
 
     Columns: conv_id, call_id, name, call_turn, call_index, result_turn, result_index, status, level, errors, call_json. status is linked, unanswered
     (a call without result), orphan (a result without call), repeated_call or repeated_result (its identifier came before in
-    the conversation), unreadable or cyclic. Sorting a conversation by level, call_turn and call_index puts every call after
-    those whose results it asks for; level is 0 wherever turns alone do that. call_json is the canonical JSON of arguments, id,
-    name and result. Messages of other roles, and null texts, hold no events; a null conv_id is a conversation of its own; rows that repeat
-    give repeated calls and results, as far as their places differ, and are one where they don't.
+    the conversation), unreadable or cyclic. level is one more than the largest among the calls that a call asks for, 0 where it asks
+    for none of its conversation, null in and after a cycle: sorting a conversation by level puts every call after those whose results it asks
+    for. call_json is the canonical JSON of arguments, id, name and result. Messages of other roles, and null texts, hold no events; a null conv_id is a
+    conversation of its own; rows that repeat give repeated calls and results, as far as their places differ, and are one where they don't.
+    JSON of more than MOST_DEPTH levels is unreadable. Conversations may have any length: those of up to group calls and references are
+    ordered in one task each, longer ones in rounds over tables.
     """
     found = events(messages, schemas).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    found = found.withColumn("key", F.concat("conv", F.lit("\x1f"), "call_id"))
-    found = written(found.distinct(), "call-events")
+    found = written(found.withColumn("key", F.concat("conv", F.lit("\x1f"), "call_id")).distinct(), "call-events")
     place = F.struct(F.coalesce("turn", F.lit(-1)), "index", F.coalesce("name", F.lit("")), F.coalesce("body", F.lit("")))
-    calls, results = _first(found.where("kind = 'call'"), "key", place), _first(found.where("kind = 'result'"), "key", place)
-    calls, results = written(calls, "calls"), written(results, "results")
-
-    first = calls.where("is_first")
-    refs = first.select("conv", "turn", "index", F.explode("refs").alias("ref")).withColumn("needs", F.concat("conv", F.lit("\x1f"), "ref"))
-    later = refs.join(first.select(F.col("key").alias("needs"), F.col("turn").alias("t"), F.col("index").alias("i")), "needs").where(F.struct("t", "i") >= F.struct("turn", "index"))
-    odd = written(later.select("conv").distinct(), "odd-conversations")
-    level = F.lit(0)
-    if not odd.isEmpty():
-        levels = _levels(first.join(odd, "conv", "left_semi")).select(F.col("key").alias("level_key"), "level", F.lit(True).alias("odd"))
-        first = first.join(levels, F.col("key") == F.col("level_key"), "left").drop("level_key")
-        level = F.when(F.col("odd"), F.col("level")).otherwise(0)
-    answers = results.where("is_first").select(F.col("key").alias("result_key"), F.col("turn").alias("result_turn"), F.col("index").alias("result_index"), F.col("body").alias("result"))
-    linked = first.withColumn("level", level).join(answers, F.col("key") == F.col("result_key"), "left")
-    status = F.when(F.col("level").isNull(), "cyclic").when(F.col("result_key").isNotNull(), "linked").otherwise("unanswered")
+    least = found.where("key IS NOT NULL").groupBy(F.col("kind").alias("of"), F.col("key").alias("of_key")).agg(F.min(place).alias("least"))
+    told = found.join(_hashed(least), (F.col("key") == F.col("of_key")) & (F.col("kind") == F.col("of")), "left")
+    told = written(told.withColumn("is_first", F.coalesce(place == F.col("least"), F.lit(False))).drop("of", "of_key", "least"), "told-events")
+
+    first = told.where("is_first AND kind = 'call'")
+    levels = _levels(first, group).select(F.col("key").alias("level_key"), F.col("level").alias("found_level"), F.lit(True).alias("ordered"))
+    calls = first.select("conv_id", "call_id", "key", "name", F.col("turn").alias("call_turn"), F.col("index").alias("call_index"), "body", "errors")
+    calls = calls.join(_hashed(levels), F.col("key") == F.col("level_key"), "left").withColumn("level", F.when(F.col("ordered"), F.col("found_level")).otherwise(0))
+    answers = told.where("is_first AND kind = 'result'").select(
+        F.col("conv_id").alias("result_conv_id"), F.col("call_id").alias("result_id"), F.col("key").alias("result_key"), F.col("turn").alias("result_turn"), F.col("index").alias("result_index"), F.col("body").alias("result"), F.col("errors").alias("result_errors")
+    )
+    linked = calls.join(_hashed(answers), F.col("key") == F.col("result_key"), "full")
+    is_call, has_result = F.col("key").isNotNull(), F.col("result_key").isNotNull()
+    status = F.when(~is_call, "orphan").when(F.col("level").isNull(), "cyclic").when(has_result, "linked").otherwise("unanswered")
     quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
     whole = F.concat(F.lit('{"arguments":'), "body", F.lit(',"id":'), quoted("call_id"), F.lit(',"name":'), F.coalesce(quoted("name"), F.lit("null")), F.lit(',"result":'), F.coalesce("result", F.lit("null")), F.lit("}"))
-    columns = ["conv_id", "call_id", "name", "call_turn", "call_index", "result_turn", "result_index", "status", "level", "errors", "call_json"]
-    place_of_call = {"call_turn": F.col("turn"), "call_index": F.col("index")}
-    nothing = {"result_turn": F.lit(None).cast("long"), "result_index": F.lit(None).cast("int"), "level": F.lit(None).cast("int"), "call_json": F.lit(None).cast("string")}
-    ones = linked.withColumns({**place_of_call, "status": status, "call_json": whole})
-    others = calls.where("NOT is_first").withColumns({**place_of_call, **nothing, "status": F.when(F.col("call_id").isNull(), "unreadable").otherwise("repeated_call")})
-    left = results.join(first.select(F.col("key").alias("call_key")), F.col("key") == F.col("call_key"), "left").where("call_key IS NULL OR NOT is_first")
-    odd_status = F.when(F.col("call_id").isNull(), "unreadable").when(F.col("is_first"), "orphan").otherwise("repeated_result")
-    stray = left.withColumns({**nothing, "result_turn": F.col("turn"), "result_index": F.col("index"), "call_turn": F.lit(None).cast("long"), "call_index": F.lit(None).cast("int"), "status": odd_status})
-    return ones.select(*columns).unionByName(others.select(*columns)).unionByName(stray.select(*columns))
+    ones = linked.select(
+        F.when(is_call, F.col("conv_id")).otherwise(F.col("result_conv_id")).alias("conv_id"), F.coalesce("call_id", "result_id").alias("call_id"), "name", "call_turn", "call_index", "result_turn", "result_index",
+        status.alias("status"), F.when(is_call, F.col("level")).alias("level"), F.coalesce("errors", "result_errors").alias("errors"), F.when(is_call, whole).alias("call_json"),
+    )
+    a_call = F.col("kind") == "call"
+    others = told.where("NOT is_first").select(
+        "conv_id", "call_id", "name", F.when(a_call, F.col("turn")).alias("call_turn"), F.when(a_call, F.col("index")).alias("call_index"), F.when(~a_call, F.col("turn")).alias("result_turn"), F.when(~a_call, F.col("index")).alias("result_index"),
+        F.when(F.col("call_id").isNull(), "unreadable").when(a_call, "repeated_call").otherwise("repeated_result").alias("status"), F.lit(None).cast("int").alias("level"), "errors", F.lit(None).cast("string").alias("call_json"),
+    )
+    return ones.unionByName(others)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from support import assert_same
@@ -54,10 +55,43 @@ def test_order_and_cycles(frame):
         (2, 0, "assistant", call("a")), (2, 1, "assistant", call("b", arguments=ref("a"))), (3, 0, "assistant", call("p", arguments=ref("q"))), (3, 1, "assistant", call("q", arguments=ref("p")) + call("r") + call("s", arguments=ref("p"))),
     )
     level = {(r.conv_id, r.call_id): r.level for r in got}
-    assert level == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 0, (2, "a"): 0, (2, "b"): 0, (3, "p"): None, (3, "q"): None, (3, "r"): 0, (3, "s"): None}
+    assert level == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 0, (2, "a"): 0, (2, "b"): 1, (3, "p"): None, (3, "q"): None, (3, "r"): 0, (3, "s"): None}
     assert {r.call_id for r in got if r.status == "cyclic"} == {"p", "q", "s"}
 
 
+@pytest.mark.parametrize("group", [0, 100_000])
+def test_levels_against_brute_force(frame, group):
+    """Random references, some in cycles, in one task and in rounds."""
+    rng = random.Random(group)
+    needs = {c: {f"c{i}": sorted({f"c{rng.randrange(n + 3)}" for _ in range(rng.randrange(3))}) for i in range(n)} for c, n in enumerate((1, 3, 8, 20, 40))}
+    needs[9] = {f"c{i}": [f"c{i + 1}"] for i in range(1000)}
+    needs[10] = {"c0": ["c3"]} | {f"c{i}": [f"c{i - 1}"] for i in range(1, 200)}
+
+    def level(calls, k, above=()):
+        if k in above:
+            return None
+        own = [level(calls, r, (*above, k)) for r in calls[k] if r in calls]
+        return None if None in own else 1 + max(own, default=-1)
+
+    wanted = {(c, k): level(calls, k) for c, calls in needs.items() if c < 9 for k in calls}
+    wanted |= {(9, f"c{i}"): 999 - i for i in range(1000)} | {(10, f"c{i}"): None for i in range(200)}
+    rows = [(c, i, "assistant", call(k, arguments={"a": 1, "b": [{"$ref": r} for r in own]}), "k", 1) for c, calls in needs.items() for i, (k, own) in enumerate(calls.items())]
+    got = tc.link(frame(rows, MESSAGES), SCHEMAS, group=group).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == wanted
+    assert {(r.conv_id, r.call_id) for r in got if r.status == "cyclic"} == {k for k, v in wanted.items() if v is None}
+
+
+def test_identifiers_are_hash_joined(spark, sf_dir):
+    plan = op2_tool_linking(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_deep_and_long_json(frame):
+    deep = "[" * 150 + "]" * 150
+    got = linked(frame, (1, 0, "assistant", f'<tool_call>{{"id": "x", "name": "add", "arguments": {{"a": 1, "b": {deep}}}}}</tool_call>'), (1, 1, "assistant", call("y", arguments={"a": 1, "b": "x" * 3_000_000})))
+    assert {(r.call_id, r.status) for r in got} == {(None, "unreadable"), ("y", "unanswered")}
+
+
 def test_repeated_rows_and_empty_table(frame):
     again = linked(frame, *[(1, 0, "assistant", call("x"))] * 3, *[(1, 1, "tool", result("x", 5))] * 2)
     assert [r.status for r in again] == ["linked"]
