@@ -40,7 +40,7 @@ def made(seed):
     return [*texts, texts[0], texts[1], shared[5] + shared[5], "x" * 1000, "x" * 199, "ab" * 300, shared[6][100:500], shared[6][300:700]]
 
 
-@pytest.mark.parametrize("options", [{}, {"group": 1}, {"shard_bytes": 2_000}])
+@pytest.mark.parametrize("options", [{}, {"group": 1}, {"shard_bytes": 2_000}, {"hash_bits": 6, "shard_bytes": 4_000}, {"hash_bits": 3, "group": 1}])
 def test_made_texts(docs, options):
     texts = made(len(options))
     got = {r.doc_id: r for r in sub.repeats(docs(*texts), **options).collect()}
@@ -73,6 +73,25 @@ def test_repeated_rows_are_copies(frame):
     assert sorted((r.doc_id, list(r.spans)) for r in rows) == [(1, [0, 300]), (1, [0, 300]), (2, [])]
 
 
+def test_clashing_hashes_in_the_sort(monkeypatch):
+    """Prefix hashes of three bits, so nearly all comparisons of unequal strings go wrong."""
+
+    class Weak(sub.Hashes):
+        def of(self, start, length):
+            return super().of(start, length) >> np.uint64(61)
+
+    texts = [t.encode() for t in made(1)]
+    x = sub._stretches(texts, 4)
+    rows = [(int(t), int(a), int(n), int(k), int(left), texts[t][a : a + n + sub.LENGTH - 1]) for t, a, n, left, k in zip(x.text, x.start, x.n, x.left, x.anchor.view(np.int64), strict=True)]
+    rows.sort(key=lambda r: r[3])
+    wanted = brute(texts)
+    monkeypatch.setattr(sub, "Hashes", Weak)
+    found = {}
+    for row, start, n in sub._sorted_out(rows):
+        found.setdefault(row, []).append((start, n))
+    assert [sub._runs(*(np.array(c, np.int64) for c in zip(*found[t], strict=True))) if t in found else [] for t in range(len(texts))] == wanted
+
+
 def test_suffixes_are_sorted():
     rng = np.random.default_rng(0)
     buffer = rng.integers(97, 99, 3_000).astype(np.uint8)
