@@ -445,7 +445,9 @@ def _twins(hashes: Hashes, buffer: np.ndarray, given: np.ndarray, place: np.ndar
     parted = (group[runs[order]][1:] == group[runs[order]][:-1]) & (own[runs[order]][1:] == own[runs[order]][:-1])
     missing = np.sort(place + group * len(buffer)) != np.sort(given + group * len(buffer))
     clashing = np.unique(np.concatenate([group[near[~equal]], group[runs[order]][1:][parted], group[missing]]))
-    one, other = [place[near[equal]]], [place[near[equal] - 1]]
+    near = near[equal]
+    near = near[~np.isin(group[near], clashing)]
+    one, other = [place[near]], [place[near - 1]]
     for g in clashing.tolist():
         mine = np.flatnonzero(group == g)
         strings = [buffer[p : p + LENGTH].tobytes() for p in given[mine].tolist()]
