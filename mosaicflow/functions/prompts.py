@@ -16,32 +16,28 @@ from . import catalog
 from .scalars import stable_seed
 
 _QUADRANTS = ("Top left", "Top right", "Bottom left", "Bottom right")
-_BEATS = {
-    ("creature", "idle"): ("resting pose", "small breath", "weight shifts", "strongest accent before the loop"),
-    ("creature", "combat"): ("winding up", "striking", "being hit", "getting up again"),
-    ("creature", "actions"): ("standing", "mouth open and a limb raised", "lunging to the right", "leaning back from a hit"),
-    ("creature", "walk"): ("right front leg forward", "legs under the body", "left front leg forward", "legs stretched"),
-    ("player", "player_walk"): ("feet together", "left foot forward", "feet together again", "right foot forward"),
-    ("player", "player_actions"): ("standing", "one step", "swinging a weapon", "knocked back"),
-    ("npc", "npc_walk"): ("feet together", "left foot forward", "feet together again", "right foot forward"),
-}
+#: Modes of four phases in 2x2 quadrants; what moves.
+_MOVES = {
+    ("creature", "idle"): "resting", ("creature", "combat"): "fighting", ("creature", "actions"): "acting", ("creature", "walk"): "walking",
+    ("player", "player_walk"): "walking down", ("player", "player_actions"): "acting", ("npc", "npc_walk"): "walking down",
+}
 _STYLE = {"creature": "monster", "asset": "monster", "player": "overworld", "npc": "overworld"}
 
 
 def _template(target: str, mode: str) -> str:
     style = catalog.STYLES[_STYLE[target]]
     if target == "asset" and mode != "single":
-        return f"Animation sheet of {{shape}} cells of {{prompt}}, one identity, box and scale in all, nothing over a cell's edge. {style}"
-    role = "Role: {role_text}. " if target == "npc" else ""
+        return f"{{prompt}}, animated in {{shape}} cells of one scale. {style}"
+    role = "Who {role_text}. " if target == "npc" else ""
     if mode == "evolution":
-        return f"Four stages of {{prompt}} in 2x2 quadrants. {{stages}} One palette in all. {style} {catalog.STYLES['grid4']}"
+        return f"{{prompt}}, growing. {{stages}} {style} {catalog.STYLES['grid4']}"
     if mode == "player_sheet":
-        rows = " ".join(f"Row {i + 1} faces {d}." for i, d in enumerate(catalog.DIRECTIONS))
-        return f"Walk cycle in four directions of {{prompt}}, 4x4. {rows} Columns: feet together, left foot, feet together, right foot. {style} {catalog.STYLES['grid16']}"
-    if (beats := _BEATS.get((target, mode))) is not None:
-        cells = " ".join(f"{q}: {b}." for q, b in zip(_QUADRANTS, beats, strict=True))
-        return f"Sheet of 2x2 quadrants of {{prompt}}. {role}{cells} Same subject, size and palette in all. {style} {catalog.STYLES['grid4']}"
-    return f"One sprite of {{prompt}}, centred with magenta around it. {role}{style}"
+        rows = ", ".join(f"row {i + 1} {d}" for i, d in enumerate(catalog.DIRECTIONS))
+        return f"{{prompt}}, walking: {rows}. {style} {catalog.STYLES['grid16']}"
+    if (move := _MOVES.get((target, mode))) is not None:
+        cells = ", ".join(f"{label} in the {q.lower()}" for q, label in zip(_QUADRANTS, catalog.FRAME_LABELS[mode], strict=True))
+        return f"{{prompt}}, {move}: {cells}. {role}{style} {catalog.STYLES['grid4']}"
+    return f"{{prompt}}, once. {role}{style}"
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -77,13 +73,11 @@ def evolution_choices(seeds: DataFrame, column: str = "seed") -> DataFrame:
 
 
 def _with_stages(rows: DataFrame) -> DataFrame:
-    spark = rows.sparkSession
-    axes = catalog.MORPH_AXES
-    kinds = F.broadcast(catalog.archetypes(spark).withColumnRenamed("archetype", "archetype_"))
-    rows = rows.join(kinds, F.col("archetype") == F.col("archetype_"), "left")
-    rules = F.concat(F.lit("Line: "), "name", F.lit(" ("), "path", F.lit("); "), "silhouette", F.lit(" outline, "), "surface", F.lit(" surface, "), "vibe", F.lit("."))
-    stages = [F.concat(F.lit(f"{q}: stage {i + 1}, {axes['posture'][i]}, {axes['material'][i]}, {axes['anatomy'][i]}. "), rules) for i, q in enumerate(_QUADRANTS)]
-    return rows.withColumn("stages", F.concat_ws(" ", *stages)).drop("archetype_", "name", "path")
+    """rows with stages: a sentence for each quadrant, from the archetype's key and what was drawn."""
+    look = [", ".join(values[i] for values in catalog.STAGE_LOOK.values()) for i in range(len(_QUADRANTS))]
+    drawn = F.concat("silhouette", F.lit(" outline, "), "surface", F.lit(", "), "vibe")
+    stages = [F.concat(F.lit(f"{q}: stage {i + 1}, {catalog.GROWTH[i]} "), "archetype", F.lit(f", {look[i]}, "), drawn, F.lit(".")) for i, q in enumerate(_QUADRANTS)]
+    return rows.withColumn("stages", F.concat_ws(" ", *stages))
 
 
 def build_prompts(requests: DataFrame) -> DataFrame:

@@ -35,12 +35,6 @@ def default_cell_size(cell_size: Column, rows: Column, cols: Column) -> Column:
     return or_default(cell_size, F.when((rows == 4) & (cols == 4), 96).otherwise(128))
 
 
-def pad_box(x0: Column, y0: Column, x1: Column, y1: Column, padding: int, width: Column, height: Column) -> dict[str, Column]:
-    """The box, larger by padding on each side, within width and height; null stays null."""
-    clamp = lambda low, box, high: F.when(box.isNotNull(), F.greatest(low, F.least(box, high)))
-    return {"x0": clamp(F.lit(0), x0 - padding, width), "y0": clamp(F.lit(0), y0 - padding, height), "x1": clamp(F.lit(0), x1 + padding, width), "y1": clamp(F.lit(0), y1 + padding, height)}
-
-
 def edge_touch(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, margin: int = 0) -> Column:
     """Whether a box comes within margin of an edge; a null box doesn't."""
     return F.coalesce((x0 <= margin) | (y0 <= margin) | (x1 >= width - margin) | (y1 >= height - margin), F.lit(False))

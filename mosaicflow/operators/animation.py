@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import struct
 
 import numpy as np
@@ -27,14 +29,23 @@ def quantise(rgb: np.ndarray, colours: int = 256) -> tuple[np.ndarray, np.ndarra
     """(indexes, palette) by median cut over distinct colours, without dithering; exact where there are no more than colours."""
     flat = rgb.reshape(-1, 3).astype(np.int64)
     code, back, count = np.unique(flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2], return_inverse=True, return_counts=True)
+    ages = itertools.count(1)
     points = np.stack([code >> 16, code >> 8 & 255, code & 255], axis=1)
-    boxes = [np.arange(len(points))]
-    while len(boxes) < min(colours, len(points)):
-        spread = [np.ptp(points[b], axis=0).max() * count[b].sum() if len(b) > 1 else -1 for b in boxes]
-        box = boxes.pop(int(np.argmax(spread)))
-        box = box[np.argsort(points[box, int(np.argmax(np.ptp(points[box], axis=0)))], kind="stable")]
-        cut = int(np.clip(np.searchsorted(np.cumsum(count[box]), count[box].sum() / 2) + 1, 1, len(box) - 1))
-        boxes += [box[:cut], box[cut:]]
+
+    def ranked(box: np.ndarray, age: int) -> tuple[int, int, np.ndarray, int]:
+        own = points[box]
+        spread = own.max(axis=0) - own.min(axis=0)
+        return (-int(spread.max() * count[box].sum()) if len(box) > 1 else 1, age, box, int(np.argmax(spread)))
+
+    heap = [ranked(np.arange(len(points)), 0)]
+    while len(heap) < min(colours, len(points)):
+        _, _, box, axis = heapq.heappop(heap)
+        box = box[np.argsort(points[box, axis], kind="stable")]
+        total = np.cumsum(count[box])
+        cut = int(np.clip(np.searchsorted(total, total[-1] / 2) + 1, 1, len(box) - 1))
+        for part in (box[:cut], box[cut:]):
+            heapq.heappush(heap, ranked(part, next(ages)))
+    boxes = [box for _, _, box, _ in sorted(heap, key=lambda x: x[1])]
     number, palette = np.zeros(len(points), np.uint8), np.zeros((256, 3), np.uint8)
     for i, b in enumerate(boxes):
         number[b] = i
@@ -60,8 +71,9 @@ def key_first(index: np.ndarray, palette: np.ndarray) -> tuple[np.ndarray, np.nd
 def _lzw(index: bytes) -> bytes:
     """GIF's variable-length codes of 8-bit pixels."""
     clear, stop = 256, 257
-    codes: dict[bytes, int] = {}
-    width, bits, held, out = 9, 0, 0, bytearray()
+    #: By the code of a word, times 256, and the byte after it.
+    codes: dict[int, int] = {}
+    width, bits, held, out, number = 9, 0, 0, bytearray(), 258
 
     def put(code: int) -> None:
         nonlocal bits, held
@@ -73,23 +85,22 @@ def _lzw(index: bytes) -> bytes:
             bits -= 8
 
     put(clear)
-    word = b""
-    for k in range(len(index)):
-        longer = word + index[k : k + 1]
-        if len(longer) == 1 or longer in codes:
+    word = index[0] if index else None
+    for byte in index[1:]:
+        if (longer := codes.get(word << 8 | byte)) is not None:
             word = longer
             continue
-        put(codes[word] if len(word) > 1 else word[0])
-        number = 258 + len(codes)
-        codes[longer] = number
+        put(word)
+        codes[word << 8 | byte] = number
         if number == 4095:
             put(clear)
-            codes, width = {}, 9
+            codes, width, number = {}, 9, 257
         elif number == 1 << width:
             width += 1
-        word = index[k : k + 1]
-    if word:
-        put(codes[word] if len(word) > 1 else word[0])
+        number += 1
+        word = byte
+    if word is not None:
+        put(word)
     put(stop)
     if bits:
         out.append(held & 255)

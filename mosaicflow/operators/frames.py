@@ -62,6 +62,10 @@ FRAMES = (
 )
 
 
+#: Bytes of sheets whose frames go into one Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
     fields = [f.split() for f in schema.split(", ")]
@@ -103,10 +107,11 @@ def component_table(rasters: DataFrame, p: Params) -> DataFrame:
     return rasters.mapInArrow(run, COMPONENTS)
 
 
-def _frames(sheet: int, raster: np.ndarray, p: Params) -> list[list]:
-    h, w = raster.shape[0] // p.rows, raster.shape[1] // p.cols
+def _frames(sheet: int, clean: np.ndarray, p: Params, with_pixels: bool = True) -> list[list]:
+    """Rows of FRAMES for a sheet whose background is removed; crops as arrays, null without pixels."""
+    h, w = clean.shape[0] // p.rows, clean.shape[1] // p.cols
     out = []
-    for row, col, cell in cells_of(kernels.remove_background(raster, p.threshold, p.edge_threshold), p):
+    for row, col, cell in cells_of(clean, p):
         found = kernels.components(cell[..., 3] > 0, p.min_component_area)
         th, tw = cell.shape[:2]
         area, chosen, box = None, (None,) * 4, kernels.visible_box(cell)
@@ -115,28 +120,33 @@ def _frames(sheet: int, raster: np.ndarray, p: Params) -> list[list]:
             pad = p.component_padding
             box = (max(0, chosen[0] - pad), max(0, chosen[1] - pad), min(tw, chosen[2] + pad), min(th, chosen[3] + pad))
         crop = cell[box[1] : box[3], box[0] : box[2]] if box else cell
-        out.append([sheet, row, col, w, h, tw, th, len(found.area), area, *chosen, *(box or (None,) * 4), crop.shape[1], crop.shape[0], 0, 0, np.ascontiguousarray(crop).tobytes()])
+        out.append([sheet, row, col, w, h, tw, th, len(found.area), area, *chosen, *(box or (None,) * 4), crop.shape[1], crop.shape[0], 0, 0, crop if with_pixels else None])
+    width, height = max(x[17] for x in out), max(x[18] for x in out)
     for x in out:
-        x[19], x[20] = max(y[17] for y in out), max(y[18] for y in out)
+        x[19], x[20] = width, height
     return out
 
 
-def cut(rasters: DataFrame, p: Params, with_sheet: bool = False) -> DataFrame:
+def cut(rasters: DataFrame, p: Params, with_pixels: bool = True) -> DataFrame:
     """FRAMES: frames cut to their box, with components counted and, for the largest, selected. An empty frame isn't cut.
 
-    A sheet's frames follow each other in reading order. with_sheet adds sheet_width, sheet_height and, beside the first frame, sheet_rgba.
+    A sheet's frames follow each other in reading order. with_pixels=False leaves rgba null: what a frame measures needs none of them.
     """
-    schema = FRAMES + (", sheet_width int, sheet_height int, sheet_rgba binary" if with_sheet else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0
             for sheet, raster in zip(batch.column("sheet_id").to_pylist(), arrays(batch), strict=True):
-                rows = [tuple(x) for x in _frames(sheet, raster, p)]
-                if with_sheet:
-                    rows = [(*x, raster.shape[1], raster.shape[0], None if i else raster.tobytes()) for i, x in enumerate(rows)]
-                yield _batch(rows, schema)
+                own = _frames(sheet, kernels.remove_background(raster, p.threshold, p.edge_threshold), p, with_pixels)
+                rows += [(*x[:-1], np.ascontiguousarray(x[-1]).tobytes() if with_pixels else None) for x in own]
+                size += raster.nbytes if with_pixels else 0
+                if size >= BATCH_BYTES:
+                    yield _batch(rows, FRAMES)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows, FRAMES)
 
-    return rasters.mapInArrow(run, schema)
+    return rasters.mapInArrow(run, FRAMES)
 
 
 def checked(frames: DataFrame, p: Params) -> DataFrame:
@@ -163,16 +173,10 @@ def edge_touch_frames(frames: DataFrame) -> DataFrame:
     return frames.groupBy("sheet_id").agg(F.array_join(flagged, ",").alias("flagged"))
 
 
-def reject_edge_touch(frames: DataFrame) -> DataFrame:
-    """frames; reading one that touches an edge fails."""
-    message = F.concat(F.lit("a frame touches its cell's edge: sheet "), F.col("sheet_id").cast("string"))
-    return frames.withColumn("edge_touch", F.when(F.col("edge_touch"), F.raise_error(message).cast("boolean")).otherwise(F.col("edge_touch")))
-
-
-def labelled(frames: DataFrame, labels: list[str] | None, prefix: str, cols: int) -> DataFrame:
-    """frames with frame_index from 0 in reading order and label: by position, or the prefix and the number from 1. Frames without label go."""
+def labelled(frames: DataFrame, labels: list[str], cols: int) -> DataFrame:
+    """frames with frame_index from 0 in reading order and label, by position. Frames without label go."""
     index = F.col("grid_row") * cols + F.col("grid_col")
-    label = F.get(F.array(*map(F.lit, labels)), F.col("frame_index")) if labels else F.concat(F.lit(f"{prefix}-"), (F.col("frame_index") + 1).cast("string"))
+    label = F.get(F.array(*map(F.lit, labels)), F.col("frame_index"))
     return frames.withColumn("frame_index", index).withColumn("label", label).where("label IS NOT NULL")
 
 
@@ -182,6 +186,14 @@ def largest_per_frame(components: DataFrame) -> DataFrame:
     return components.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+def canvas_of(crop: np.ndarray, size: int, new_w: int, new_h: int, x: int, y: int) -> np.ndarray:
+    """A clear cell with a frame resampled and put on it."""
+    canvas = np.zeros((size, size, 4), np.uint8)
+    if new_w and new_h:
+        kernels.paste(canvas, kernels.resize(crop, new_w, new_h), x, y)
+    return canvas
+
+
 def render(frames: DataFrame, p: Params) -> DataFrame:
     """placed frames with canvas: the frame resampled and put on a clear cell."""
     columns = [c for c in frames.columns if c != "rgba"]
@@ -190,10 +202,7 @@ def render(frames: DataFrame, p: Params) -> DataFrame:
         for batch in batches:
             out = []
             for w, h, rgba, nw, nh, x, y in zip(*(batch.column(k).to_pylist() for k in ("frame_width", "frame_height", "rgba", "new_w", "new_h", "paste_x", "paste_y")), strict=True):
-                canvas = np.zeros((p.cell_size, p.cell_size, 4), np.uint8)
-                if nw and nh:
-                    kernels.paste(canvas, kernels.resize(array_of(w, h, rgba), nw, nh), x, y)
-                out.append(canvas.tobytes())
+                out.append(canvas_of(array_of(w, h, rgba), p.cell_size, nw, nh, x, y).tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], names=[*columns, "canvas"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.drop("rgba").schema)

@@ -6,6 +6,7 @@ the smallest until they stand still. Runs are in reading order, so the smallest
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -180,6 +181,17 @@ def compose(frames: list[np.ndarray], rows: int, cols: int, cell: int) -> np.nda
     return canvas
 
 
+def placement(width: int, height: int, cell: int, fit: float, align: str = "center", largest: tuple[int, int] | None = None) -> dict[str, int]:
+    """What scalars.placement() computes for columns, in the same order of operations."""
+    if not (width > 0 and height > 0):
+        return {"new_w": 0, "new_h": 0, "paste_x": 0, "paste_y": 0}
+    scale = min(cell / largest[0], cell / largest[1]) * fit if largest and largest[0] and largest[1] else 0.0
+    scale = scale or min(cell / width, cell / height) * fit
+    w, h = max(1, math.floor(width * scale)), max(1, math.floor(height * scale))
+    y = cell - h - max(0, int(cell * (1 - fit) * 0.5)) if align in ("bottom", "feet") else (cell - h) // 2
+    return {"new_w": w, "new_h": h, "paste_x": (cell - w) // 2, "paste_y": y}
+
+
 def centred(pixels: np.ndarray, size: int = 256, threshold: float = 100, edge_threshold: float = 150) -> np.ndarray:
     """The visible part of a single sprite on a square canvas, at nine tenths of it."""
     clean = remove_background(pixels, threshold, edge_threshold)

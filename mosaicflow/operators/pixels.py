@@ -63,8 +63,3 @@ def visible_boxes(cells: DataFrame, *keys: str) -> DataFrame:
     seen = F.col("a") > 0
     pick = lambda agg, c: agg(F.when(seen, F.col(c)))
     return cells.groupBy(*keys).agg(F.count_if(seen).alias("visible"), pick(F.min, "x").alias("x0"), pick(F.min, "y").alias("y0"), (pick(F.max, "x") + 1).alias("x1"), (pick(F.max, "y") + 1).alias("y1"))
-
-
-def hard_mask(pixels: DataFrame) -> DataFrame:
-    """Alpha of all or nothing, from one half on."""
-    return pixels.withColumn("a", F.when(F.col("a") >= 128, 255).otherwise(0))

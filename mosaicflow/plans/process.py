@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import catalog
 from ..operators import frames as fr
 from ..operators import kernels
-from ..operators.animation import gif
+from ..operators.animation import gif, read_gif
 from ..operators.frames import Params
 from ..sources import png
-from ..sources.rasters import array_of
+from ..sources.rasters import arrays
 
 FILES = "sheet_id long, name string, content binary"
+PICTURES = "sheet_id long, name string, frame int, width int, height int, rgba binary"
 
 
 class Request:
@@ -51,6 +52,7 @@ class Request:
 
 
 def _frame_record(row: dict, p: Params) -> dict:
+    # Names of the metadata's fields, which results must match.
     box = lambda *names: [row[n] for n in names] if row[names[0]] is not None else None
     w, h, r, c = row["cell_width"], row["cell_height"], row["grid_row"], row["grid_col"]
     return {
@@ -60,10 +62,29 @@ def _frame_record(row: dict, p: Params) -> dict:
     }
 
 
-def _sheet_files(raster: np.ndarray, rows: list[dict], ask: Request) -> Iterator[tuple[str, bytes]]:
-    p, canvases = ask.params, [array_of(ask.params.cell_size, ask.params.cell_size, r["canvas"]) for r in rows]
+_NAMES = [x.split()[0] for x in fr.FRAMES.split(", ")]
+
+
+def _frame(row: list, p: Params) -> dict:
+    """A row of FRAMES as checked() and placed() complete it."""
+    f = dict(zip(_NAMES, row, strict=True))
+    width, height = (f["trimmed_width"], f["trimmed_height"]) if p.symmetric else (f["cell_width"], f["cell_height"])
+    margin = p.edge_touch_margin
+    touches = f["x0"] is not None and (f["x0"] <= margin or f["y0"] <= margin or f["x1"] >= width - margin or f["y1"] >= height - margin)
+    largest = (f["max_width"], f["max_height"]) if p.shared_scale else None
+    return f | {"edge_touch": touches} | kernels.placement(f["frame_width"], f["frame_height"], p.cell_size, p.fit_scale, p.align, largest)
+
+
+def _sheet_files(raster: np.ndarray, sheet: int, ask: Request) -> Iterator[tuple[str, bytes]]:
+    """All files of a sheet, whose background is removed once and whose frames never leave the task."""
+    p = ask.params
+    clean = kernels.remove_background(raster, p.threshold, p.edge_threshold)
+    rows = [_frame(x, p) for x in fr._frames(sheet, clean, p)]
+    if ask.reject and any(r["edge_touch"] for r in rows):
+        raise ValueError(f"a frame touches its cell's edge: sheet {sheet}")
+    canvases = [fr.canvas_of(r["rgba"], p.cell_size, r["new_w"], r["new_h"], r["paste_x"], r["paste_y"]) for r in rows]
     yield "raw-sheet.png", png.encode(raster)
-    yield "raw-sheet-clean.png", png.encode(kernels.remove_background(raster, p.threshold, p.edge_threshold))
+    yield "raw-sheet-clean.png", png.encode(clean)
     for label, canvas in zip(ask.labels, canvases, strict=False):
         yield f"{label}.png", png.encode(canvas)
     yield "sheet-transparent.png", png.encode(kernels.compose(canvases, p.rows, p.cols, p.cell_size))
@@ -81,47 +102,51 @@ def _sheet_files(raster: np.ndarray, rows: list[dict], ask: Request) -> Iterator
     yield "pipeline-meta.json", json.dumps(meta, indent=2).encode()
 
 
+def _single_files(raster: np.ndarray, sheet: int, ask: Request) -> Iterator[tuple[str, bytes]]:
+    p = ask.params
+    yield "raw.png", png.encode(raster)
+    yield "clean.png", png.encode(kernels.centred(raster, ask.single_size, p.threshold, p.edge_threshold))
+    yield "pipeline-meta.json", json.dumps(ask.metadata() | {"single_size": ask.single_size}, indent=2).encode()
+
+
 def frame_rows(rasters: DataFrame, p: Params) -> DataFrame:
     """Frames cut, checked, placed and rendered, one row each; nothing is shuffled."""
     return fr.render(fr.placed(fr.checked(fr.cut(rasters, p), p), p), p)
 
 
 def process(rasters: DataFrame, ask: Request) -> DataFrame:
-    """All files of each sheet or sprite. With reject_edge_touch, reading fails at a frame that touches its cell's edge, before any file is there."""
-    if not ask.is_sheet:
-        size, p = ask.single_size, ask.params
-
-        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for sheet, w, h, rgba in zip(*(batch.column(k).to_pylist() for k in ("sheet_id", "width", "height", "rgba")), strict=True):
-                    raster = array_of(w, h, rgba)
-                    rows += [(sheet, "raw.png", png.encode(raster)), (sheet, "clean.png", png.encode(kernels.centred(raster, size, p.threshold, p.edge_threshold)))]
-                    rows.append((sheet, "pipeline-meta.json", json.dumps(ask.metadata() | {"single_size": size}, indent=2).encode()))
-                yield fr._batch(rows, FILES)
-
-        files = rasters.select("sheet_id", "width", "height", "rgba").mapInArrow(single, FILES)
-    else:
-        frames = fr.placed(fr.checked(fr.cut(rasters, ask.params, with_sheet=True), ask.params), ask.params)
-        frames = fr.reject_edge_touch(frames) if ask.reject else frames
-        per_sheet = ask.params.rows * ask.params.cols
-
-        def sheet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Nothing was shuffled since the sheets were cut, so the frames of one still follow each other, over batches if need be."""
-            held: list[dict] = []
-            for batch in batches:
-                for row in batch.to_pylist():
-                    held.append(row)
-                    if len(held) == per_sheet:
-                        first = held[0]
-                        raster = array_of(first["sheet_width"], first["sheet_height"], first["sheet_rgba"])
-                        yield fr._batch([(first["sheet_id"], *f) for f in _sheet_files(raster, held, ask)], FILES)
-                        held = []
-            if held:
-                raise ValueError("frames of a sheet are missing")
-
-        files = fr.render(frames, ask.params).mapInArrow(sheet, FILES)
+    """All files of each sheet or sprite, in one pass without a shuffle. With reject_edge_touch, reading fails at a frame that touches its cell's edge, before any file of its sheet is there."""
+    make = _sheet_files if ask.is_sheet else _single_files
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for sheet, raster in zip(batch.column("sheet_id").to_pylist(), arrays(batch), strict=True):
+                for name, content in make(raster, sheet, ask):
+                    rows.append((sheet, name, content))
+                    size += len(content)
+                if size >= fr.BATCH_BYTES:
+                    yield fr._batch(rows, FILES)
+                    rows, size = [], 0
+        if rows:
+            yield fr._batch(rows, FILES)
+
+    files = rasters.select("sheet_id", "width", "height", "rgba").mapInArrow(run, FILES)
     if ask.prompt_text is not None:
         text = F.lit(ask.prompt_text).cast("binary")
         files = files.unionByName(rasters.select("sheet_id", F.lit("prompt-used.txt").alias("name"), text.alias("content")))
     return files
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(sheet_id, name, frame, width, height, rgba) of the pictures among FILES: PNG have one frame, 0, GIF as many as they have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for sheet, name, content in zip(*(batch.column(k).to_pylist() for k in ("sheet_id", "name", "content")), strict=True):
+                frames = read_gif(content)[0] if name.endswith(".gif") else [png.decode(content)]
+                rows += [(sheet, name, i, x.shape[1], x.shape[0], x.tobytes()) for i, x in enumerate(frames)]
+            yield fr._batch(rows, PICTURES)
+
+    return files.where(F.col("name").rlike(r"\.(png|gif)$")).mapInArrow(run, PICTURES)

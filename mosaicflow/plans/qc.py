@@ -22,5 +22,5 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report(rasters: DataFrame, p: Params = SMALL) -> DataFrame:
-    found = fr.checked(fr.cut(rasters, p), p)
+    found = fr.checked(fr.cut(rasters, p, with_pixels=False), p)
     return found.select("sheet_id", "grid_row", "grid_col", "component_count", "selected_area", "x0", "y0", "x1", "y1", "edge_touch")

@@ -12,6 +12,7 @@ from ..functions import catalog, prompts, scalars
 from ..operators import frames as fr
 from ..operators import pixels as px
 from ..operators import planner, scene
+from ..sinks import files as files_sink
 from ..sources import rasters as ra
 from ..sources import scenes
 from . import process as pr
@@ -59,16 +60,25 @@ def slug_documents(spark, sf_dir):
 
 @query(sql.options())
 def list_options_flat(spark, sf_dir):
-    return catalog.options_flat(spark)
-
-
-_LABEL_ROWS = [(m, r, c, i, x) for m, (r, c) in catalog.GRID_SHAPES.items() for i, x in enumerate(catalog.FRAME_LABELS[m])]
+    """The options as rows; of roles the keys, as what is said of them is our own."""
+    return catalog.options_flat(spark).withColumn("value", F.when(F.col("catalog") != "npc_roles", F.col("value")))
 
 
 @query(
-    f"SELECT p_partkey AS sheet_id, mode, CAST(i AS INTEGER) AS frame_index, CAST(i // c AS INTEGER) AS grid_row, CAST(i % c AS INTEGER) AS grid_col, label FROM part JOIN {sql.values(_LABEL_ROWS, 'mode, r, c, i, label')} "
-    f"ON mode = {sql.choice(list(catalog.GRID_SHAPES), f'p_partkey % {len(catalog.GRID_SHAPES)}')}"
+    f"""SELECT 'preset' AS kind, preset AS name, use AS value, CAST(r * 10 + c AS INTEGER) AS number FROM {sql.PRESETS} UNION ALL SELECT 'obstacle', obstacle, shape, 0 FROM {sql.OBSTACLES}
+    UNION ALL SELECT 'rule', topic || '/' || what, NULL, CAST(n AS INTEGER) FROM (VALUES ('background', 'all', 2), ('overlay', 'all', 3), ('identity', 'all', 3), ('containment', 'all', 3), ('detached', 'without_fx', 1), ('detached', 'with_fx', 1),
+    ('view', 'topdown', 1), ('view', 'side', 1), ('view', '3/4', 1), ('look', 'player', 5), ('look', 'creature', 5), ('phases', 'idle', 4), ('phases', 'cast', 6), ('phases', 'attack', 4), ('phases', 'hurt', 4), ('phases', 'combat', 4), ('phases', 'projectile', 4),
+    ('phases', 'impact', 4), ('phases', 'walk', 1), ('sheet', '4x4', 2), ('sheet', '3x3', 4), ('sheet', '1x4', 3)) AS v(topic, what, n)"""
 )
+def planner_catalogs(spark, sf_dir):
+    """Presets, obstacles and, counted, prompt rules."""
+    presets = catalog.sheet_presets(spark).select(F.lit("preset").alias("kind"), F.col("preset").alias("name"), F.col("use").alias("value"), (F.col("grid_rows") * 10 + F.col("grid_cols")).alias("number"))
+    obstacles = catalog.obstacle_shapes(spark).select(F.lit("obstacle"), "obstacle", "shape", F.lit(0))
+    rules = catalog.prompt_rules(spark).groupBy("topic", "applies_to").agg(F.count("*").cast("int").alias("n"))
+    return presets.union(obstacles).union(rules.select(F.lit("rule"), F.concat_ws("/", "topic", "applies_to"), F.lit(None).cast("string"), "n"))
+
+
+@query(f"SELECT p_partkey AS sheet_id, mode, i AS frame_index, CAST(i // c AS INTEGER) AS grid_row, CAST(i % c AS INTEGER) AS grid_col, label FROM part JOIN {sql.FRAME_LABELS} ON number = p_partkey % 20")
 def label_frames(spark, sf_dir):
     modes = list(catalog.GRID_SHAPES)
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("sheet_id"), _pick(modes, F.col("p_partkey") % len(modes)).alias("mode"))
@@ -78,7 +88,7 @@ def label_frames(spark, sf_dir):
 
 @query(
     f"SELECT p_partkey AS sheet_id, mode, coalesce(r, 2) AS grid_rows, coalesce(c, 2) AS grid_cols, CASE WHEN p_size % 3 > 0 THEN (p_size % 3) * 48 WHEN r = 4 AND c = 4 THEN 96 ELSE 128 END AS cell_size FROM "
-    f"(SELECT *, {sql.choice([*catalog.GRID_SHAPES, 'sheet', 'none'], f'p_partkey % {len(catalog.GRID_SHAPES) + 2}')} AS mode FROM part) LEFT JOIN {sql.values([(m, *s) for m, s in catalog.GRID_SHAPES.items()], 'm, r, c')} ON m = mode"
+    f"(SELECT p_partkey, p_size, coalesce(mode, CASE p_partkey % 22 WHEN 20 THEN 'sheet' ELSE 'none' END) AS mode, r, c FROM part LEFT JOIN {sql.SHAPES} ON number = p_partkey % 22)"
 )
 def default_shapes(spark, sf_dir):
     modes = [*catalog.GRID_SHAPES, "sheet", "none"]
@@ -118,14 +128,24 @@ def invalid_mode_pairs(spark, sf_dir):
     return prompts.invalid_requests(requests(spark, sf_dir)).select("request_id", "target", "mode", "role", "reason")
 
 
-_TEMPLATES = [(t, m, prompts._template(t, m), "x".join(map(str, catalog.GRID_SHAPES.get(m, catalog.DEFAULT_SHAPE)))) for t, modes in catalog.TARGET_MODES.items() for m in modes if m != "evolution"]
+# The sentences that prompts are put together from, written out.
+_MONSTER = "Original monster as pixel art, outlined, on flat #FF00FF, no letters."
+_OVERWORLD = "Overworld figure as 16-bit pixel art, outlined, seen from a raised three-quarter view, on flat #FF00FF, no letters."
+_GRID4 = "Four equal cells, two by two, without lines."
+_WHO = """CASE role WHEN 'healer' THEN 'Who holds a steaming cup, a rolled bandage on the belt. ' WHEN 'guard' THEN 'Who stands at attention with a shield and a lantern. ' END"""
+_CELLS = f"""array_to_string(list_transform(range(1, 5), lambda i: list_extract(labels, i) || ' in the ' || list_extract(['top left', 'top right', 'bottom left', 'bottom right'], i)), ', ')"""
 
 
 @query(
-    f"""WITH q AS ({_REQUESTS}), s AS (SELECT q.*, w, shape, d FROM q JOIN {sql.values(_TEMPLATES, "t, m, w, shape")} ON t = target AND m = mode LEFT JOIN (SELECT * FROM {sql.values(list(catalog.NPC_ROLES.items()), "k, d")}) ON k = role
-    WHERE target <> 'npc' OR d IS NOT NULL)
+    f"""WITH q AS ({_REQUESTS}), known AS (SELECT target AS t, m FROM {sql.MODES}, unnest(string_split(modes, ',')) AS u(m)),
+    s AS (SELECT q.*, r, c, string_split({sql.LABELS_OF}, ',') AS labels, CASE WHEN target = 'npc' THEN {_WHO} ELSE '' END AS who, CASE WHEN target IN ('creature', 'asset') THEN '{_MONSTER}' ELSE '{_OVERWORLD}' END AS style
+    FROM q JOIN known ON t = target AND m = q.mode LEFT JOIN (SELECT mode AS shape_mode, r, c FROM {sql.SHAPES}) ON shape_mode = q.mode WHERE q.mode <> 'evolution')
     SELECT target, mode, prompt, role, coalesce(seed, CAST('0x' || substr(sha256(target || '|' || mode || '|' || prompt || '|' || role), 1, 8) AS BIGINT)) AS seed,
-    replace(replace(replace(w, '{{shape}}', shape), '{{role_text}}', coalesce(d, '')), '{{prompt}}', prompt) AS generated_prompt FROM s"""
+    CASE WHEN target = 'asset' AND mode <> 'single' THEN prompt || ', animated in ' || coalesce(r, 2) || 'x' || coalesce(c, 2) || ' cells of one scale. ' || style
+    WHEN mode = 'player_sheet' THEN prompt || ', walking: row 1 down, row 2 left, row 3 right, row 4 up. ' || style || ' Sixteen equal cells, four by four, without lines.'
+    WHEN mode IN ('single', 'player', 'npc') THEN prompt || ', once. ' || who || style
+    ELSE prompt || ', ' || CASE mode WHEN 'idle' THEN 'resting' WHEN 'combat' THEN 'fighting' WHEN 'walk' THEN 'walking' WHEN 'player_walk' THEN 'walking down' WHEN 'npc_walk' THEN 'walking down' ELSE 'acting' END || ': ' || {_CELLS} || '. ' || who || style || ' {_GRID4}' END AS generated_prompt
+    FROM s WHERE who IS NOT NULL"""
 )
 def build_prompts(spark, sf_dir):
     return prompts.build_prompts(requests(spark, sf_dir).where("mode <> 'evolution'"))
@@ -146,10 +166,9 @@ def evolution_prompts(spark, sf_dir):
 # Planner
 
 _BUNDLES = list(catalog.BUNDLES)
-_BUNDLE_ROWS = [(b, i, a, int(d)) for b, assets in catalog.BUNDLES.items() for i, (a, d) in enumerate(assets)]
 
 
-@query(f"SELECT p_partkey AS request_id, bundle, CAST(pos AS INTEGER) AS pos, asset FROM part JOIN {sql.values(_BUNDLE_ROWS, 'bundle, pos, asset, d')} ON bundle = {sql.choice(_BUNDLES, f'p_partkey % {len(_BUNDLES)}')} AND d = 1")
+@query(f"SELECT p_partkey AS request_id, bundle, CAST(pos AS INTEGER) AS pos, asset FROM part JOIN {sql.BUNDLES} ON number = p_partkey % 5 AND d = 1")
 def bundle_expand(spark, sf_dir):
     wanted = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), _pick(_BUNDLES, F.col("p_partkey") % len(_BUNDLES)).alias("bundle"))
     return planner.expand_bundles(wanted).select("request_id", "bundle", "pos", "asset")
@@ -158,10 +177,7 @@ def bundle_expand(spark, sf_dir):
 _HINTS = [*catalog.REQUEST_HINTS, "make something else"]
 
 
-@query(
-    f"SELECT p_partkey AS request_id, request, t AS asset_type, a AS action, p AS preset, r AS role FROM (SELECT *, {sql.choice(_HINTS, f'p_partkey % {len(_HINTS)}')} AS request FROM part) "
-    f"LEFT JOIN {sql.values([(k, *v) for k, v in catalog.REQUEST_HINTS.items()], 'k, t, a, p, r')} ON k = request"
-)
+@query(f"SELECT p_partkey AS request_id, request, t AS asset_type, a AS action, p AS preset, r AS role FROM part JOIN {sql.HINTS} ON number = p_partkey % 10")
 def request_plan(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), _pick(_HINTS, F.col("p_partkey") % len(_HINTS)).alias("request"))
     return planner.plan_requests(rows).select("request_id", "request", "asset_type", "action", "preset", "role")
@@ -272,7 +288,7 @@ def frame_qc_symmetric(spark, sf_dir):
 )
 def shared_scale_placement(spark, sf_dir):
     p = SMALL.but(shared_scale=True, align="feet")
-    found = fr.placed(fr.cut(sheets(spark, sf_dir), p), p)
+    found = fr.placed(fr.cut(sheets(spark, sf_dir), p, with_pixels=False), p)
     return found.select("sheet_id", "grid_row", "grid_col", "frame_width", "frame_height", "new_w", "new_h", "paste_x", "paste_y")
 
 
@@ -281,7 +297,7 @@ def shared_scale_placement(spark, sf_dir):
 )
 def edge_touch_frames(spark, sf_dir):
     p = SMALL.but(symmetric=True)
-    return fr.edge_touch_frames(fr.checked(fr.cut(sheets(spark, sf_dir), p), p))
+    return fr.edge_touch_frames(fr.checked(fr.cut(sheets(spark, sf_dir), p, with_pixels=False), p))
 
 
 # Rasters
@@ -304,6 +320,104 @@ def process_singles(spark, sf_dir):
     return pr.process(sheets(spark, sf_dir), pr.Request("asset", "single", single_size=48)).select("sheet_id", "name", F.length("content").alias("size"), F.md5("content").alias("content_md5"))
 
 
+#: Frames are whole cells at scale 1 and nothing is cleared, so every picture is known pixel by pixel.
+EXACT = {"fit_scale": 1.0, "trim_border": 0, "edge_clean_depth": 0, "threshold": 0, "edge_threshold": 0}
+_COMBAT, _DIRECTIONS = ["attack-1", "attack-2", "hurt-1", "hurt-2"], ["down", "left", "right", "up"]
+
+
+def picture_sums(files: DataFrame) -> DataFrame:
+    """(sheet_id, name, frame, visible, content) of all pictures among FILES, decoded again."""
+    return ra.sums(pr.decoded(files), ["sheet_id", "name", "frame"])
+
+
+@query(sql.exact_pictures(16, _COMBAT, []))
+def exact_sheet_pictures(spark, sf_dir):
+    return picture_sums(pr.process(sheets(spark, sf_dir), pr.Request("creature", "combat", cell_size=16, **EXACT)))
+
+
+@query(sql.exact_pictures(8, [f"{d}-{i}" for d in _DIRECTIONS for i in (1, 2, 3, 4)], _DIRECTIONS))
+def exact_player_pictures(spark, sf_dir):
+    return picture_sums(pr.process(sheets(spark, sf_dir), pr.Request("player", "player_sheet", cell_size=8, shared_scale=True, **EXACT)))
+
+
+@query(
+    f"""{sql.BASE}, {sql.FLOOD} SELECT sheet_id, 'raw-sheet.png' AS name, 0 AS frame, {sql.sums("x", "y", 32)} FROM pix GROUP BY 1
+    UNION ALL SELECT sheet_id, 'raw-sheet-clean.png', 0, {sql.sums("x", "y", 32)} FROM clean GROUP BY 1"""
+)
+def clean_sheet_pictures(spark, sf_dir):
+    files = pr.process(sheets(spark, sf_dir), pr.Request("asset", "none", rows=1, cols=1))
+    return picture_sums(files.where(F.col("name").startswith("raw-sheet")))
+
+
+@query(
+    f"""WITH {sql.PIX} SELECT sheet_id, name, CAST(CASE name WHEN 'raw.png' THEN sum(x + 2 * y + r + 3 * g + 5 * b + 7 * a) END AS BIGINT) AS content FROM pix, (VALUES ('raw.png'), ('clean.png'), ('pipeline-meta.json'), ('prompt-used.txt')) AS t(name) GROUP BY sheet_id, name"""
+)
+def single_sprite_files(spark, sf_dir):
+    files = pr.process(sheets(spark, sf_dir), pr.Request("asset", "single", "a part", single_size=48))
+    raw = ra.pixels(ra.keyed_by(pr.decoded(files.where("name = 'raw.png'")), "sheet_id")).groupBy("sheet_id").agg(F.sum(F.col("x") + 2 * F.col("y") + F.col("r") + 3 * F.col("g") + 5 * F.col("b") + 7 * F.col("a")).alias("content"))
+    return files.select("sheet_id", "name").join(raw, "sheet_id").select("sheet_id", "name", F.when(F.col("name") == "raw.png", F.col("content")).alias("content"))
+
+
+_STRIP = ["raw-sheet.png", "raw-sheet-clean.png", "bit-1.png", "bit-2.png", "bit-3.png", "bit-4.png", "sheet-transparent.png", "animation.gif", "pipeline-meta.json", "prompt-used.txt"]
+
+
+@query(f"SELECT p_partkey AS sheet_id, name, CASE name WHEN 'prompt-used.txt' THEN sha256('four bits') END AS content_sha256 FROM part, unnest(string_split('{','.join(_STRIP)}', ',')) AS u(name)")
+def custom_grid_files(spark, sf_dir):
+    files = pr.process(sheets(spark, sf_dir), pr.Request("asset", "bits", "bits", rows=1, cols=4, label_prefix="bit", prompt_text="four bits", cell_size=12, trim_border=0))
+    return files.select("sheet_id", "name", F.when(F.col("name") == "prompt-used.txt", F.sha2("content", 256)).alias("content_sha256"))
+
+
+_META = "grid array<int>, source_box array<int>, component_mode string, component_count int, selected_component_area int, selected_component_bbox array<int>, crop_bbox array<int>, edge_touch boolean, output_size array<int>, paste_position array<int>"
+_META = f"target string, mode string, prompt string, role string, input string, threshold double, edge_threshold double, duration int, rows int, cols int, cell_size int, fit_scale double, align string, component_mode string, min_component_area int, frame_labels array<string>, frames array<struct<{_META}>>, edge_touch_frames array<array<int>>".replace(": ", ":")
+_AREA = 6
+
+
+def _boxed(*names: str) -> str:
+    return "array_to_string([" + ", ".join(f"CAST({n} AS INTEGER)" for n in names) + "], ',')"
+
+
+@query(
+    f"""{sql.BASE}, {sql.FLOOD}, {sql.VISIBLE}, {sql.LABELS.replace("FROM lab GROUP BY ALL", f"FROM lab GROUP BY ALL HAVING count(*) >= {_AREA}")}, seen AS (SELECT sheet_id, grid_row, grid_col, min(x) AS vx0, min(y) AS vy0, max(x) + 1 AS vx1, max(y) + 1 AS vy1 FROM vis GROUP BY ALL),
+    grid AS (SELECT p_partkey AS sheet_id, gr AS grid_row, gc AS grid_col FROM part, range(2) AS a(gr), range(2) AS b(gc)), counted AS (SELECT sheet_id, grid_row, grid_col, count(*) AS n FROM comp GROUP BY ALL),
+    f AS (SELECT g.*, coalesce(n, 0) AS n, area, k.x0 AS sx0, k.y0 AS sy0, k.x1 AS sx1, k.y1 AS sy1, CASE WHEN area IS NULL THEN vx0 ELSE greatest(0, k.x0 - {sql.PAD}) END AS x0, CASE WHEN area IS NULL THEN vy0 ELSE greatest(0, k.y0 - {sql.PAD}) END AS y0,
+      CASE WHEN area IS NULL THEN vx1 ELSE least({sql.SIDE}, k.x1 + {sql.PAD}) END AS x1, CASE WHEN area IS NULL THEN vy1 ELSE least({sql.SIDE}, k.y1 + {sql.PAD}) END AS y1
+      FROM grid g LEFT JOIN counted USING (sheet_id, grid_row, grid_col) LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) k USING (sheet_id, grid_row, grid_col) LEFT JOIN seen USING (sheet_id, grid_row, grid_col)),
+    w AS (SELECT *, coalesce(x1 - x0, {sql.SIDE}) AS fw, coalesce(y1 - y0, {sql.SIDE}) AS fh, coalesce(x0 <= 2 OR y0 <= 2 OR x1 >= {sql.SIDE} - 2 OR y1 >= {sql.SIDE} - 2, false) AS edge_touch FROM f),
+    z AS (SELECT *, greatest(1, CAST(floor(fw * (least(24.0::DOUBLE / fw, 24.0::DOUBLE / fh) * 0.85::DOUBLE)) AS INTEGER)) AS nw, greatest(1, CAST(floor(fh * (least(24.0::DOUBLE / fw, 24.0::DOUBLE / fh) * 0.85::DOUBLE)) AS INTEGER)) AS nh FROM w)
+    SELECT sheet_id, 'creature|idle|a part||' AS asked, '100.0|150.0|200|2|2|24|0.85|center|largest|{_AREA}' AS settings, 'idle-' || (grid_row * 2 + grid_col + 1) AS label, {sql.ints("grid_row", "grid_col")}, {_boxed("grid_col * 16", "grid_row * 16", "grid_col * 16 + 16", "grid_row * 16 + 16")} AS source_box, CAST(n AS INTEGER) AS component_count,
+    CAST(area AS INTEGER) AS selected_area, CASE WHEN sx0 IS NOT NULL THEN {_boxed("sx0", "sy0", "sx1", "sy1")} END AS selected_box, CASE WHEN x0 IS NOT NULL THEN {_boxed("x0", "y0", "x1", "y1")} END AS crop_box, edge_touch, {_boxed("nw", "nh")} AS output_size, {_boxed("floor((24 - nw) / 2)", "floor((24 - nh) / 2)")} AS paste_position,
+    CAST(count(*) FILTER (edge_touch) OVER (PARTITION BY sheet_id) AS INTEGER) AS n_flagged FROM z"""
+)
+def sheet_metadata(spark, sf_dir):
+    """The metadata file of each sheet, read back: what was asked for, and every frame's record."""
+    p = SMALL.but(min_component_area=_AREA, edge_touch_margin=2, symmetric=True)
+    ask = pr.Request("creature", "idle", "a part", **{k: v for k, v in p.as_dict().items() if k not in ("rows", "cols")})
+    m = pr.process(sheets(spark, sf_dir), ask).where("name = 'pipeline-meta.json'").select("sheet_id", F.from_json(F.col("content").cast("string"), _META).alias("m")).select("sheet_id", "m.*")
+    m = m.select("*", F.posexplode("frames").alias("i", "f"))
+    text = lambda c: F.array_join(F.col(c), ",")
+    return m.select(
+        "sheet_id", F.concat_ws("|", "target", "mode", "prompt", "role", "input").alias("asked"), F.concat_ws("|", "threshold", "edge_threshold", "duration", "rows", "cols", "cell_size", "fit_scale", "align", "component_mode", "min_component_area").alias("settings"),
+        F.get("frame_labels", F.col("i")).alias("label"), F.col("f.grid")[0].alias("grid_row"), F.col("f.grid")[1].alias("grid_col"), text("f.source_box").alias("source_box"), "f.component_count", F.col("f.selected_component_area").alias("selected_area"),
+        text("f.selected_component_bbox").alias("selected_box"), text("f.crop_bbox").alias("crop_box"), "f.edge_touch", text("f.output_size").alias("output_size"), text("f.paste_position").alias("paste_position"), F.size("edge_touch_frames").alias("n_flagged"),
+    )
+
+
+@query(f"{sql.ALL} SELECT sheet_id, CAST(grid_row * 2 + grid_col AS INTEGER) AS frame_index, CASE grid_row * 2 + grid_col WHEN 0 THEN 'stage-1' WHEN 1 THEN 'stage-2' WHEN 2 THEN 'stage-3' END AS label, component_count FROM frame WHERE grid_row * 2 + grid_col < 3")
+def labelled_frames(spark, sf_dir):
+    """Labels by position, as a relation; a frame beyond the labels goes."""
+    found = fr.labelled(fr.cut(sheets(spark, sf_dir), SMALL, with_pixels=False), catalog.FRAME_LABELS["evolution"][:3], SMALL.cols)
+    return found.select("sheet_id", "frame_index", "label", "component_count")
+
+
+@query(f"WITH {sql.PIX} SELECT sheet_id, 32 AS width, 32 AS height, {sql.sums('x', 'y', 32)} FROM pix GROUP BY 1")
+def png_round_trip(spark, sf_dir):
+    """Sheets written as PNG files by executors and found and read again by glob."""
+    folder = files_sink.shared_folder(spark)
+    files_sink.write_files(pr.process(sheets(spark, sf_dir), pr.Request("asset", "none")).where("name = 'raw.png'"), folder)
+    found = ra.read_images(spark, folder, "raw.p*").withColumn("sheet_id", F.regexp_extract("path", r"/(\d+)/raw\.png$", 1).cast("long"))
+    return ra.sums(found, ["sheet_id", "width", "height"])
+
+
 # Scenes
 
 _EXAMPLE = {
@@ -384,7 +498,10 @@ def zone_reachability(spark, sf_dir):
 _CHECKS = [("spawn", 836.0, 782.0, True), ("npc", 836.0, 390.0, True), ("rest", 760.0, 548.0, True), ("grass", 371.0, 457.0, True), ("training", 1311.0, 465.0, True), ("gate", 836.0, 756.0, True), ("pillar", 730.0, 756.0, False), ("pillar edge", 750.0, 800.0, False), ("origin", 0.0, 0.0, False)]
 
 
-@query(f"SELECT point, CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py, CAST(w AS BOOLEAN) AS walkable, true AS passed FROM {sql.values([(a, b, c, int(d)) for a, b, c, d in _CHECKS], 'point, px, py, w')}")
+_ASKED = "(VALUES ('spawn', 836.0, 782.0, true), ('npc', 836.0, 390.0, true), ('rest', 760.0, 548.0, true), ('grass', 371.0, 457.0, true), ('training', 1311.0, 465.0, true), ('gate', 836.0, 756.0, true), ('pillar', 730.0, 756.0, false), ('pillar edge', 750.0, 800.0, false), ('origin', 0.0, 0.0, false)) AS v(point, x, y, expected)"
+
+
+@query(f"SELECT point, px, py, walkable, walkable = expected AS passed FROM (SELECT *, (({_ELLIPSE}) OR ({_TRIANGLE})) AND NOT (px BETWEEN 704 AND 756 AND py BETWEEN 668 AND 844) AS walkable FROM (SELECT point, CAST(x AS DOUBLE) AS px, CAST(y AS DOUBLE) AS py, expected FROM {_ASKED}))")
 def critical_points(spark, sf_dir):
     asked = spark.createDataFrame(_CHECKS, "point string, px double, py double, expected boolean")
     found = scene.walkable(asked, example_shapes(spark), "point")

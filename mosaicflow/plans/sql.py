@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions import catalog
 from .qc import SMALL
 
 
@@ -109,9 +108,62 @@ def touch(size: int) -> str:
     return f"coalesce(x0 <= 0 OR y0 <= 0 OR x1 >= {size} OR y1 >= {size}, false)"
 
 
+# Catalogs written out, so a wrong entry of the Python tables shows. Fixed values, which results must match.
+MODES = """(VALUES
+('creature', 'single,evolution,idle,combat,walk,actions'), ('player', 'player,player_walk,player_sheet,player_actions'), ('npc', 'npc,npc_walk'),
+('asset', 'single,idle,cast,attack,hurt,combat,walk,run,hover,charge,projectile,impact,explode,death,fx,sheet')) AS v(target, modes)"""
+SHAPES = """(VALUES
+(0, 'evolution', 2, 2), (1, 'idle', 2, 2), (2, 'cast', 2, 3), (3, 'attack', 2, 2), (4, 'hurt', 2, 2), (5, 'combat', 2, 2), (6, 'actions', 2, 2), (7, 'walk', 2, 2), (8, 'run', 2, 2), (9, 'hover', 2, 2),
+(10, 'charge', 2, 2), (11, 'projectile', 1, 4), (12, 'impact', 2, 2), (13, 'explode', 2, 2), (14, 'death', 2, 3), (15, 'fx', 2, 2), (16, 'player_walk', 2, 2), (17, 'player_actions', 2, 2), (18, 'npc_walk', 2, 2), (19, 'player_sheet', 4, 4)) AS v(number, mode, r, c)"""
+LABELS_OF = """CASE mode WHEN 'evolution' THEN 'stage-1,stage-2,stage-3,stage-4' WHEN 'combat' THEN 'attack-1,attack-2,hurt-1,hurt-2' WHEN 'actions' THEN 'idle-1,idle-2,attack,hurt'
+WHEN 'player_walk' THEN 'walk-down-1,walk-down-2,walk-down-3,walk-down-4' WHEN 'npc_walk' THEN 'walk-down-1,walk-down-2,walk-down-3,walk-down-4' WHEN 'player_actions' THEN 'idle,walk,attack,hurt'
+WHEN 'player_sheet' THEN 'down-1,down-2,down-3,down-4,left-1,left-2,left-3,left-4,right-1,right-2,right-3,right-4,up-1,up-2,up-3,up-4' ELSE array_to_string(list_transform(range(1, r * c + 1), lambda i: mode || '-' || i), ',') END"""
+FRAME_LABELS = f"(SELECT number, mode, r, c, CAST(i AS INTEGER) AS i, list_extract(labels, i + 1) AS label FROM (SELECT *, string_split({LABELS_OF}, ',') AS labels FROM {SHAPES}), unnest(range(len(labels))) AS u(i))"
+BUNDLES = """(VALUES (0, 'single_asset', 0, 'single', 1), (1, 'unit_bundle', 0, 'idle', 1), (1, 'unit_bundle', 1, 'combat', 1), (1, 'unit_bundle', 2, 'walk', 0), (2, 'spell_bundle', 0, 'cast', 1), (2, 'spell_bundle', 1, 'projectile', 1),
+(2, 'spell_bundle', 2, 'impact', 1), (3, 'combat_bundle', 0, 'idle', 1), (3, 'combat_bundle', 1, 'attack', 1), (3, 'combat_bundle', 2, 'hurt', 1), (4, 'line_bundle', 0, 'form-1', 1), (4, 'line_bundle', 1, 'form-2', 0), (4, 'line_bundle', 2, 'form-3', 0)) AS v(number, bundle, pos, asset, d)"""
+HINTS = """(VALUES (0, 'make a 4-direction main hero', 'player', 'player_sheet', '4x4', NULL), (1, 'make a healer npc', 'npc', 'single_asset', NULL, 'healer'), (2, 'make a healer npc walk sheet', 'npc', 'walk', NULL, NULL),
+(3, 'make a boss idle', 'creature', 'idle', '3x3', NULL), (4, 'make a wizard throwing a magic orb', 'spell', 'spell_bundle', NULL, NULL), (5, 'make a fireball projectile', 'projectile', 'projectile', '1x4', NULL), (6, 'make a hit explosion', 'impact', 'impact', '2x2', NULL),
+(7, 'make a summon entrance', 'summon', 'cast', NULL, NULL), (8, 'make a full fire samurai creature line', 'creature', 'line_bundle', NULL, NULL), (9, 'make something else', NULL, NULL, NULL, NULL)) AS v(number, request, t, a, p, r)"""
+PRESETS = """(VALUES ('1x4', 1, 4, 'projectile'), ('1x4', 1, 4, 'fx'), ('2x2', 2, 2, 'idle'), ('2x2', 2, 2, 'attack'), ('2x2', 2, 2, 'hurt'), ('2x2', 2, 2, 'impact'), ('2x2', 2, 2, 'walk'), ('2x3', 2, 3, 'cast'), ('2x3', 2, 3, 'death'), ('2x3', 2, 3, 'combat'),
+('3x3', 3, 3, 'boss_idle'), ('3x3', 3, 3, 'boss_aura'), ('3x3', 3, 3, 'showcase_idle'), ('4x4', 4, 4, 'player_sheet')) AS v(preset, r, c, use)"""
+OBSTACLES = "(VALUES ('lantern', 'ellipse'), ('rock', 'ellipse'), ('tree', 'ellipse'), ('basin', 'ellipse'), ('fence', 'rect'), ('wall', 'rect'), ('building', 'rect'), ('gate', 'rect'), ('bridge', 'rect'), ('post', 'rect')) AS v(obstacle, shape)"
+ROLE_KEYS = "starter,shop,healer,summoner,sage,trainer,gym_leader,villager,guard"
+
+
 def options() -> str:
-    rows = [("target_modes", t, i, m) for t, modes in catalog.TARGET_MODES.items() for i, m in enumerate(modes)]
-    rows += [("grid_shapes", m, 0, f"{r}x{c}") for m, (r, c) in catalog.GRID_SHAPES.items()]
-    rows += [("frame_labels", m, i, x) for m, labels in catalog.FRAME_LABELS.items() for i, x in enumerate(labels)]
-    rows += [("npc_roles", k, 0, v) for k, v in catalog.NPC_ROLES.items()]
-    return f"SELECT catalog, key, CAST(pos AS INTEGER) AS pos, value FROM {values(rows, 'catalog, key, pos, value')}"
+    return f"""SELECT 'target_modes' AS catalog, target AS key, CAST(i AS INTEGER) AS pos, list_extract(string_split(modes, ','), i + 1) AS value FROM {MODES}, unnest(range(len(string_split(modes, ',')))) AS u(i)
+    UNION ALL SELECT 'grid_shapes', mode, 0, r || 'x' || c FROM {SHAPES} UNION ALL SELECT 'frame_labels', mode, i, label FROM {FRAME_LABELS}
+    UNION ALL SELECT 'npc_roles', k, 0, NULL FROM unnest(string_split('{ROLE_KEYS}', ',')) AS u(k)
+    UNION ALL SELECT 'processor', 'component_mode', 0, 'all' UNION ALL SELECT 'processor', 'component_mode', 1, 'largest'
+    UNION ALL SELECT 'processor', 'align', 0, 'center' UNION ALL SELECT 'processor', 'align', 1, 'bottom' UNION ALL SELECT 'processor', 'align', 2, 'feet'"""
+
+
+def blended(v: str) -> str:
+    """A channel put on a clear canvas through its own alpha."""
+    return f"(({v} * a + 128 + (({v} * a + 128) >> 8)) >> 8)"
+
+
+def sums(x: str, y: str, width: int, channels: tuple[str, str, str, str] = ("r", "g", "b", "a")) -> str:
+    """What picture_sums() computes, of rows of pixels of which x and y are the place in a picture so wide."""
+    r, g, b, a = channels
+    place = f"(({y}) * {width} + ({x}))"
+    return f"count(*) FILTER ({a} > 0) AS visible, CAST(coalesce(sum({place} * ({r} + 3 * {g} + 7 * {b} + {a})) FILTER ({a} > 0), 0) AS BIGINT) AS content"
+
+
+def exact_pictures(cell: int, labels: list[str], strips: list[str]) -> str:
+    """Sums of all pictures of a sheet whose frames are whole cells, at scale 1, with nothing cleared. strips: rows with an animation of their own."""
+    n = 32 // cell
+    channels = tuple(f"CAST({blended(c)} AS INT)" for c in "rgb") + (f"CAST({blended('a')} AS INT)",)
+    group = f"y // {cell}" if strips else "0"
+    name = choice([f"{s}.gif" for s in strips], f"y // {cell}") if strips else "'animation.gif'"
+    frame = f"CAST(x // {cell} AS INTEGER)" if strips else f"CAST(y // {cell} * {n} + x // {cell} AS INTEGER)"
+    seen = "(CASE WHEN clear THEN a >= 128 ELSE NOT (r = 255 AND g = 0 AND b = 255) END)"
+    parts = [
+        f"SELECT sheet_id, name, 0 AS frame, {sums('x', 'y', 32)} FROM pix, (VALUES ('raw-sheet.png'), ('raw-sheet-clean.png')) AS t(name) GROUP BY ALL",
+        f"SELECT sheet_id, 'sheet-transparent.png' AS name, 0 AS frame, {sums('x', 'y', 32, channels)} FROM pix GROUP BY ALL",
+        f"SELECT sheet_id, {choice([f'{x}.png' for x in labels], f'y // {cell} * {n} + x // {cell}')} AS name, 0 AS frame, {sums(f'x % {cell}', f'y % {cell}', cell)} FROM pix GROUP BY ALL",
+        f"SELECT sheet_id, {name} AS name, {frame} AS frame, {sums(f'x % {cell}', f'y % {cell}', cell, ('r', 'g', 'b', f'(CASE WHEN {seen} THEN 255 ELSE 0 END)'))} FROM (SELECT *, bool_or(a < 128) OVER (PARTITION BY sheet_id, {group}) AS clear FROM pix) GROUP BY ALL",
+    ]
+    if strips:
+        parts.append(f"SELECT sheet_id, {choice([f'{s}-strip.png' for s in strips], f'y // {cell}')} AS name, 0 AS frame, {sums('x', f'y % {cell}', 32, channels)} FROM pix GROUP BY ALL")
+    return f"WITH {PIX} " + " UNION ALL ".join(parts)

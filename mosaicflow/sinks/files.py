@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,10 +20,26 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def resolved(folder: str) -> str:
+    """folder as an absolute path, where it is a local one; URIs stay."""
+    return folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir. On one machine alone a temporary one does."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="mosaicflow-")
+    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """(sheet_id, path, size) of the files written below folder/sheet_id; a task that runs again puts the same in their place.
 
-    files may fail where it is read, as it does for rejected sheets; what was moved by then is whole, and a success marker is written last.
+    files may fail where it is read, as it does for rejected sheets; what was moved by then is whole. The result is the manifest, itself a table below
+    the folder, so reading it again writes no file again; a success marker is written last. A local folder is resolved to its absolute path.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +58,10 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([batch.column("sheet_id"), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["sheet_id", "path", "size"])
 
-    written = files.select("sheet_id", "name", "content").mapInArrow(run, "sheet_id long, path string, size long").cache()
+    folder = resolved(folder)
+    schema = "sheet_id long, path string, size long"
+    files.select("sheet_id", "name", "content").mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/_manifest")
+    written = files.sparkSession.read.schema(schema).parquet(f"{folder}/_manifest")
     summary = written.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     store, root = _filesystem(folder)
     store.create_dir(root, recursive=True)

@@ -74,6 +74,28 @@ def read_prompt(spark: SparkSession, path: str | None) -> str | None:
     return row.text if row else None
 
 
+def keyed_by(rasters: DataFrame, key: str) -> DataFrame:
+    """RASTERS with a column as sheet_id, of a table that has more."""
+    return rasters.select(F.col(key).alias("sheet_id"), "width", "height", "rgba")
+
+
+def sums(rasters: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, visible and content of each raster: the number of pixels that aren't clear, and the sum of their place times weighted channels."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*keys).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            visible, content = [], []
+            for x in arrays(batch):
+                flat = x.reshape(-1, 4).astype(np.int64)
+                place = np.flatnonzero(flat[:, 3])
+                visible.append(len(place))
+                content.append(int((place * (flat[place] @ (1, 3, 7, 1))).sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(visible, pa.int64()), pa.array(content, pa.int64())], names=[*keys, "visible", "content"])
+
+    return rasters.mapInArrow(run, f"{schema}, visible long, content long")
+
+
 def pixels(rasters: DataFrame) -> DataFrame:
     """One row a pixel, made in the JVM: the bytes as hex, then numbers."""
     at = F.posexplode(F.split(F.regexp_replace(F.hex("rgba"), "(.{8})", "$1,"), ",")).alias("i", "h")

@@ -243,6 +243,26 @@ def test_process_player_sheet(spark, tmp_path):
     assert (folder / "prompt-used.txt").read_text() == "a hero" and (tmp_path / "out" / "_SUCCESS").exists()
 
 
+def test_lzw_and_palettes_of_any_size():
+    rng = np.random.default_rng(5)
+    for data in (b"", b"a", bytes(20_000), rng.integers(0, 256, 30_000, dtype=np.uint8).tobytes(), rng.integers(0, 3, 50_000, dtype=np.uint8).tobytes()):
+        assert animation._unlzw(animation._lzw(data)) == data
+    index, palette = animation.quantise(rng.integers(0, 256, (60, 60, 3), dtype=np.uint8))
+    assert len(np.unique(index)) == 256
+    few = rng.integers(0, 2, (9, 9, 3), dtype=np.uint8) * 200
+    index, palette = animation.quantise(few)
+    assert (palette[index] == few).all()
+
+
+def test_written_paths_are_absolute_and_read_from_the_manifest(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    out = write_files(pr.process(raster_frame(spark, sheet([(6, 6, 12, 12)])), pr.Request("asset", "single")), "out")
+    paths = [r.path for r in out.collect()]
+    assert all(p.startswith(f"{tmp_path}/out/7/") for p in paths) and len(paths) == 3
+    (tmp_path / "out" / "7" / "raw.png").unlink()
+    assert out.count() == 3 and not (tmp_path / "out" / "7" / "raw.png").exists()
+
+
 def test_process_single_and_rejection(spark):
     picture = sheet([(2, 5, 9, 9)])
     names = {r.name: r.content for r in pr.process(raster_frame(spark, picture), pr.Request("asset", "single")).collect()}

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from mosaicflow.functions import catalog, prompts, scalars
+from mosaicflow.operators import kernels
 
 
 def test_labels_fit_grids():
@@ -26,6 +27,7 @@ def test_placement_matches_arithmetic(spark):
     for w, h, cell, fit, align in cases:
         frame = spark.createDataFrame([(w, h)], "w int, h int")
         got = frame.select(*[c.alias(k) for k, c in scalars.placement(F.col("w"), F.col("h"), cell, fit, align).items()]).first()
+        assert kernels.placement(w, h, cell, fit, align) == got.asDict() or not (w and h)
         if not (w and h):
             assert tuple(got)[:3] == (0, 0, 0)
             continue
@@ -66,5 +68,13 @@ def test_prompts(spark):
     assert bad == {("npc", "role"), ("dragon", "target")}
 
 
+def test_options_document():
+    import json
+
+    document = json.loads(catalog.list_options())
+    assert list(document) == ["targets", "npc_roles", "grid_shapes", "frame_labels", "processor"]
+    assert document["processor"] == {"component_mode": ["all", "largest"], "align": ["center", "bottom", "feet"]}
+
+
 def test_template_for_every_branch(spark):
     assert prompts.templates(spark).count() == sum(map(len, catalog.TARGET_MODES.values())) == 28
