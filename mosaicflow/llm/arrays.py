@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import functools
+import mmap
 import uuid
+from collections import OrderedDict
 from itertools import repeat
 
 import numpy as np
@@ -11,13 +12,21 @@ import numpy as np
 from .common import filesystem
 
 
-#: Shards of one model or count, at most: with more, what a task sends to each would be a few entries.
-MOST_SHARDS = 100_000
+#: Files that a worker keeps mapped, and bytes of files that it keeps read where a store can't be mapped.
+MOST_MAPPED, MOST_READ = 4096, 256 << 20
+#: Files of one kind in one folder.
+FOLDER_FILES = 1000
 
 
 def shard_count(total: int, each: int) -> int:
-    """Shards for so much in all, of each so much; larger ones beyond MOST_SHARDS."""
-    return max(1, min(MOST_SHARDS, -(-total // each)))
+    """Shards for so much in all, of each so much."""
+    return max(1, -(-total // each))
+
+
+def _place(path: str, name: str) -> str:
+    """Where an array file is: numbered ones lie FOLDER_FILES to a folder."""
+    kind, _, number = name.rpartition("-")
+    return f"{path}/{kind}/{int(number) // FOLDER_FILES}/{number}" if kind and number.isdigit() else f"{path}/{name}"
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -34,27 +43,59 @@ def unpacked(data) -> list[np.ndarray]:
     return out
 
 
-def save(folder: str, name: str, *arrays: np.ndarray) -> None:
+def save_bytes(folder: str, name: str, data) -> None:
     """Under a name of the task's own, then moved: a task that runs again puts the same in its place."""
     files, path = filesystem(folder)
-    files.create_dir(path, recursive=True)
-    with files.open_output_stream(mine := f"{path}/{name}.{uuid.uuid4().hex}", compression=None) as out:
-        out.write(packed(*arrays))
-    files.move(mine, f"{path}/{name}")
+    place = _place(path, name)
+    files.create_dir(place.rpartition("/")[0], recursive=True)
+    with files.open_output_stream(mine := f"{place}.{uuid.uuid4().hex}", compression=None) as out:
+        out.write(data)
+    files.move(mine, place)
+
+
+def save(folder: str, name: str, *arrays: np.ndarray) -> None:
+    save_bytes(folder, name, packed(*arrays))
+
+
+def opened(folder: str, name: str):
+    """A file of save_bytes() for reading at places; nothing of it stays in memory."""
+    files, path = filesystem(folder)
+    return files.open_input_file(_place(path, name))
+
+
+#: Arrays by file, last used last: (arrays, map or None, bytes read).
+_kept: OrderedDict[tuple[str, str], tuple[list[np.ndarray] | None, mmap.mmap | None, int]] = OrderedDict()
 
 
-@functools.lru_cache(maxsize=4096)
 def mapped(folder: str, name: str) -> list[np.ndarray] | None:
-    """Arrays of a file: mapped into memory from a folder that all machines mount, read from any other store."""
+    """Arrays of a file, None if it isn't there: mapped into memory from a folder that all machines mount, read from any other store."""
+    if (key := (folder, name)) in _kept:
+        _kept.move_to_end(key)
+        return _kept[key][0]
     from pyarrow import fs
 
     files, path = filesystem(folder)
-    if files.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
-        return None
-    if isinstance(files, fs.LocalFileSystem):
-        return unpacked(np.memmap(f"{path}/{name}", np.uint8, "r"))
-    with files.open_input_file(f"{path}/{name}") as source:
-        return unpacked(source.read())
+    place = _place(path, name)
+    if files.get_file_info(place).type == fs.FileType.NotFound:
+        _kept[key] = (None, None, 0)
+    elif isinstance(files, fs.LocalFileSystem):
+        with open(place, "rb") as source:
+            memory = mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ)
+        _kept[key] = (unpacked(memory), memory, 0)
+    else:
+        with files.open_input_file(place) as source:
+            data = source.read()
+        _kept[key] = (unpacked(data), None, len(data))
+    while len(_kept) > 1 and (len(_kept) > MOST_MAPPED or sum(n for *_, n in _kept.values()) > MOST_READ):
+        _kept.popitem(last=False)
+    return _kept[key][0]
+
+
+def release() -> None:
+    """Give back the memory of mapped pages; they are read again when they are next used."""
+    for _, memory, _ in _kept.values():
+        if memory is not None:
+            memory.madvise(mmap.MADV_DONTNEED)
 
 
 def looked_up(needles: np.ndarray, shard: np.ndarray, open_shard, width: int) -> np.ndarray:

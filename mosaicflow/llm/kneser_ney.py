@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import looked_up, mapped, packed, save, shard_count, unpacked
+from .arrays import looked_up, mapped, packed, release, save, shard_count, unpacked
 from .common import blobs, bound_batches, documents, fresh_uri, map_batches, written
 
 SEED = 7
@@ -254,6 +254,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m, ids = shared.value, batch.column("doc_id").to_pylist()
         context, token, lengths = _pairs(blobs(batch.column("text")))
         p, n = probabilities(m, context, token)
+        release()
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         base = np.log10((n + 1) / (m.tokens + 1.0 * (m.vocabulary + 1)))
         columns = [batch.column("doc_id"), [held_out(i) for i in ids], lengths, np.add.reduceat((n > 0).astype(np.int64), begin), np.full(len(ids), m.tokens, np.int64), np.add.reduceat(base, begin), np.add.reduceat(np.log10(p), begin)]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import looked_up, mapped, packed, save, shard_count, unpacked
+from .arrays import looked_up, mapped, opened, packed, release, save, save_bytes, shard_count, unpacked
 from .common import blobs, bound_batches, discard, documents, fresh_uri, map_batches, written
 
 LENGTH = 200
@@ -258,6 +258,7 @@ def _represent(docs: DataFrame, folder: str, shards: int, bits: int) -> None:
                 if len(mine):
                     data = [texts[t][a : a + n + LENGTH - 1] for t, a, n in zip(x.text[mine].tolist(), x.start[mine].tolist(), x.n[mine].tolist(), strict=True)]
                     out.append((int(s), packed(x.whole[mine], x.anchor[mine].view(np.int64), np.array([len(d) for d in data], np.int64), np.frombuffer(b"".join(data), np.uint8))))
+            release()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["shard", "block"])
 
@@ -269,7 +270,8 @@ def _represent(docs: DataFrame, folder: str, shards: int, bits: int) -> None:
         whole, anchor = whole[order], anchor[order]
         first = np.concatenate([[True], (whole[1:] != whole[:-1]) | (anchor[1:] != anchor[:-1])])
         order = order[first]
-        save(folder, f"bytes-{group.column('shard')[0].as_py()}", whole[first], anchor[first], begin[order], size[order], data)
+        save(folder, f"bytes-{group.column('shard')[0].as_py()}", whole[first], anchor[first], begin[order], size[order])
+        save_bytes(folder, f"data-{group.column('shard')[0].as_py()}", data)
         return pa.table([pa.array([len(order)], pa.int64())], names=["n"])
 
     docs.select("text").mapInArrow(blocks, "shard long, block binary").groupBy("shard").applyInArrow(merged, "n long").agg(F.sum("n")).collect()
@@ -305,12 +307,16 @@ def _same(texts: list[bytes], x: Stretches, shards: int, folder: str) -> tuple[n
     same, other = np.zeros(len(x.whole), bool), np.zeros(len(x.whole), bool)
     shard, place = _places(x.whole, x.anchor, shards, folder, "bytes")
     for s in np.unique(shard[place >= 0]):
-        _, _, begin, size, data = mapped(folder, f"bytes-{s}")
+        _, _, begin, size = mapped(folder, f"bytes-{s}")
         mine = np.flatnonzero((shard == s) & (place >= 0))
-        at = place[mine]
-        for k, t, a, n, b, kept in zip(mine.tolist(), x.text[mine].tolist(), x.start[mine].tolist(), x.n[mine].tolist(), begin[at].tolist(), size[at].tolist(), strict=True):
-            equal = texts[t][a : a + n + LENGTH - 1] == data[b : b + kept].tobytes()
-            same[k], other[k] = equal, not equal
+        mine = mine[np.argsort(begin[place[mine]], kind="stable")]
+        at, last, kept = place[mine], -1, b""
+        with opened(folder, f"data-{s}") as data:
+            for k, t, a, n, b, length in zip(mine.tolist(), x.text[mine].tolist(), x.start[mine].tolist(), x.n[mine].tolist(), begin[at].tolist(), size[at].tolist(), strict=True):
+                if b != last:
+                    last, kept = b, data.read_at(length, b)
+                equal = texts[t][a : a + n + LENGTH - 1] == kept
+                same[k], other[k] = equal, not equal
     return same, other
 
 
@@ -354,6 +360,7 @@ def _judge(docs: DataFrame, folder: str, shards: int, group: int, with_kept: boo
                 data = texts[x.text[k]][a : a + n + LENGTH - 1]
                 out.append(("stretch" if to_sort[k] <= group else "hot", number, *[None] * 6, a, n, anchor[k], int(x.left[k]), whole[k], data))
             row += len(texts)
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ROW_TYPES, strict=True)], names=_ROW_NAMES)
 
     bound_batches(docs.sparkSession)
