@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import looked_up, mapped, packed, release, save, shard_count, unpacked
-from .common import blobs, bound_batches, documents, fresh_uri, map_batches, written
+from .common import blobs, bound_batches, discard, documents, fresh_uri, map_batches, written
 
 SEED = 7
 FOLDS, HELD_OUT = 7, 2
@@ -131,7 +131,9 @@ def _frequent(training: DataFrame) -> tuple[int, np.ndarray]:
     bound_batches(training.sparkSession)
     sums = written(training.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "kn-words")
     total = (sums.where("word = 0").first() or [0, 0])[1]
-    return total, np.array([r.word for r in sums.where((F.col("word") != 0) & (F.col("n") >= HOT * total)).collect()], np.int64).view(np.uint64)
+    hot = np.array([r.word for r in sums.where((F.col("word") != 0) & (F.col("n") >= HOT * total)).collect()], np.int64).view(np.uint64)
+    discard(sums)
+    return total, hot
 
 
 def train(docs: DataFrame, folder: str | None = None) -> Model:
@@ -204,6 +206,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     bigrams, *of = sums(parts.where("kind = 'counts'"), 6)
     vocabulary, tokens, *lower = sums(parts.where("kind = 'words'").select("shard", "block").groupBy("shard").applyInArrow(words, "numbers array<long>"), 7)
     contexts = parts.where("kind = 'hot'").groupBy(F.col("numbers")[0]).agg(*(F.sum(F.col("numbers")[k]) for k in range(1, 5))).collect()
+    discard(parts)
     low = discounts(lower)
     rest = sum(d * n for d, n in zip(low, (lower[0], lower[1], lower[4]), strict=True)) / bigrams if bigrams else 1.0
     return Model(folder, shards, word_shards, tokens, vocabulary, bigrams, discounts(of), low, rest, [tuple(r) for r in contexts])
