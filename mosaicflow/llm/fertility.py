@@ -61,8 +61,9 @@ SCRIPT_BANDS: dict[str, list[Band]] = {
 }
 #: fit_bands() takes so many labelled documents at most, asks for so many in a band, leaves out this share of them and stands so far outside the rest.
 FIT_ROWS, FIT_LEAST, FIT_SHARE, FIT_MARGIN = 20_000, 30, 0.001, 0.05
-#: Largest share of byte-fallback bytes, by script.
-MOST_FALLBACK = {"latin": 0.20, "other": 1.00}
+#: Largest share of byte-fallback bytes: in Latin script, in others, and in others of which the piece vocabulary lacks most letters. There
+#: only signs, spaces and foreign words have pieces, so all but what is without any of them passes.
+MOST_FALLBACK = {"latin": 0.20, "other": 0.25, "unknown": 0.97}
 
 _LATIN = re.compile("[A-Za-zª-ɏ]")
 SCHEMA = (
@@ -134,10 +135,18 @@ def script_of(text: str) -> str:
     return "latin" if 2 * len(_LATIN.findall(text)) >= letters else "other"
 
 
+def lacks_letters(text: str, model: str = "piece_bpe_32k.model") -> bool:
+    """Whether the piece vocabulary has no piece for most of a text's letters."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c in _piece_characters(model) for c in letters) < len(letters)
+
+
 def within(text: str, lang: str | None, n_tokens: int, per_token: float, fallback: float, bits: float, bands: dict[str, list[Band]] = LANGUAGE_BANDS) -> bool:
     script = "latin" if lang in LANGUAGE_BANDS else script_of(text)
     band = next((b for b in reversed(bands.get(lang) or SCRIPT_BANDS[script]) if n_tokens >= b.from_tokens), None)
     low, high = band.chars_per_token if band else (0.0, np.inf)
+    if script == "other" and fallback > MOST_FALLBACK["other"] and lacks_letters(text):
+        script = "unknown"
     return band is None or (low <= per_token <= high and bits >= band.least_entropy and fallback <= MOST_FALLBACK[script])
 
 
@@ -162,7 +171,8 @@ def _measure(batch: pa.RecordBatch, state: tuple[ByteBPE, dict[str, list[Band]]]
 def fertility(docs: DataFrame, columns: list[str], vocabulary: str = "byte_bpe_50k", bands: dict[str, list[Band]] = LANGUAGE_BANDS) -> DataFrame:
     """Each row of docs, as a struct row of the given columns, with its measures and verdict.
 
-    A null text counts as empty: no words, so it fails. A null or unknown lang is judged by its script. Rows that repeat are each judged; no shuffle.
+    A null text counts as empty: no words, so it fails. A null or unknown lang is judged by its script. A very long text is measured whole. Rows that
+    repeat are each judged; no shuffle.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("text").cast("string").alias("text"), lang.alias("lang"))

@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -117,5 +118,24 @@ def test_bands_are_fitted_to_labelled_documents(spark, real, sf_dir):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.5 * len(bad)
 
 
+def test_fitted_bands_on_rows_that_were_not_fitted(spark):
+    """Bands from documents of even id, judged on those of odd id."""
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.is_dir():
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    bands = ft.fit_bands(docs.where("doc_id % 2 = 0"), labels, least=5)
+    rows = ft.verdicts(docs.where("doc_id % 2 = 1"), bands=bands).join(labels, "doc_id").select("quality", "kept", "base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1 and not r.base_failed], [r.kept for r in rows if r.quality == 0]
+    assert len(good) > 100 and len(bad) > 20
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.15 * len(bad)
+
+
+def test_scripts_have_limits_of_fallback():
+    for text, kept in (("Привет, это обычный русский текст о погоде", True), ("ይህ ተራ ዓረፍተ ነገር ነው", True), ("\ue000\ue001" * 40, False), ("привет \ue000\ue001\ue002" * 9, False)):
+        share = ft.byte_fallback_share(text, len(text.encode()))
+        assert ft.within(text, "xx", 50, 1.0, share, 5.0) == kept, text
+
+
 def test_entropy():
     assert ft.entropy(np.array([1, 1, 1])) == 0 and ft.entropy(np.array([1, 2, 3, 4])) == 2 and ft.entropy(np.zeros(0)) == 0
