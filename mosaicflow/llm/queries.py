@@ -13,6 +13,23 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.verdicts(table(spark, sf_dir, "documents"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1 what SQL can express: the base counts and what they fail."""
+    return op1_fertility(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS win FROM d, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5),
+a AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS n FROM g) WHERE n > 1),
+r AS (SELECT rid, count(DISTINCT i + o) AS n FROM a, range(5) AS t(o) GROUP BY rid),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d JOIN l USING (rid) LEFT JOIN r USING (rid))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
+
+
 #: Of the tool that op2 takes each user's turn for a call of.
 ASK = {
     "ask": {
@@ -90,6 +107,19 @@ def op4_assignment_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_found(table(spark, sf_dir, "documents"))
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4 what SQL can express: how many base spans of each kind there are."""
+    return op4_assignment_lexing(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_SQL = r"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM documents
+"""
+
+
 def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -122,6 +152,25 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, kneser_ney.train(docs))
 
 
+def unigram_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8 what SQL can express: folds, counts and the base score, to four places."""
+    return op8_kneser_ney(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+#: CRC-32 of doc_id as text, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+UNIGRAM_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce({_CRC} % 7 = 2, false) AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), chr(10)) AS w FROM documents),
+t AS (SELECT rid, held_out, unnest(w) AS x FROM d),
+c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, d.held_out, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(c) AS BIGINT) AS n_known, n.n AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n.n + 1.0::DOUBLE * (n.v + 1)))), 4) AS base_score
+FROM t JOIN d USING (rid) LEFT JOIN c ON t.x = c.x, n GROUP BY d.rid, doc_id, d.held_out, n.n
+"""
+
+
 def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -158,6 +207,9 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_bit_sliced": op9_bit_sliced,
     "op10_suffix_sort": op10_suffix_sort,
+    "quality_base_counts": quality_base_counts,
+    "secret_base_counts": secret_base_counts,
+    "unigram_base_scores": unigram_base_scores,
 }
 
 ORACLES = {
@@ -165,4 +217,7 @@ ORACLES = {
     "op3_warc_chunks": OP3_SQL,
     "op5_wu_manber": OP5_SQL,
     "op10_suffix_sort": OP10_SQL,
+    "quality_base_counts": QUALITY_SQL,
+    "secret_base_counts": SECRET_SQL,
+    "unigram_base_scores": UNIGRAM_SQL,
 }
