@@ -228,7 +228,15 @@ def _scan(batch: pa.RecordBatch, folder: str, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(counts), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], names=["row", "n_words", "hits", "items"])
 
 
-def search_items(docs: DataFrame, benchmark: DataFrame, columns: list[str], size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(row, n_words, hits, items), row being the given columns."""
+    folder, parts = _build(benchmark, size, block_bytes)
+    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
+    return map_batches(rows, lambda batch: _scan(batch, folder, parts), f"row struct<{fields}>, n_words long, hits array<long>, items array<string>")
+
+
+def search_items(docs: DataFrame, benchmark: DataFrame, columns: list[str], **options) -> DataFrame:
     """Each row of docs with n_words, hits and items, beside the given columns of docs.
 
     hits: runs of hit words as start, end, start, end, ...; items: the sorted ids of items with a window that occurs.
@@ -236,11 +244,7 @@ def search_items(docs: DataFrame, benchmark: DataFrame, columns: list[str], size
     that repeat are each answered; a very long text is searched whole. The benchmark may have any size: each batch is searched for one
     part of block_bytes after the other, without a shuffle of docs, and neither the driver nor a task holds more than a part.
     """
-    folder, parts = _build(benchmark, size, block_bytes)
-    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    found = map_batches(rows, lambda batch: _scan(batch, folder, parts), f"row struct<{fields}>, n_words long, hits array<long>, items array<string>")
-    return found.select("row.*", "n_words", "hits", "items")
+    return _searched(docs, benchmark, columns, **options).select("row.*", "n_words", "hits", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -252,4 +256,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, in which no window of the benchmark occurs."""
-    return search_items(docs, benchmark, docs.columns, **options).where(F.size("hits") == 0).select(*docs.columns)
+    return _searched(docs, benchmark, docs.columns, **options).where(F.size("hits") == 0).select("row.*")

@@ -29,7 +29,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids a
 def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", sequence: int = SEQUENCE, with_ids: bool = True) -> DataFrame:
     """Pieces of at most sequence ids; only documents of more are cut, and only their first piece may be shorter.
 
-    A null or empty text is its end id alone. rank numbers the pieces of one length within a task. Rows that repeat
+    A null or empty text is its end id alone; a very long one is tokenised in parts, cut where no token crosses. rank numbers the pieces of one length within a task. Rows that repeat
     are packed each. with_ids=False leaves ids null.
     """
     bound_batches(docs.sparkSession)

@@ -180,6 +180,7 @@ def secrets_found(docs: DataFrame) -> DataFrame:
 
 def masked_documents(docs: DataFrame) -> DataFrame:
     """docs with secrets masked in text, and n_chars as it then is."""
-    kept = scan(docs, docs.columns).select("row.*", "clean_text")
-    chars = {"n_chars": F.coalesce(F.char_length("clean_text").cast("long"), F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return kept.withColumns(chars | {"text": F.col("clean_text")}).select(*docs.columns)
+    own = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("clean_text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.coalesce(F.char_length("clean_text").cast("long"), own["n_chars"])
+    return scan(docs, docs.columns).select(*(own[c].alias(c) for c in docs.columns))

@@ -219,16 +219,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stays in each group that it is the smallest of; rows that repeat both are one.
     """
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    keys = {"one_none": doc_id.isNull(), "one_id": F.coalesce(doc_id, F.lit(0)), "one_row": F.xxhash64(text)}
+    free = max(map(len, docs.columns), default=0) * "_"  # no column is called so
+    keys = {f"none{free}": doc_id.isNull(), f"id{free}": F.coalesce(doc_id, F.lit(0)), f"hash{free}": F.xxhash64(text)}
     names = list(keys)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(x) for x in blobs(batch.column("text"))], np.uint64)
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(found.view(np.int64))], names=[*names, "fp"])
 
-    prints = map_batches(docs.select(*(c.alias(k) for k, c in keys.items()), text.alias("text")), kernel, "one_none boolean, one_id long, one_row long, fp long")
+    prints = map_batches(docs.select(*(c.alias(k) for k, c in keys.items()), text.alias("text")), kernel, f"{names[0]} boolean, {names[1]} long, {names[2]} long, fp long")
     nodes = written(prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("least")), "fingerprint-nodes")
     found = roots(links(nodes.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "linked")
     group = F.coalesce("root", "fp").alias("group")
-    kept = nodes.join(found, F.col("fp") == F.col("linked"), "left").groupBy(group).agg(F.min("least").alias("least")).select("least.*").where("NOT one_none")
+    kept = nodes.join(found, F.col("fp") == F.col("linked"), "left").groupBy(group).agg(F.min("least").alias("least")).select("least.*").where(f"NOT {names[0]}")
     return docs.withColumns(keys).join(kept, names).dropDuplicates(names).select(*docs.columns)

@@ -61,3 +61,21 @@ def test_odd_documents(spark, frame, docs, tmp_path, texts):
     table.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     frame([(1, "unrelated text of a benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == (1 if len(set(texts)) == 1 else 0)
+
+
+def test_clashing_columns_and_long_texts_through_all_stages(spark, docs, tmp_path):
+    """Columns that stages name themselves, and a text of 3 MB with a secret, a benchmark passage in another, and a copy."""
+    words = " ".join(f"w{(i * 7919) % 1_000_003}x" for i in range(300_000))
+    item = "one passage that stands in the benchmark word for word here"
+    texts = [f"{words} password=hunter2hunter2", f"{words} password=hunter2hunter2", f"some words before {item} and some words after it too", "twelve quite plain words are what this text holds and no more"]
+    table = docs(*texts, langs=dict.fromkeys(range(4), "xx")).withColumnsRenamed({"row": "hits"}).selectExpr("*", "1 AS n_words", "'y' AS items", "1 AS fp", "2 AS clean_text")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = []
+    for _, stage in cp.STAGES[:-1]:
+        table = written(stage(spark, table, str(tmp_path)), "test-stage")
+        assert table.columns[-4:] == ["n_words", "items", "fp", "clean_text"] and "hits" in table.columns
+        kept.append(sorted(r.doc_id for r in table.collect()))
+    assert kept[-3:] == [[0, 2, 3], [0, 3], [0, 3]]
+    assert {r.doc_id: r.text for r in table.collect()}[0] == f"{words} [secret]"
+    pieces = cp.STAGES[-1][1](spark, table, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {0, 3} and sum(r.length for r in pieces) > 300_000
