@@ -63,11 +63,11 @@ _CLOSED_BY = {
 }
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _NOT_CONTENT = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies pagination pager widget toolbar copyright login skip skiplink".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies pagination pager widget toolbar copyright login skip skiplink".split()
 )
 #: Words of class names that say nothing about what an element holds, and such as turn the word after them round.
 _NEUTRAL = frozenset(
-    "area articles bar block body box bottom button buttons col column container content count footer form group header inner item items js left link links list main media outer page panel post posts reader right row section site slot stories text title top unit user wrap wrapper".split()
+    "active area articles bar big block body box bottom button buttons center col column container content count cta desktop fixed floating footer form global google group header inline inner item items large left link links list main media mobile outer page panel post posts primary reader right row secondary section site slot small sticky stories text title top unit user wide wrap wrapper".split()
 )
 _TURNED = frozenset("has hide no not with without".split())
 _MAIN = frozenset(["article", "main"])
@@ -89,7 +89,7 @@ def _names_no_content(name: str) -> bool:
     words = [w.lower() for w in _WORD.findall(name)]
     if not words or any(w in _TURNED for w in words):
         return False
-    telling = [w for w in words if w not in _NEUTRAL]
+    telling = [w for w in words if w in _NOT_CONTENT or len(w) > 2 and w not in _NEUTRAL]
     return words[-1] in _NOT_CONTENT or bool(telling) and all(w in _NOT_CONTENT for w in telling)
 
 

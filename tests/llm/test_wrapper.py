@@ -165,7 +165,7 @@ def test_classes_are_a_prior_alone():
         return f'<body><div class="head">Welcome</div><div class="widget">{story(t)}</div><div class="foot">Terms</div></body>'
 
     assert wr.main_text(odd("new words"), wr.fit([odd(t) for t in TEXTS])) == "new words and sdrow wen at length\n\nAgain new words, new words"
-    for name, kept in (("share-price", True), ("widget-review", True), ("reader-comments", False), ("ad-slot", False), ("shareButtons", False), ("no-sidebar", True), ("post-ads", False), ("adventure", True)):
+    for name, kept in (("share-price", True), ("widget-review", True), ("reader-comments", False), ("ad-slot", False), ("shareButtons", False), ("no-sidebar", True), ("post-ads", False), ("adventure", True), ("cookie-banner-v2", False), ("nav-primary", False), ("google-ad-300x250", False), ("comment-list-item", False), ("menu-of-the-day", True)):
         assert (wr.main_text(f'<article><p>a</p><div class="{name}">b</div></article>') == "a\n\nb") == kept, name
     assert wr.main_text("<article>Let <math><mi>x</mi></math> be a <object>number</object>.<xmp>a &amp; <b></xmp></article>") == "Let x be a number.\n\na &amp; <b>"
 
