@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 def write_files(files: DataFrame, folder: str) -> DataFrame:
     """(sheet_id, path, size) of the files written below folder/sheet_id; a task that runs again puts the same in their place.
 
-    files may fail where it is read, as it does for rejected sheets; what was moved by then is whole. The result is the manifest, itself a table below
+    files may fail where it is read, as it does for rejected sheets; what was moved by then is whole. The result is the manifest, itself a table beside
     the folder, so reading it again writes no file again; a success marker is written last. A local folder is resolved to its absolute path.
     """
 
@@ -58,10 +58,11 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                 sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([batch.column("sheet_id"), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["sheet_id", "path", "size"])
 
-    folder = resolved(folder)
+    folder = resolved(folder).rstrip("/")
+    manifest = f"{folder}.manifest"
     schema = "sheet_id long, path string, size long"
-    files.select("sheet_id", "name", "content").mapInArrow(run, schema).write.mode("overwrite").parquet(f"{folder}/_manifest")
-    written = files.sparkSession.read.schema(schema).parquet(f"{folder}/_manifest")
+    files.select("sheet_id", "name", "content").mapInArrow(run, schema).write.mode("overwrite").parquet(manifest)
+    written = files.sparkSession.read.schema(schema).parquet(manifest)
     summary = written.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     store, root = _filesystem(folder)
     store.create_dir(root, recursive=True)
