@@ -147,6 +147,17 @@ def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
 
 
+#: The made pages hold one article element each, of headings and paragraphs with <b> and <br>. Wrappers are of hosts with different pages.
+OP7_SQL = r"""
+WITH a AS (SELECT *, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1) AS host, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS inner_html FROM pages),
+b AS (SELECT page_id, url, host, html, list_transform(regexp_split_to_array(replace(regexp_replace(inner_html, '</?b>', '', 'g'), '<br>', ' '), '</?(?:p|h1)>'),
+  lambda x: trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT *, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b),
+h AS (SELECT host, count(DISTINCT html) AS n FROM t GROUP BY host)
+SELECT page_id, url, text, length(text) AS n_chars, CASE WHEN n > 1 THEN 'wrapper' ELSE 'marks' END AS decided_by FROM t JOIN h USING (host)
+"""
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return kneser_ney.score(docs, kneser_ney.train(docs))
@@ -162,7 +173,8 @@ _CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(strin
   lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
 UNIGRAM_SQL = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce({_CRC} % 7 = 2, false) AS held_out,
-  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), chr(10)) AS w FROM documents),
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), chr(10)) AS w FROM documents),
 t AS (SELECT rid, held_out, unnest(w) AS x FROM d),
 c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x),
 n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
@@ -216,6 +228,7 @@ ORACLES = {
     "op2_tool_linking": OP2_SQL,
     "op3_warc_chunks": OP3_SQL,
     "op5_wu_manber": OP5_SQL,
+    "op7_wrapper_induction": OP7_SQL,
     "op10_suffix_sort": OP10_SQL,
     "quality_base_counts": QUALITY_SQL,
     "secret_base_counts": SECRET_SQL,

@@ -1,4 +1,4 @@
-"""Base columns of operators that SQL can't express whole, against SQL."""
+"""Base columns of operators that SQL can't express whole, and the articles of made pages, against SQL."""
 
 import pytest
 from support import assert_same
@@ -6,6 +6,6 @@ from support import assert_same
 from mosaicflow.llm.queries import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", ["quality_base_counts", "secret_base_counts", "unigram_base_scores"])
+@pytest.mark.parametrize("name", ["quality_base_counts", "secret_base_counts", "unigram_base_scores", "op7_wrapper_induction"])
 def test_same_as_sql(spark, sf_dir, duck, name):
     assert_same(QUERIES[name](spark, sf_dir), duck, ORACLES[name])
