@@ -29,7 +29,7 @@ HOT = 1e-3
 #: Training tokens for each shard of bigrams.
 SHARD_TOKENS = 4_000_000
 #: Distinct bigrams that a task holds before it sends them off.
-TASK_BIGRAMS = 3_000_000
+TASK_BIGRAMS = 2_000_000
 #: Hashes of the beginning and the end of a text; words never hash these by construction but by chance.
 BEGIN, END = np.uint64(1), np.uint64(2)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
