@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, kneser_ney, packing, secrets, simhash, substrings, toolcalls, warc, wrapper
+from . import decontam, fertility, kneser_ney, linededup, packing, secrets, simhash, substrings, toolcalls, warc, wrapper
 from .common import table
 
 
@@ -208,6 +208,21 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed
 FROM d LEFT JOIN p ON d.rid = p.rid
 """
 
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.deduplicated(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d, unnest(range(1, len(lines) + 1)) AS u(i)),
+f AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT doc_id, i, line, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM l LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op2_tool_linking": op2_tool_linking,
@@ -219,6 +234,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_bit_sliced": op9_bit_sliced,
     "op10_suffix_sort": op10_suffix_sort,
+    "op13_line_dedup": op13_line_dedup,
     "quality_base_counts": quality_base_counts,
     "secret_base_counts": secret_base_counts,
     "unigram_base_scores": unigram_base_scores,
@@ -230,6 +246,7 @@ ORACLES = {
     "op5_wu_manber": OP5_SQL,
     "op7_wrapper_induction": OP7_SQL,
     "op10_suffix_sort": OP10_SQL,
+    "op13_line_dedup": OP13_SQL,
     "quality_base_counts": QUALITY_SQL,
     "secret_base_counts": SECRET_SQL,
     "unigram_base_scores": UNIGRAM_SQL,
