@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, kneser_ney, linededup, packing, secrets, simhash, substrings, toolcalls, warc, wrapper
+from . import decontam, fertility, kneser_ney, linededup, merkle, packing, secrets, simhash, substrings, toolcalls, warc, wrapper
 from .common import table
 
 
@@ -210,6 +210,46 @@ FROM d LEFT JOIN p ON d.rid = p.rid
 
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf(n_chars=F.col("n_chars") + 1)).otherwise(merkle.leaf())
+    found = merkle.proofs(merkle.build(docs, leaves={"tampered": tampered}), extra="tampered string")
+    back = merkle.folded(F.col("tampered"), F.col("siblings"), F.col("right"))
+    columns = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("siblings")).alias("proof_sha256"), back.alias("folded_root"))
+    return columns.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+_UP = "(SELECT tree, CAST(l + 1 AS INTEGER), pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 1) // 2) FROM {t} WHERE n > 1 GROUP BY tree, l, pos // 2)"
+
+
+def _siblings(t: str, of: str) -> str:
+    """Siblings of nodes of the lowest level of t, by level, with the side that they stand on."""
+    return f"""SELECT o.k, list(CASE WHEN s.node IS NULL THEN 'N' WHEN (o.pos >> v.l) % 2 = 1 THEN 'L' || s.node ELSE 'R' || s.node END ORDER BY v.l) AS sib FROM {of} AS o
+  JOIN (SELECT DISTINCT tree, l FROM {t} WHERE n > 1) AS v ON v.tree = o.tree LEFT JOIN {t} AS s ON s.tree = v.tree AND s.l = v.l AND s.pos = xor(o.pos >> v.l, 1::BIGINT) GROUP BY o.k"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE a AS (SELECT row_number() OVER () AS k, doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS tampered FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM a),
+t AS (SELECT tree, 0 AS l, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM o UNION ALL {_UP.format(t="t")}),
+s AS (SELECT tree AS k, 'all' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, node AS subroot FROM t WHERE n = 1),
+u AS (SELECT tree, 0 AS l, pos, subroot AS node, count(*) OVER () AS n FROM s UNION ALL {_UP.format(t="u")}),
+x AS ({_siblings("t", "o")}), y AS ({_siblings("u", "s")}),
+p AS (SELECT doc_id, leaf, tampered, subroot, (SELECT node FROM u WHERE n = 1) AS root, list_concat(coalesce(x.sib, []), coalesce(y.sib, [])) AS sib FROM o JOIN s ON s.k = o.tree LEFT JOIN x ON x.k = o.k LEFT JOIN y ON y.k = o.tree),
+f AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sib, lambda b: b[2:]), '')) AS proof_sha256,
+  list_reduce(list_concat([tampered], sib), lambda c, b: CASE b[1] WHEN 'L' THEN sha256(b[2:] || c) WHEN 'R' THEN sha256(c || b[2:]) ELSE sha256(c) END) AS folded_root FROM p)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.deduplicated(table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -234,6 +274,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_bit_sliced": op9_bit_sliced,
     "op10_suffix_sort": op10_suffix_sort,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_line_dedup": op13_line_dedup,
     "quality_base_counts": quality_base_counts,
     "secret_base_counts": secret_base_counts,
@@ -246,6 +287,7 @@ ORACLES = {
     "op5_wu_manber": OP5_SQL,
     "op7_wrapper_induction": OP7_SQL,
     "op10_suffix_sort": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
     "op13_line_dedup": OP13_SQL,
     "quality_base_counts": QUALITY_SQL,
     "secret_base_counts": SECRET_SQL,
