@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fertility, kneser_ney, linededup, merkle, packing, secrets, simhash, substrings, toolcalls, warc, wrapper
+from . import alignment, decontam, fertility, kneser_ney, linededup, merkle, packing, secrets, simhash, substrings, toolcalls, warc, wrapper
 from .common import table
 
 
@@ -210,6 +210,11 @@ FROM d LEFT JOIN p ON d.rid = p.rid
 
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.alignments(table(spark, sf_dir, "documents"), with_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf(n_chars=F.col("n_chars") + 1)).otherwise(merkle.leaf())
@@ -274,6 +279,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_bit_sliced": op9_bit_sliced,
     "op10_suffix_sort": op10_suffix_sort,
+    "op11_token_alignment": op11_token_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_line_dedup": op13_line_dedup,
     "quality_base_counts": quality_base_counts,

@@ -49,6 +49,32 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=4)
+def _ordinary(path: str):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
+class PieceBPE:
+    """Ids of a sentencepiece model, which puts a space before a text."""
+
+    def __init__(self, vocabulary: str = "piece_bpe_32k"):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=file_of(f"{vocabulary}.model"))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
+
+    def token_bytes(self) -> list[bytes]:
+        """What each id stands for: its piece with spaces, or one byte."""
+        m = self.model
+        return [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(m.id_to_piece(list(range(m.get_piece_size()))))]
+
+
 class ByteBPE:
     """Ids as the tokenizers file gives them without special tokens added.
 
@@ -68,6 +94,14 @@ class ByteBPE:
             return np.concatenate([first, *(y for x in rest for y in (np.array([ENDOFTEXT_ID], np.uint32), x))])
         return self._plain(text)
 
+    def ordinary(self, text: str) -> np.ndarray:
+        """Ids where strings of special tokens are plain text."""
+        return np.array(_ordinary(self.json).encode(text, add_special_tokens=False).ids, np.uint32) if _PLAIN(text) else self._plain(text)
+
+    def token_bytes(self) -> list[bytes]:
+        """What each id stands for, but for the end-of-text token."""
+        return [self.fast.decode_single_token_bytes(i) for i in range(self.fast.max_token_value + 1)]
+
     def _plain(self, text: str) -> np.ndarray:
         found = [self.fast.encode_to_numpy(x, disallowed_special=()) for x in parts(text) if x]
         return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.uint32), *found])
