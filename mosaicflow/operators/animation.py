@@ -29,9 +29,14 @@ def quantise(rgb: np.ndarray, colours: int = 256) -> tuple[np.ndarray, np.ndarra
     """(indexes, palette) by median cut over distinct colours, without dithering; exact where there are no more than colours."""
     flat = rgb.reshape(-1, 3).astype(np.int64)
     code, back, count = np.unique(flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2], return_inverse=True, return_counts=True)
-    ages = itertools.count(1)
     points = np.stack([code >> 16, code >> 8 & 255, code & 255], axis=1)
 
+    if len(points) <= colours:
+        palette = np.zeros((256, 3), np.uint8)
+        palette[: len(points)] = points
+        return back.astype(np.uint8).reshape(rgb.shape[:2]), palette
+    ages = itertools.count(1)
+
     def ranked(box: np.ndarray, age: int) -> tuple[int, int, np.ndarray, int]:
         own = points[box]
         spread = own.max(axis=0) - own.min(axis=0)

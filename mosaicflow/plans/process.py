@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,38 +76,63 @@ def _frame(row: list, p: Params) -> dict:
     return f | {"edge_touch": touches} | kernels.placement(f["frame_width"], f["frame_height"], p.cell_size, p.fit_scale, p.align, largest)
 
 
-def _sheet_files(raster: np.ndarray, sheet: int, ask: Request) -> Iterator[tuple[str, bytes]]:
-    """All files of a sheet, whose background is removed once and whose frames never leave the task."""
+class _Sheet:
+    """What files of a sheet are made from, each made once and only when a file asks for it."""
+
+    def __init__(self, raster: np.ndarray, sheet: int, ask: Request):
+        self.raster, self.sheet, self.ask = raster, sheet, ask
+
+    @functools.cached_property
+    def clean(self) -> np.ndarray:
+        return kernels.remove_background(self.raster, self.ask.params.threshold, self.ask.params.edge_threshold)
+
+    @functools.cached_property
+    def rows(self) -> list[dict]:
+        return [_frame(x, self.ask.params) for x in fr._frames(self.sheet, self.clean, self.ask.params)]
+
+    @functools.cached_property
+    def canvases(self) -> list[np.ndarray]:
+        return [fr.canvas_of(r["rgba"], self.ask.params.cell_size, r["new_w"], r["new_h"], r["paste_x"], r["paste_y"]) for r in self.rows]
+
+    @functools.cached_property
+    def single(self) -> np.ndarray:
+        p = self.ask.params
+        return kernels.centred(self.raster, self.ask.single_size, p.threshold, p.edge_threshold)
+
+    def composed(self, canvases: list[np.ndarray], rows: int) -> bytes:
+        return png.encode(kernels.compose(canvases, rows, self.ask.params.cols, self.ask.params.cell_size))
+
+    def metadata(self) -> bytes:
+        ask, p = self.ask, self.ask.params
+        if not ask.is_sheet:
+            return json.dumps(ask.metadata() | {"single_size": ask.single_size}, indent=2).encode()
+        meta = ask.metadata() | ({"directions": catalog.DIRECTIONS} if ask.by_direction else {})
+        meta |= {k: v for k, v in p.as_dict().items() if k not in ("threshold", "edge_threshold", "symmetric")}
+        meta |= {"frame_labels": ask.labels, "frames": [_frame_record(r, p) for r in self.rows], "edge_touch_frames": [[r["grid_row"], r["grid_col"]] for r in self.rows if r["edge_touch"]]}
+        return json.dumps(meta, indent=2).encode()
+
+
+#: By name, what makes a file's bytes from a sheet.
+Makers = dict[str, Callable[[_Sheet], bytes]]
+
+
+def _makers(ask: Request) -> Makers:
+    """All files that are asked for, in order, but for the prompt's."""
     p = ask.params
-    clean = kernels.remove_background(raster, p.threshold, p.edge_threshold)
-    rows = [_frame(x, p) for x in fr._frames(sheet, clean, p)]
-    if ask.reject and any(r["edge_touch"] for r in rows):
-        raise ValueError(f"a frame touches its cell's edge: sheet {sheet}")
-    canvases = [fr.canvas_of(r["rgba"], p.cell_size, r["new_w"], r["new_h"], r["paste_x"], r["paste_y"]) for r in rows]
-    yield "raw-sheet.png", png.encode(raster)
-    yield "raw-sheet-clean.png", png.encode(clean)
-    for label, canvas in zip(ask.labels, canvases, strict=False):
-        yield f"{label}.png", png.encode(canvas)
-    yield "sheet-transparent.png", png.encode(kernels.compose(canvases, p.rows, p.cols, p.cell_size))
-    meta = ask.metadata()
+    if not ask.is_sheet:
+        return {"raw.png": lambda s: png.encode(s.raster), "clean.png": lambda s: png.encode(s.single), "pipeline-meta.json": _Sheet.metadata}
+    out: Makers = {"raw-sheet.png": lambda s: png.encode(s.raster), "raw-sheet-clean.png": lambda s: png.encode(s.clean)}
+    for i, label in enumerate(ask.labels[: p.rows * p.cols]):
+        out[f"{label}.png"] = lambda s, i=i: png.encode(s.canvases[i])
+    out["sheet-transparent.png"] = lambda s: s.composed(s.canvases, p.rows)
     if ask.by_direction:
         for i, direction in enumerate(catalog.DIRECTIONS):
-            own = canvases[i * p.cols : (i + 1) * p.cols]
-            yield f"{direction}-strip.png", png.encode(kernels.compose(own, 1, p.cols, p.cell_size))
-            yield f"{direction}.gif", gif(own, ask.duration)
-        meta["directions"] = catalog.DIRECTIONS
+            own = slice(i * p.cols, (i + 1) * p.cols)
+            out[f"{direction}-strip.png"] = lambda s, own=own: s.composed(s.canvases[own], 1)
+            out[f"{direction}.gif"] = lambda s, own=own: gif(s.canvases[own], ask.duration)
     else:
-        yield "animation.gif", gif(canvases, ask.duration)
-    meta |= {k: v for k, v in p.as_dict().items() if k not in ("threshold", "edge_threshold", "symmetric")}
-    meta |= {"frame_labels": ask.labels, "frames": [_frame_record(r, p) for r in rows], "edge_touch_frames": [[r["grid_row"], r["grid_col"]] for r in rows if r["edge_touch"]]}
-    yield "pipeline-meta.json", json.dumps(meta, indent=2).encode()
-
-
-def _single_files(raster: np.ndarray, sheet: int, ask: Request) -> Iterator[tuple[str, bytes]]:
-    p = ask.params
-    yield "raw.png", png.encode(raster)
-    yield "clean.png", png.encode(kernels.centred(raster, ask.single_size, p.threshold, p.edge_threshold))
-    yield "pipeline-meta.json", json.dumps(ask.metadata() | {"single_size": ask.single_size}, indent=2).encode()
+        out["animation.gif"] = lambda s: gif(s.canvases, ask.duration)
+    return out | {"pipeline-meta.json": _Sheet.metadata}
 
 
 def frame_rows(rasters: DataFrame, p: Params) -> DataFrame:
@@ -114,16 +140,26 @@ def frame_rows(rasters: DataFrame, p: Params) -> DataFrame:
     return fr.render(fr.placed(fr.checked(fr.cut(rasters, p), p), p), p)
 
 
-def process(rasters: DataFrame, ask: Request) -> DataFrame:
-    """All files of each sheet or sprite, in one pass without a shuffle. With reject_edge_touch, reading fails at a frame that touches its cell's edge, before any file of its sheet is there."""
-    make = _sheet_files if ask.is_sheet else _single_files
+PROMPT_FILE = "prompt-used.txt"
+
+
+def process(rasters: DataFrame, ask: Request, only: Iterable[str] | None = None) -> DataFrame:
+    """All files of each sheet or sprite, or only those named, in one pass without a shuffle; nothing is made that no file needs.
+
+    With reject_edge_touch, reading fails at a frame that touches its cell's edge, before any file of its sheet is there, whatever files are named.
+    """
+    wanted = None if only is None else set(only)
+    makers = {name: make for name, make in _makers(ask).items() if wanted is None or name in wanted}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for sheet, raster in zip(batch.column("sheet_id").to_pylist(), arrays(batch), strict=True):
-                for name, content in make(raster, sheet, ask):
-                    rows.append((sheet, name, content))
+            for number, raster in zip(batch.column("sheet_id").to_pylist(), arrays(batch), strict=True):
+                sheet = _Sheet(raster, number, ask)
+                if ask.reject and ask.is_sheet and any(r["edge_touch"] for r in sheet.rows):
+                    raise ValueError(f"a frame touches its cell's edge: sheet {number}")
+                for name, make in makers.items():
+                    rows.append((number, name, content := make(sheet)))
                     size += len(content)
                 if size >= fr.BATCH_BYTES:
                     yield fr._batch(rows, FILES)
@@ -132,9 +168,9 @@ def process(rasters: DataFrame, ask: Request) -> DataFrame:
             yield fr._batch(rows, FILES)
 
     files = rasters.select("sheet_id", "width", "height", "rgba").mapInArrow(run, FILES)
-    if ask.prompt_text is not None:
+    if ask.prompt_text is not None and (wanted is None or PROMPT_FILE in wanted):
         text = F.lit(ask.prompt_text).cast("binary")
-        files = files.unionByName(rasters.select("sheet_id", F.lit("prompt-used.txt").alias("name"), text.alias("content")))
+        files = files.unionByName(rasters.select("sheet_id", F.lit(PROMPT_FILE).alias("name"), text.alias("content")))
     return files
 
 
@@ -150,3 +186,19 @@ def decoded(files: DataFrame) -> DataFrame:
             yield fr._batch(rows, PICTURES)
 
     return files.where(F.col("name").rlike(r"\.(png|gif)$")).mapInArrow(run, PICTURES)
+
+
+def weighted_sums(files: DataFrame, picture: str) -> DataFrame:
+    """(sheet_id, name, content) of all FILES in one pass: of PNG files of one name the sum of x + 2y and weighted channels over all pixels, of others null."""
+
+    def total(content: bytes) -> int:
+        x = png.decode(content).astype(np.int64)
+        v, u = np.mgrid[: x.shape[0], : x.shape[1]]
+        return int((u + 2 * v + x @ (1, 3, 5, 7)).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [total(content) if name == picture else None for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("sheet_id"), batch.column("name"), pa.array(sums, pa.int64())], names=["sheet_id", "name", "content"])
+
+    return files.mapInArrow(run, "sheet_id long, name string, content long")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +17,9 @@ from ..sources import scenes
 from . import process as pr
 from . import sql
 from .qc import SMALL, read, report, sheets
+from .registry import ORACLES, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _pick(options: list, index) -> F.Column:
@@ -345,17 +333,14 @@ def exact_player_pictures(spark, sf_dir):
     UNION ALL SELECT sheet_id, 'raw-sheet-clean.png', 0, {sql.sums("x", "y", 32)} FROM clean GROUP BY 1"""
 )
 def clean_sheet_pictures(spark, sf_dir):
-    files = pr.process(sheets(spark, sf_dir), pr.Request("asset", "none", rows=1, cols=1))
-    return picture_sums(files.where(F.col("name").startswith("raw-sheet")))
+    return picture_sums(pr.process(sheets(spark, sf_dir), pr.Request("asset", "none", rows=1, cols=1), only=["raw-sheet.png", "raw-sheet-clean.png"]))
 
 
 @query(
     f"""WITH {sql.PIX} SELECT sheet_id, name, CAST(CASE name WHEN 'raw.png' THEN sum(x + 2 * y + r + 3 * g + 5 * b + 7 * a) END AS BIGINT) AS content FROM pix, (VALUES ('raw.png'), ('clean.png'), ('pipeline-meta.json'), ('prompt-used.txt')) AS t(name) GROUP BY sheet_id, name"""
 )
 def single_sprite_files(spark, sf_dir):
-    files = pr.process(sheets(spark, sf_dir), pr.Request("asset", "single", "a part", single_size=48))
-    raw = ra.pixels(ra.keyed_by(pr.decoded(files.where("name = 'raw.png'")), "sheet_id")).groupBy("sheet_id").agg(F.sum(F.col("x") + 2 * F.col("y") + F.col("r") + 3 * F.col("g") + 5 * F.col("b") + 7 * F.col("a")).alias("content"))
-    return files.select("sheet_id", "name").join(raw, "sheet_id").select("sheet_id", "name", F.when(F.col("name") == "raw.png", F.col("content")).alias("content"))
+    return pr.weighted_sums(pr.process(sheets(spark, sf_dir), pr.Request("asset", "single", "a part", single_size=48)), "raw.png")
 
 
 _STRIP = ["raw-sheet.png", "raw-sheet-clean.png", "bit-1.png", "bit-2.png", "bit-3.png", "bit-4.png", "sheet-transparent.png", "animation.gif", "pipeline-meta.json", "prompt-used.txt"]
@@ -392,7 +377,7 @@ def sheet_metadata(spark, sf_dir):
     """The metadata file of each sheet, read back: what was asked for, and every frame's record."""
     p = SMALL.but(min_component_area=_AREA, edge_touch_margin=2, symmetric=True)
     ask = pr.Request("creature", "idle", "a part", **{k: v for k, v in p.as_dict().items() if k not in ("rows", "cols")})
-    m = pr.process(sheets(spark, sf_dir), ask).where("name = 'pipeline-meta.json'").select("sheet_id", F.from_json(F.col("content").cast("string"), _META).alias("m")).select("sheet_id", "m.*")
+    m = pr.process(sheets(spark, sf_dir), ask, only=["pipeline-meta.json"]).select("sheet_id", F.from_json(F.col("content").cast("string"), _META).alias("m")).select("sheet_id", "m.*")
     m = m.select("*", F.posexplode("frames").alias("i", "f"))
     text = lambda c: F.array_join(F.col(c), ",")
     return m.select(
@@ -413,7 +398,7 @@ def labelled_frames(spark, sf_dir):
 def png_round_trip(spark, sf_dir):
     """Sheets written as PNG files by executors and found and read again by glob."""
     folder = files_sink.shared_folder(spark)
-    files_sink.write_files(pr.process(sheets(spark, sf_dir), pr.Request("asset", "none")).where("name = 'raw.png'"), folder)
+    files_sink.write_files(pr.process(sheets(spark, sf_dir), pr.Request("asset", "none"), only=["raw.png"]), folder)
     found = ra.read_images(spark, folder, "raw.p*").withColumn("sheet_id", F.regexp_extract("path", r"/(\d+)/raw\.png$", 1).cast("long"))
     return ra.sums(found, ["sheet_id", "width", "height"])
 
