@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import temporal
+from ..operators import regions, temporal
 from .qc import read
 from .registry import query
 
@@ -49,3 +49,24 @@ def overlapping_events(spark, sf_dir):
     found = temporal.overlap_join(spans.where("event_type = 'purchase'"), spans.where("event_type = 'error'"), "a", "b", ["user_id"])
     begin = F.greatest("left.a", "right.a")
     return found.select(F.col("left.event_id").alias("left_id"), F.col("right.event_id").alias("right_id"), begin.alias("overlap_start"), (F.least("left.b", "right.b") - begin).alias("overlap_us"))
+
+
+#: A tall grid that grows with lineitem: row l_orderkey // 5, and eight cells from each fourth column on.
+_STROKES = "SELECT DISTINCT l_partkey % 200 AS s, l_orderkey // 5 AS y FROM lineitem"
+
+
+@query(
+    f"""WITH RECURSIVE n AS ({_STROKES}),
+    lab(s, y, label) USING KEY (s, y) AS (
+      SELECT s, y, y * 1000 + s FROM n
+      UNION
+      SELECT w.s, w.y, min(l.label) FROM lab l, (VALUES (1, 0), (2, 0), (-1, 0), (-2, 0), (-1, 1), (0, 1), (1, 1), (-1, -1), (0, -1), (1, -1)) AS o(os, oy), recurring.lab w
+      WHERE w.s = l.s + os AND w.y = l.y + oy AND l.label < w.label GROUP BY w.s, w.y
+    ), c AS (SELECT DISTINCT label, 4 * s + i AS x, y FROM lab, range(8) AS t(i))
+    SELECT label % 1000 * 4 AS first_x, label // 1000 AS first_y, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM c GROUP BY label"""
+)
+def tiled_regions(spark, sf_dir):
+    """Connected regions of one grid made from all of lineitem, by tiles of 128 x 128 cells."""
+    strokes = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("s"), F.expr("l_orderkey div 5").alias("y"))
+    cells = strokes.select(F.explode(F.sequence(F.col("s") * 4, F.col("s") * 4 + 7)).alias("x"), "y")
+    return regions.region_table(cells, [], tile=128)
