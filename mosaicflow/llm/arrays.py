@@ -5,6 +5,7 @@ from __future__ import annotations
 import mmap
 import uuid
 from collections import OrderedDict
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -23,6 +24,22 @@ def shard_count(total: int, each: int) -> int:
     return max(1, -(-total // each))
 
 
+def by_shard(shard: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(shard, its part of each array, in order), by one sort: time doesn't grow with the number of shards."""
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+    arrays = [a[order] for a in arrays]
+    for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=False):
+        yield int(shard[begin]), [a[begin:end] for a in arrays]
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the least of 1, 2, 4 or 8 bytes that hold the largest of them."""
+    most = int(counts.max(initial=0))
+    return counts.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if most >> 8 * n == 0))
+
+
 def _place(path: str, name: str) -> str:
     """Where an array file is: numbered ones lie FOLDER_FILES to a folder."""
     kind, _, number = name.rpartition("-")
@@ -30,7 +47,8 @@ def _place(path: str, name: str) -> str:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes(), *(a.dtype.str.encode().ljust(8) for a in arrays), *(a.tobytes() for a in arrays)])
+    """Arrays as bytes, each from a multiple of 8 on: searching a mapped array that isn't aligned would copy it."""
+    return b"".join([np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes(), *(a.dtype.str.encode().ljust(8) for a in arrays), *(x for a in arrays for x in (a.tobytes(), bytes(-a.nbytes % 8)))])
 
 
 def unpacked(data) -> list[np.ndarray]:
@@ -39,7 +57,7 @@ def unpacked(data) -> list[np.ndarray]:
     for k, length in enumerate(lengths):
         kind = np.dtype(bytes(data[8 + 8 * n + 8 * k : 16 + 8 * n + 8 * k]).decode().strip())
         out.append(np.frombuffer(data, kind, length, at))
-        at += int(length) * kind.itemsize
+        at += -(-int(length) * kind.itemsize // 8) * 8
     return out
 
 

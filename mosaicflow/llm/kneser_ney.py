@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import looked_up, mapped, packed, release, save, shard_count, unpacked
+from .arrays import by_shard, looked_up, mapped, narrow, packed, release, save, shard_count, unpacked
 from .common import blobs, bound_batches, discard, documents, fresh_uri, map_batches, written
 
 SEED = 7
@@ -113,6 +113,16 @@ def _of_counts(count: np.ndarray) -> list[int]:
     return [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count >= 3).sum())]
 
 
+def sent_blocks(context: np.ndarray, token: np.ndarray, n: np.ndarray, hot: np.ndarray, shards: int) -> list[tuple[int, bytes]]:
+    """(shard, block) of sorted distinct bigrams: contexts once with the number of their tokens, tokens, and counts."""
+    shard = _shard_of(context, token, hot, shards)
+    out = []
+    for s, (context, token, n) in by_shard(shard, context, token, n):
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        out.append((s, packed(context[first], narrow(np.diff(np.append(first, len(context)))), token, narrow(n))))
+    return out
+
+
 def _training(docs: DataFrame) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     return documents(docs).where(F.coalesce(fold != HELD_OUT, F.lit(True))).select("text")
@@ -150,13 +160,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         held = []
 
         def sent() -> pa.RecordBatch:
-            context, token, n = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            shard = _shard_of(context, token, hot, shards)
-            out = []
-            for s in np.unique(shard):
-                own = shard == s
-                own_context, size = np.unique(context[own], return_counts=True)
-                out.append((int(s), packed(own_context, size.astype("<u4"), token[own], n[own].astype("<u4"))))
+            out = sent_blocks(*_counted(*(np.concatenate(x) for x in zip(*held, strict=True))), hot, shards)
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["shard", "block"])
 
         for batch in batches:
@@ -181,10 +185,10 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         order = np.argsort(key, kind="stable")
         stats = _by_word(context, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))
         is_hot = np.isin(stats[0], hot)
-        save(folder, f"bigrams-{shard}", key[order], n[order].astype("<u4"), *(x[~is_hot] for x in stats))
+        save(folder, f"bigrams-{shard}", key[order], narrow(n[order]), *(x[~is_hot] for x in stats))
         word, total_n, continued = _by_word(token, n, np.ones(len(n), np.int64))
         place = (word >> np.uint64(24)) % np.uint64(word_shards)
-        rows = [("words", int(p), packed(word[place == p], total_n[place == p], continued[place == p].astype("<u4")), None) for p in np.unique(place)]
+        rows = [("words", p, packed(x, narrow(y), narrow(z)), None) for p, (x, y, z) in by_shard(place, word, total_n, continued)]
         rows += [("hot", 0, None, [int(h), *map(int, x)]) for h, x in zip(stats[0][is_hot].view(np.int64), np.stack(stats[1:], axis=1)[is_hot], strict=True)]
         rows.append(("counts", 0, None, [len(n), *_of_counts(n)]))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PART_TYPES, strict=True)], names=["kind", "shard", "block", "numbers"])
@@ -193,7 +197,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
         shard = group.column("shard")[0].as_py()
         parts = [unpacked(block.as_buffer()) for block in group.column("block")]
         word, n, continued = _by_word(*(np.concatenate([p[k] for p in parts]).astype(np.uint64 if k == 0 else np.int64) for k in range(3)))
-        save(folder, f"words-{shard}", word, n, continued.astype("<u4"))
+        save(folder, f"words-{shard}", word, narrow(n), narrow(continued))
         return pa.table([pa.array([[len(word), int(n.sum()), *_of_counts(continued)]], pa.list_(pa.int64()))], names=["numbers"])
 
     bound_batches(spark)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import looked_up, mapped, opened, packed, release, save, save_bytes, shard_count, unpacked
+from .arrays import by_shard, looked_up, mapped, narrow, opened, packed, release, save, save_bytes, shard_count, unpacked
 from .common import blobs, bound_batches, discard, documents, fresh_uri, map_batches, written
 
 LENGTH = 200
@@ -171,12 +171,9 @@ def _count(docs: DataFrame, folder: str, shards: int, bits: int) -> None:
             one, out = np.ones(len(anchor), np.int64), []
             anchors, total = _summed(anchor, one)
             wholes, own, times, _ = _paired(whole, anchor, one, one)
-            task = np.full(len(wholes), TaskContext.get().partitionId(), np.int64)
-            for s in range(shards):
-                if (mine := _shards(anchors, shards) == s).any():
-                    out.append(("anchors", s, packed(anchors[mine], total[mine].astype("<u4"))))
-                if (mine := _shards(wholes, shards) == s).any():
-                    out.append(("wholes", s, packed(wholes[mine], own[mine], times[mine].astype("<u4"), task[mine].astype("<u4"))))
+            task = np.full(len(wholes), TaskContext.get().partitionId(), "<u4")
+            out += [("anchors", s, packed(a, narrow(n))) for s, (a, n) in by_shard(_shards(anchors, shards), anchors, total)]
+            out += [("wholes", s, packed(w, a, narrow(n), t)) for s, (w, a, n, t) in by_shard(_shards(wholes, shards), wholes, own, times, task)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["kind", "shard", "block"])
 
         for batch in batches:
@@ -200,8 +197,7 @@ def _count(docs: DataFrame, folder: str, shards: int, bits: int) -> None:
             again = n > 1
             save(folder, f"wholes-{shard}", whole[again], anchor[again].view(np.int64), task[again])
             anchor, done, kinds = _summed(anchor[again], n[again], np.ones(int(again.sum()), np.int64))
-            place = _shards(anchor, shards)
-            rows = [("done", int(s), packed(anchor[place == s], done[place == s], kinds[place == s])) for s in np.unique(place)] or [("done", 0, packed(*[np.zeros(0, np.int64)] * 3))]
+            rows = [("done", s, packed(*mine)) for s, mine in by_shard(_shards(anchor, shards), anchor, done, kinds)] or [("done", 0, packed(*[np.zeros(0, np.int64)] * 3))]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["kind", "shard", "block"])
 
     def joined(group: pa.Table) -> pa.Table:
@@ -250,14 +246,14 @@ def _represent(docs: DataFrame, folder: str, shards: int, bits: int) -> None:
             x = _stretches(texts, bits)
             shard, place = _places(x.whole, x.anchor, shards, folder, "wholes")
             out = []
-            for s in np.unique(shard[place >= 0]):
+            hit = np.flatnonzero(place >= 0)
+            for s, (mine,) in by_shard(shard[hit], hit):
                 of_task = mapped(folder, f"wholes-{s}")[2]
-                mine = np.flatnonzero((shard == s) & (place >= 0))
                 mine = mine[of_task[place[mine]] == task]
                 mine = mine[np.unique(place[mine], return_index=True)[1]]
                 if len(mine):
                     data = [texts[t][a : a + n + LENGTH - 1] for t, a, n in zip(x.text[mine].tolist(), x.start[mine].tolist(), x.n[mine].tolist(), strict=True)]
-                    out.append((int(s), packed(x.whole[mine], x.anchor[mine].view(np.int64), np.array([len(d) for d in data], np.int64), np.frombuffer(b"".join(data), np.uint8))))
+                    out.append((s, packed(x.whole[mine], x.anchor[mine].view(np.int64), np.array([len(d) for d in data], np.int64), np.frombuffer(b"".join(data), np.uint8))))
             release()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["shard", "block"])
@@ -306,9 +302,9 @@ def _same(texts: list[bytes], x: Stretches, shards: int, folder: str) -> tuple[n
     """Of the stretches: whether their bytes are those kept for their hashes, and whether they are others."""
     same, other = np.zeros(len(x.whole), bool), np.zeros(len(x.whole), bool)
     shard, place = _places(x.whole, x.anchor, shards, folder, "bytes")
-    for s in np.unique(shard[place >= 0]):
+    hit = np.flatnonzero(place >= 0)
+    for s, (mine,) in by_shard(shard[hit], hit):
         _, _, begin, size = mapped(folder, f"bytes-{s}")
-        mine = np.flatnonzero((shard == s) & (place >= 0))
         mine = mine[np.argsort(begin[place[mine]], kind="stable")]
         at, last, kept = place[mine], -1, b""
         with opened(folder, f"data-{s}") as data:
@@ -358,7 +354,7 @@ def _judge(docs: DataFrame, folder: str, shards: int, group: int, with_kept: boo
                 number = row + int(x.text[k]) if left_over[k] else None
                 a, n = int(x.start[k]), int(x.n[k])
                 data = texts[x.text[k]][a : a + n + LENGTH - 1]
-                out.append(("stretch" if to_sort[k] <= group else "hot", number, *[None] * 6, a, n, anchor[k], int(x.left[k]), whole[k], data))
+                out.append(("stretch" if 0 < to_sort[k] <= group else "hot", number, *[None] * 6, a, n, anchor[k], int(x.left[k]), whole[k], data))
             row += len(texts)
             release()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ROW_TYPES, strict=True)], names=_ROW_NAMES)
