@@ -1,7 +1,7 @@
 """Scene geometry: walkability, zones, depth order, placement of props, reachability.
 
 Rectangles are given by their top left corner, ellipses by their centre, and boundaries are inside. Shapes meet points in an equi-join on
-grid tiles, not by testing every pair, so neither side is broadcast for the join's sake.
+cells of mixed sizes, not by testing every pair, so neither side is broadcast for the join's sake.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import runs
+from ..sinks.tables import written
+from . import covering, regions
 
-TILE = 256.0
 LAYERS = ["base", "ground", "props", "actors", "foreground", "debug", "hud"]
 
 
@@ -32,21 +32,28 @@ def inside(px: Column, py: Column, s: str = "") -> Column:
     return F.coalesce(F.when(c("type") == "rect", rect).when(c("type") == "ellipse", ellipse).when(c("type") == "polygon", polygon), F.lit(False))
 
 
-def _tiled_shapes(shapes: DataFrame, tile: float) -> DataFrame:
-    of = lambda name, agg: F.expr(f"array_{agg}(transform(points, p -> p.{name}))")
-    box = lambda a, b, n, r: (F.when(F.col("type") == "ellipse", F.col(n) - F.col(r)).when(F.col("type") == "polygon", of(n, "min")).otherwise(F.col(n)), F.when(F.col("type") == "ellipse", F.col(n) + F.col(r)).when(F.col("type") == "polygon", of(n, "max")).otherwise(F.col(n) + F.col(a)))
-    (x0, x1), (y0, y1) = box("w", None, "x", "rx"), box("h", None, "y", "ry")
-    tiles = lambda a, b: F.explode(F.sequence(F.floor(a / tile), F.floor(b / tile)))
-    return shapes.withColumn("tile_x", tiles(x0, x1)).withColumn("tile_y", tiles(y0, y1))
+def hits(points: DataFrame, shapes: DataFrame, map_key: str | None = None, most_cells: int = covering.MOST_CELLS, hot: int = covering.HOT_POINTS) -> DataFrame:
+    """Points beside each shape they are in: columns of points, then shape_id and role. A shape without extent is in no cell.
 
-
-def hits(points: DataFrame, shapes: DataFrame, map_key: str | None = None, tile: float = TILE) -> DataFrame:
-    """Points beside each shape they are in: columns of points, then shape_id and role. A shape without extent is in no tile."""
-    s = _tiled_shapes(shapes, tile)
-    s = s.select(F.struct(*[F.col(c) for c in ("id", "role", "type", "x", "y", "w", "h", "rx", "ry", "points")]).alias("s"), "tile_x", "tile_y", *([F.col(map_key).alias("map_key_")] if map_key else []))
-    p = points.withColumns({"tile_x": F.floor(F.col("px") / tile), "tile_y": F.floor(F.col("py") / tile)})
-    joined = p.join(s, (p.tile_x == s.tile_x) & (p.tile_y == s.tile_y) & ((p[map_key] == s.map_key_) if map_key else F.lit(True)))
-    return joined.where(inside(F.col("px"), F.col("py"), "s.")).select(*[p[c] for c in points.columns], F.col("s.id").alias("shape_id"), F.col("s.role").alias("role"))
+    Shapes are covered by at most most_cells cells each; only points in cells on a border are tested. A cell of more than hot points is cut further.
+    """
+    columns = ("id", "role", "type", "x", "y", "w", "h", "rx", "ry", "points")
+    s = shapes.select(F.struct(*[F.col(c) for c in columns]).alias("s"), *([F.col(map_key).alias("map_key_")] if map_key else []))
+    # Numbers by content, so that a task that runs again gives the same; equal shapes of one map share theirs.
+    s = s.withColumn("number", F.xxhash64(F.to_json("s"), *(["map_key_"] if map_key else [])))
+    numbered = written(s.groupBy("number", *(["map_key_"] if map_key else [])).agg(F.collect_list("s").alias("all")), "shapes")
+    shape = numbered.select("number", F.col("all")[0].alias("shape"))
+    cells = covering.subdivided(written(covering.cover(shape, most_cells), "cells"), shape, points, hot)
+    levels = covering.levels_of(cells)
+    if not levels:
+        return points.where(F.lit(False)).select("*", *(F.lit(None).cast("string").alias(c) for c in ("shape_id", "role")))
+    wanted = cells.join(numbered, "number").select("level", "cell_x", "cell_y", "inner", "all", *(["map_key_"] if map_key else []))
+    p = points.select(F.struct("*").alias("p"), F.inline(covering.probes(F.col("px"), F.col("py"), levels)))
+    joined = p.join(wanted, ["level", "cell_x", "cell_y"])
+    if map_key:
+        joined = joined.where(F.col("p")[map_key] == F.col("map_key_"))
+    found = joined.select("p", "inner", F.explode("all").alias("s"))
+    return found.where(F.col("inner") | inside(F.col("p.px"), F.col("p.py"), "s.")).select("p.*", F.col("s.id").alias("shape_id"), F.col("s.role").alias("role"))
 
 
 def walkable(points: DataFrame, shapes: DataFrame, point_key: str, map_key: str | None = None) -> DataFrame:
@@ -89,28 +96,10 @@ def blocker_shape(obstacle: Column) -> Column:
     return F.coalesce(F.try_element_at(kinds, F.lower(obstacle)), F.lit("polygon"))
 
 
-def reachable(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """cells, of keys, gx, gy, walkable and start, with reached: by steps to the four sides from a start over walkable cells.
-
-    One map is one group, whose grid one task holds as bits; the grid's step bounds it.
-    """
-
-    def run(group: pa.Table) -> pa.Table:
-        gx, gy = (group.column(c).to_numpy() for c in ("gx", "gy"))
-        walk, start = (np.array(group.column(c).to_pylist(), bool) for c in ("walkable", "start"))
-        x, y = gx - gx.min(), gy - gy.min()
-        mask = np.zeros((y.max() + 1, x.max() + 1), bool)
-        mask[y, x] = walk
-        found = runs(mask, diagonal=False)
-        region = np.full(mask.shape, -1)
-        for r, a, b, n in zip(*found, strict=True):
-            region[r, a:b] = n
-        own = region[y, x]
-        reached = walk & np.isin(own, own[start & walk])
-        return group.append_column("reached", pa.array(reached))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
-    return cells.groupBy(*keys).applyInArrow(run, f"{schema}, reached boolean")
+def reachable(cells: DataFrame, keys: list[str], tile: int = regions.TILE) -> DataFrame:
+    """cells, of keys, gx, gy, walkable and start, with reached: by steps to the four sides from a start over walkable cells. Maps of any size; see regions."""
+    named = cells.withColumnsRenamed({"gx": "x", "gy": "y"})
+    return regions.reachable(named, keys, tile=tile).withColumnsRenamed({"x": "gx", "y": "gy"})
 
 
 def validation(maps: DataFrame) -> DataFrame:

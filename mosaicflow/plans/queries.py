@@ -46,26 +46,6 @@ def slug_documents(spark, sf_dir):
 # Catalogs and prompts
 
 
-@query(sql.options())
-def list_options_flat(spark, sf_dir):
-    """The options as rows; of roles the keys, as what is said of them is our own."""
-    return catalog.options_flat(spark).withColumn("value", F.when(F.col("catalog") != "npc_roles", F.col("value")))
-
-
-@query(
-    f"""SELECT 'preset' AS kind, preset AS name, use AS value, CAST(r * 10 + c AS INTEGER) AS number FROM {sql.PRESETS} UNION ALL SELECT 'obstacle', obstacle, shape, 0 FROM {sql.OBSTACLES}
-    UNION ALL SELECT 'rule', topic || '/' || what, NULL, CAST(n AS INTEGER) FROM (VALUES ('background', 'all', 2), ('overlay', 'all', 3), ('identity', 'all', 3), ('containment', 'all', 3), ('detached', 'without_fx', 1), ('detached', 'with_fx', 1),
-    ('view', 'topdown', 1), ('view', 'side', 1), ('view', '3/4', 1), ('look', 'player', 5), ('look', 'creature', 5), ('phases', 'idle', 4), ('phases', 'cast', 6), ('phases', 'attack', 4), ('phases', 'hurt', 4), ('phases', 'combat', 4), ('phases', 'projectile', 4),
-    ('phases', 'impact', 4), ('phases', 'walk', 1), ('sheet', '4x4', 2), ('sheet', '3x3', 4), ('sheet', '1x4', 3)) AS v(topic, what, n)"""
-)
-def planner_catalogs(spark, sf_dir):
-    """Presets, obstacles and, counted, prompt rules."""
-    presets = catalog.sheet_presets(spark).select(F.lit("preset").alias("kind"), F.col("preset").alias("name"), F.col("use").alias("value"), (F.col("grid_rows") * 10 + F.col("grid_cols")).alias("number"))
-    obstacles = catalog.obstacle_shapes(spark).select(F.lit("obstacle"), "obstacle", "shape", F.lit(0))
-    rules = catalog.prompt_rules(spark).groupBy("topic", "applies_to").agg(F.count("*").cast("int").alias("n"))
-    return presets.union(obstacles).union(rules.select(F.lit("rule"), F.concat_ws("/", "topic", "applies_to"), F.lit(None).cast("string"), "n"))
-
-
 @query(f"SELECT p_partkey AS sheet_id, mode, i AS frame_index, CAST(i // c AS INTEGER) AS grid_row, CAST(i % c AS INTEGER) AS grid_col, label FROM part JOIN {sql.FRAME_LABELS} ON number = p_partkey % 20")
 def label_frames(spark, sf_dir):
     modes = list(catalog.GRID_SHAPES)
@@ -100,22 +80,62 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed values, written out so that a wrong entry of the Python tables shows.
+_ASKED_TARGETS = ["creature", "player", "npc", "asset", "dragon"]
+_ASKED_MODES = (
+    "single evolution idle combat walk actions player player_walk player_sheet player_actions npc npc_walk cast attack hurt run hover charge projectile impact explode death fx sheet"
+).split()
+_ASKED_ROLES = ["", "healer", "guard", "nobody"]
 _REQUESTS = (
-    f"SELECT p_partkey AS request_id, {sql.choice(_TARGETS, f'p_partkey % {len(_TARGETS)}')} AS target, {sql.choice(_MODES, f'(p_partkey + p_size) % {len(_MODES)}')} AS mode, p_name AS prompt, "
-    f"{sql.choice(_ROLES, f'p_size % {len(_ROLES)}')} AS role, CASE WHEN p_size % 9 = 0 THEN p_partkey END AS seed FROM part"
+    f"SELECT p_partkey AS request_id, {sql.choice(_ASKED_TARGETS, 'p_partkey % 5')} AS target, {sql.choice(_ASKED_MODES, '(p_partkey + p_size) % 24')} AS mode, p_name AS prompt, "
+    f"{sql.choice(_ASKED_ROLES, 'p_size % 4')} AS role, CASE WHEN p_size % 9 = 0 THEN p_partkey END AS seed FROM part"
 )
-_PAIRS = sql.values([(t, m) for t, modes in catalog.TARGET_MODES.items() for m in modes], "t, m")
 
 
 @query(
-    f"""WITH q AS ({_REQUESTS}), r AS (SELECT *, CASE WHEN target NOT IN ({", ".join(map(sql.text, catalog.TARGET_MODES))}) THEN 'target'
-    WHEN NOT EXISTS (SELECT 1 FROM {_PAIRS} WHERE t = target AND m = mode) THEN 'mode' WHEN target = 'npc' AND role NOT IN ({", ".join(map(sql.text, catalog.NPC_ROLE_KEYS))}) THEN 'role' END AS reason FROM q)
+    f"""WITH q AS ({_REQUESTS}), known AS (SELECT target AS t, m FROM {sql.MODES}, unnest(string_split(modes, ',')) AS u(m)), r AS (SELECT *, CASE WHEN target NOT IN ('creature', 'player', 'npc', 'asset') THEN 'target'
+    WHEN NOT EXISTS (SELECT 1 FROM known WHERE t = target AND m = mode) THEN 'mode' WHEN target = 'npc' AND role NOT IN (SELECT unnest(string_split('{sql.ROLE_KEYS}', ','))) THEN 'role' END AS reason FROM q)
     SELECT request_id, target, mode, role, reason FROM r WHERE reason IS NOT NULL"""
 )
 def invalid_mode_pairs(spark, sf_dir):
     return prompts.invalid_requests(requests(spark, sf_dir)).select("request_id", "target", "mode", "role", "reason")
 
 
+@query(
+    f"""WITH q AS ({_REQUESTS}) SELECT request_id, o.* FROM q JOIN ({sql.options()}) AS o ON list_contains([target, mode, role, CASE WHEN request_id % 2 = 0 THEN 'align' ELSE 'component_mode' END], key)"""
+)
+def list_options_flat(spark, sf_dir):
+    """The options that bear on each part's request, by its target, mode and role; of roles the keys, as what is said of them is our own."""
+    options = catalog.options_flat(spark).withColumn("value", F.when(F.col("catalog") != "npc_roles", F.col("value")))
+    key = F.explode(F.array_distinct(F.array("target", "mode", "role", F.when(F.col("request_id") % 2 == 0, "align").otherwise("component_mode")))).alias("key")
+    return requests(spark, sf_dir).select("request_id", key).join(F.broadcast(options), "key").select("request_id", "catalog", "key", "pos", "value")
+
+
+_STEPS = ["background", "grid", "components", "edge", "scale", "align", "animation"]
+_OBSTACLES = [*catalog.OBSTACLE_SHAPES, "statue"]
+
+
+@query(
+    f"""WITH n(step, n) AS (VALUES ('background', 2), ('grid', 2), ('components', 2), ('edge', 1), ('scale', 1), ('align', 1), ('animation', 1)),
+    s AS (SELECT p_partkey AS request_id, p_partkey % 20 AS k, {sql.choice(["background", "grid", "components", "edge", "scale", "align", "animation"], "p_partkey % 7")} AS step, {sql.choice(["1x4", "2x2", "2x3", "3x3", "4x4"], "p_partkey % 5")} AS preset,
+      {sql.choice(["lantern", "rock", "tree", "basin", "fence", "wall", "building", "gate", "bridge", "post", "statue"], "p_size % 11")} AS obstacle FROM part),
+    u AS (SELECT preset, r * 10 + c AS shape, count(*) AS uses FROM {sql.PRESETS} GROUP BY ALL), o AS (SELECT obstacle, shape AS blocker FROM {sql.OBSTACLES}), f AS (SELECT number AS k, r * c AS cells FROM {sql.SHAPES})
+    SELECT request_id, step, CAST(n AS INTEGER) AS n_rules, preset, CAST(shape AS INTEGER) AS shape, CAST(uses AS INTEGER) AS n_uses, obstacle, blocker, CAST(cells AS INTEGER) AS n_cells
+    FROM s JOIN n USING (step) JOIN u USING (preset) LEFT JOIN o USING (obstacle) JOIN f USING (k)"""
+)
+def planner_catalogs(spark, sf_dir):
+    """For each part: how many rules its step has, its preset with shape and number of uses, its obstacle's blocker, and how many cells its mode's rules name."""
+    key = F.col("p_partkey")
+    asked = read(spark, sf_dir, "part").select(key.alias("request_id"), _pick(_STEPS, key % 7).alias("step"), _pick(list(catalog.SHEET_PRESETS), key % 5).alias("preset"), _pick(_OBSTACLES, F.col("p_size") % 11).alias("obstacle"), _pick(list(catalog.GRID_SHAPES), key % 20).alias("mode"))
+    counted = catalog.prompt_rules(spark).groupBy("step", "applies_to").agg(F.count("*").cast("int").alias("n"))
+    steps = counted.where("step <> 'cell'").groupBy("step").agg(F.sum("n").cast("int").alias("n_rules"))
+    cells = counted.where("step = 'cell'").select(F.col("applies_to").alias("mode"), F.col("n").alias("n_cells"))
+    presets = catalog.sheet_presets(spark).groupBy("preset", (F.col("grid_rows") * 10 + F.col("grid_cols")).alias("shape")).agg(F.count("*").cast("int").alias("n_uses"))
+    obstacles = catalog.obstacle_shapes(spark).withColumnRenamed("shape", "blocker")
+    found = asked.join(F.broadcast(steps), "step").join(F.broadcast(presets), "preset").join(F.broadcast(obstacles), "obstacle", "left").join(F.broadcast(cells), "mode")
+    return found.select("request_id", "step", "n_rules", "preset", "shape", "n_uses", "obstacle", "blocker", "n_cells")
+
+
 # The sentences that prompts are put together from, written out.
 _MONSTER = "Original monster as pixel art, outlined, on flat #FF00FF, no letters."
 _OVERWORLD = "Overworld figure as 16-bit pixel art, outlined, seen from a raised three-quarter view, on flat #FF00FF, no letters."
@@ -483,14 +503,20 @@ def zone_reachability(spark, sf_dir):
 _CHECKS = [("spawn", 836.0, 782.0, True), ("npc", 836.0, 390.0, True), ("rest", 760.0, 548.0, True), ("grass", 371.0, 457.0, True), ("training", 1311.0, 465.0, True), ("gate", 836.0, 756.0, True), ("pillar", 730.0, 756.0, False), ("pillar edge", 750.0, 800.0, False), ("origin", 0.0, 0.0, False)]
 
 
-_ASKED = "(VALUES ('spawn', 836.0, 782.0, true), ('npc', 836.0, 390.0, true), ('rest', 760.0, 548.0, true), ('grass', 371.0, 457.0, true), ('training', 1311.0, 465.0, true), ('gate', 836.0, 756.0, true), ('pillar', 730.0, 756.0, false), ('pillar edge', 750.0, 800.0, false), ('origin', 0.0, 0.0, false)) AS v(point, x, y, expected)"
+_ASKED = "(VALUES (0, 'spawn', 836.0, 782.0, true), (1, 'npc', 836.0, 390.0, true), (2, 'rest', 760.0, 548.0, true), (3, 'grass', 371.0, 457.0, true), (4, 'training', 1311.0, 465.0, true), (5, 'gate', 836.0, 756.0, true), (6, 'pillar', 730.0, 756.0, false), (7, 'pillar edge', 750.0, 800.0, false), (8, 'origin', 0.0, 0.0, false)) AS v(k, point, x, y, expected)"
 
 
-@query(f"SELECT point, px, py, walkable, walkable = expected AS passed FROM (SELECT *, (({_ELLIPSE}) OR ({_TRIANGLE})) AND NOT (px BETWEEN 704 AND 756 AND py BETWEEN 668 AND 844) AS walkable FROM (SELECT point, CAST(x AS DOUBLE) AS px, CAST(y AS DOUBLE) AS py, expected FROM {_ASKED}))")
+@query(
+    f"""WITH a AS (SELECT s_suppkey AS check_id, point, CAST(x + s_suppkey % 7 - 3 AS DOUBLE) AS px, CAST(y + s_suppkey % 11 - 5 AS DOUBLE) AS py, expected FROM supplier JOIN {_ASKED} ON k = s_suppkey % 9),
+    w AS (SELECT *, (({_ELLIPSE}) OR ({_TRIANGLE})) AND NOT (px BETWEEN 704 AND 756 AND py BETWEEN 668 AND 844) AS walkable FROM a) SELECT check_id, point, px, py, walkable, walkable = expected AS passed FROM w"""
+)
 def critical_points(spark, sf_dir):
-    asked = spark.createDataFrame(_CHECKS, "point string, px double, py double, expected boolean")
-    found = scene.walkable(asked, example_shapes(spark), "point")
-    return found.select("point", "px", "py", "walkable", (F.col("walkable") == F.col("expected")).alias("passed"))
+    """For each supplier one of the points that a map must have right, a few steps off."""
+    checks = spark.createDataFrame([(i, *c) for i, c in enumerate(_CHECKS)], "k long, point string, x double, y double, expected boolean")
+    n = F.col("s_suppkey")
+    asked = read(spark, sf_dir, "supplier").select(n.alias("check_id"), (n % 9).alias("k"), (n % 7 - 3).alias("dx"), (n % 11 - 5).alias("dy")).join(F.broadcast(checks), "k")
+    asked = asked.select("check_id", "point", (F.col("x") + F.col("dx")).alias("px"), (F.col("y") + F.col("dy")).alias("py"), "expected")
+    return scene.walkable(asked, example_shapes(spark), "check_id").select("check_id", "point", "px", "py", "walkable", (F.col("walkable") == F.col("expected")).alias("passed"))
 
 
 @query(
