@@ -12,8 +12,8 @@ from ..operators import frames as fr
 from ..operators import pixels as px
 from ..operators import planner, scene
 from ..sinks import files as files_sink
+from ..sources import pictures, scenes
 from ..sources import rasters as ra
-from ..sources import scenes
 from . import process as pr
 from . import sql
 from .qc import SMALL, read, report, sheets
@@ -419,8 +419,31 @@ def png_round_trip(spark, sf_dir):
     """Sheets written as PNG files by executors and found and read again by glob."""
     folder = files_sink.shared_folder(spark)
     files_sink.write_files(pr.process(sheets(spark, sf_dir), pr.Request("asset", "none"), only=["raw.png"]), folder)
-    found = ra.read_images(spark, folder, "raw.p*").withColumn("sheet_id", F.regexp_extract("path", r"/(\d+)/raw\.png$", 1).cast("long"))
-    return ra.sums(found, ["sheet_id", "width", "height"])
+    pictures.register(spark)
+    found = spark.read.format("mosaic").option("glob", "raw.p*").schema("path string, width int, height int, rgba binary").load(folder)
+    return ra.sums(found.withColumn("sheet_id", F.regexp_extract("path", r"/(\d+)/raw\.png$", 1).cast("long")), ["sheet_id", "width", "height"])
+
+
+def packed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of packs with the raw and the cleaned picture of every sheet."""
+    pictures.register(spark)
+    folder = files_sink.shared_folder(spark)
+    pr.process(sheets(spark, sf_dir), pr.Request("asset", "none", rows=1, cols=1), only=["raw-sheet.png", "raw-sheet-clean.png"]).write.format("mosaic").mode("append").save(folder)
+    return folder
+
+
+@query(f"{sql.BASE}, {sql.FLOOD} SELECT sheet_id, 'raw-sheet-clean.png' AS name, 32 AS width, 32 AS height, {sql.sums('x', 'y', 32)} FROM clean WHERE sheet_id >= 50 GROUP BY 1")
+def packed_pictures(spark, sf_dir):
+    """Cleaned pictures of sheets from number 50 on, from packs that executors wrote; the rest is left out by the index."""
+    found = spark.read.format("mosaic").schema("sheet_id long, name string, width int, height int, rgba binary").load(packed(spark, sf_dir))
+    return ra.sums(found.where("name = 'raw-sheet-clean.png' AND sheet_id >= 50"), ["sheet_id", "name", "width", "height"])
+
+
+@query("SELECT name, width, height, count(*) AS n FROM part, (VALUES ('raw-sheet.png', 32, 32), ('raw-sheet-clean.png', 32, 32)) AS v(name, width, height) GROUP BY ALL")
+def picture_sizes(spark, sf_dir):
+    """How many pictures of each size packs hold, from their first bytes."""
+    found = spark.read.format("mosaic").schema("name string, width int, height int").load(packed(spark, sf_dir))
+    return found.groupBy("name", "width", "height").agg(F.count("*").alias("n"))
 
 
 # Scenes
