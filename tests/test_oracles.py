@@ -4,7 +4,7 @@ import pytest
 from support import assert_same
 
 import __spark_entry__ as entry
-from mosaicflow.plans.queries import ORACLES, QUERIES
+from mosaicflow.plans.registry import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
