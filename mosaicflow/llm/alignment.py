@@ -51,7 +51,7 @@ class Aligned(NamedTuple):
 def aligned(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> Aligned:
     """Tokens of the same bytes, by their ids and the bytes of each, which may be none."""
     end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-    cuts = np.intersect1d(end_a, end_b)
+    cuts = np.intersect1d(end_a, end_b, assume_unique=bool(size_a.all() and size_b.all()))
     group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
     first_a, first_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
     n_a, n_b = np.searchsorted(end_a, cuts, "right") - first_a, np.searchsorted(end_b, cuts, "right") - first_b
