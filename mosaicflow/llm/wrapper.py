@@ -5,7 +5,9 @@ Every page is then aligned with the shape, and texts are counted in their slots
 with a slot have there is template; the slots where text varies most are where content stands. Each page is then
 aligned with its host's wrapper: template text goes, the content's part stays. Elements that are never content (menus,
 forms, scripts and the like, by tag or role) go in any case. Classes are only a prior: one that names adverts, comments and the
-like makes a slot's text count less when the content is sought, and goes where the content is elsewhere. Where a page has
+like makes a slot's text count less when the content is sought, and goes where the content is elsewhere; what such a class says of
+things that are the same everywhere, like notices, gives way to text that varies. Headings that all pages have are the article's own
+where what they head varies. Where a page has
 nothing in the content's part, or its host no wrapper, the elements that the page itself marks as its main part are read.
 """
 
@@ -16,6 +18,7 @@ import json
 import re
 from collections import Counter, defaultdict, deque
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,10 @@ MOST_DEPTH = 150
 DOUBTED_WORTH = 0.25
 #: Cells of a table of two lists that are kept to read an alignment from; longer lists are halved, which needs two rows alone.
 MOST_CELLS = 1 << 20
-#: Hosts for each file of shapes or wrappers.
-HOSTS_PER_SHARD = 2_000
+#: Hosts, bytes of sampled pages and counted slots for each file of shapes or wrappers, at most.
+HOSTS_PER_SHARD, BYTES_PER_SHARD, SLOTS_PER_SHARD = 2_000, 32 << 20, 400_000
+#: Share of the text of a slot that must vary for it to count as content although its class names notices and the like.
+TRUSTED_SHARE = 0.5
 
 # Elements and words of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,6 +70,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _NOT_CONTENT = frozenset(
     "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond replies pagination pager widget toolbar copyright login skip skiplink".split()
 )
+#: Of these such as name what is the same on every page: where it varies, the name is wrong.
+_SAME_EVERYWHERE = frozenset("banner cookie cookies consent gdpr notice notices notification newsletter subscribe subscription signup popup modal overlay share sharing social toolbar copyright login skip skiplink".split())
 #: Words of class names that say nothing about what an element holds, and such as turn the word after them round.
 _NEUTRAL = frozenset(
     "active area articles bar big block body box bottom button buttons center col column container content count cta desktop fixed floating footer form global google group header inline inner item items large left link links list main media mobile outer page panel post posts primary reader right row secondary section site slot small sticky stories text title top unit user wide wrap wrapper".split()
@@ -84,17 +91,23 @@ _DIGITS = re.compile(r"\d+")
 DOUBT = "!"
 
 
-def _names_no_content(name: str) -> bool:
+#: What speaks against an element: nothing, a name of what is the same everywhere, or another.
+NO_DOUBT, WEAK_DOUBT, STRONG_DOUBT = range(3)
+
+
+def _doubt(name: str) -> int:
     """Whether one class or id names adverts, comments or the like: by its last word, or by all its words that aren't neutral."""
     words = [w.lower() for w in _WORD.findall(name)]
     if not words or any(w in _TURNED for w in words):
-        return False
+        return NO_DOUBT
     telling = [w for w in words if w in _NOT_CONTENT or len(w) > 2 and w not in _NEUTRAL]
-    return words[-1] in _NOT_CONTENT or bool(telling) and all(w in _NOT_CONTENT for w in telling)
+    if words[-1] not in _NOT_CONTENT and not (telling and all(w in _NOT_CONTENT for w in telling)):
+        return NO_DOUBT
+    return WEAK_DOUBT if all(w in _SAME_EVERYWHERE for w in words if w in _NOT_CONTENT) else STRONG_DOUBT
 
 
 class Node:
-    """dropped: never content. doubted: its class names what isn't content. structural: a block, or with one in it."""
+    """dropped: never content. doubted: its class names what isn't content, and how surely. structural: a block, or with one in it."""
 
     __slots__ = ("tag", "attributes", "children", "dropped", "doubted", "structural", "label")
 
@@ -104,10 +117,10 @@ class Node:
         a = self.attributes
         classes, ids = (a.get(k, "").split() for k in ("class", "id"))
         self.dropped = tag in _DROPPED or (bool(a) and (a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))))
-        self.doubted = tag not in ("html", "body", *_MAIN) and any(map(_names_no_content, [*classes, *ids]))
+        self.doubted = NO_DOUBT if tag in ("html", "body", *_MAIN) else max(map(_doubt, [*classes, *ids]), default=NO_DOUBT)
         self.structural = tag in _BLOCKS
         name = next((c for c in classes if not _DIGITS.search(c)), classes[0] if classes else _DIGITS.sub("0", ids[0]) if ids else "")
-        self.label = (f"{tag}.{name}" if name else tag) + DOUBT * self.doubted
+        self.label = (f"{tag}.{name}" if name else tag) + DOUBT * bool(self.doubted)
 
 
 def parse(page: str) -> Node:
@@ -342,19 +355,19 @@ def _unpacked_slot(value: list) -> Slot:
 
 
 class Wrapper:
-    """A shape, the keys of texts that are template by key of their slot, and the keys of the slots of content."""
+    """A shape, the keys of texts that are template by key of their slot, and the keys of slots: of content, and such as hold more that varies than not."""
 
-    __slots__ = ("shape", "constant", "content")
+    __slots__ = ("shape", "constant", "content", "trusted")
 
-    def __init__(self, shape: Slot, constant: dict[int, frozenset[int]], content: frozenset[int]):
-        self.shape, self.constant, self.content = shape, constant, content
+    def __init__(self, shape: Slot, constant: dict[int, frozenset[int]], content: frozenset[int], trusted: frozenset[int] = frozenset()):
+        self.shape, self.constant, self.content, self.trusted = shape, constant, content, trusted
 
     def packed(self) -> list:
-        return [self.shape.packed(), [[k, sorted(v)] for k, v in sorted(self.constant.items())], sorted(self.content)]
+        return [self.shape.packed(), [[k, sorted(v)] for k, v in sorted(self.constant.items())], sorted(self.content), sorted(self.trusted)]
 
 
 def unpacked(value: list) -> Wrapper:
-    return Wrapper(_unpacked_slot(value[0]).keyed(), {k: frozenset(v) for k, v in value[1]}, frozenset(value[2]))
+    return Wrapper(_unpacked_slot(value[0]).keyed(), {k: frozenset(v) for k, v in value[1]}, *map(frozenset, value[2:]))
 
 
 def unpacked_shape(value: list) -> Slot:
@@ -461,7 +474,8 @@ def settle(shape: Slot, slots: dict[int, tuple[int, int, int, int]], found: dict
         best = max(below[at], key=lambda k: (worth[k], kind(k) == MAIN, k), default=None)
         return sought(best) if best and worth[best] >= least and kind(best) != OTHER else [at]
 
-    return Wrapper(shape, {k: frozenset(v) for k, v in constant.items()}, frozenset(sought(ROOT)) - {ROOT})
+    trusted = frozenset(k for k, (_, _, n, total) in slots.items() if slots[k][1] >= DOUBTED and n >= min(TEMPLATE_PAGES, n_pages) and varying[k] > TRUSTED_SHARE * total)
+    return Wrapper(shape, {k: frozenset(v) for k, v in constant.items()}, frozenset(sought(ROOT)) - {ROOT}, trusted)
 
 
 def fit(pages: list[str]) -> Wrapper:
@@ -502,24 +516,48 @@ def _articles(node: Node) -> list[Node]:
     return [y for child in node.children if isinstance(child, Node) and not child.dropped and not child.doubted for y in ([child] if child.tag == "article" else _articles(child))]
 
 
-def _blocks(node: Node, template: dict[int, frozenset[int]]) -> list[str]:
-    """Texts of the blocks below a node in page order, without template and what is never content."""
-    out: list[str] = []
+class _Known:
+    """What a wrapper knows of a page's nodes, by their identity."""
+
+    def __init__(self, root: Node, wrapper: Wrapper | None):
+        self.template: dict[int, frozenset[int]] = {}
+        self.trusted: set[int] = set()
+        self.content: list[Node] = []
+        for run, key, _ in align(wrapper.shape, Run("#root", [root])) if wrapper else ():
+            nodes = list(map(id, run.nodes))
+            if key in wrapper.constant:
+                self.template |= dict.fromkeys(nodes, wrapper.constant[key])
+            if key in wrapper.trusted:
+                self.trusted.update(nodes)
+            if key in wrapper.content:
+                self.content += run.nodes
+
+
+class _Block(NamedTuple):
+    text: str
+    heading: bool
+    template: bool
+
+
+def _blocks(node: Node, known: _Known) -> list[_Block]:
+    """Blocks below a node in page order, without what is never content."""
+    out: list[_Block] = []
     pieces: list[str] = []
 
     def flush(owner: Node) -> None:
         if pieces:
             text = _clean(pieces)
             pieces.clear()
-            if text and not ((known := template.get(id(owner))) and _key(text) in known):
-                out.append(text)
+            if text:
+                constant = known.template.get(id(owner))
+                out.append(_Block(text, owner.tag in _HEADINGS, bool(constant) and _key(text) in constant))
 
     def walk(x: Node, owner: Node, in_header: bool) -> None:
         for child in x.children:
             if isinstance(child, str):
                 if not in_header or owner.tag in _HEADINGS:
                     pieces.append(child)
-            elif child.dropped or child.doubted:
+            elif child.dropped or child.doubted and not (child.doubted == WEAK_DOUBT and id(child) in known.trusted):
                 if child.tag in _BLOCKS:
                     flush(owner)
             elif child.tag in _BLOCKS:
@@ -536,21 +574,24 @@ def _blocks(node: Node, template: dict[int, frozenset[int]]) -> list[str]:
     return out
 
 
+def _own(blocks: list[_Block]) -> list[str]:
+    """Texts of the article's own blocks: those that aren't template, and headings that are but have one of these before the next heading."""
+    out, ahead = [], False
+    for b in reversed(blocks):
+        if not b.template or b.heading and ahead:
+            out.append(b.text)
+        ahead = not b.heading and (ahead or not b.template)
+    return out[::-1]
+
+
 def read(page: str, wrapper: Wrapper | None = None) -> tuple[str, str]:
     """Blocks of the article, joined by empty lines, and what decided on them: wrapper, marks (of the page itself) or page (it has none)."""
     root = parse(page)
-    template: dict[int, frozenset[int]] = {}
-    content: list[Node] = []
-    if wrapper is not None:
-        for run, key, _ in align(wrapper.shape, Run("#root", [root])):
-            if key in wrapper.constant:
-                template |= {id(n): wrapper.constant[key] for n in run.nodes}
-            if key in wrapper.content:
-                content += run.nodes
-    if blocks := [text for node in content for text in _blocks(node, template)]:
-        return "\n\n".join(blocks), "wrapper"
+    known = _Known(root, wrapper)
+    if own := _own([b for node in known.content for b in _blocks(node, known)]):
+        return "\n\n".join(own), "wrapper"
     marked = _main_nodes(root)
-    return "\n\n".join(text for node in marked or [root] for text in _blocks(node, template)), "marks" if marked else "page"
+    return "\n\n".join(_own([b for node in marked or [root] for b in _blocks(node, known)])), "marks" if marked else "page"
 
 
 def main_text(page: str, wrapper: Wrapper | None = None) -> str:
@@ -567,9 +608,9 @@ def _hash(host: str) -> int:
     return xxhash.xxh64_intdigest(host, 42)
 
 
-def _shard(host: str, shards: int) -> int:
+def _shard(host_key: int, shards: int) -> int:
     """As pmod of the signed hash."""
-    return (_hash(host) - (1 << 64) * (_hash(host) >> 63)) % shards
+    return (host_key - (1 << 64) * (host_key >> 63)) % shards
 
 
 def _save(folder: str, kind: str, shard: int, packed: dict[int, list]) -> pa.Table:
@@ -584,22 +625,29 @@ COUNTED = "host_key long, page_key long, slot long, parent long, kind int, text
 _LONGS = ("host_key", "slot", "parent", "text")
 
 
+def _sampled(rows: DataFrame) -> DataFrame:
+    """At most SAMPLE_PAGES different pages of each host of rows (host, h, ...): one for each part, those of least hash."""
+    part = F.pmod("h", F.lit(SAMPLE_PARTS))
+    one = rows.withColumn("n", F.row_number().over(Window.partitionBy("host", part).orderBy("h"))).where("n = 1")
+    return one.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("n") <= SAMPLE_PAGES)
+
+
 def induce(pages: DataFrame, folder: str) -> int:
     """Write the wrappers of all hosts with two different pages or more below folder, in as many files as it returns.
 
     Pages with the same texts in the same slots are one. What crosses the network is the sampled pages, and keys and lengths of texts.
     """
     rows = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host <> '' AND html <> ''").withColumn("h", F.xxhash64("html"))
-    shards = shard_count(rows.agg(F.approx_count_distinct("host")).first()[0] or 0, HOSTS_PER_SHARD)
-    part = F.pmod("h", F.lit(SAMPLE_PARTS))
-    one = rows.withColumn("n", F.row_number().over(Window.partitionBy("host", part).orderBy("h"))).where("n = 1")
-    few = one.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("n") <= SAMPLE_PAGES)
+    # Files are sized by what a task holds to make them: first without the pages themselves, which cost most.
+    hosts, n_bytes = _sampled(rows.select("host", "h", F.octet_length("html").alias("size"))).agg(F.approx_count_distinct("host"), F.sum("size")).first()
+    shards = max(shard_count(hosts or 0, HOSTS_PER_SHARD), shard_count(n_bytes or 0, BYTES_PER_SHARD))
+    few = _sampled(rows)
 
     def shaped(group: pa.Table) -> pa.Table:
         by_host: dict[str, list[str]] = {}
         for host, page in sorted(zip(group.column("host").to_pylist(), group.column("html").to_pylist(), strict=True)):
             by_host.setdefault(host, []).append(page)
-        return _save(folder, "shapes", _shard(next(iter(by_host)), shards), {_hash(host): shape_of(own).packed() for host, own in by_host.items()})
+        return _save(folder, "shapes", _shard(_hash(next(iter(by_host))), shards), {_hash(host): shape_of(own).packed() for host, own in by_host.items()})
 
     few.withColumn("shard", F.pmod(F.xxhash64("host"), F.lit(shards))).groupBy("shard").applyInArrow(shaped, "n long").agg(F.sum("n")).collect()
 
@@ -628,14 +676,14 @@ def induce(pages: DataFrame, folder: str) -> int:
                 hosts[host][1][slot, text] = (n, total)
             else:
                 hosts[host][0][slot] = (parent, kind, n, total)
-        shard = int(group.column("shard")[0].as_py())
         shapes = _Kept(folder, "shapes", shards, unpacked_shape)
-        return _save(folder, "wrappers", shard, {host: settle(shapes.read(host, shard), *own).packed() for host, own in hosts.items()})
+        return _save(folder, "wrappers", int(group.column("shard")[0].as_py()), {host: settle(shapes.read(host), *own).packed() for host, own in hosts.items()})
 
     names = [*_LONGS, "kind", "n", "total"]
-    kept = slots.select(*names).unionByName(often.select(*names)).withColumn("shard", F.pmod("host_key", F.lit(shards)))
+    wrapper_shards = max(shard_count(hosts or 0, HOSTS_PER_SHARD), shard_count(found.count(), SLOTS_PER_SHARD))
+    kept = slots.select(*names).unionByName(often.select(*names)).withColumn("shard", F.pmod("host_key", F.lit(wrapper_shards)))
     kept.groupBy("shard").applyInArrow(settled, "n long").agg(F.sum("n")).collect()
-    return shards
+    return wrapper_shards
 
 
 class _Kept:
@@ -650,11 +698,11 @@ class _Kept:
         if host not in self.known:
             if len(self.known) >= self.KEPT:
                 self.known.pop(next(iter(self.known)))
-            self.known[host] = self.read(_hash(host), _shard(host, self.shards)) if host else None
+            self.known[host] = self.read(_hash(host)) if host else None
         return self.known[host]
 
-    def read(self, host_key: int, shard: int) -> Slot | Wrapper | None:
-        arrays = mapped(self.folder, f"{self.kind}-{shard}")
+    def read(self, host_key: int) -> Slot | Wrapper | None:
+        arrays = mapped(self.folder, f"{self.kind}-{_shard(host_key, self.shards)}")
         if not arrays or not len(arrays[0]):
             return None
         keys, ends, data = arrays

@@ -197,7 +197,7 @@ def test_hosts_go_to_the_shard_that_spark_gives(spark):
 
     hosts = ["a.example", "b.example", "é.example", "x"]
     rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", F.pmod(F.xxhash64("h"), F.lit(7)).alias("s")).collect()
-    assert all(wr._shard(r.h, 7) == r.s for r in rows)
+    assert all(wr._shard(wr._hash(r.h), 7) == r.s for r in rows)
 
 
 def test_made_articles_come_back(spark, sf_dir):
@@ -210,3 +210,56 @@ def test_made_articles_come_back(spark, sf_dir):
         inner = re.search(r"<article>(.*?)(?:</article>|<footer|\Z)", rows[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b), r.page_id
+
+
+def sections(k, extra=""):
+    """An article with headings that all pages of its host have, and a line that all have between its own."""
+    t = TEXTS[k]
+    return (
+        f'<body><div class="top"><h3>Our paper</h3><p>Read daily</p></div><article><h1>{t} {k}</h1><h2>Summary</h2><p>{t} in short</p><p>As told by our own correspondent.</p><p>{t[::-1]} at length</p>{extra}'
+        f"<h2>References</h2><ul><li>{t} one</li><li>{t} two</li></ul><h2>Stay in touch</h2><p>Write to us today.</p></article><div><h3>Imprint</h3><p>All rights are ours</p></div></body>"
+    )
+
+
+def test_headings_that_all_articles_have():
+    """They stay where they head what varies; other lines that all have go, with headings of nothing else."""
+    wrapper = wr.fit([sections(k) for k in range(4)])
+    for k in range(4):
+        t = TEXTS[k]
+        own = [f"{t} {k}", "Summary", f"{t} in short", f"{t[::-1]} at length", "References", f"{t} one", f"{t} two"]
+        assert wr.read(sections(k), wrapper) == ("\n\n".join(own), "wrapper")
+
+
+def test_a_whole_slot_that_is_the_same_goes():
+    box = '<div class="offer"><p>Buy one, get one</p></div>'
+    wrapper = wr.fit([sections(k, box) for k in range(4)])
+    assert "Buy one" not in wr.main_text(sections(0, box), wrapper) and "References" in wr.main_text(sections(0, box), wrapper)
+
+
+def test_text_that_varies_beats_a_name_of_what_is_the_same_everywhere():
+    """Not a name of what differs from page to page without being content, as comments do."""
+    for name, kept in (("social", True), ("notice-box", True), ("reader-comments", False), ("related", False), ("ad-slot", False)):
+        pages = [sections(k, f'<div class="{name}"><p>{TEXTS[k]} was told to us by {TEXTS[-k]}</p></div>') for k in range(4)]
+        assert all((f"{TEXTS[k]} was told to us" in wr.main_text(p, wr.fit(pages))) == kept for k, p in enumerate(pages)), name
+    same = [sections(k, '<div class="social"><p>Share this with your friends</p></div>') for k in range(4)]
+    assert "Share this" not in wr.main_text(same[0], wr.fit(same))
+
+
+def test_own_blocks():
+    b = lambda text, heading=False, template=False: wr._Block(text, heading, template)
+    h = lambda text: b(text, True, True)
+    assert wr._own([b("edge", template=True), h("H1"), b("x"), b("mid", template=True), h("H2"), b("late", template=True), h("H3"), b("y"), h("H4"), b("end", template=True), b("H5", True)]) == ["H1", "x", "H3", "y", "H5"]
+    assert wr._own([h("only"), b("t", template=True)]) == [] and wr._own([]) == []
+
+
+def test_files_are_sized_by_bytes(frame, monkeypatch):
+    """Many large pages of many hosts: more files, the same texts."""
+    rows = [(10 * i + k, f"http://h{i}.example/{k}", sections(k).replace("at length", f"at length {i} " + "word " * 400)) for i in range(30) for k in range(4)]
+    table = frame([(*r, "x", "y") for r in rows], PAGES, 3)
+    texts = lambda: {r.page_id: (r.text, r.decided_by) for r in wr.extract(table).collect()}
+    before, sizes = texts(), []
+    monkeypatch.setattr(wr, "BYTES_PER_SHARD", 20_000)
+    monkeypatch.setattr(wr, "SLOTS_PER_SHARD", 100)
+    count = wr.shard_count
+    monkeypatch.setattr(wr, "shard_count", lambda total, each: sizes.append(count(total, each)) or sizes[-1])
+    assert texts() == before and max(sizes) > 5 and all(by == "wrapper" for _, by in before.values())
