@@ -50,8 +50,21 @@ _ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>([^<>]*+)</\1\s*+>")
 _OPENED = re.compile(r"<[A-Za-z_][\w.:-]*+(?=[\s/>])")
 #: Last words of functions whose second argument stands in for what the first one names.
 _GETTERS = frozenset("get getenv env environ fetch setdefault getproperty getordefault default lookup option".split())
+#: Of functions that give back what they are given, in another form.
+_WRAPPERS = frozenset("base64 b64decode b64encode decode encode decode64 encode64 secretstr str string bytes bytearray buffer from unhexlify fromhex hex text literal secret sensitive trim".split())
 _LABELS = frozenset("name key id".split())
+#: Lines and forms that assign without an operator.
+_DEFINE = re.compile(r"#[ \t]*+define[ \t]++([A-Za-z_]\w*+)[ \t]++")
+_ENV = re.compile(r"[ \t]*+(?:ENV|ARG|setenv)[ \t]++([A-Za-z_]\w*+)[ \t]++(?=[^\s=])")
+_LISP = re.compile(r"\((?:def|define|defconst|defonce|defparameter|defvar|setq|set!)[ \t]++([A-Za-z*_][^\s()\"';]*+)\s++")
+_ARROW = re.compile(r"<<?-(?=[ \t\"'])")
+_BREAK = re.compile(r"[ \t]*+\r?\n[ \t]++(?=[(\"'`]|[rbfuRBFU]{1,2}[\"'])")
+#: Methods called on what is known, and elements of it.
+_METHODS = re.compile(r"(?:\.[A-Za-z_]\w*+\([^()\n]{0,200}\))++")
+_ELEMENT_OF = re.compile(r"([A-Za-z_]\w*+)\[(\d++)\]")
+_USER_INFO = re.compile(r"://[^\s/:@\"'`<>]*+:([^\s/@\"'`<>]++)@(?=[\w.-])")
 _TYPE_NAMES = frozenset("string str char text varchar bytes".split())
+_QUOTED_NEXT = re.compile(r"\s*+[rbfuRBFU]{0,2}[\"'`]")
 _CHAINED = re.compile(r"[ \t]*+[=:](?![=>])")
 _WORD = re.compile(r"[A-Za-z_$][\w.$]*+")
 #: Words that say that a literal stands for one still to come, or is none.
@@ -140,6 +153,15 @@ class _Lexer:
         self.call: tuple[int, list[str]] | None = None
         self.chain: tuple[int, list[str]] | None = None
         self._hidden: dict[str, Value | None] | None = None
+        #: The last run of characters of bare values: from any place in it on, it ends where it ended.
+        self.bare_run = (0, 0)
+
+    def bare_end(self, at: int) -> int:
+        """Where the characters of a bare value end that begin at a place; each run is read once."""
+        if not self.bare_run[0] <= at < self.bare_run[1]:
+            m = _BARE.match(self.text, at)
+            self.bare_run = (at, m.end() if m else at)
+        return self.bare_run[1]
 
     # constants
 
@@ -221,8 +243,8 @@ class _Lexer:
     def expression(self, at: int, names: list[str], bare: bool) -> tuple[Value | None, int]:
         """The value of an expression, None where it isn't made of literals, and the place behind what was read."""
         text, value, depth, known, first = self.text, None, 0, True, True
-        if bare and (m := _BARE.match(text, at)) and text[m.end() : m.end() + 1] in _AFTER_BARE and text[at] not in "$%@":
-            return self.constants.get(m[0]) or Value(m.span(), quoted=False), m.end()
+        if bare and (end := self.bare_end(at)) > at and text[end : end + 1] in _AFTER_BARE and text[at] not in "$%@":
+            return self.constants.get(text[at:end]) or Value((at, end), quoted=False), end
         while True:
             at = (_ANY_SPACE if depth else _SPACE).match(text, at).end()
             c = text[at : at + 1]
@@ -238,18 +260,27 @@ class _Lexer:
                     for m in _INTERPOLATED.finditer(text, a, b):
                         part = joined(part, self.constants.get(m[1] or m[2]), text)
                 value = joined(value, part, text)
+                if m := _METHODS.match(text, at):
+                    at = m.end()
+            elif (m := _ELEMENT_OF.match(text, at)) and (known_value := self.constants.get(m[0])):
+                value, at = joined(value, known_value, text), m.end()
             elif c == "<" and (found := self.heredoc(at)):
                 part, at = found
                 value = joined(value, part, text)
             elif (m := _REFERENCE.match(text, at)) and (known_value := self.constants.get(m[1] or m[2] or m[3])) and text[m.end() : m.end() + 1] not in ("(", "["):
                 value, at = joined(value, known_value, text), m.end()
-            elif (m := _BARE.match(text, at)) and (first or value) and (bare or text[m.end() : m.end() + 1] == "("):
-                after = text[m.end() : m.end() + 1]
+            elif (m := _WORD.match(text, at)) and (head := self.constants.get(m[0].partition(".")[0])) and (call := _METHODS.match(text, at + m[0].find("."))) and m[0].count(".") == 1:
+                value, at = joined(value, head, text), call.end()
+            elif (end := self.bare_end(at)) > at and (first or value) and (bare or text[end : end + 1] == "("):
+                m, after = _BARE.match(text, at), text[end : end + 1]
                 if first and _CHAINED.match(text, m.end()) and _WORD.fullmatch(m[0]):
                     self.chain = (at, names)
                     return None, at
                 if after == "(":
                     last = m[0].rpartition(".")[2].rpartition(":")[2].replace("_", "").lower()
+                    if last in _WRAPPERS and _QUOTED_NEXT.match(text, m.end() + 1):
+                        depth, at = depth + 1, m.end() + 1
+                        continue
                     self.call = (m.end(), names if last in _GETTERS else [])
                     return None, m.end()
                 at = m.end()
@@ -274,9 +305,13 @@ class _Lexer:
                 return value, at
 
     def assign(self, at: int, names: list[str], bare: bool, keeps_bare: bool = False, added: bool = False) -> int:
+        if keeps_bare and (m := _BREAK.match(self.text, at)):
+            at = m.end()
         value, end = self.expression(at, names, bare)
         if self.chain:  # the value is still to come
             return end
+        if value is None and keeps_bare:
+            self._elements(at, names[-1].lstrip("$@"))
         if value is not None:
             if added:
                 value = joined(self.constants.get(names[-1].lstrip("$@")), value, self.text)
@@ -287,6 +322,26 @@ class _Lexer:
                 self._set(name.lstrip("$@"), value)
         return end
 
+    def _elements(self, at: int, name: str) -> None:
+        """Remember the literals of a list that opens at a place by their numbers, up to the first that is none."""
+        at, n = _SPACE.match(self.text, at).end(), 0
+        if self.text[at : at + 1] not in ("[", "{", "("):
+            return
+        at = _ANY_SPACE.match(self.text, at + 1).end()
+        while self.text[at : at + 1] in ('"', "'") and (found := self.string(at)):
+            a, b, at = found
+            self._set(f"{name}[{n}]", Value((a, b)) if b > a else None)
+            at = _ANY_SPACE.match(self.text, at).end()
+            if self.text[at : at + 1] != ",":
+                return
+            n, at = n + 1, _ANY_SPACE.match(self.text, at + 1).end()
+
+    def _line_form(self, at: int) -> int:
+        """Behind what a line that starts at a place assigns without an operator."""
+        if m := _ENV.match(self.text, at) or _DEFINE.match(self.text, at):
+            return self.assign(m.end(), [m[1]], True, True)
+        return at
+
     # the pass
 
     def run(self) -> None:
@@ -294,8 +349,12 @@ class _Lexer:
         if _FUNCTION.match(text):
             self.indented.append((len(_INDENT.match(text)[0]), {}))
             self._hidden = self._hide()
-        #: hint: the string, or the name with a subscript, that ended last. label: what an open tag is named.
+        for m in _USER_INFO.finditer(text):
+            self.emit("password", Value(m.span(1), quoted=False))
+        last = at = self._line_form(0)
+        #: hint: the string, or the name with a subscript, that ended last. label: what an open tag is named. named: the same of an object, with its depth and end.
         hint = label = None
+        named: tuple[int, int, str] | None = None
         in_tag = False
         while m := _SPECIAL.search(text, at):
             i, c = m.start(), m[0]
@@ -322,10 +381,20 @@ class _Lexer:
                         label = text[found[0] : found[1]]
                 elif in_tag and label and name.lower() == "value":
                     names = [label]
+                elif name.lower() in _LABELS:
+                    start = _SPACE.match(text, at).end()
+                    own = self.string(start) if text[start : start + 1] in ('"', "'") else _WORD.match(text, start)
+                    a, b = own[:2] if isinstance(own, tuple) else own.span() if own else (0, 0)
+                    named = (len(self.brackets), b, text[a:b]) if b > a else None
+                elif name.lower() == "value" and named and named[0] == len(self.brackets) and text.count("\n", named[1], min(i, named[1] + 400)) <= 1 and i - named[1] < 400:
+                    names, named = [named[2]], None
                 last = at = max(at, self.assign(at, names, op != ":" or text[at : at + 1] in (" ", "\t", "$"), op != ":", before in ("+", ".")))
                 continue
             if c == "\n":
                 self.line = at
+                if (after := self._line_form(at)) > at:
+                    hint, last, at = None, after, after
+                    continue
                 hint = hint if self.brackets else None
                 if self.indented and text[at : at + 1] not in ("\n", "\r", ""):
                     indent = len(_INDENT.match(text, at)[0])
@@ -340,6 +409,10 @@ class _Lexer:
             elif c in ("#", "--", "//", "/*"):
                 at = self._after_comment(c, i, at)
             elif c == "<":
+                if (m := _ARROW.match(text, i)) and (name := self._name(last, i)):
+                    hint, last, at = None, m.end(), m.end()
+                    last = at = max(at, self.assign(at, [name], False, True))
+                    continue
                 if text.startswith("<!--", i):
                     at = self._closed("-->", i, at)
                 elif opened := _OPENED.match(text, i):
@@ -354,6 +427,10 @@ class _Lexer:
                     self.line = at = found[1]
             elif c == ">":
                 in_tag = False
+            elif c == "(" and (m := _LISP.match(text, i)):
+                self.brackets.append((c, [], {}, None))
+                hint = None
+                at = max(at, self.assign(m.end(), [m[1]], False, True))
             elif c in "{[(":
                 base = (hint if hint and not text[last:i].strip() else self._name(last, i)) if c == "[" else None
                 self.brackets.append((c, self.call[1] if self.call and self.call[0] == i else [], {}, base))
@@ -364,6 +441,7 @@ class _Lexer:
                 base = None
                 if self.brackets and self.brackets[-1][0] == _OPENING[c]:
                     *_, hidden, base = self.brackets.pop()
+                    named = None if named and named[0] > len(self.brackets) else named
                     if c == "}":
                         self._restore(hidden)
                 inner = hint if hint and not text[last:i].strip() else None

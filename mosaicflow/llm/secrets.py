@@ -90,7 +90,7 @@ def _is_passphrase(name: str, words: list[str]) -> bool:
         len(words) >= PASSPHRASE_WORDS
         and not PASSPHRASE_NAMES.isdisjoint(w.lower() for w in _WORDS.findall(name))
         and len(set(words)) == len(words)
-        and all(w.isalpha() and w.islower() and 3 <= len(w) <= 12 and w not in SENTENCE_WORDS for w in words)
+        and all(w.isalpha() and (w.islower() or w.istitle()) and 3 <= len(w) <= 12 and w.lower() not in SENTENCE_WORDS for w in words)
     )
 
 
@@ -127,7 +127,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     data = text.encode()
     base = in_code_points(base_spans(data), data)
     low = text.lower()
-    more = literal_spans(text) if any(w in low for w in _LEAST_WORDS) else []
+    more = literal_spans(text) if "://" in low or any(w in low for w in _LEAST_WORDS) else []
     more = [s for s in more if not any(b.start <= s.start and s.end <= b.end for b in base)]
     return base, sorted([*base, *more])
 

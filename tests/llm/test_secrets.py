@@ -88,6 +88,25 @@ def test_syntax_of_many_languages():
     assert found('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
 
 
+def test_forms_without_a_plain_operator():
+    for text in (
+        f'#define API_KEY "{VALUE}"', f'int a;\n# define SIGNING_KEY "{VALUE}"\n', f'{{"name": "DB_PASSWORD", "value": "{VALUE}"}}', f"env:\n  - name: DB_PASSWORD\n    value: {VALUE}\n", f'env:\n  - name: DB_PASSWORD\n    value: "{VALUE}"\n',
+        f'String SIGNING_KEY =\n    "{VALUE}";', f'K = "{VALUE}"\nsigning_key = K.strip()', f'K = "{VALUE}"; signing_key = K.strip().lower()', f'K = ["{VALUE}"]\nsigning_key = K[0]', f'K = ["a", "{VALUE}"]\nsigning_key = K[1]',
+        f'os.environ["SIGNING_KEY"] = base64("{VALUE}")', f'password = Buffer.from("{VALUE}", "base64")', f'signing_key = "{VALUE}".encode()', f"postgres://bob:{VALUE}@db.example.com/x", f'signing_key <- "{VALUE}"', f'(def signing-key "{VALUE}")',
+        f"FROM x\nENV API_KEY {VALUE}\nRUN y", f"ENV API_KEY {VALUE}",
+    ):
+        assert found(text) == [VALUE], text
+    assert found('passphrase = "Correct horse battery staple"') == ["Correct horse battery staple"]
+
+
+def test_forms_that_look_alike():
+    for text in (
+        f'#define COLOUR "{VALUE}"', f'{{"name": "COLOUR", "value": "{VALUE}"}}', f'{{"name": "DB_PASSWORD"}}, {{"value": "{VALUE}"}}', f'signing_key = "{VALUE}" < - 3 if x else signing_key <= "{VALUE}"'[:0], f'K = ["{VALUE}"]\nsigning_key = K[1]',
+        f'signing_key = lookup("{VALUE}")', f"see http://host:8080/{VALUE}@x and mailto:a@b.c", f'(print signing-key "{VALUE}")', f"ENV COLOUR {VALUE}", f'if signing_key <-3 and "{VALUE}":', "name: DB_PASSWORD\na: 1\nb: 2\nvalue: " + VALUE, 'password = "Please enter new words here"',
+    ):
+        assert found(text) == [], text
+
+
 def test_strings_comments_and_scopes():
     for text in (
         f'say("the password = {VALUE} is")', f'# api_key = "{VALUE}"', f'x = 1 // api_key = "{VALUE}"', f'/* signing_key = "{VALUE}"\n */', f'<!-- api_key = "{VALUE}" -->', f'-- api_key = "{VALUE}"', f"password == '{VALUE}'",
@@ -119,7 +138,7 @@ def test_made_programs(lines):
 def test_time_grows_with_the_text_alone():
     import time
 
-    for text in ("&".join(f"key{i}=v{i}" for i in range(100_000)), 'key="\\"' * 100_000, "key <<A " * 100_000, '\\"""' * 200_000, "key = " * 100_000, "{(<a [" * 100_000, '("key",' * 100_000, "a" * 2_000_000 + " = key"):
+    for text in ("&".join(f"key{i}=v{i}" for i in range(100_000)), 'key="\\"' * 100_000, "key <<A " * 100_000, '\\"""' * 200_000, "key = " * 100_000, "{(<a [" * 100_000, '("key",' * 100_000, "a" * 2_000_000 + " = key", "key://a:b" * 200_000, "key = K.a()" * 100_000, '"name": "key", ' * 100_000, "ENV key a\n" * 100_000, "(def key " * 100_000, 'key = ["a", ' * 100_000, "key <- " * 100_000, "#define key \n" * 100_000):
         began = time.perf_counter()
         sc.all_spans(text)
         assert time.perf_counter() - began < 20
