@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import regions, temporal
+from ..operators import regions, samples, temporal, timelines
+from ..sinks.tables import written
 from .qc import read
 from .registry import query
 
@@ -70,3 +71,77 @@ def tiled_regions(spark, sf_dir):
     strokes = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("s"), F.expr("l_orderkey div 5").alias("y"))
     cells = strokes.select(F.explode(F.sequence(F.col("s") * 4, F.col("s") * 4 + 7)).alias("x"), "y")
     return regions.region_table(cells, [], tile=128)
+
+
+@query(
+    """SELECT event_id, user_id, count(*) OVER w AS n_day, max(event_id) OVER w AS last_id, count(*) FILTER (event_type = 'error') OVER w AS n_errors
+    FROM (SELECT *, epoch_us(ts) AS us FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)"""
+)
+def rolling_events(spark, sf_dir):
+    """For each event, its user's events and errors in the day up to it."""
+    found = timelines.rolling(read(spark, sf_dir, "events"), ["user_id"], "ts", 24 * temporal.HOUR, n_day=F.count("*"), last_id=F.max("event_id"), n_errors=F.count_if(F.col("event_type") == "error"))
+    return found.select("event_id", "user_id", "n_day", "last_id", "n_errors")
+
+
+@query(
+    """WITH g AS (SELECT *, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) <= 3600000000 THEN 0 ELSE 1 END AS b FROM events),
+    i AS (SELECT *, CAST(sum(b) OVER (PARTITION BY event_type ORDER BY us RANGE UNBOUNDED PRECEDING) AS BIGINT) AS island FROM g)
+    SELECT event_type, island, count(*) AS n_events, min(us) AS start_us, max(us) AS end_us FROM i GROUP BY ALL"""
+)
+def event_islands(spark, sf_dir):
+    """Runs of events of one type no more than an hour apart; five types hold all events, so each is many tasks."""
+    found = timelines.islands(read(spark, sf_dir, "events"), ["event_type"], "ts", temporal.HOUR)
+    at = temporal.instant(found, "ts")
+    return found.groupBy("event_type", "island").agg(F.count("*").alias("n_events"), F.min(at).alias("start_us"), F.max(at).alias("end_us"))
+
+
+_HASH = "CAST('0x' || substr(sha256(CAST({0} AS VARCHAR)), 1, 13) AS BIGINT)"
+
+
+@query(
+    f"""SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY -ln(({_HASH.format("o_orderkey")} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / o_totalprice, CAST(o_orderkey AS VARCHAR)) AS n
+    FROM orders WHERE o_totalprice > 0) WHERE n <= 25"""
+)
+def weighted_orders(spark, sf_dir):
+    """25 orders of each priority, drawn by price."""
+    return samples.weighted_sample(read(spark, sf_dir, "orders"), 25, "o_orderkey", "o_totalprice", ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+
+
+@query(
+    f"""WITH h AS (SELECT DISTINCT date_trunc('week', ts) AS w, user_id, {_HASH.format("user_id")} AS h FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY h) AS n, count(*) OVER (PARTITION BY w) AS total FROM h)
+    SELECT epoch_us(w) AS week_us, any_value(total) AS exact, round(CASE WHEN any_value(total) < 64 THEN any_value(total) ELSE 283726776524341248.0::DOUBLE / (max(h) FILTER (n = 64) + 1) END, 6) AS estimated, true AS within FROM r GROUP BY w"""
+)
+def weekly_users(spark, sf_dir):
+    """Users of each week from stored sketches of days, beside their exact number, and whether the estimate is within four standard errors."""
+    days = read(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
+    stored = written(samples.distinct_sketch(days, ["day"], "user_id", 64), "sketches")
+    week = F.date_trunc("week", "day")
+    merged = samples.merged_sketches(stored.withColumn("week", week), ["week"], 64)
+    exact = days.groupBy(week.alias("week")).agg(F.countDistinct("user_id").alias("exact"))
+    guess = samples.estimate(F.col("sketch"), 64)
+    return merged.join(exact, "week").select(F.unix_micros(F.col("week").cast("timestamp")).alias("week_us"), "exact", F.round(guess, 6).alias("estimated"), (F.abs(guess - F.col("exact")) <= 0.5 * F.col("exact")).alias("within"))
+
+
+@query(
+    """WITH a AS (SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity FROM lineitem), b AS (SELECT l_returnflag, l_linestatus, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber END AS l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 49),
+    x AS (SELECT *, 1 AS l, 0 AS r FROM a UNION ALL SELECT *, 0, 1 FROM b)
+    SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity, CAST(sum(l) AS BIGINT) AS n_left, CAST(sum(r) AS BIGINT) AS n_right FROM x GROUP BY ALL HAVING sum(l) <> sum(r)"""
+)
+def lineitem_difference(spark, sf_dir):
+    """What two versions of a table with repeated rows and nulls don't have alike."""
+    a = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity")
+    b = a.where("l_quantity < 49").withColumn("l_linenumber", F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")))
+    return samples.multiset_difference(a, b)
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, year(l_shipdate) AS ship_year, CAST(grouping_id(l_returnflag, l_linestatus, year(l_shipdate)) AS BIGINT) AS level, count(*) AS n_lines, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
+    FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, year(l_shipdate)), (l_returnflag, l_linestatus), (year(l_shipdate)), ())"""
+)
+def lineitem_levels(spark, sf_dir):
+    """Lines and their price by flag, status and year, and by levels of these, in one shuffle."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("ship_year", F.year("l_shipdate").cast("long"))
+    keys = [F.col(c) for c in ("l_returnflag", "l_linestatus", "ship_year")]
+    sets = [keys, keys[:2], keys[2:], []]
+    level = F.grouping_id(*keys).cast("long").alias("level")
+    return lines.groupingSets(sets, *keys).agg(level, F.count("*").alias("n_lines"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
