@@ -5,42 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
-
-
-def _toward(edges: DataFrame, key: str) -> DataFrame:
-    """Edges with the smallest neighbour of their key end. The minimum is aggregated before its shuffle; the join may be split."""
-    least = edges.groupBy(F.col(key).alias("k")).agg(F.min("b" if key == "a" else "a").alias("least"))
-    return edges.join(least, F.col(key) == F.col("k")).drop("k")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the smallest of its neighbours and itself."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    star = _toward(both, "a")
-    return star.where("b > a").select(F.col("b").alias("a"), F.least("least", "a").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node links its smaller neighbours and itself to the smallest of them."""
-    star = _toward(edges, "a")
-    return star.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct("a", F.col("least").alias("b")))).alias("e")).select("e.*")
+from ..operators.regions import contracted
 
 
 def roots(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link to another: root is the smallest node of its component.
 
-    links: two columns of integers, one row a link, in any direction and as often as may be; links to null are none.
-    Large and small stars take turns until nothing changes, after about the logarithm of the longest path; each turn's
-    edges are a table in the shared folder. An empty table of links gives an empty one.
+    links: two columns of integers, one row a link, in any direction and as often as may be; links to null are none. The links of a node of many, the hub
+    of a star, are dealt over parts. An empty table of links gives an empty one.
     """
     a, b = links.columns
-    edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(f"`{a}` <> `{b}`").distinct()
-    edges, last = written(edges, "links"), None
-    while True:
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == last or not seen[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        last = seen
-        before, edges = edges, written(_small_star(_large_star(edges)).where("a <> b").distinct(), "links")
-        discard(before)
+    return contracted(links.select(F.col(a).alias("a"), F.col(b).alias("b")))
