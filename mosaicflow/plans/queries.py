@@ -144,8 +144,7 @@ _WHO = """CASE role WHEN 'healer' THEN 'Who holds a steaming cup, a rolled banda
 _CELLS = f"""array_to_string(list_transform(range(1, 5), lambda i: list_extract(labels, i) || ' in the ' || list_extract(['top left', 'top right', 'bottom left', 'bottom right'], i)), ', ')"""
 
 
-@query(
-    f"""WITH q AS ({_REQUESTS}), known AS (SELECT target AS t, m FROM {sql.MODES}, unnest(string_split(modes, ',')) AS u(m)),
+_PROMPTS = f"""WITH q AS ({_REQUESTS}), known AS (SELECT target AS t, m FROM {sql.MODES}, unnest(string_split(modes, ',')) AS u(m)),
     s AS (SELECT q.*, r, c, string_split({sql.LABELS_OF}, ',') AS labels, CASE WHEN target = 'npc' THEN {_WHO} ELSE '' END AS who, CASE WHEN target IN ('creature', 'asset') THEN '{_MONSTER}' ELSE '{_OVERWORLD}' END AS style
     FROM q JOIN known ON t = target AND m = q.mode LEFT JOIN (SELECT mode AS shape_mode, r, c FROM {sql.SHAPES}) ON shape_mode = q.mode WHERE q.mode <> 'evolution')
     SELECT target, mode, prompt, role, coalesce(seed, CAST('0x' || substr(sha256(target || '|' || mode || '|' || prompt || '|' || role), 1, 8) AS BIGINT)) AS seed,
@@ -154,11 +153,21 @@ _CELLS = f"""array_to_string(list_transform(range(1, 5), lambda i: list_extract(
     WHEN mode IN ('single', 'player', 'npc') THEN prompt || ', once. ' || who || style
     ELSE prompt || ', ' || CASE mode WHEN 'idle' THEN 'resting' WHEN 'combat' THEN 'fighting' WHEN 'walk' THEN 'walking' WHEN 'player_walk' THEN 'walking down' WHEN 'npc_walk' THEN 'walking down' ELSE 'acting' END || ': ' || {_CELLS} || '. ' || who || style || ' {_GRID4}' END AS generated_prompt
     FROM s WHERE who IS NOT NULL"""
-)
+
+
+@query(_PROMPTS)
 def build_prompts(spark, sf_dir):
     return prompts.build_prompts(requests(spark, sf_dir).where("mode <> 'evolution'"))
 
 
+@query(_PROMPTS)
+def prompt_payloads(spark, sf_dir):
+    """The same prompts, as the JSON lines that their sink writes, read back."""
+    folder = files_sink.shared_folder(spark)
+    files_sink.write_prompts(prompts.build_prompts(requests(spark, sf_dir).where("mode <> 'evolution'")), folder)
+    return spark.read.schema("target string, mode string, prompt string, role string, seed long, generated_prompt string").json(f"{folder}/json")
+
+
 @query()
 def evolution_choice(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", scalars.stable_seed(F.lit("creature"), F.lit("evolution"), F.col("text"), F.lit("")).alias("seed"))
@@ -424,6 +433,39 @@ def png_round_trip(spark, sf_dir):
     return ra.sums(found.withColumn("sheet_id", F.regexp_extract("path", r"/(\d+)/raw\.png$", 1).cast("long")), ["sheet_id", "width", "height"])
 
 
+@query(f"WITH {sql.PIX} SELECT sheet_id, CAST(sheet_id AS VARCHAR) || '/raw.png' AS path, true AS whole, count(*) AS n_pixels FROM pix GROUP BY 1")
+def file_manifest(spark, sf_dir):
+    """The manifest of written files beside the files: where each is, whether it has the size that is told of it, and its pixels."""
+    folder = files_sink.shared_folder(spark)
+    told = files_sink.write_files(pr.process(sheets(spark, sf_dir), pr.Request("asset", "none"), only=["raw.png"]), folder)
+    pictures.register(spark)
+    found = spark.read.format("mosaic").schema("path string, size long, width int, height int").load(folder)
+    relative = lambda c: F.regexp_extract(c, r"(\d+/raw\.png)$", 1)
+    found = found.select(relative("path").alias("path"), F.col("size").alias("length"), (F.col("width") * F.col("height")).cast("long").alias("n_pixels"))
+    return told.select("sheet_id", relative("path").alias("path"), "size").join(found, "path").select("sheet_id", "path", (F.col("size") == F.col("length")).alias("whole"), "n_pixels")
+
+
+@query(f"{sql.ALL} SELECT sheet_id, 'pipeline-meta.json' AS name FROM frame GROUP BY 1 HAVING NOT bool_or({sql.touch(sql.SIDE)})")
+def accepted_sheets(spark, sf_dir):
+    """Sheets that are processed although frames that touch their cell's edge are rejected: those without any."""
+    p = SMALL.but(symmetric=True)
+    flagged = fr.edge_touch_frames(fr.checked(fr.cut(sheets(spark, sf_dir), p, with_pixels=False), p)).where("flagged = ''").select("sheet_id")
+    ask = pr.Request("creature", "idle", reject_edge_touch=True, **{k: v for k, v in p.as_dict().items() if k not in ("rows", "cols")})
+    return pr.process(sheets(spark, sf_dir).join(flagged, "sheet_id", "left_semi"), ask, only=["pipeline-meta.json"]).select("sheet_id", "name")
+
+
+@query(
+    """SELECT n_nationkey AS sheet_id, path, CAST(size AS BIGINT) AS size FROM (SELECT n_nationkey, 'assets/map/' || lower(n_name) || '-base.png' AS path, length(n_name) AS size FROM nation
+    UNION ALL SELECT n_nationkey, 'assets/map/' || lower(n_name) || '-layered-preview.png', length(n_name) + 1 FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'data/collision-map.json', 2 FROM nation WHERE n_nationkey % 3 = 0)"""
+)
+def map_files(spark, sf_dir):
+    """Map pictures and collision data of a scene for each nation, as their manifest tells."""
+    n, name = F.col("n_nationkey"), F.col("n_name")
+    scenes_ = read(spark, sf_dir, "nation").select(n.cast("long").alias("scene_id"), F.lower(name).alias("name"), name.cast("binary").alias("base"), F.when(n % 2 == 0, F.concat(name, F.lit("+"))).cast("binary").alias("preview"), F.when(n % 3 == 0, "{}").alias("collision"))
+    told = files_sink.write_files(files_sink.scene_files(scenes_), files_sink.shared_folder(spark))
+    return told.select(F.col("sheet_id").cast("int").alias("sheet_id"), F.regexp_extract("path", r"/\d+/((?:assets|data)/.*)$", 1).alias("path"), "size")
+
+
 def packed(spark: SparkSession, sf_dir: str) -> str:
     """A folder of packs with the raw and the cleaned picture of every sheet."""
     pictures.register(spark)
