@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, map_batches
+from .common import WORD_SEPARATORS, documents, map_batches
 from .tokens import ByteBPE, file_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -184,6 +184,18 @@ def verdicts(docs: DataFrame, **options) -> DataFrame:
     return fertility(docs, ["doc_id"], **options).select("row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_fallback_share", "token_entropy")
 
 
+def base(docs: DataFrame) -> DataFrame:
+    """doc_id, base counts and base_failed of verdicts() alone, without any tokens."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [base_counts(text or "", (text or "").encode()) for text in batch.column("text").to_pylist()]
+        failed = [r[0] < LEAST_WORDS or 100 * r[4] > REPEAT_PERCENT * r[0] for r in rows]
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(failed, pa.bool_())], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+
+    return map_batches(documents(docs), kernel, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
+
+
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that base counts and bands keep."""
     return fertility(docs, docs.columns, **options).where("kept").select("row.*")

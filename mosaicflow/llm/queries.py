@@ -14,8 +14,8 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of op1 what SQL can express: the base counts and what they fail."""
-    return op1_fertility(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    """Of op1 what SQL can express, in a pass of its own: the base counts and what they fail. A test holds op1's columns against it."""
+    return fertility.base(table(spark, sf_dir, "documents"))
 
 
 QUALITY_SQL = r"""
@@ -108,15 +108,21 @@ def op4_assignment_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of op4 what SQL can express: how many base spans of each kind there are."""
-    return op4_assignment_lexing(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
-
-
-SECRET_SQL = r"""
-SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
-  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
-  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
-FROM documents
+    """Of op4 what SQL can express, in a pass of its own: base spans by number and place. A test holds op4's columns against it."""
+    return secrets.base(table(spark, sf_dir, "documents"))
+
+
+_ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_FOUND = "SELECT rid, {k} AS kind, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {g}) AS g, regexp_split_to_array(text, '{p}') AS pieces FROM d"
+_LENGTHS = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+SECRET_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
+k AS ({_FOUND.format(k=0, p=_ASSIGN, g=1)} UNION ALL {_FOUND.format(k=1, p="AKIA[A-Z0-9]+", g=0)} UNION ALL {_FOUND.format(k=2, p="[0-9a-f]{24,}", g=0)}),
+s AS (SELECT rid, kind, m[i] AS w, g[i] AS g, CAST({_LENGTHS.format("pieces[1:i]")} + {_LENGTHS.format("m[1:i - 1]")} AS BIGINT) AS a FROM k, unnest(range(1, len(m) + 1)) AS u(i)),
+f AS (SELECT * FROM s WHERE kind = 2 OR kind = 0 AND length(g) >= 6 OR kind = 1 AND length(w) >= 20),
+n AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(list_extract(['assign', 'access', 'hex'], kind + 1) || ':' || a || ':' || (a + length(w)), ',' ORDER BY a, kind) AS spans FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN n USING (rid)
 """
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import blobs, documents, map_batches
 from .lexing import PLACEHOLDERS, Value, assignments, places
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -174,6 +174,21 @@ def scan(docs: DataFrame, columns: list[str]) -> DataFrame:
     return map_batches(rows, _scan, SCHEMA.format(fields))
 
 
+def base(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex and base_sha256 of secrets_found() alone, without lexing."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for data in blobs(batch.column("text")):
+            spans = in_code_points(base_spans(data), data)
+            counts = Counter(s.kind for s in spans)
+            rows.append((*(counts[k] for k in range(3)), hashlib.sha256(_joined(spans).encode()).hexdigest()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 3, pa.string()], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"])
+
+    return map_batches(documents(docs), kernel, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string")
+
+
 def secrets_found(docs: DataFrame) -> DataFrame:
     return scan(docs, ["doc_id"]).select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal")
 
