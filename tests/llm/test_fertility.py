@@ -139,3 +139,29 @@ def test_scripts_have_limits_of_fallback():
 
 def test_entropy():
     assert ft.entropy(np.array([1, 1, 1])) == 0 and ft.entropy(np.array([1, 2, 3, 4])) == 2 and ft.entropy(np.zeros(0)) == 0
+
+
+def test_verdict_against_brute_force(spark, sf_dir, real):
+    """kept from the definition: ids of the tokenizers file, characters without a piece, entropy by counting, the last band that is long enough."""
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    spelt = {p for i in range(model.get_piece_size()) if not model.is_byte(i) and len(p := model.id_to_piece(i)) == 1} | {" "}
+    got, n_kept = {r.doc_id: r.kept for r in op1_fertility(spark, sf_dir).collect()}, 0
+    for d in real.collect():
+        base, text = brute(d.text), d.text or ""
+        kept = base[0] >= 10 and 100 * base[4] <= 20 * base[0]
+        if kept:
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+            bits = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values())
+            missing = sum(len(c.encode()) for c in text if c not in spelt) / len(text.encode())
+            band = [b for b in ft.LANGUAGE_BANDS[d.lang] if b.from_tokens <= len(ids)][-1]
+            kept = band.chars_per_token[0] <= len(text) / len(ids) <= band.chars_per_token[1] and bits >= band.least_entropy and missing <= 0.2
+        n_kept += kept
+        assert got[d.doc_id] == kept, d.doc_id
+    assert 100 < n_kept < len(got)
