@@ -1,13 +1,15 @@
 """Frames of sheets: cutting, components, quality checks and placement.
 
 A sheet is one row, so all its frames come out of one call of a kernel and nothing is shuffled: what a frame needs of
-its sheet, the largest width and height, comes with it. Placement is arithmetic on those columns.
+its sheet, the largest width and height, comes with it. Placement is arithmetic on those columns. Kernels take sheets of
+one size by stacks of bounded bytes, so small sheets don't pay for a call each, and a task holds a stack, not its input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edge_touch, placement
-from ..sources.rasters import RASTERS, array_of, arrays
+from ..sources.rasters import RASTERS, array_of, mapped, stacks
 from . import kernels
 
 
@@ -62,69 +64,89 @@ FRAMES = (
 )
 
 
-#: Bytes of sheets whose frames go into one Arrow batch.
-BATCH_BYTES = 4 << 20
-
-
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
+def _columns(schema: str, *columns) -> pa.RecordBatch:
+    """Arrays of numbers, or of Arrow, as a batch of a schema."""
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(kinds[t].to_pandas_dtype(), copy=False), kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
 def remove_background(rasters: DataFrame, threshold: float = 100, edge_threshold: float = 150) -> DataFrame:
     """Rasters with key colour cleared, everywhere near the key and, less near, as far as it reaches the border."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [kernels.remove_background(x, threshold, edge_threshold).tobytes() for x in arrays(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("sheet_id"), batch.column("width"), batch.column("height"), pa.array(out, pa.binary())], names=["sheet_id", "width", "height", "rgba"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, stack in stacks(batch):
+            out = [x.tobytes() for x in kernels.remove_background(stack, threshold, edge_threshold)]
+            yield pa.RecordBatch.from_arrays([own.column("sheet_id"), own.column("width"), own.column("height"), pa.array(out, pa.binary())], names=["sheet_id", "width", "height", "rgba"])
 
-    return rasters.select("sheet_id", "width", "height", "rgba").mapInArrow(run, RASTERS)
+    return mapped(rasters.select("sheet_id", "width", "height", "rgba"), run, RASTERS)
 
 
-def cells_of(pixels: np.ndarray, p: Params) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, column, pixels) of a sheet's cells, trimmed and with their ring cleaned; what the grid leaves over is dropped."""
-    h, w = pixels.shape[0] // p.rows, pixels.shape[1] // p.cols
-    for row in range(p.rows):
-        for col in range(p.cols):
-            cell = kernels.trim(pixels[row * h : (row + 1) * h, col * w : (col + 1) * w], p.trim_border)
-            yield row, col, kernels.clean_ring(cell, p.edge_clean_depth) if p.edge_clean_depth > 0 else cell
+def cells_of(stack: np.ndarray, p: Params) -> np.ndarray:
+    """The cells of a stack of sheets, trimmed and with their ring cleaned, sheet by sheet in reading order; what the grid leaves over is dropped."""
+    n, h, w = len(stack), stack.shape[1] // p.rows, stack.shape[2] // p.cols
+    cells = stack[:, : p.rows * h, : p.cols * w].reshape(n, p.rows, h, p.cols, w, 4).swapaxes(2, 3).reshape(n * p.rows * p.cols, h, w, 4)
+    cells = kernels.trim(cells, p.trim_border)
+    return kernels.clean_ring(cells, p.edge_clean_depth) if p.edge_clean_depth > 0 else cells
 
 
 def component_table(rasters: DataFrame, p: Params) -> DataFrame:
     """One row a component of each frame, ranked from 1 by area; ties in reading order of their first pixels."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for sheet, raster in zip(batch.column("sheet_id").to_pylist(), arrays(batch), strict=True):
-                for row, col, cell in cells_of(kernels.remove_background(raster, p.threshold, p.edge_threshold), p):
-                    c = kernels.components(cell[..., 3] > 0, p.min_component_area)
-                    rows += [(sheet, row, col, k + 1, int(c.area[k]), *map(int, c.box[k]), *map(int, c.first[k]), bool(c.touches_edge[k])) for k in range(len(c.area))]
-            yield _batch(rows, COMPONENTS)
-
-    return rasters.mapInArrow(run, COMPONENTS)
-
-
-def _frames(sheet: int, clean: np.ndarray, p: Params, with_pixels: bool = True) -> list[list]:
-    """Rows of FRAMES for a sheet whose background is removed; crops as arrays, null without pixels."""
-    h, w = clean.shape[0] // p.rows, clean.shape[1] // p.cols
-    out = []
-    for row, col, cell in cells_of(clean, p):
-        found = kernels.components(cell[..., 3] > 0, p.min_component_area)
-        th, tw = cell.shape[:2]
-        area, chosen, box = None, (None,) * 4, kernels.visible_box(cell)
-        if p.component_mode == "largest" and len(found.area):
-            area, chosen = int(found.area[0]), tuple(map(int, found.box[0]))
-            pad = p.component_padding
-            box = (max(0, chosen[0] - pad), max(0, chosen[1] - pad), min(tw, chosen[2] + pad), min(th, chosen[3] + pad))
-        crop = cell[box[1] : box[3], box[0] : box[2]] if box else cell
-        out.append([sheet, row, col, w, h, tw, th, len(found.area), area, *chosen, *(box or (None,) * 4), crop.shape[1], crop.shape[0], 0, 0, crop if with_pixels else None])
-    width, height = max(x[17] for x in out), max(x[18] for x in out)
-    for x in out:
-        x[19], x[20] = width, height
-    return out
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, stack in stacks(batch):
+            cells = cells_of(kernels.remove_background(stack, p.threshold, p.edge_threshold), p)
+            frame, c = kernels.components_of(cells[..., 3] > 0, p.min_component_area)
+            rank = np.arange(len(frame)) - np.searchsorted(frame, frame) + 1
+            sheet, at = np.divmod(frame, p.rows * p.cols)
+            yield _columns(COMPONENTS, own.column("sheet_id").take(pa.array(sheet)), at // p.cols, at % p.cols, rank, c.area, *c.box.T, *c.first.T, c.touches_edge)
+
+    return mapped(rasters, run, COMPONENTS)
+
+
+class Cut(NamedTuple):
+    """The frames of a stack of sheets, sheet by sheet in reading order. chosen and box count only where has_chosen and has_box say so."""
+
+    cells: np.ndarray  # trimmed, (n, height, width, 4)
+    cell_size: tuple[int, int]  # width, height of the untrimmed ones
+    count: np.ndarray
+    area: np.ndarray
+    has_chosen: np.ndarray
+    chosen: np.ndarray
+    has_box: np.ndarray
+    box: np.ndarray
+    crop: np.ndarray  # the box, or the whole cell without one
+    width: np.ndarray
+    height: np.ndarray
+    max_width: np.ndarray  # of all frames of its sheet
+    max_height: np.ndarray
+
+
+def cut_stack(clean: np.ndarray, p: Params) -> Cut:
+    """The frames of sheets whose background is removed."""
+    cells = cells_of(clean, p)
+    n, th, tw = cells.shape[:3]
+    owner, found = kernels.components_of(cells[..., 3] > 0, p.min_component_area)
+    count = np.bincount(owner, minlength=n)
+    area, chosen, has_chosen = np.zeros(n, np.int64), np.zeros((n, 4), np.int64), np.zeros(n, bool)
+    has_box, box = kernels.visible_boxes(cells)
+    if p.component_mode == "largest":
+        has_chosen = count > 0
+        first = np.searchsorted(owner, np.flatnonzero(has_chosen))
+        area[has_chosen], chosen[has_chosen] = found.area[first], found.box[first]
+        pad = np.array([-1, -1, 1, 1]) * p.component_padding
+        box[has_chosen] = np.clip(chosen[has_chosen] + pad, 0, (tw, th, tw, th))
+        has_box = has_box | has_chosen
+    crop = np.where(has_box[:, None], box, (0, 0, tw, th))
+    width, height = crop[:, 2] - crop[:, 0], crop[:, 3] - crop[:, 1]
+    largest = [np.repeat(x.reshape(-1, p.rows * p.cols).max(axis=1), p.rows * p.cols) for x in (width, height)]
+    return Cut(cells, (clean.shape[2] // p.cols, clean.shape[1] // p.rows), count, area, has_chosen, chosen, has_box, box, crop, width, height, *largest)
 
 
 def cut(rasters: DataFrame, p: Params, with_pixels: bool = True) -> DataFrame:
@@ -133,20 +155,20 @@ def cut(rasters: DataFrame, p: Params, with_pixels: bool = True) -> DataFrame:
     A sheet's frames follow each other in reading order. with_pixels=False leaves rgba null: what a frame measures needs none of them.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, size = [], 0
-            for sheet, raster in zip(batch.column("sheet_id").to_pylist(), arrays(batch), strict=True):
-                own = _frames(sheet, kernels.remove_background(raster, p.threshold, p.edge_threshold), p, with_pixels)
-                rows += [(*x[:-1], np.ascontiguousarray(x[-1]).tobytes() if with_pixels else None) for x in own]
-                size += raster.nbytes if with_pixels else 0
-                if size >= BATCH_BYTES:
-                    yield _batch(rows, FRAMES)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, FRAMES)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, stack in stacks(batch):
+            f = cut_stack(kernels.remove_background(stack, p.threshold, p.edge_threshold), p)
+            n = len(f.count)
+            sheet, at = np.divmod(np.arange(n), p.rows * p.cols)
+            rgba = pa.array([f.cells[i, y0:y1, x0:x1].tobytes() for i, (x0, y0, x1, y1) in enumerate(f.crop.tolist())], pa.binary()) if with_pixels else pa.nulls(n, pa.binary())
+            size = [np.full(n, v) for v in (*f.cell_size, f.cells.shape[2], f.cells.shape[1])]
+            known = lambda values, there, kind: pa.array(values, kind, mask=~there)
+            yield _columns(
+                FRAMES, own.column("sheet_id").take(pa.array(sheet)), at // p.cols, at % p.cols, *size, f.count, known(f.area, f.has_chosen, pa.int64()),
+                *(known(v.astype(np.int32), f.has_chosen, pa.int32()) for v in f.chosen.T), *(known(v.astype(np.int32), f.has_box, pa.int32()) for v in f.box.T), f.width, f.height, f.max_width, f.max_height, rgba,
+            )
 
-    return rasters.mapInArrow(run, FRAMES)
+    return mapped(rasters, run, FRAMES)
 
 
 def checked(frames: DataFrame, p: Params) -> DataFrame:
@@ -186,35 +208,29 @@ def largest_per_frame(components: DataFrame) -> DataFrame:
     return components.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def canvas_of(crop: np.ndarray, size: int, new_w: int, new_h: int, x: int, y: int) -> np.ndarray:
-    """A clear cell with a frame resampled and put on it."""
-    canvas = np.zeros((size, size, 4), np.uint8)
-    if new_w and new_h:
-        kernels.paste(canvas, kernels.resize(crop, new_w, new_h), x, y)
-    return canvas
-
-
 def render(frames: DataFrame, p: Params) -> DataFrame:
     """placed frames with canvas: the frame resampled and put on a clear cell."""
     columns = [c for c in frames.columns if c != "rgba"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for w, h, rgba, nw, nh, x, y in zip(*(batch.column(k).to_pylist() for k in ("frame_width", "frame_height", "rgba", "new_w", "new_h", "paste_x", "paste_y")), strict=True):
-                out.append(canvas_of(array_of(w, h, rgba), p.cell_size, nw, nh, x, y).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.binary())], names=[*columns, "canvas"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names = {"frame_width": "width", "frame_height": "height"}
+        sized = batch.rename_columns([names.get(c, c) for c in batch.schema.names])
+        for own, stack in stacks(sized, p.cell_size**2):
+            whole = np.tile((0, 0, stack.shape[2], stack.shape[1]), (len(stack), 1))
+            placed = list(zip(*(own.column(k).to_pylist() for k in ("new_w", "new_h", "paste_x", "paste_y")), strict=True))
+            out = [x.tobytes() for x in kernels.canvases_of(stack, whole, p.cell_size, placed)]
+            yield pa.RecordBatch.from_arrays([*(own.column(names.get(c, c)) for c in columns), pa.array(out, pa.binary())], names=[*columns, "canvas"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.drop("rgba").schema)
-    return frames.mapInArrow(run, f"{schema}, canvas binary")
+    return mapped(frames, run, f"{schema}, canvas binary")
 
 
 def centred(rasters: DataFrame, size: int = 256, threshold: float = 100, edge_threshold: float = 150) -> DataFrame:
     """Single sprites on a square canvas: (sheet_id, width, height, rgba)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(s, size, size, kernels.centred(x, size, threshold, edge_threshold).tobytes()) for s, x in zip(batch.column("sheet_id").to_pylist(), arrays(batch), strict=True)]
-            yield _batch(rows, RASTERS)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, stack in stacks(batch, size * size):
+            side = np.full(own.num_rows, size)
+            yield _columns(RASTERS, own.column("sheet_id"), side, side, pa.array([x.tobytes() for x in kernels.centred(stack, size, threshold, edge_threshold)], pa.binary()))
 
-    return rasters.mapInArrow(run, RASTERS)
+    return mapped(rasters, run, RASTERS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import catalog
 from ..operators import frames as fr
 from ..operators import kernels
-from ..operators.animation import gif, read_gif
+from ..operators.animation import gifs, read_gif
 from ..operators.frames import Params
 from ..sources import png
-from ..sources.rasters import arrays
+from ..sources.rasters import STACK_BYTES, mapped, stacks
 
 FILES = "sheet_id long, name string, content binary"
 PICTURES = "sheet_id long, name string, frame int, width int, height int, rgba binary"
@@ -52,87 +53,102 @@ class Request:
         return {"target": self.target, "mode": self.mode, "prompt": self.prompt, "role": self.role, "input": self.source, "threshold": p.threshold, "edge_threshold": p.edge_threshold, "duration": self.duration}
 
 
-def _frame_record(row: dict, p: Params) -> dict:
-    # Names of the metadata's fields, which results must match.
-    box = lambda *names: [row[n] for n in names] if row[names[0]] is not None else None
-    w, h, r, c = row["cell_width"], row["cell_height"], row["grid_row"], row["grid_col"]
-    return {
-        "grid": [r, c], "source_box": [c * w, r * h, (c + 1) * w, (r + 1) * h], "component_mode": p.component_mode, "component_count": row["component_count"],
-        "selected_component_area": row["selected_area"], "selected_component_bbox": box("sel_x0", "sel_y0", "sel_x1", "sel_y1"), "crop_bbox": box("x0", "y0", "x1", "y1"),
-        "edge_touch": row["edge_touch"], "output_size": [row["new_w"], row["new_h"]], "paste_position": [row["paste_x"], row["paste_y"]],
-    }
+class _Sheets:
+    """What files of a stack of sheets are made from, each made once and only when a file asks for it."""
 
+    def __init__(self, rasters: np.ndarray, ask: Request):
+        self.rasters, self.ask = rasters, ask
 
-_NAMES = [x.split()[0] for x in fr.FRAMES.split(", ")]
-
-
-def _frame(row: list, p: Params) -> dict:
-    """A row of FRAMES as checked() and placed() complete it."""
-    f = dict(zip(_NAMES, row, strict=True))
-    width, height = (f["trimmed_width"], f["trimmed_height"]) if p.symmetric else (f["cell_width"], f["cell_height"])
-    margin = p.edge_touch_margin
-    touches = f["x0"] is not None and (f["x0"] <= margin or f["y0"] <= margin or f["x1"] >= width - margin or f["y1"] >= height - margin)
-    largest = (f["max_width"], f["max_height"]) if p.shared_scale else None
-    return f | {"edge_touch": touches} | kernels.placement(f["frame_width"], f["frame_height"], p.cell_size, p.fit_scale, p.align, largest)
+    def __len__(self) -> int:
+        return len(self.rasters)
 
+    @functools.cached_property
+    def clean(self) -> np.ndarray:
+        return kernels.remove_background(self.rasters, self.ask.params.threshold, self.ask.params.edge_threshold)
 
-class _Sheet:
-    """What files of a sheet are made from, each made once and only when a file asks for it."""
+    @functools.cached_property
+    def cut(self) -> fr.Cut:
+        return fr.cut_stack(self.clean, self.ask.params)
 
-    def __init__(self, raster: np.ndarray, sheet: int, ask: Request):
-        self.raster, self.sheet, self.ask = raster, sheet, ask
+    @functools.cached_property
+    def edge_touch(self) -> np.ndarray:
+        """Of all frames, as fr.checked() tells."""
+        p, f = self.ask.params, self.cut
+        width, height = (f.cells.shape[2], f.cells.shape[1]) if p.symmetric else f.cell_size
+        return f.has_box & ((f.box[:, :2] <= p.edge_touch_margin) | (f.box[:, 2:] >= np.array([width, height]) - p.edge_touch_margin)).any(axis=1)
 
     @functools.cached_property
-    def clean(self) -> np.ndarray:
-        return kernels.remove_background(self.raster, self.ask.params.threshold, self.ask.params.edge_threshold)
+    def placed(self) -> list[tuple[int, int, int, int]]:
+        """new_w, new_h, paste_x and paste_y of all frames, as fr.placed() tells."""
+        p, f = self.ask.params, self.cut
+        largest = zip(f.max_width.tolist(), f.max_height.tolist(), strict=True) if p.shared_scale else itertools.repeat(None)
+        return [tuple(kernels.placement(w, h, p.cell_size, p.fit_scale, p.align, m).values()) for w, h, m in zip(f.width.tolist(), f.height.tolist(), largest, strict=False)]
 
     @functools.cached_property
-    def rows(self) -> list[dict]:
-        return [_frame(x, self.ask.params) for x in fr._frames(self.sheet, self.clean, self.ask.params)]
+    def canvases(self) -> np.ndarray:
+        """(sheets, frames, size, size, 4)."""
+        p = self.ask.params
+        return kernels.canvases_of(self.cut.cells, self.cut.crop, p.cell_size, self.placed).reshape(len(self), p.rows * p.cols, p.cell_size, p.cell_size, 4)
 
     @functools.cached_property
-    def canvases(self) -> list[np.ndarray]:
-        return [fr.canvas_of(r["rgba"], self.ask.params.cell_size, r["new_w"], r["new_h"], r["paste_x"], r["paste_y"]) for r in self.rows]
+    def sheet(self) -> np.ndarray:
+        """All frames of each sheet on one."""
+        p = self.ask.params
+        return kernels.compose(list(self.canvases.swapaxes(0, 1)), p.rows, p.cols, p.cell_size)
 
     @functools.cached_property
     def single(self) -> np.ndarray:
         p = self.ask.params
-        return kernels.centred(self.raster, self.ask.single_size, p.threshold, p.edge_threshold)
-
-    def composed(self, canvases: list[np.ndarray], rows: int) -> bytes:
-        return png.encode(kernels.compose(canvases, rows, self.ask.params.cols, self.ask.params.cell_size))
+        return kernels.centred(self.rasters, self.ask.single_size, p.threshold, p.edge_threshold)
 
-    def metadata(self) -> bytes:
+    def metadata(self) -> list[bytes]:
         ask, p = self.ask, self.ask.params
         if not ask.is_sheet:
-            return json.dumps(ask.metadata() | {"single_size": ask.single_size}, indent=2).encode()
+            return [json.dumps(ask.metadata() | {"single_size": ask.single_size}, indent=2).encode()] * len(self)
         meta = ask.metadata() | ({"directions": catalog.DIRECTIONS} if ask.by_direction else {})
         meta |= {k: v for k, v in p.as_dict().items() if k not in ("threshold", "edge_threshold", "symmetric")}
-        meta |= {"frame_labels": ask.labels, "frames": [_frame_record(r, p) for r in self.rows], "edge_touch_frames": [[r["grid_row"], r["grid_col"]] for r in self.rows if r["edge_touch"]]}
-        return json.dumps(meta, indent=2).encode()
-
-
-#: By name, what makes a file's bytes from a sheet.
-Makers = dict[str, Callable[[_Sheet], bytes]]
+        f, n = self.cut, p.rows * p.cols
+        w, h = f.cell_size
+        count, area, touch = f.count.tolist(), f.area.tolist(), self.edge_touch.tolist()
+        chosen, box = ([x if there else None for x, there in zip(v.tolist(), has.tolist(), strict=True)] for v, has in ((f.chosen, f.has_chosen), (f.box, f.has_box)))
+        records = []
+        for i, (new_w, new_h, x, y) in enumerate(self.placed):
+            r, c = divmod(i % n, p.cols)
+            # Names of the metadata's fields, which results must match.
+            records.append({
+                "grid": [r, c], "source_box": [c * w, r * h, (c + 1) * w, (r + 1) * h], "component_mode": p.component_mode, "component_count": count[i],
+                "selected_component_area": area[i] if chosen[i] else None, "selected_component_bbox": chosen[i], "crop_bbox": box[i],
+                "edge_touch": touch[i], "output_size": [new_w, new_h], "paste_position": [x, y],
+            })
+        out = []
+        for k in range(0, len(records), n):
+            own = records[k : k + n]
+            out.append(json.dumps(meta | {"frame_labels": ask.labels, "frames": own, "edge_touch_frames": [r["grid"] for r in own if r["edge_touch"]]}, indent=2).encode())
+        return out
+
+
+#: By name, what makes the bytes of a file of each of a stack of sheets.
+Makers = dict[str, Callable[[_Sheets], list[bytes]]]
 
 
 def _makers(ask: Request) -> Makers:
     """All files that are asked for, in order, but for the prompt's."""
     p = ask.params
     if not ask.is_sheet:
-        return {"raw.png": lambda s: png.encode(s.raster), "clean.png": lambda s: png.encode(s.single), "pipeline-meta.json": _Sheet.metadata}
-    out: Makers = {"raw-sheet.png": lambda s: png.encode(s.raster), "raw-sheet-clean.png": lambda s: png.encode(s.clean)}
+        return {"raw.png": lambda s: png.encode_all(s.rasters), "clean.png": lambda s: png.encode_all(s.single), "pipeline-meta.json": _Sheets.metadata}
+    out: Makers = {"raw-sheet.png": lambda s: png.encode_all(s.rasters), "raw-sheet-clean.png": lambda s: png.encode_all(s.clean)}
     for i, label in enumerate(ask.labels[: p.rows * p.cols]):
-        out[f"{label}.png"] = lambda s, i=i: png.encode(s.canvases[i])
-    out["sheet-transparent.png"] = lambda s: s.composed(s.canvases, p.rows)
+        out[f"{label}.png"] = lambda s, i=i: png.encode_all(s.canvases[:, i])
+    out["sheet-transparent.png"] = lambda s: png.encode_all(s.sheet)
     if ask.by_direction:
         for i, direction in enumerate(catalog.DIRECTIONS):
             own = slice(i * p.cols, (i + 1) * p.cols)
-            out[f"{direction}-strip.png"] = lambda s, own=own: s.composed(s.canvases[own], 1)
-            out[f"{direction}.gif"] = lambda s, own=own: gif(s.canvases[own], ask.duration)
+            strip = slice(i * p.cell_size, (i + 1) * p.cell_size)
+            out[f"{direction}-strip.png"] = lambda s, strip=strip: png.encode_all(s.sheet[:, strip])
+            out[f"{direction}.gif"] = lambda s, own=own: gifs(s.canvases[:, own], ask.duration)
     else:
-        out["animation.gif"] = lambda s: gif(s.canvases, ask.duration)
-    return out | {"pipeline-meta.json": _Sheet.metadata}
+        out["animation.gif"] = lambda s: gifs(s.canvases, ask.duration)
+    return out | {"pipeline-meta.json": _Sheets.metadata}
 
 
 def frame_rows(rasters: DataFrame, p: Params) -> DataFrame:
@@ -150,42 +166,40 @@ def process(rasters: DataFrame, ask: Request, only: Iterable[str] | None = None)
     """
     wanted = None if only is None else set(only)
     makers = {name: make for name, make in _makers(ask).items() if wanted is None or name in wanted}
+    if ask.prompt_text is not None and (wanted is None or PROMPT_FILE in wanted):
+        makers[PROMPT_FILE] = lambda s, text=ask.prompt_text.encode(): [text] * len(s)
+    p = ask.params
+    pixels = p.rows * p.cols * p.cell_size**2 if ask.is_sheet else ask.single_size**2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for batch in batches:
-            for number, raster in zip(batch.column("sheet_id").to_pylist(), arrays(batch), strict=True):
-                sheet = _Sheet(raster, number, ask)
-                if ask.reject and ask.is_sheet and any(r["edge_touch"] for r in sheet.rows):
-                    raise ValueError(f"a frame touches its cell's edge: sheet {number}")
-                for name, make in makers.items():
-                    rows.append((number, name, content := make(sheet)))
-                    size += len(content)
-                if size >= fr.BATCH_BYTES:
-                    yield fr._batch(rows, FILES)
-                    rows, size = [], 0
-        if rows:
-            yield fr._batch(rows, FILES)
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, stack in stacks(batch, pixels):
+            sheets = _Sheets(stack, ask)
+            if ask.reject and ask.is_sheet and sheets.edge_touch.any():
+                first = int(np.argmax(sheets.edge_touch)) // (p.rows * p.cols)
+                raise ValueError(f"a frame touches its cell's edge: sheet {own.column('sheet_id')[first].as_py()}")
+            made = [make(sheets) for make in makers.values()]
+            numbers = own.column("sheet_id").take(pa.array(np.repeat(np.arange(len(sheets)), len(made))))
+            yield fr._columns(FILES, numbers, pa.array(list(makers) * len(sheets), pa.string()), pa.array([x for of_sheet in zip(*made, strict=True) for x in of_sheet], pa.binary()))
 
-    files = rasters.select("sheet_id", "width", "height", "rgba").mapInArrow(run, FILES)
-    if ask.prompt_text is not None and (wanted is None or PROMPT_FILE in wanted):
-        text = F.lit(ask.prompt_text).cast("binary")
-        files = files.unionByName(rasters.select("sheet_id", F.lit(PROMPT_FILE).alias("name"), text.alias("content")))
-    return files
+    return mapped(rasters.select("sheet_id", "width", "height", "rgba"), run, FILES)
 
 
 def decoded(files: DataFrame) -> DataFrame:
     """(sheet_id, name, frame, width, height, rgba) of the pictures among FILES: PNG have one frame, 0, GIF as many as they have."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for sheet, name, content in zip(*(batch.column(k).to_pylist() for k in ("sheet_id", "name", "content")), strict=True):
-                frames = read_gif(content)[0] if name.endswith(".gif") else [png.decode(content)]
-                rows += [(sheet, name, i, x.shape[1], x.shape[0], x.tobytes()) for i, x in enumerate(frames)]
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for sheet, name, content in zip(*(batch.column(k).to_pylist() for k in ("sheet_id", "name", "content")), strict=True):
+            for i, x in enumerate(read_gif(content)[0] if name.endswith(".gif") else [png.decode(content)]):
+                rows.append((sheet, name, i, x.shape[1], x.shape[0], x.tobytes()))
+                size += x.size
+            if size >= STACK_BYTES:
+                yield fr._batch(rows, PICTURES)
+                rows, size = [], 0
+        if rows:
             yield fr._batch(rows, PICTURES)
 
-    return files.where(F.col("name").rlike(r"\.(png|gif)$")).mapInArrow(run, PICTURES)
+    return mapped(files.where(F.col("name").rlike(r"\.(png|gif)$")), run, PICTURES)
 
 
 def weighted_sums(files: DataFrame, picture: str) -> DataFrame:
@@ -196,9 +210,8 @@ def weighted_sums(files: DataFrame, picture: str) -> DataFrame:
         v, u = np.mgrid[: x.shape[0], : x.shape[1]]
         return int((u + 2 * v + x @ (1, 3, 5, 7)).sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [total(content) if name == picture else None for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("sheet_id"), batch.column("name"), pa.array(sums, pa.int64())], names=["sheet_id", "name", "content"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sums = [total(content) if name == picture else None for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("sheet_id"), batch.column("name"), pa.array(sums, pa.int64())], names=["sheet_id", "name", "content"])
 
-    return files.mapInArrow(run, "sheet_id long, name string, content long")
+    return mapped(files.select("sheet_id", "name", "content"), run, "sheet_id long, name string, content long")

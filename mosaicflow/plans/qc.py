@@ -16,9 +16,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Sheets that a task makes, about, so that there are more tasks where there are more parts, not longer ones.
+TASK_SHEETS = 2_000
+
+
+def parts(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Keys and sizes of all parts, whose few bytes a row are dealt out before they become thousands: the work is in the sheets, not in reading. With keys, by these, so what is grouped by them needs no other shuffle."""
+    found = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return found.repartition(max(4 * spark.sparkContext.defaultParallelism, -(-found.count() // TASK_SHEETS)), *keys)
+
+
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets made from all parts, whose few bytes a row are dealt out first: the work is in the sheets, not in reading."""
-    return part_rasters(read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism))
+    """Sheets made from all parts."""
+    return part_rasters(parts(spark, sf_dir))
 
 
 def report(rasters: DataFrame, p: Params = SMALL) -> DataFrame:

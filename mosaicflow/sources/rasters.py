@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,10 @@ from . import png
 RASTERS = "sheet_id long, width int, height int, rgba binary"
 PIXELS = "sheet_id long, x int, y int, r int, g int, b int, a int"
 
+#: Bytes and rows of the Arrow batches that Spark hands to a task, and of the stacks that kernels take at once: what a task holds follows from these, not from its input.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
+STACK_BYTES, STACK_ROWS = 1 << 20, 500
+
 
 def array_of(width: int, height: int, rgba: bytes) -> np.ndarray:
     return np.frombuffer(rgba, np.uint8).reshape(height, width, 4)
@@ -24,6 +28,35 @@ def arrays(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield array_of(width, height, rgba)
 
 
+def stacks(batch: pa.RecordBatch, pixels: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of a batch of rasters in stacks of one size, (n, height, width, 4), each with its rows. pixels: how many a raster becomes, where that is more than it has."""
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, size in enumerate(zip(batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True)):
+        alike.setdefault(size, []).append(i)
+    for (width, height), rows in alike.items():
+        n = max(1, min(STACK_ROWS, STACK_BYTES // max(1, 4 * width * height, 4 * pixels)))
+        for k in range(0, len(rows), n):
+            own = batch.take(pa.array(rows[k : k + n]))
+            yield own, np.frombuffer(b"".join(own.column("rgba").to_pylist()), np.uint8).reshape(own.num_rows, height, width, 4)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, not only their rows; rows by less than Spark does, as what is made of a row may be larger than the row."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def mapped(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What run makes of each batch, in batches that are bounded; run should give what it made of each of a batch's stacks before it takes the next."""
+    bound_batches(df.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(batch)
+
+    return df.mapInArrow(each, schema)
+
+
 def read_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     """PNG files below a path, with their path: decoded to RGBA as they are, colours under clear pixels included.
 
@@ -83,17 +116,15 @@ def sums(rasters: DataFrame, keys: list[str]) -> DataFrame:
     """keys, visible and content of each raster: the number of pixels that aren't clear, and the sum of their place times weighted channels."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*keys).schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            visible, content = [], []
-            for x in arrays(batch):
-                flat = x.reshape(-1, 4).astype(np.int64)
-                place = np.flatnonzero(flat[:, 3])
-                visible.append(len(place))
-                content.append(int((place * (flat[place] @ (1, 3, 7, 1))).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(visible, pa.int64()), pa.array(content, pa.int64())], names=[*keys, "visible", "content"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, stack in stacks(batch):
+            flat = stack.reshape(own.num_rows, -1, 4)
+            seen = flat[..., 3] > 0
+            weight = flat[..., 0] + 3 * flat[..., 1].astype(np.int64) + 7 * flat[..., 2].astype(np.int64) + flat[..., 3]
+            content = (weight * seen * np.arange(flat.shape[1])).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), pa.array(np.count_nonzero(seen, axis=1), pa.int64()), pa.array(content, pa.int64())], names=[*keys, "visible", "content"])
 
-    return rasters.mapInArrow(run, f"{schema}, visible long, content long")
+    return mapped(rasters.select(*dict.fromkeys([*keys, "width", "height", "rgba"])), run, f"{schema}, visible long, content long")
 
 
 def pixels(rasters: DataFrame) -> DataFrame:
@@ -131,22 +162,23 @@ def part_pixels(part: DataFrame) -> DataFrame:
 def part_rasters(part: DataFrame) -> DataFrame:
     """The same sheets as RASTERS, made in numpy."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         y, x = np.mgrid[:SIDE, :SIDE]
-        for batch in batches:
-            keys, out = batch.column("sheet_id").to_pylist(), []
-            for key, size in zip(keys, batch.column("size").to_pylist(), strict=True):
-                dx, dy, grow = x % CELL - 8 - key % 5 * 2 + 4, y % CELL - 8, size % 8
-                d2, hole = dx * dx + dy * dy, (dx == 0) & (dy == 0)
-                sparkle = np.isin(dx, (6, 7)) & np.isin(dy, (-6, -5))
-                dark = (x % CELL == 1) & (y % CELL == 11) & (key % 7 == 0)
-                kinds = [(d2 <= 9 + grow) & ~hole, hole | (d2 <= 20 + grow), sparkle, dark]
-                picture = np.full((SIDE, SIDE, 4), (255, 0, 255, 255), np.uint8)
-                for mask, colour in reversed(list(zip(kinds, [(40 + 3 * grow, 120, 40), (180, 80, 180), (250, 250, 40), (10, 10, 10)], strict=True))):
-                    picture[mask, :3] = colour
-                picture[sparkle & (key % 7 == 1), 3] = 90
-                out.append(picture.tobytes())
-            side = pa.array([SIDE] * len(keys), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("sheet_id"), side, side, pa.array(out, pa.binary())], names=["sheet_id", "width", "height", "rgba"])
-
-    return part.select(F.col("p_partkey").cast("long").alias("sheet_id"), F.col("p_size").cast("int").alias("size")).mapInArrow(run, RASTERS)
+        for at in range(0, batch.num_rows, STACK_ROWS):
+            own = batch.slice(at, STACK_ROWS)
+            key, size = (own.column(c).to_numpy().astype(np.int64)[:, None, None] for c in ("sheet_id", "size"))
+            # Numbers are small from here on.
+            five, seven, grow = ((v % k).astype(np.int16) for v, k in ((key, 5), (key, 7), (size, 8)))
+            dx, dy = (x % CELL - 8).astype(np.int16) - five * 2 + 4, (y % CELL - 8).astype(np.int16)
+            d2, hole = dx * dx + dy * dy, (dx == 0) & (dy == 0)
+            sparkle = ((dx == 6) | (dx == 7)) & ((dy == -6) | (dy == -5))
+            dark = (x % CELL == 1) & (y % CELL == 11) & (seven == 0)
+            disc, halo = (d2 <= 9 + grow) & ~hole, hole | (d2 <= 20 + grow)
+            picture = np.empty((own.num_rows, SIDE, SIDE, 4), np.uint8)
+            for k, (a, b, c, d, e) in enumerate([(40 + 3 * grow, 180, 250, 10, 255), (120, 80, 250, 10, 0), (40, 180, 40, 10, 255)]):
+                picture[..., k] = np.where(disc, a, np.where(halo, b, np.where(sparkle, c, np.where(dark, d, e))))
+            picture[..., 3] = np.where(sparkle & (seven == 1), 90, 255)
+            side = pa.array(np.full(own.num_rows, SIDE, np.int32))
+            yield pa.RecordBatch.from_arrays([own.column("sheet_id"), side, side, pa.array([p.tobytes() for p in picture], pa.binary())], names=["sheet_id", "width", "height", "rgba"])
+
+    return mapped(part.select(F.col("p_partkey").cast("long").alias("sheet_id"), F.col("p_size").cast("int").alias("size")), run, RASTERS)
