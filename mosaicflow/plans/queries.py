@@ -16,7 +16,7 @@ from ..sources import pictures, scenes
 from ..sources import rasters as ra
 from . import process as pr
 from . import sql
-from .qc import SMALL, read, report, sheets
+from .qc import SMALL, parts, read, report, sheets
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -236,7 +236,7 @@ def map_strategy(spark, sf_dir):
     count(*) FILTER (a >= 128) AS opaque FROM keyed GROUP BY 1"""
 )
 def chroma_key_counts(spark, sf_dir):
-    keyed = px.chroma_key(ra.part_pixels(read(spark, sf_dir, "part")))
+    keyed = px.chroma_key(ra.part_pixels(parts(spark, sf_dir, "p_partkey")))
     seen = F.col("a") > 0
     return keyed.groupBy("sheet_id").agg(
         F.count_if(seen).alias("visible"), F.count_if(~seen).alias("cleared"), F.sum(F.when(seen, F.col("r") + F.col("g") + F.col("b")).otherwise(0)).alias("colour"), F.count_if(F.col("a") >= 128).alias("opaque")
@@ -256,7 +256,7 @@ t AS (SELECT * FROM c WHERE x >= 0 AND y >= 0 AND x < 8 AND y < 8)"""
 
 @query(f"{_TRIMMED} SELECT sheet_id, CAST(grid_row AS INTEGER) AS grid_row, CAST(grid_col AS INTEGER) AS grid_col, count(*) AS n_pixels, CAST(sum(x * 3 + y * 5 + r) AS BIGINT) AS content FROM t GROUP BY ALL")
 def grid_split_cells(spark, sf_dir):
-    cells = px.split_cells(ra.part_pixels(read(spark, sf_dir, "part")), 32, 32, 3, 3, 1)
+    cells = px.split_cells(ra.part_pixels(parts(spark, sf_dir, "p_partkey")), 32, 32, 3, 3, 1)
     return cells.groupBy("sheet_id", "grid_row", "grid_col").agg(F.count("*").alias("n_pixels"), F.sum(F.col("x") * 3 + F.col("y") * 5 + F.col("r")).alias("content"))
 
 
@@ -266,7 +266,7 @@ def grid_split_cells(spark, sf_dir):
     CAST(min(x) FILTER (NOT gone) AS INTEGER) AS x0, CAST(min(y) FILTER (NOT gone) AS INTEGER) AS y0, CAST(max(x) FILTER (NOT gone) + 1 AS INTEGER) AS x1, CAST(max(y) FILTER (NOT gone) + 1 AS INTEGER) AS y1 FROM e GROUP BY ALL"""
 )
 def edge_clean_ring(spark, sf_dir):
-    cells = px.split_cells(ra.part_pixels(read(spark, sf_dir, "part")), 32, 32, 3, 3, 1)
+    cells = px.split_cells(ra.part_pixels(parts(spark, sf_dir, "p_partkey")), 32, 32, 3, 3, 1)
     return px.visible_boxes(px.clean_ring(cells, 8, 8, 2), "sheet_id", "grid_row", "grid_col")
 
 

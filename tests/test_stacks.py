@@ -77,3 +77,12 @@ def test_more_parts_are_more_tasks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(qc, "TASK_SHEETS", n // 40)
     assert qc.sheets(spark, sf_dir).rdd.getNumPartitions() >= 40
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(ra.BATCH_BYTES)
+
+
+def test_pixels_are_counted_where_they_are_made(spark, sf_dir):
+    """Cells of a sheet are counted in its task: one shuffle of keys, none of pixels or of counts."""
+    from mosaicflow.plans.queries import QUERIES
+
+    for name in ("edge_clean_ring", "grid_split_cells", "chroma_key_counts"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(") == 1 and "p_partkey" in plan.partition("hashpartitioning(")[2].partition(")")[0], name
