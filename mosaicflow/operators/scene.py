@@ -6,6 +6,8 @@ cells of mixed sizes, not by testing every pair, so neither side is broadcast fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 from ..sinks.tables import written
 from . import covering, regions
 
+#: Side of the tiles of a canvas that tasks draw.
+PREVIEW_TILE = 64
+_TILES = "scene_id long, tile_x int, tile_y int, rgba binary"
 LAYERS = ["base", "ground", "props", "actors", "foreground", "debug", "hud"]
 
 
@@ -119,17 +124,45 @@ def validation(maps: DataFrame) -> DataFrame:
     return maps.withColumn("problems", F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])))
 
 
-def preview(items: DataFrame, width: int, height: int) -> DataFrame:
-    """(scene_id, width, height, rgba): items of one scene, with left, top, item_width, item_height and rgba, drawn in order."""
+def preview(items: DataFrame, width: int, height: int, tile: int = PREVIEW_TILE) -> DataFrame:
+    """(scene_id, width, height, rgba): items of one scene, with left, top, item_width, item_height and rgba, drawn in order.
+
+    A scene is drawn by tiles of its canvas, which go to tasks of their own with the items that they see, sorted by Spark. A task draws them as they come:
+    it holds one tile and one batch, however many items a scene has.
+    """
+    from ..sources.rasters import array_of, bound_batches
     from .frames import _batch
     from .kernels import paste
 
-    def run(group: pa.Table) -> pa.Table:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, canvas = None, None
+        done = lambda: _batch([(*now, canvas.tobytes())], _TILES)
+        for batch in batches:
+            for *at, left, top, w, h, rgba in zip(*(batch.column(c).to_pylist() for c in ("scene_id", "tile_x", "tile_y", "left", "top", "item_width", "item_height", "rgba")), strict=True):
+                x, y = at[1] * tile, at[2] * tile
+                if at != now:
+                    if now is not None:
+                        yield done()
+                    now, canvas = at, np.zeros((min(tile, height - y), min(tile, width - x), 4), np.uint8)
+                paste(canvas, array_of(w, h, rgba), int(left) - x, int(top) - y, masked=True)
+        if now is not None:
+            yield done()
+
+    def join(group: pa.Table) -> pa.Table:
         canvas = np.zeros((height, width, 4), np.uint8)
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("draw_order", "left", "top", "item_width", "item_height", "rgba", "scene_id")), strict=True), key=lambda r: r[0])
-        for _, left, top, w, h, rgba, _ in rows:
-            paste(canvas, np.frombuffer(rgba, np.uint8).reshape(h, w, 4), int(left), int(top), masked=True)
-        return pa.Table.from_batches([_batch([(rows[0][6], width, height, canvas.tobytes())], "scene_id long, width int, height int, rgba binary")])
-
-    return items.groupBy("scene_id").applyInArrow(run, "scene_id long, width int, height int, rgba binary")
-
+        for x, y, rgba in zip(*(group.column(c).to_pylist() for c in ("tile_x", "tile_y", "rgba")), strict=True):
+            part = canvas[y * tile : (y + 1) * tile, x * tile : (x + 1) * tile]
+            part[...] = np.frombuffer(rgba, np.uint8).reshape(part.shape)
+        return pa.Table.from_batches([_batch([(group.column("scene_id")[0].as_py(), width, height, canvas.tobytes())], "scene_id long, width int, height int, rgba binary")])
+
+    def tiles(start: str, size: str, whole: int) -> Column:
+        """Numbers of the tiles that an item reaches; an item beside the canvas goes to the nearest, so that its scene has a row."""
+        first, last = F.col(start).cast("int"), F.col(start).cast("int") + F.col(size) - 1
+        place = lambda c: F.floor(F.least(F.greatest(c, F.lit(0)), F.lit(whole - 1)) / tile).cast("int")
+        return F.sequence(place(first), F.greatest(place(first), place(last)))
+
+    bound_batches(items.sparkSession)
+    seen = items.withColumn("tile_x", F.explode(tiles("left", "item_width", width))).withColumn("tile_y", F.explode(tiles("top", "item_height", height)))
+    keys = ["scene_id", "tile_x", "tile_y"]
+    drawn = seen.repartition(*keys).sortWithinPartitions(*keys, "draw_order").mapInArrow(draw, _TILES)
+    return drawn.groupBy("scene_id").applyInArrow(join, "scene_id long, width int, height int, rgba binary")

@@ -89,3 +89,26 @@ def test_prompt_sink(spark, tmp_path):
     write_prompts(prompts.build_prompts(asked), str(tmp_path / "p"))
     row = spark.read.json(str(tmp_path / "p" / "json")).first()
     assert row.target == "asset" and spark.read.text(str(tmp_path / "p" / "text")).first().value == row.generated_prompt
+
+
+def test_preview_by_tiles(spark):
+    """Items over borders of tiles, beside the canvas, half clear and in any order give what drawing them on one canvas gives; no group holds a scene's items."""
+    import numpy as np
+
+    from mosaicflow.operators.kernels import paste
+
+    rng = np.random.default_rng(3)
+    rows, expected = [], {}
+    for scene_id, n in ((1, 60), (2, 3), (3, 1), (None, 5)):
+        canvas = np.zeros((50, 70, 4), np.uint8)
+        for k in range(n):
+            image = rng.integers(0, 256, (int(rng.integers(1, 30)), int(rng.integers(1, 40)), 4), dtype=np.uint8)
+            left, top = (500, -90) if scene_id == 3 else (int(rng.integers(-20, 75)), int(rng.integers(-20, 55)))
+            paste(canvas, image, left, top, masked=True)
+            rows.append((scene_id, k, left, top, image.shape[1], image.shape[0], bytearray(image.tobytes())))
+        expected[scene_id] = canvas.tobytes()
+    items = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "scene_id long, draw_order int, left int, top int, item_width int, item_height int, rgba binary")
+    found = scene.preview(items, 70, 50, tile=16)
+    assert {r.scene_id: bytes(r.rgba) for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("MapInArrow draw") < plan.index("RepartitionByExpression")
