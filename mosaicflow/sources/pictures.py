@@ -35,6 +35,8 @@ from . import png
 SPLIT_BYTES, PACK_BYTES, BATCH_BYTES, OPEN_BYTES = 64 << 20, 64 << 20, 8 << 20, 64 << 10
 #: What a PNG file's size is read from.
 HEADER_BYTES = 24
+#: What a file in a pack counts for at least, and how many index rows are read at once.
+FILE_BYTES, INDEX_ROWS = 1 << 10, 8_192
 SCHEMA = "path string, sheet_id long, name string, size long, width int, height int, rgba binary"
 _TYPES = {"path": pa.string(), "sheet_id": pa.int64(), "name": pa.string(), "size": pa.int64(), "width": pa.int32(), "height": pa.int32(), "content": pa.binary(), "rgba": pa.binary()}
 _INDEX = pa.schema([("sheet_id", pa.int64()), ("name", pa.string()), ("offset", pa.int64()), ("size", pa.int64())])
@@ -51,6 +53,7 @@ class Entry:
     place: str
     size: int
     is_pack: bool = False
+    files: int = 1
 
 
 @dataclass
@@ -106,7 +109,8 @@ class Reader(DataSourceReader):
                 out.append(Split([]))
                 held = 0
             out[-1].entries.append(entry)
-            held += OPEN_BYTES + self.needs(entry.size)
+            # Of a pack, each file's index row and first bytes count, not only the pack's own.
+            held += OPEN_BYTES + max(self.needs(entry.size), entry.files * FILE_BYTES if entry.is_pack else 0)
         return out
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
@@ -137,7 +141,7 @@ class Reader(DataSourceReader):
                 yield {"path": entry.place, "name": entry.place.rpartition("/")[2], "size": entry.size, "sheet_id": None}, whole
                 continue
             with store.open_input_file(f"{entry.place}.index") as index, store.open_input_file(entry.place) as source:
-                for batch in pq.ParquetFile(index).iter_batches():
+                for batch in pq.ParquetFile(index).iter_batches(batch_size=INDEX_ROWS):
                     for r in batch.to_pylist():
                         known = {"path": f"{entry.place}#{r['sheet_id']}/{r['name']}", "name": r["name"], "size": r["size"], "sheet_id": r["sheet_id"]}
                         yield known, lambda n, at=r["offset"]: source.read_at(n, at)
@@ -160,8 +164,8 @@ def _entries(store, root: str, glob: str) -> Iterator[Entry]:
         for m in manifests:
             with store.open_input_file(m.path) as source:
                 job = json.loads(source.read())
-            for name, _, size in job["packs"]:
-                yield Entry(f"{root}/{job['folder']}/{name}", size, is_pack=True)
+            for name, files, size in job["packs"]:
+                yield Entry(f"{root}/{job['folder']}/{name}", size, is_pack=True, files=files)
         return
     for info in store.get_file_info(fs.FileSelector(root, recursive=True)):
         if info.type == fs.FileType.File and not info.base_name.startswith(("_", ".")) and fnmatch.fnmatchcase(info.base_name, glob):

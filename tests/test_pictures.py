@@ -134,3 +134,18 @@ def test_what_cannot_be_written_or_read(mosaic, tmp_path):
         mosaic.read.format("mosaic").schema("colour string").load(str(tmp_path)).count()
     mosaic.createDataFrame([], "sheet_id long, name string, content binary").write.format("mosaic").mode("append").save(str(tmp_path / "e"))
     assert mosaic.read.format("mosaic").load(str(tmp_path / "e")).count() == 0
+
+
+def test_headers_of_many_packed_files_are_many_splits(tmp_path):
+    """Packs are few bytes to open, but a task reads the start of each file in them."""
+    import json
+
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    from mosaicflow.sources import pictures
+
+    (tmp_path / "_manifest").mkdir()
+    packs = [(f"{i}.pack", 40_000, 12_000_000) for i in range(10)]
+    (tmp_path / "_manifest" / "a.json").write_text(json.dumps({"folder": "data-a", "packs": packs}))
+    reader = pictures.Reader(StructType([StructField("width", IntegerType())]), {"path": str(tmp_path)})
+    assert max(sum(e.files for e in s.entries) for s in reader.partitions()) <= 80_000
