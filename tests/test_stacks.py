@@ -47,6 +47,22 @@ def test_pictures_of_stacks():
     assert animation.gifs(few_and_many) == [animation.gif(list(x)) for x in few_and_many]
 
 
+def test_codes_of_pictures_are_found_at_once():
+    """The codes are those of each picture alone, also where tables fill and are cleared and where colours are many; pictures go through in step, not one by one."""
+    rng = np.random.default_rng(2)
+    for n, size, colours in ((40, 576, 9), (20, 9000, 3), (30, 5000, 200), (3, 50, 4), (20, 1, 5), (20, 0, 1)):
+        pictures = rng.integers(0, colours, (n, size)).astype(np.uint8)
+        codes, counts = animation.codes_of(pictures)
+        alone = [animation._codes(x.tobytes()) for x in pictures]
+        assert counts.tolist() == [len(x) for x in alone] and codes.tolist() == [c for x in alone for c in x]
+        assert [animation._unlzw(x) for x in animation._packed(codes, counts)] == [x.tobytes() for x in pictures]
+
+
+def test_one_by_one_is_left_to_few_pictures(monkeypatch):
+    monkeypatch.setattr(animation, "_codes", lambda index: 1 / 0)
+    assert len(animation.gifs(stack().reshape(5, 4, 24, 24, 4))) == 5
+
+
 def test_a_task_holds_stacks_of_bounded_bytes():
     """Of one size each, whatever comes in a batch; a raster that is larger than the bound is alone."""
     pictures = [np.full((side, side, 4), i % 256, np.uint8) for i, side in enumerate([16] * 1200 + [8] * 30 + [600, 600] + [16] * 5)]
