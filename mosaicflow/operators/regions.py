@@ -2,22 +2,28 @@
 
 A grid is cut into square tiles. Each tile labels its own cells, by runs, with the first cell of their region in reading order. Cells on either side
 of a seam link the labels of their tiles; links are contracted to their smallest label by joins; and only regions that touch a seam are relabelled.
+Where only regions are asked for, cells stay runs, tiles are labelled as they stream past, many at once, and what leaves them is a row a region.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sinks.tables import discard, written
-from .kernels import runs
+from .kernels import linked, runs
 
 TILE = 512
 #: Parts that the links of one node are dealt over while the smallest is sought.
 SALTS = 32
 _HALF = 1 << 31
+#: Rows that a task takes at once, about, when it labels tiles as they stream past.
+ROWS = 20_000
 
 
 def label_of(x: Column, y: Column) -> Column:
@@ -84,23 +90,148 @@ def regions(cells: DataFrame, keys: list[str], diagonal: bool = False, tile: int
 
     node = F.struct(*keys, "region")
     at_edge = F.pmod("x", F.lit(tile)).isin(0, tile - 1) | F.pmod("y", F.lit(tile)).isin(0, tile - 1)
-    edge = local.where(at_edge).select(F.struct(*keys).alias("grid") if keys else F.lit(0).alias("grid"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), node.alias("node")).distinct()
+    root = _roots(local.where(at_edge).select(_grid(keys), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), node.alias("node")).distinct(), diagonal, tile)
+    root = root.select(F.col("node").alias("node_"), F.col("root.region").alias("root_"))
+    return local.join(root, node == F.col("node_"), "left").select(*cells.columns, F.coalesce("root_", "region").alias("region"))
+
+
+def _grid(keys: list[str]) -> Column:
+    return (F.struct(*keys) if keys else F.lit(0)).alias("grid")
+
+
+def _roots(edge: DataFrame, diagonal: bool, tile: int) -> DataFrame:
+    """contracted() of the links over seams between cells (grid, x, y, node) at the edges of tiles."""
     steps = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if diagonal else [])]
     step = F.inline(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps)))
     beside = edge.select("grid", "x", "y", F.col("node").alias("a"), step)
     beyond = (F.floor(F.col("x") / tile) != F.floor((F.col("x") + F.col("dx")) / tile)) | (F.floor(F.col("y") / tile) != F.floor((F.col("y") + F.col("dy")) / tile))
     beside = beside.where(beyond).select("grid", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "a")
-    root = contracted(beside.join(edge.withColumnRenamed("node", "b"), ["grid", "x", "y"]).select("a", "b").distinct())
-    root = root.select(F.col("node").alias("node_"), F.col("root.region").alias("root_"))
-    return local.join(root, node == F.col("node_"), "left").select(*cells.columns, F.coalesce("root_", "region").alias("region"))
-
-
-def region_table(cells: DataFrame, keys: list[str], diagonal: bool = False, tile: int = TILE) -> DataFrame:
-    """One row a region: keys, first_x, first_y, area, and its box x0, y0, x1, y1, half open. Counted before its shuffle, so a region of any size is many tasks'."""
-    found = regions(cells.select(*keys, "x", "y").distinct(), keys, diagonal, tile)
-    box = [F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1")]
-    x, y = first_cell(F.col("region"))
-    return found.groupBy(*keys, "region").agg(*box).select(*keys, x.alias("first_x"), y.alias("first_y"), "area", "x0", "y0", "x1", "y1")
+    # Without diagonals, what is beyond a seam is first in its tile's row or column.
+    other = edge if diagonal else edge.where((F.pmod("x", F.lit(tile)) == 0) | (F.pmod("y", F.lit(tile)) == 0))
+    return contracted(beside.join(other.withColumnRenamed("node", "b"), ["grid", "x", "y"]).select("a", "b").distinct())
+
+
+class _Rows(NamedTuple):
+    """Runs of cells of tiles, by tile, row and start; of each: its tile's number, place (in tiles) and its own within the tile."""
+
+    number: np.ndarray
+    tile_x: np.ndarray
+    tile_y: np.ndarray
+    y: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    def take(self, which) -> _Rows:
+        return _Rows(*(v[which] for v in self))
+
+    def merged(self, tile: int) -> _Rows:
+        """The same cells as runs that are apart: those that overlap or meet are one."""
+        row = (self.number * (tile + 1) + self.y) * (tile + 1)
+        reach = np.maximum.accumulate(row + self.end)
+        first = np.flatnonzero(np.append(True, (row + self.start)[1:] > reach[:-1]))
+        out = self.take(first)
+        return out._replace(end=np.maximum.reduceat(self.end, first))
+
+
+def _tile_regions(rows: _Rows, tile: int, diagonal: bool) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of each region of whole tiles: the number of its tile, and its label, area, box and cells at the tile's edge, as labels of these cells."""
+    found = linked(rows.number * (tile + 1) + rows.y, rows.start, rows.end, tile, diagonal)
+    root = found.region == np.arange(len(found.region))
+    first, region = np.flatnonzero(root), (np.cumsum(root) - 1)[found.region]
+    n = len(first)
+    left, top = rows.tile_x * tile, rows.tile_y * tile + rows.y
+    x0, x1, y1 = (left + rows.start)[first], (left + rows.end)[first], top[first] + 1
+    np.minimum.at(x0, region, left + rows.start)
+    np.maximum.at(x1, region, left + rows.end)
+    np.maximum.at(y1, region, top + 1)
+    area = np.bincount(region, rows.end - rows.start, n).astype(np.int64)
+    label = (top << 32) + left + _HALF
+    # All cells of a run in the first or the last row, else those in the first and the last column.
+    outer = (rows.y == 0) | (rows.y == tile - 1)
+    size = np.where(outer, rows.end - rows.start, 0)
+    at = np.repeat(np.arange(len(size)), size)
+    x = rows.start[at] + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+    begins, ends = np.flatnonzero(~outer & (rows.start == 0)), np.flatnonzero(~outer & (rows.end == tile))
+    at, x = np.concatenate([at, begins, ends]), np.concatenate([x, rows.start[begins], rows.end[ends] - 1])
+    order = np.argsort(region[at], kind="stable")
+    places = np.concatenate([[0], np.cumsum(np.bincount(region[at], minlength=n))]).astype(np.int32)
+    edge = pa.ListArray.from_arrays(pa.array(places), pa.array((label[at] + x)[order]))
+    return rows.number[first], [*(pa.array(v) for v in ((label + rows.start)[first], area, x0, top[first], x1, y1)), edge]
+
+
+def _labelled_tiles(cells: DataFrame, keys: list[str], end: str | None, diagonal: bool, tile: int) -> DataFrame:
+    """Keys, region, area, x0, y0, x1, y1 and edge of each tile's regions. A task holds some ROWS rows, and the runs of a tile that isn't over."""
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    place = lambda c: F.floor(c / tile).cast("long")
+    stop = F.col(end).cast("long") if end else x + 1
+    spans = cells.select(*keys, x.alias("from_"), stop.alias("to_"), place(y).alias("tile_y_"), F.pmod(y, F.lit(tile)).alias("y_")).where("from_ < to_")
+    spans = spans.select("*", F.explode(F.sequence(place(F.col("from_")), place(F.col("to_") - 1))).alias("tile_x_"))
+    left = F.col("tile_x_") * tile
+    spans = spans.select(*keys, "tile_x_", "tile_y_", "y_", (F.greatest("from_", left) - left).alias("start_"), (F.least("to_", left + tile) - left).alias("end_"))
+    order = Window.partitionBy(*keys, "tile_x_", "tile_y_").orderBy("y_", "start_")
+    spans = spans.withColumn("first_", F.row_number().over(order) == 1)
+    places = ("tile_x_", "tile_y_", "y_", "start_", "end_")
+    names = [*keys, "region", "area", "x0", "y0", "x1", "y1", "edge"]
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Runs of the tile that isn't over, and its keys.
+        rest, rest_keys = None, None
+
+        def regions_of(rows: _Rows, own: pa.Table) -> Iterator[pa.RecordBatch]:
+            if len(rows.number):
+                number, columns = _tile_regions(rows, tile, diagonal)
+                yield from pa.Table.from_arrays([*(c.take(pa.array(number)) for c in own.columns), *columns], names=names).to_batches()
+
+        for chunk in chunks(batches):
+            first = chunk.column("first_").to_numpy()
+            number = np.cumsum(first)
+            rows = _Rows(number, *(chunk.column(c).to_numpy() for c in places))
+            # Tile 0 is the one that the last chunk left; without one, numbers begin at 1.
+            own = chunk.select(keys).filter(pa.array(first))
+            if rest is not None:
+                rows = _Rows(*(np.concatenate(x) for x in zip(rest, rows, strict=True)))
+            own = pa.concat_tables([chunk.select(keys).slice(0, 1) if rest_keys is None else rest_keys, own])
+            rows = rows.merged(tile)
+            last = rows.number == rows.number[-1]
+            yield from regions_of(rows.take(~last), own)
+            rest = rows.take(last)
+            rest_keys = own.slice(int(rest.number[0]), 1)
+            rest = rest._replace(number=np.zeros_like(rest.number))
+        if rest is not None:
+            yield from regions_of(rest, rest_keys)
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cells.select(*keys).schema)
+    return spans.select(*keys, *places, "first_").mapInArrow(run, f"{kept}region long, area long, x0 long, y0 long, x1 long, y1 long, edge array<long>")
+
+
+def region_table(cells: DataFrame, keys: list[str], diagonal: bool = False, tile: int = TILE, end: str | None = None) -> DataFrame:
+    """One row a region: keys, first_x, first_y, area, and its box x0, y0, x1, y1, half open. Tiles give a row a region, so a region of any size is many tasks'.
+
+    Cells that repeat are one. With end, a column, rows are runs of cells from x up to that, without it; empty ones are nothing.
+    """
+    if bad := {"region", "area", "x0", "y0", "x1", "y1", "edge", "tile_x_", "tile_y_", "y_", "start_", "end_", "from_", "to_", "first_"} & set(keys):
+        raise ValueError(f"columns of these names are made here: {', '.join(sorted(bad))}")
+    local = written(_labelled_tiles(cells, keys, end, diagonal, tile), "tiles")
+    node = F.struct(*keys, "region")
+    x, y = first_cell(F.col("cell"))
+    edge = local.select(_grid(keys), node.alias("node"), F.explode("edge").alias("cell")).select("grid", x.alias("x"), y.alias("y"), "node")
+    root = _roots(edge, diagonal, tile).select(F.col("node").alias("node_"), F.col("root.region").alias("root_"))
+    found = local.drop("edge").join(root, node == F.col("node_"), "left").withColumn("region", F.coalesce("root_", "region"))
+    x, y = (cells.schema[c].dataType for c in ("x", "y"))
+    box = [F.min("x0").cast(x).alias("x0"), F.min("y0").cast(y).alias("y0"), F.max("x1").cast(x).alias("x1"), F.max("y1").cast(y).alias("y1")]
+    first = first_cell(F.col("region"))
+    return found.groupBy(*keys, "region").agg(F.sum("area").alias("area"), *box).select(*keys, first[0].alias("first_x"), first[1].alias("first_y"), "area", "x0", "y0", "x1", "y1")
 
 
 def reachable(cells: DataFrame, keys: list[str], diagonal: bool = False, tile: int = TILE) -> DataFrame:

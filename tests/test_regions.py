@@ -44,6 +44,31 @@ def test_no_keys_and_nothing(spark):
         regions.regions(df.withColumn("region", F.lit(1)), [])
 
 
+@pytest.mark.parametrize(("diagonal", "rows"), [(False, 7), (True, 20_000)])
+def test_table_from_runs(spark, monkeypatch, diagonal, rows):
+    """The table of cells and that of runs which overlap, meet, repeat, are empty or cross tiles, against brute force, also where a tile is many batches."""
+    monkeypatch.setattr(regions, "ROWS", rows)
+    monkeypatch.setattr(regions, "runs", lambda *a, **b: 1 / 0)
+    rng = random.Random(4)
+    spans = [(k, x, x + rng.randrange(0, 9), y) for k in ("a", "b", None) for y in range(-9, 12) for x in (rng.randrange(-20, 20) for _ in range(5))]
+    spans += spans[:40] + [("long", -40, 70, 3), ("long", 0, 1, 4), ("dots", 1, 2, 1), ("dots", 2, 3, 2), ("dots", 4, 5, 3), ("dots", 3, 4, 4)]
+    cells = {(k, x, y) for k, a, b, y in spans for x in range(a, b)}
+    own = {}
+    for (k, x, y), first in brute(cells, diagonal).items():
+        own.setdefault((k, first), []).append((x, y))
+    want = {(k, fx, fy, len(c), min(x for x, _ in c), min(y for _, y in c), max(x for x, _ in c) + 1, max(y for _, y in c) + 1) for (k, (fy, fx)), c in own.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        runs = regions.region_table(spark.createDataFrame(spans, "k string, x int, stop int, y int"), ["k"], diagonal, tile=4, end="stop")
+        got = runs.collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+        single = regions.region_table(spark.createDataFrame(sorted(cells, key=repr) * 2, "k string, x long, y int"), ["k"], diagonal, tile=4)
+        assert {tuple(r) for r in single.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [t for c, t in runs.dtypes if c != "k"] == ["bigint", "bigint", "bigint", "int", "int", "int", "int"]
+
+
 def test_grid_is_many_tasks(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
