@@ -88,10 +88,10 @@ def regions(cells: DataFrame, keys: list[str], diagonal: bool = False, tile: int
     tiled = cells.withColumns({"tile_x_": place("x"), "tile_y_": place("y")}).groupBy(*keys, "tile_x_", "tile_y_").applyInArrow(run, f"{schema}, region long")
     local = written(tiled, "tiles")
 
-    node = F.struct(*keys, "region")
+    node = _node(keys)
     at_edge = F.pmod("x", F.lit(tile)).isin(0, tile - 1) | F.pmod("y", F.lit(tile)).isin(0, tile - 1)
     root = _roots(local.where(at_edge).select(_grid(keys), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), node.alias("node")).distinct(), diagonal, tile)
-    root = root.select(F.col("node").alias("node_"), F.col("root.region").alias("root_"))
+    root = root.select(F.col("node").alias("node_"), F.col("root.region" if keys else "root").alias("root_"))
     return local.join(root, node == F.col("node_"), "left").select(*cells.columns, F.coalesce("root_", "region").alias("region"))
 
 
@@ -99,6 +99,11 @@ def _grid(keys: list[str]) -> Column:
     return (F.struct(*keys) if keys else F.lit(0)).alias("grid")
 
 
+def _node(keys: list[str]) -> Column:
+    """What links tie together: the label alone where there is one grid, as numbers are compared and hashed faster than structs."""
+    return F.struct(*keys, "region") if keys else F.col("region")
+
+
 def _roots(edge: DataFrame, diagonal: bool, tile: int) -> DataFrame:
     """contracted() of the links over seams between cells (grid, x, y, node) at the edges of tiles."""
     steps = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if diagonal else [])]
@@ -223,10 +228,10 @@ def region_table(cells: DataFrame, keys: list[str], diagonal: bool = False, tile
     if bad := {"region", "area", "x0", "y0", "x1", "y1", "edge", "tile_x_", "tile_y_", "y_", "start_", "end_", "from_", "to_", "first_"} & set(keys):
         raise ValueError(f"columns of these names are made here: {', '.join(sorted(bad))}")
     local = written(_labelled_tiles(cells, keys, end, diagonal, tile), "tiles")
-    node = F.struct(*keys, "region")
+    node = _node(keys)
     x, y = first_cell(F.col("cell"))
     edge = local.select(_grid(keys), node.alias("node"), F.explode("edge").alias("cell")).select("grid", x.alias("x"), y.alias("y"), "node")
-    root = _roots(edge, diagonal, tile).select(F.col("node").alias("node_"), F.col("root.region").alias("root_"))
+    root = _roots(edge, diagonal, tile).select(F.col("node").alias("node_"), F.col("root.region" if keys else "root").alias("root_"))
     found = local.drop("edge").join(root, node == F.col("node_"), "left").withColumn("region", F.coalesce("root_", "region"))
     x, y = (cells.schema[c].dataType for c in ("x", "y"))
     box = [F.min("x0").cast(x).alias("x0"), F.min("y0").cast(y).alias("y0"), F.max("x1").cast(x).alias("x1"), F.max("y1").cast(y).alias("y1")]
