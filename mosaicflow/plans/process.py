@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog
 from ..operators import frames as fr
 from ..operators import kernels
-from ..operators.animation import gifs, read_gif
+from ..operators.animation import gifs, read_gifs
 from ..operators.frames import Params
 from ..sources import png
 from ..sources.rasters import STACK_BYTES, mapped, stacks
@@ -189,8 +189,10 @@ def decoded(files: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for sheet, name, content in zip(*(batch.column(k).to_pylist() for k in ("sheet_id", "name", "content")), strict=True):
-            for i, x in enumerate(read_gif(content)[0] if name.endswith(".gif") else [png.decode(content)]):
+        names, contents = (batch.column(k).to_pylist() for k in ("name", "content"))
+        animations = read_gifs(content for name, content in zip(names, contents, strict=True) if name.endswith(".gif"))
+        for sheet, name, content in zip(batch.column("sheet_id").to_pylist(), names, contents, strict=True):
+            for i, x in enumerate(next(animations)[0] if name.endswith(".gif") else [png.decode(content)]):
                 rows.append((sheet, name, i, x.shape[1], x.shape[0], x.tobytes()))
                 size += x.size
             if size >= STACK_BYTES:

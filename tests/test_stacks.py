@@ -58,6 +58,20 @@ def test_codes_of_pictures_are_found_at_once():
         assert [animation._unlzw(x) for x in animation._packed(codes, counts)] == [x.tobytes() for x in pictures]
 
 
+def test_pictures_are_read_at_once(monkeypatch):
+    """The words are those of each alone, runs and full tables included, however they are grouped; common ones are not read code by code."""
+    rng = np.random.default_rng(5)
+    pictures = [np.repeat(rng.integers(0, colours, n), run).astype(np.uint8).tobytes() for n, run, colours in ((60, 9, 4), (1, 1, 2), (1, 700, 2), (400, 1, 250), (6000, 1, 200), (1000, 9, 2), (0, 1, 2))]
+    bodies = [animation._lzw(x) for x in pictures]
+    assert animation.unlzw_all(bodies) == pictures and animation.unlzw_all([]) == []
+    files = animation.gifs(stack().reshape(5, 4, 24, 24, 4))
+    alone = [animation.read_gif(x) for x in files]
+    monkeypatch.setattr(animation, "_unlzw", lambda data: 1 / 0)
+    for pixels in (1, 3000, 1 << 18):
+        monkeypatch.setattr(animation, "READ_PIXELS", pixels)
+        assert all((np.stack(a) == np.stack(b)).all() and s == t for (a, s), (b, t) in zip(animation.read_gifs(files), alone, strict=True))
+
+
 def test_one_by_one_is_left_to_few_pictures(monkeypatch):
     monkeypatch.setattr(animation, "_codes", lambda index: 1 / 0)
     assert len(animation.gifs(stack().reshape(5, 4, 24, 24, 4))) == 5
