@@ -1,5 +1,7 @@
 """Kernels over stacks of rasters of one size against the same one by one, and what bounds a task."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -116,3 +118,45 @@ def test_pixels_are_counted_where_they_are_made(spark, sf_dir):
     for name in ("edge_clean_ring", "grid_split_cells", "chroma_key_counts"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("hashpartitioning(") == 1 and "p_partkey" in plan.partition("hashpartitioning(")[2].partition(")")[0], name
+
+
+def plain_resize(x: np.ndarray, width: int, height: int) -> np.ndarray:
+    """kernels.resize() by its definition, in double precision."""
+    alpha = x[..., 3:].astype(np.float64)
+    value = np.concatenate([np.round(x[..., :3] * alpha / 255), alpha], axis=-1)
+    value = np.clip(np.round(np.einsum("ow,nhwc->nhoc", kernels._weights(x.shape[2], width), value)), 0, 255)
+    value = np.clip(np.round(np.einsum("oh,nhwc->nowc", kernels._weights(x.shape[1], height), value)), 0, 255)
+    a = value[..., 3:]
+    rgb = np.where(a > 0, np.clip(np.round(value[..., :3] * 255 / np.maximum(a, 1)), 0, 255), 0)
+    return np.concatenate([rgb, a], axis=-1).astype(np.uint8)
+
+
+def test_resampling_is_that_of_double_precision():
+    """Halves included, which even steps and boards of two values give."""
+    board = np.indices((40, 24)).sum(axis=0) % 2 * 255
+    noise = np.random.default_rng(9).integers(0, 256, (5, 40, 24, 4), dtype=np.uint8)
+    for x in (np.stack([board] * 4, axis=-1)[None].astype(np.uint8), noise, noise | np.uint8([0, 0, 0, 255]), np.full((2, 40, 24, 4), 127, np.uint8)):
+        for width, height in ((12, 20), (6, 10), (48, 80), (37, 61), (1, 1), (5, 200)):
+            assert (kernels.resize(x, width, height) == plain_resize(x, width, height)).all()
+
+
+def peak(run) -> int:
+    tracemalloc.start()
+    run()
+    found = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return found
+
+
+def test_kernels_hold_few_times_their_stack():
+    many = stack(200)
+    kernels.resize(many[:1], 48, 48)
+    assert peak(lambda: kernels.resize(many, 48, 48)) < 16 * 200 * 48 * 48 * 4
+
+
+def test_clearing_takes_any_layout():
+    many = stack(6)
+    part = many[:, 3:20, 5:19]
+    assert (kernels.clean_ring(part) == kernels.clean_ring(part.copy())).all() and (kernels.remove_background(part) == kernels.remove_background(part.copy())).all()
+    assert (kernels.remove_background(part, 0, 0)[part[..., 3] > 0] == part[part[..., 3] > 0]).all()
+    assert kernels.remove_background(many[:0]).shape == (0, 24, 24, 4)
