@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog, prompts, scalars
 from ..operators import frames as fr
+from ..operators import kernels
 from ..operators import pixels as px
 from ..operators import planner, scene
 from ..sinks import files as files_sink
@@ -245,7 +246,7 @@ def chroma_key_counts(spark, sf_dir):
 
 @query(f"{sql.BASE}, {sql.FLOOD} SELECT sheet_id, count(*) AS visible, CAST(sum(y * 32 + x) AS BIGINT) AS places, CAST(sum((y * 32 + x) * (r + 3 * g + 7 * b + a)) AS BIGINT) AS content FROM clean GROUP BY 1")
 def flood_fill_pixels(spark, sf_dir):
-    clean = ra.pixels(fr.remove_background(sheets(spark, sf_dir))).where("a > 0")
+    clean = ra.pixels(sheets(spark, sf_dir), kernels.remove_background).where("a > 0")
     place = F.col("y") * 32 + F.col("x")
     return clean.groupBy("sheet_id").agg(F.count("*").alias("visible"), F.sum(place).alias("places"), F.sum(place * (F.col("r") + 3 * F.col("g") + 7 * F.col("b") + F.col("a"))).alias("content"))
 

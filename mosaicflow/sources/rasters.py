@@ -127,12 +127,19 @@ def sums(rasters: DataFrame, keys: list[str]) -> DataFrame:
     return mapped(rasters.select(*dict.fromkeys([*keys, "width", "height", "rgba"])), run, f"{schema}, visible long, content long")
 
 
-def pixels(rasters: DataFrame) -> DataFrame:
-    """One row a pixel, made in the JVM: the bytes as hex, then numbers."""
-    at = F.posexplode(F.split(F.regexp_replace(F.hex("rgba"), "(.{8})", "$1,"), ",")).alias("i", "h")
-    value = lambda k: F.conv(F.substring("h", 1 + 2 * k, 2), 16, 10).cast("int")
-    rows = rasters.select("sheet_id", "width", at).where("h <> ''")
-    return rows.select("sheet_id", (F.col("i") % F.col("width")).cast("int").alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), *(value(k).alias(c) for k, c in enumerate("rgba")))
+def pixels(rasters: DataFrame, made: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """One row a pixel, of rasters or of what is made of each stack of them: a raster gives a number a pixel, which the JVM takes apart. Rasters without pixels have no rows."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for own, stack in stacks(batch):
+            numbers = np.ascontiguousarray(made(stack) if made else stack).view(">u4").astype(np.int64).reshape(own.num_rows, -1)
+            ends = pa.array(np.arange(own.num_rows + 1) * numbers.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([own.column("sheet_id"), own.column("width"), pa.ListArray.from_arrays(ends, pa.array(numbers.ravel()))], names=["sheet_id", "width", "numbers"])
+
+    found = mapped(rasters.select("sheet_id", "width", "height", "rgba").where("length(rgba) > 0"), run, "sheet_id long, width int, numbers array<long>")
+    value = lambda k: F.shiftright("v", 24 - 8 * k).bitwiseAND(255).cast("int")
+    rows = found.select("sheet_id", "width", F.posexplode("numbers").alias("i", "v"))
+    return rows.select("sheet_id", (F.col("i") % F.col("width")).cast("int").alias("x"), F.expr("i div width").cast("int").alias("y"), *(value(k).alias(c) for k, c in enumerate("rgba")))
 
 
 # Sheets made from parts, so that SQL can make the same: SIDE pixels square, 2 x 2 cells, whole numbers only.

@@ -160,3 +160,14 @@ def test_clearing_takes_any_layout():
     assert (kernels.clean_ring(part) == kernels.clean_ring(part.copy())).all() and (kernels.remove_background(part) == kernels.remove_background(part.copy())).all()
     assert (kernels.remove_background(part, 0, 0)[part[..., 3] > 0] == part[part[..., 3] > 0]).all()
     assert kernels.remove_background(many[:0]).shape == (0, 24, 24, 4)
+
+
+def test_pixels_of_what_is_made_of_rasters(spark):
+    """In the kernel's own pass, without a text of the bytes; rasters of nothing have no pixels."""
+    many = stack(3)
+    rows = [(i, 24, 24, bytearray(x.tobytes())) for i, x in enumerate(many)] + [(8, 0, 0, bytearray()), (9, 1, 1, None)]
+    found = ra.pixels(spark.createDataFrame(rows, ra.RASTERS), kernels.remove_background)
+    clean = kernels.remove_background(many)
+    assert {tuple(r) for r in found.collect()} == {(i, x, y, *clean[i, y, x].tolist()) for i in range(3) for y in range(24) for x in range(24)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp" not in plan and "hex(" not in plan
