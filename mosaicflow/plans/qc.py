@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import frames as fr
@@ -20,10 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_SHEETS = 2_000
 
 
-def parts(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
-    """Keys and sizes of all parts, whose few bytes a row are dealt out before they become thousands: the work is in the sheets, not in reading. With keys, by these, so what is grouped by them needs no other shuffle."""
+def parts(spark: SparkSession, sf_dir: str, *keys: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Keys and sizes of all parts, or of those that keep gives back, whose few bytes a row are dealt out before they become thousands: the work is in the sheets, not in reading. With keys, by these, so what is grouped by them needs no other shuffle."""
     found = read(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return found.repartition(max(4 * spark.sparkContext.defaultParallelism, -(-found.count() // TASK_SHEETS)), *keys)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-found.count() // TASK_SHEETS))
+    return (keep(found) if keep else found).repartition(tasks, *keys)
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -450,9 +450,12 @@ def file_manifest(spark, sf_dir):
 def accepted_sheets(spark, sf_dir):
     """Sheets that are processed although frames that touch their cell's edge are rejected: those without any."""
     p = SMALL.but(symmetric=True)
-    flagged = fr.edge_touch_frames(fr.checked(fr.cut(sheets(spark, sf_dir), p, with_pixels=False), p)).where("flagged = ''").select("sheet_id")
+    found = fr.checked(fr.cut(sheets(spark, sf_dir), p, with_pixels=False), p)
+    whole = found.groupBy("sheet_id").agg(F.bool_or("edge_touch").alias("touch")).where("NOT touch")
     ask = pr.Request("creature", "idle", reject_edge_touch=True, **{k: v for k, v in p.as_dict().items() if k not in ("rows", "cols")})
-    return pr.process(sheets(spark, sf_dir).join(flagged, "sheet_id", "left_semi"), ask, only=["pipeline-meta.json"]).select("sheet_id", "name")
+    # Keys meet before sheets are made, so no pixel is shuffled.
+    accepted = parts(spark, sf_dir, keep=lambda found: found.join(whole, F.col("p_partkey") == F.col("sheet_id"), "left_semi"))
+    return pr.process(ra.part_rasters(accepted), ask, only=["pipeline-meta.json"]).select("sheet_id", "name")
 
 
 @query(

@@ -1,5 +1,6 @@
 """Kernels over stacks of rasters of one size against the same one by one, and what bounds a task."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -171,3 +172,15 @@ def test_pixels_of_what_is_made_of_rasters(spark):
     assert {tuple(r) for r in found.collect()} == {(i, x, y, *clean[i, y, x].tolist()) for i in range(3) for y in range(24) for x in range(24)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "regexp" not in plan and "hex(" not in plan
+
+
+def test_no_pixels_are_shuffled_for_accepted_sheets(spark, sf_dir, request):
+    """As where keys are too many to be broadcast."""
+    from mosaicflow.plans.queries import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    execution = QUERIES["accepted_sheets"](spark, sf_dir)._jdf.queryExecution()
+    plan = execution.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    shuffled = re.findall(r"\(\d+\) \w*Exchange\w*.*\n(?:Output.*\n)?Input \[\d+\]: (.*)", plan)
+    assert shuffled and not any("rgba" in columns for columns in shuffled)
