@@ -184,3 +184,13 @@ def test_no_pixels_are_shuffled_for_accepted_sheets(spark, sf_dir, request):
     plan = execution.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     shuffled = re.findall(r"\(\d+\) \w*Exchange\w*.*\n(?:Output.*\n)?Input \[\d+\]: (.*)", plan)
     assert shuffled and not any("rgba" in columns for columns in shuffled)
+
+
+def test_sums_of_one_picture_take_no_other_file(spark):
+    """Of any shape, and the bytes of other files stay in the JVM."""
+    x = stack(1)[0][:17]
+    v, u = np.mgrid[:17, :24]
+    files = spark.createDataFrame([(1, "a.png", bytearray(png.encode(x))), (1, "b.png", bytearray(b"none")), (2, "c.json", None)], pr.FILES)
+    found = pr.weighted_sums(files, "a.png")
+    assert {tuple(r) for r in found.collect()} == {(1, "a.png", int((u + 2 * v + x.astype(int) @ (1, 3, 5, 7)).sum())), (1, "b.png", None), (2, "c.json", None)}
+    assert "CASE WHEN (name" in found._jdf.queryExecution().optimizedPlan().toString()
