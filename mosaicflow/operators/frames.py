@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import edge_touch, placement
-from ..sources.rasters import RASTERS, array_of, mapped, stacks
+from ..sources.rasters import RASTERS, Made, mapped, plain, stacks
 from . import kernels
 
 
@@ -77,7 +77,7 @@ def _columns(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(kinds[t].to_pandas_dtype(), copy=False), kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def remove_background(rasters: DataFrame, threshold: float = 100, edge_threshold: float = 150) -> DataFrame:
+def remove_background(rasters: DataFrame | Made, threshold: float = 100, edge_threshold: float = 150) -> DataFrame:
     """Rasters with key colour cleared, everywhere near the key and, less near, as far as it reaches the border."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,7 @@ def remove_background(rasters: DataFrame, threshold: float = 100, edge_threshold
             out = [x.tobytes() for x in kernels.remove_background(stack, threshold, edge_threshold)]
             yield pa.RecordBatch.from_arrays([own.column("sheet_id"), own.column("width"), own.column("height"), pa.array(out, pa.binary())], names=["sheet_id", "width", "height", "rgba"])
 
-    return mapped(rasters.select("sheet_id", "width", "height", "rgba"), run, RASTERS)
+    return mapped(plain(rasters), run, RASTERS)
 
 
 def cells_of(stack: np.ndarray, p: Params) -> np.ndarray:
@@ -96,7 +96,7 @@ def cells_of(stack: np.ndarray, p: Params) -> np.ndarray:
     return kernels.clean_ring(cells, p.edge_clean_depth) if p.edge_clean_depth > 0 else cells
 
 
-def component_table(rasters: DataFrame, p: Params) -> DataFrame:
+def component_table(rasters: DataFrame | Made, p: Params) -> DataFrame:
     """One row a component of each frame, ranked from 1 by area; ties in reading order of their first pixels."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def cut_stack(clean: np.ndarray, p: Params) -> Cut:
     return Cut(cells, (clean.shape[2] // p.cols, clean.shape[1] // p.rows), count, area, has_chosen, chosen, has_box, box, crop, width, height, *largest)
 
 
-def cut(rasters: DataFrame, p: Params, with_pixels: bool = True) -> DataFrame:
+def cut(rasters: DataFrame | Made, p: Params, with_pixels: bool = True) -> DataFrame:
     """FRAMES: frames cut to their box, with components counted and, for the largest, selected. An empty frame isn't cut.
 
     A sheet's frames follow each other in reading order. with_pixels=False leaves rgba null: what a frame measures needs none of them.
@@ -225,7 +225,7 @@ def render(frames: DataFrame, p: Params) -> DataFrame:
     return mapped(frames, run, f"{schema}, canvas binary")
 
 
-def centred(rasters: DataFrame, size: int = 256, threshold: float = 100, edge_threshold: float = 150) -> DataFrame:
+def centred(rasters: DataFrame | Made, size: int = 256, threshold: float = 100, edge_threshold: float = 150) -> DataFrame:
     """Single sprites on a square canvas: (sheet_id, width, height, rgba)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from ..operators import kernels
 from ..operators.animation import gifs, read_gifs
 from ..operators.frames import Params
 from ..sources import png
-from ..sources.rasters import STACK_BYTES, mapped, stacks
+from ..sources.rasters import STACK_BYTES, Made, mapped, plain, stacks
 
 FILES = "sheet_id long, name string, content binary"
 PICTURES = "sheet_id long, name string, frame int, width int, height int, rgba binary"
@@ -151,7 +151,7 @@ def _makers(ask: Request) -> Makers:
     return out | {"pipeline-meta.json": _Sheets.metadata}
 
 
-def frame_rows(rasters: DataFrame, p: Params) -> DataFrame:
+def frame_rows(rasters: DataFrame | Made, p: Params) -> DataFrame:
     """Frames cut, checked, placed and rendered, one row each; nothing is shuffled."""
     return fr.render(fr.placed(fr.checked(fr.cut(rasters, p), p), p), p)
 
@@ -159,7 +159,7 @@ def frame_rows(rasters: DataFrame, p: Params) -> DataFrame:
 PROMPT_FILE = "prompt-used.txt"
 
 
-def process(rasters: DataFrame, ask: Request, only: Iterable[str] | None = None) -> DataFrame:
+def process(rasters: DataFrame | Made, ask: Request, only: Iterable[str] | None = None) -> DataFrame:
     """All files of each sheet or sprite, or only those named, in one pass without a shuffle; nothing is made that no file needs.
 
     With reject_edge_touch, reading fails at a frame that touches its cell's edge, before any file of its sheet is there, whatever files are named.
@@ -181,7 +181,7 @@ def process(rasters: DataFrame, ask: Request, only: Iterable[str] | None = None)
             numbers = own.column("sheet_id").take(pa.array(np.repeat(np.arange(len(sheets)), len(made))))
             yield fr._columns(FILES, numbers, pa.array(list(makers) * len(sheets), pa.string()), pa.array([x for of_sheet in zip(*made, strict=True) for x in of_sheet], pa.binary()))
 
-    return mapped(rasters.select("sheet_id", "width", "height", "rgba"), run, FILES)
+    return mapped(plain(rasters), run, FILES)
 
 
 def decoded(files: DataFrame) -> DataFrame:

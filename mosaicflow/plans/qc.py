@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import frames as fr
 from ..operators.frames import Params
-from ..sources.rasters import part_rasters
+from ..sources.rasters import Made, made_of_parts
 
 #: For sheets of part_rasters.
 SMALL = Params(trim_border=2, edge_clean_depth=2, component_mode="largest", component_padding=1, cell_size=24)
@@ -31,9 +31,14 @@ def parts(spark: SparkSession, sf_dir: str, *keys: str, keep: Callable[[DataFram
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets made from all parts."""
-    return part_rasters(parts(spark, sf_dir))
+    return made_sheets(spark, sf_dir).rasters()
 
 
-def report(rasters: DataFrame, p: Params = SMALL) -> DataFrame:
+def made_sheets(spark: SparkSession, sf_dir: str) -> Made:
+    """The same, made in the pass of the operator that takes them."""
+    return made_of_parts(parts(spark, sf_dir))
+
+
+def report(rasters: DataFrame | Made, p: Params = SMALL) -> DataFrame:
     found = fr.checked(fr.cut(rasters, p, with_pixels=False), p)
     return found.select("sheet_id", "grid_row", "grid_col", "component_count", "selected_area", "x0", "y0", "x1", "y1", "edge_touch")

@@ -17,7 +17,7 @@ from ..sources import pictures, scenes
 from ..sources import rasters as ra
 from . import process as pr
 from . import sql
-from .qc import SMALL, parts, read, report, sheets
+from .qc import SMALL, made_sheets, parts, read, report
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -246,7 +246,7 @@ def chroma_key_counts(spark, sf_dir):
 
 @query(f"{sql.BASE}, {sql.FLOOD} SELECT sheet_id, count(*) AS visible, CAST(sum(y * 32 + x) AS BIGINT) AS places, CAST(sum((y * 32 + x) * (r + 3 * g + 7 * b + a)) AS BIGINT) AS content FROM clean GROUP BY 1")
 def flood_fill_pixels(spark, sf_dir):
-    clean = ra.pixels(sheets(spark, sf_dir), kernels.remove_background).where("a > 0")
+    clean = ra.pixels(made_sheets(spark, sf_dir), kernels.remove_background).where("a > 0")
     place = F.col("y") * 32 + F.col("x")
     return clean.groupBy("sheet_id").agg(F.count("*").alias("visible"), F.sum(place).alias("places"), F.sum(place * (F.col("r") + 3 * F.col("g") + 7 * F.col("b") + F.col("a"))).alias("content"))
 
@@ -276,12 +276,12 @@ def edge_clean_ring(spark, sf_dir):
     x0 = 0 OR y0 = 0 OR x1 = {sql.SIDE} OR y1 = {sql.SIDE} AS touches_edge FROM ranked"""
 )
 def component_table(spark, sf_dir):
-    return fr.component_table(sheets(spark, sf_dir), SMALL)
+    return fr.component_table(made_sheets(spark, sf_dir), SMALL)
 
 
 @query(f"{sql.ALL} SELECT sheet_id, {sql.ints('grid_row', 'grid_col')}, area, {sql.ints('x0', 'y0', 'x1', 'y1')} FROM ranked WHERE rank = 1")
 def largest_component_topk(spark, sf_dir):
-    found = fr.component_table(sheets(spark, sf_dir), SMALL)
+    found = fr.component_table(made_sheets(spark, sf_dir), SMALL)
     return fr.largest_per_frame(found).select("sheet_id", "grid_row", "grid_col", "area", "x0", "y0", "x1", "y1")
 
 
@@ -290,12 +290,12 @@ _QC = f"{sql.ALL} SELECT sheet_id, {sql.ints('grid_row', 'grid_col')}, component
 
 @query(f"{_QC} {sql.touch(16)} AS edge_touch FROM frame")
 def frame_qc_compat(spark, sf_dir):
-    return report(sheets(spark, sf_dir))
+    return report(made_sheets(spark, sf_dir))
 
 
 @query(f"{_QC} {sql.touch(sql.SIDE)} AS edge_touch FROM frame")
 def frame_qc_symmetric(spark, sf_dir):
-    return report(sheets(spark, sf_dir), SMALL.but(symmetric=True))
+    return report(made_sheets(spark, sf_dir), SMALL.but(symmetric=True))
 
 
 @query(
@@ -306,7 +306,7 @@ def frame_qc_symmetric(spark, sf_dir):
 )
 def shared_scale_placement(spark, sf_dir):
     p = SMALL.but(shared_scale=True, align="feet")
-    found = fr.placed(fr.cut(sheets(spark, sf_dir), p, with_pixels=False), p)
+    found = fr.placed(fr.cut(made_sheets(spark, sf_dir), p, with_pixels=False), p)
     return found.select("sheet_id", "grid_row", "grid_col", "frame_width", "frame_height", "new_w", "new_h", "paste_x", "paste_y")
 
 
@@ -315,7 +315,7 @@ def shared_scale_placement(spark, sf_dir):
 )
 def edge_touch_frames(spark, sf_dir):
     p = SMALL.but(symmetric=True)
-    return fr.edge_touch_frames(fr.checked(fr.cut(sheets(spark, sf_dir), p, with_pixels=False), p))
+    return fr.edge_touch_frames(fr.checked(fr.cut(made_sheets(spark, sf_dir), p, with_pixels=False), p))
 
 
 # Rasters
@@ -323,19 +323,19 @@ def edge_touch_frames(spark, sf_dir):
 
 @query()
 def resize_frames(spark, sf_dir):
-    done = pr.frame_rows(sheets(spark, sf_dir), SMALL)
+    done = pr.frame_rows(made_sheets(spark, sf_dir), SMALL)
     return done.select("sheet_id", "grid_row", "grid_col", "new_w", "new_h", "paste_x", "paste_y", F.md5("canvas").alias("canvas_md5"))
 
 
 @query()
 def process_sheets(spark, sf_dir):
     ask = pr.Request("creature", "idle", "a part", cell_size=24, **{k: v for k, v in SMALL.as_dict().items() if k not in ("rows", "cols", "cell_size")})
-    return pr.process(sheets(spark, sf_dir), ask).select("sheet_id", "name", F.length("content").alias("size"), F.md5("content").alias("content_md5"))
+    return pr.process(made_sheets(spark, sf_dir), ask).select("sheet_id", "name", F.length("content").alias("size"), F.md5("content").alias("content_md5"))
 
 
 @query()
 def process_singles(spark, sf_dir):
-    return pr.process(sheets(spark, sf_dir), pr.Request("asset", "single", single_size=48)).select("sheet_id", "name", F.length("content").alias("size"), F.md5("content").alias("content_md5"))
+    return pr.process(made_sheets(spark, sf_dir), pr.Request("asset", "single", single_size=48)).select("sheet_id", "name", F.length("content").alias("size"), F.md5("content").alias("content_md5"))
 
 
 #: Frames are whole cells at scale 1 and nothing is cleared, so every picture is known pixel by pixel.
@@ -350,12 +350,12 @@ def picture_sums(files: DataFrame) -> DataFrame:
 
 @query(sql.exact_pictures(16, _COMBAT, []))
 def exact_sheet_pictures(spark, sf_dir):
-    return picture_sums(pr.process(sheets(spark, sf_dir), pr.Request("creature", "combat", cell_size=16, **EXACT)))
+    return picture_sums(pr.process(made_sheets(spark, sf_dir), pr.Request("creature", "combat", cell_size=16, **EXACT)))
 
 
 @query(sql.exact_pictures(8, [f"{d}-{i}" for d in _DIRECTIONS for i in (1, 2, 3, 4)], _DIRECTIONS))
 def exact_player_pictures(spark, sf_dir):
-    return picture_sums(pr.process(sheets(spark, sf_dir), pr.Request("player", "player_sheet", cell_size=8, shared_scale=True, **EXACT)))
+    return picture_sums(pr.process(made_sheets(spark, sf_dir), pr.Request("player", "player_sheet", cell_size=8, shared_scale=True, **EXACT)))
 
 
 @query(
@@ -363,14 +363,14 @@ def exact_player_pictures(spark, sf_dir):
     UNION ALL SELECT sheet_id, 'raw-sheet-clean.png', 0, {sql.sums("x", "y", 32)} FROM clean GROUP BY 1"""
 )
 def clean_sheet_pictures(spark, sf_dir):
-    return picture_sums(pr.process(sheets(spark, sf_dir), pr.Request("asset", "none", rows=1, cols=1), only=["raw-sheet.png", "raw-sheet-clean.png"]))
+    return picture_sums(pr.process(made_sheets(spark, sf_dir), pr.Request("asset", "none", rows=1, cols=1), only=["raw-sheet.png", "raw-sheet-clean.png"]))
 
 
 @query(
     f"""WITH {sql.PIX} SELECT sheet_id, name, CAST(CASE name WHEN 'raw.png' THEN sum(x + 2 * y + r + 3 * g + 5 * b + 7 * a) END AS BIGINT) AS content FROM pix, (VALUES ('raw.png'), ('clean.png'), ('pipeline-meta.json'), ('prompt-used.txt')) AS t(name) GROUP BY sheet_id, name"""
 )
 def single_sprite_files(spark, sf_dir):
-    return pr.weighted_sums(pr.process(sheets(spark, sf_dir), pr.Request("asset", "single", "a part", single_size=48)), "raw.png")
+    return pr.weighted_sums(pr.process(made_sheets(spark, sf_dir), pr.Request("asset", "single", "a part", single_size=48)), "raw.png")
 
 
 _STRIP = ["raw-sheet.png", "raw-sheet-clean.png", "bit-1.png", "bit-2.png", "bit-3.png", "bit-4.png", "sheet-transparent.png", "animation.gif", "pipeline-meta.json", "prompt-used.txt"]
@@ -378,7 +378,7 @@ _STRIP = ["raw-sheet.png", "raw-sheet-clean.png", "bit-1.png", "bit-2.png", "bit
 
 @query(f"SELECT p_partkey AS sheet_id, name, CASE name WHEN 'prompt-used.txt' THEN sha256('four bits') END AS content_sha256 FROM part, unnest(string_split('{','.join(_STRIP)}', ',')) AS u(name)")
 def custom_grid_files(spark, sf_dir):
-    files = pr.process(sheets(spark, sf_dir), pr.Request("asset", "bits", "bits", rows=1, cols=4, label_prefix="bit", prompt_text="four bits", cell_size=12, trim_border=0))
+    files = pr.process(made_sheets(spark, sf_dir), pr.Request("asset", "bits", "bits", rows=1, cols=4, label_prefix="bit", prompt_text="four bits", cell_size=12, trim_border=0))
     return files.select("sheet_id", "name", F.when(F.col("name") == "prompt-used.txt", F.sha2("content", 256)).alias("content_sha256"))
 
 
@@ -407,7 +407,7 @@ def sheet_metadata(spark, sf_dir):
     """The metadata file of each sheet, read back: what was asked for, and every frame's record."""
     p = SMALL.but(min_component_area=_AREA, edge_touch_margin=2, symmetric=True)
     ask = pr.Request("creature", "idle", "a part", **{k: v for k, v in p.as_dict().items() if k not in ("rows", "cols")})
-    m = pr.process(sheets(spark, sf_dir), ask, only=["pipeline-meta.json"]).select("sheet_id", F.from_json(F.col("content").cast("string"), _META).alias("m")).select("sheet_id", "m.*")
+    m = pr.process(made_sheets(spark, sf_dir), ask, only=["pipeline-meta.json"]).select("sheet_id", F.from_json(F.col("content").cast("string"), _META).alias("m")).select("sheet_id", "m.*")
     m = m.select("*", F.posexplode("frames").alias("i", "f"))
     text = lambda c: F.array_join(F.col(c), ",")
     return m.select(
@@ -420,7 +420,7 @@ def sheet_metadata(spark, sf_dir):
 @query(f"{sql.ALL} SELECT sheet_id, CAST(grid_row * 2 + grid_col AS INTEGER) AS frame_index, CASE grid_row * 2 + grid_col WHEN 0 THEN 'stage-1' WHEN 1 THEN 'stage-2' WHEN 2 THEN 'stage-3' END AS label, component_count FROM frame WHERE grid_row * 2 + grid_col < 3")
 def labelled_frames(spark, sf_dir):
     """Labels by position, as a relation; a frame beyond the labels goes."""
-    found = fr.labelled(fr.cut(sheets(spark, sf_dir), SMALL, with_pixels=False), catalog.FRAME_LABELS["evolution"][:3], SMALL.cols)
+    found = fr.labelled(fr.cut(made_sheets(spark, sf_dir), SMALL, with_pixels=False), catalog.FRAME_LABELS["evolution"][:3], SMALL.cols)
     return found.select("sheet_id", "frame_index", "label", "component_count")
 
 
@@ -428,7 +428,7 @@ def labelled_frames(spark, sf_dir):
 def png_round_trip(spark, sf_dir):
     """Sheets written as PNG files by executors and found and read again by glob."""
     folder = files_sink.shared_folder(spark)
-    files_sink.write_files(pr.process(sheets(spark, sf_dir), pr.Request("asset", "none"), only=["raw.png"]), folder)
+    files_sink.write_files(pr.process(made_sheets(spark, sf_dir), pr.Request("asset", "none"), only=["raw.png"]), folder)
     pictures.register(spark)
     found = spark.read.format("mosaic").option("glob", "raw.p*").schema("path string, width int, height int, rgba binary").load(folder)
     return ra.sums(found.withColumn("sheet_id", F.regexp_extract("path", r"/(\d+)/raw\.png$", 1).cast("long")), ["sheet_id", "width", "height"])
@@ -438,7 +438,7 @@ def png_round_trip(spark, sf_dir):
 def file_manifest(spark, sf_dir):
     """The manifest of written files beside the files: where each is, whether it has the size that is told of it, and its pixels."""
     folder = files_sink.shared_folder(spark)
-    told = files_sink.write_files(pr.process(sheets(spark, sf_dir), pr.Request("asset", "none"), only=["raw.png"]), folder)
+    told = files_sink.write_files(pr.process(made_sheets(spark, sf_dir), pr.Request("asset", "none"), only=["raw.png"]), folder)
     pictures.register(spark)
     found = spark.read.format("mosaic").schema("path string, size long, width int, height int").load(folder)
     relative = lambda c: F.regexp_extract(c, r"(\d+/raw\.png)$", 1)
@@ -450,12 +450,12 @@ def file_manifest(spark, sf_dir):
 def accepted_sheets(spark, sf_dir):
     """Sheets that are processed although frames that touch their cell's edge are rejected: those without any."""
     p = SMALL.but(symmetric=True)
-    found = fr.checked(fr.cut(sheets(spark, sf_dir), p, with_pixels=False), p)
+    found = fr.checked(fr.cut(made_sheets(spark, sf_dir), p, with_pixels=False), p)
     whole = found.groupBy("sheet_id").agg(F.bool_or("edge_touch").alias("touch")).where("NOT touch")
     ask = pr.Request("creature", "idle", reject_edge_touch=True, **{k: v for k, v in p.as_dict().items() if k not in ("rows", "cols")})
     # Keys meet before sheets are made, so no pixel is shuffled.
     accepted = parts(spark, sf_dir, keep=lambda found: found.join(whole, F.col("p_partkey") == F.col("sheet_id"), "left_semi"))
-    return pr.process(ra.part_rasters(accepted), ask, only=["pipeline-meta.json"]).select("sheet_id", "name")
+    return pr.process(ra.made_of_parts(accepted), ask, only=["pipeline-meta.json"]).select("sheet_id", "name")
 
 
 @query(
@@ -474,7 +474,7 @@ def packed(spark: SparkSession, sf_dir: str) -> str:
     """A folder of packs with the raw and the cleaned picture of every sheet."""
     pictures.register(spark)
     folder = files_sink.shared_folder(spark)
-    pr.process(sheets(spark, sf_dir), pr.Request("asset", "none", rows=1, cols=1), only=["raw-sheet.png", "raw-sheet-clean.png"]).write.format("mosaic").mode("append").save(folder)
+    pr.process(made_sheets(spark, sf_dir), pr.Request("asset", "none", rows=1, cols=1), only=["raw-sheet.png", "raw-sheet-clean.png"]).write.format("mosaic").mode("append").save(folder)
     return folder
 
 
@@ -602,6 +602,6 @@ def map_validation(spark, sf_dir):
 
 @query()
 def scene_preview(spark, sf_dir):
-    base = fr.centred(sheets(spark, sf_dir), 32)
+    base = fr.centred(made_sheets(spark, sf_dir), 32)
     items = base.select((F.col("sheet_id") % 50).alias("scene_id"), F.lit("props").alias("layer"), (F.col("sheet_id") % 97).alias("sort_y"), F.col("sheet_id").alias("id"), (F.col("sheet_id") * 7 % 90).alias("left"), (F.col("sheet_id") % 97).alias("top"), F.col("width").alias("item_width"), F.col("height").alias("item_height"), "rgba")
     return scene.preview(scene.render_order(items), 128, 128).select("scene_id", "width", "height", F.md5("rgba").alias("rgba_md5"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +47,36 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def mapped(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: What is made of a batch, batch by batch.
+Run = Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
+
+
+class Made(NamedTuple):
+    """RASTERS, none of them null or empty, that are made in the pass that takes them: their pixels never leave the worker, and a task has no second one."""
+
+    rows: DataFrame
+    make: Run
+
+    def rasters(self) -> DataFrame:
+        return mapped(self.rows, self.make, RASTERS)
+
+
+def mapped(df: DataFrame | Made, run: Run, schema: str) -> DataFrame:
     """What run makes of each batch, in batches that are bounded; run should give what it made of each of a batch's stacks before it takes the next."""
-    bound_batches(df.sparkSession)
+    rows, make = df if isinstance(df, Made) else (df, lambda batch: iter((batch,)))
+    bound_batches(rows.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from run(batch)
+            for own in make(batch):
+                yield from run(own)
 
-    return df.mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema)
+
+
+def plain(rasters: DataFrame | Made) -> DataFrame | Made:
+    """Rasters without what other columns they have."""
+    return rasters if isinstance(rasters, Made) else rasters.select("sheet_id", "width", "height", "rgba")
 
 
 def read_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
@@ -127,7 +149,7 @@ def sums(rasters: DataFrame, keys: list[str]) -> DataFrame:
     return mapped(rasters.select(*dict.fromkeys([*keys, "width", "height", "rgba"])), run, f"{schema}, visible long, content long")
 
 
-def pixels(rasters: DataFrame, made: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def pixels(rasters: DataFrame | Made, made: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """One row a pixel, of rasters or of what is made of each stack of them: a raster gives a number a pixel, which the JVM takes apart. Rasters without pixels have no rows."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -136,7 +158,7 @@ def pixels(rasters: DataFrame, made: Callable[[np.ndarray], np.ndarray] | None =
             ends = pa.array(np.arange(own.num_rows + 1) * numbers.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([own.column("sheet_id"), own.column("width"), pa.ListArray.from_arrays(ends, pa.array(numbers.ravel()))], names=["sheet_id", "width", "numbers"])
 
-    found = mapped(rasters.select("sheet_id", "width", "height", "rgba").where("length(rgba) > 0"), run, "sheet_id long, width int, numbers array<long>")
+    found = mapped(rasters if isinstance(rasters, Made) else plain(rasters).where("length(rgba) > 0"), run, "sheet_id long, width int, numbers array<long>")
     value = lambda k: F.shiftright("v", 24 - 8 * k).bitwiseAND(255).cast("int")
     rows = found.select("sheet_id", "width", F.posexplode("numbers").alias("i", "v"))
     return rows.select("sheet_id", (F.col("i") % F.col("width")).cast("int").alias("x"), F.expr("i div width").cast("int").alias("y"), *(value(k).alias(c) for k, c in enumerate("rgba")))
@@ -168,24 +190,32 @@ def part_pixels(part: DataFrame) -> DataFrame:
 
 def part_rasters(part: DataFrame) -> DataFrame:
     """The same sheets as RASTERS, made in numpy."""
+    return made_of_parts(part).rasters()
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        y, x = np.mgrid[:SIDE, :SIDE]
+
+def made_of_parts(part: DataFrame) -> Made:
+    """The same, made where they are taken."""
+
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # Cells of a sheet are alike.
+        y, x = np.mgrid[:CELL, :CELL].astype(np.int16)
+        byte = np.uint8
         for at in range(0, batch.num_rows, STACK_ROWS):
             own = batch.slice(at, STACK_ROWS)
             key, size = (own.column(c).to_numpy().astype(np.int64)[:, None, None] for c in ("sheet_id", "size"))
             # Numbers are small from here on.
             five, seven, grow = ((v % k).astype(np.int16) for v, k in ((key, 5), (key, 7), (size, 8)))
-            dx, dy = (x % CELL - 8).astype(np.int16) - five * 2 + 4, (y % CELL - 8).astype(np.int16)
+            dx, dy = x - 8 - five * 2 + 4, y - 8
             d2, hole = dx * dx + dy * dy, (dx == 0) & (dy == 0)
             sparkle = ((dx == 6) | (dx == 7)) & ((dy == -6) | (dy == -5))
-            dark = (x % CELL == 1) & (y % CELL == 11) & (seven == 0)
+            dark = (x == 1) & (y == 11) & (seven == 0)
             disc, halo = (d2 <= 9 + grow) & ~hole, hole | (d2 <= 20 + grow)
-            picture = np.empty((own.num_rows, SIDE, SIDE, 4), np.uint8)
-            for k, (a, b, c, d, e) in enumerate([(40 + 3 * grow, 180, 250, 10, 255), (120, 80, 250, 10, 0), (40, 180, 40, 10, 255)]):
-                picture[..., k] = np.where(disc, a, np.where(halo, b, np.where(sparkle, c, np.where(dark, d, e))))
-            picture[..., 3] = np.where(sparkle & (seven == 1), 90, 255)
+            cell = np.empty((own.num_rows, CELL, CELL, 4), np.uint8)
+            for k, (a, b, c, d, e) in enumerate([((40 + 3 * grow).astype(byte), 180, 250, 10, 255), (byte(120), 80, 250, 10, 0), (byte(40), 180, 40, 10, 255)]):
+                cell[..., k] = np.where(disc, a, np.where(halo, byte(b), np.where(sparkle, byte(c), np.where(dark, byte(d), byte(e)))))
+            cell[..., 3] = np.where(sparkle & (seven == 1), byte(90), byte(255))
+            picture = np.tile(cell, (1, SIDE // CELL, SIDE // CELL, 1))
             side = pa.array(np.full(own.num_rows, SIDE, np.int32))
             yield pa.RecordBatch.from_arrays([own.column("sheet_id"), side, side, pa.array([p.tobytes() for p in picture], pa.binary())], names=["sheet_id", "width", "height", "rgba"])
 
-    return mapped(part.select(F.col("p_partkey").cast("long").alias("sheet_id"), F.col("p_size").cast("int").alias("size")), run, RASTERS)
+    return Made(part.select(F.col("p_partkey").cast("long").alias("sheet_id"), F.col("p_size").cast("int").alias("size")), make)

@@ -194,3 +194,30 @@ def test_sums_of_one_picture_take_no_other_file(spark):
     found = pr.weighted_sums(files, "a.png")
     assert {tuple(r) for r in found.collect()} == {(1, "a.png", int((u + 2 * v + x.astype(int) @ (1, 3, 5, 7)).sum())), (1, "b.png", None), (2, "c.json", None)}
     assert "CASE WHEN (name" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sheets_are_made_in_the_pass_that_takes_them(spark, sf_dir):
+    """A task has one Python worker, and no sheet's pixels go through the JVM between two."""
+    from mosaicflow.plans.queries import QUERIES
+
+    for name in ("labelled_frames", "shared_scale_placement", "largest_component_topk", "component_table", "frame_qc_compat", "edge_touch_frames", "sheet_metadata", "flood_fill_pixels", "process_singles"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
+
+
+def test_sheets_made_where_they_are_taken_are_the_same(spark):
+    """Keys of every kind, and rasters from a table as before."""
+    rows = [(key, size) for key in (*range(35), 10**12) for size in (1, 8, 15, 50)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1)
+    made = ra.made_of_parts(part)
+    for run in (fr.component_table, fr.cut):
+        assert run(made, qc.SMALL).collect() == run(made.rasters(), qc.SMALL).collect()
+
+
+def test_nearness_is_that_of_the_distance():
+    """For every colour's distance and any threshold, whole or not, negative ones too."""
+    far = np.arange(3 * 255**2 + 1)
+    for threshold in (-1, 0, 0.5, 1, 100, 99.999, 150, 150.1, 2**0.5, 441.6, 442, np.nextafter(150, 0), float("inf")):
+        assert ((far < kernels.reach2(threshold)) == (np.sqrt(far.astype(np.float64)) < threshold)).all(), threshold
+    pixels = np.random.default_rng(3).integers(0, 256, (9, 9, 4), dtype=np.uint8)
+    assert (kernels.key_distance2(pixels) == ((pixels[..., :3].astype(int) - kernels.KEY) ** 2).sum(axis=-1)).all()
